@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkedframe.llm.common import bounded_sample, with_text_columns
+from linkedframe.llm.common import bounded_sample, checkpointed, with_text_columns
 
 #: Built-in arcs; training adds to them.
 INSULTS = ("idiot", "moron", "scum", "loser", "trash", "pathetic", "worthless", "stupid", "clown", "disgusting", "imbecile", "bastard")
@@ -146,17 +146,49 @@ def _arc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression (last column of x: 1) pulled towards ``prior``."""
+    """Logistic regression (last column of x: 1, and no other weight below 0) pulled towards ``prior``."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * ((w - prior) ** 2).sum())
+
     w = prior.copy()
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * (w - prior))
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        size = 1.0
+        while size > 1e-6:
+            new = w - size * step
+            new[:-1] = np.maximum(new[:-1], 0)
+            if loss(new) < loss(w):
+                break
+            size /= 2
+        else:
             break
+        w = new
     return w
 
 
+def _choose(rows) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems from candidates (arc, documents, log-odds): the most useful first, then whole words and long stems.
+
+    A stem is left out if a chosen word or longer stem covers nearly all its documents, and what a chosen stem covers is
+    left out if it says little more.
+    """
+    words, stems = {w: 3.0 for w in INSULTS}, {}
+    covered: dict[str, int] = {}
+    for arc, n, odds in sorted(rows, key=lambda r: (-r[1] * min(6.0, r[2]), r[0].endswith("*"), -len(r[0]), r[0])):
+        name, is_stem, weight = arc.rstrip("*"), arc.endswith("*"), min(6.0, odds)
+        if is_stem and covered.get(name, 0) >= 0.9 * n:
+            continue
+        if any(stems.get(name[:k], 0) >= weight - 1.0 for k in STEMS if k < len(name) or not is_stem):
+            continue
+        (stems if is_stem else words)[name] = weight
+        for k in STEMS:
+            covered[name[:k]] = max(n, covered.get(name[:k], 0))
+    return words, stems
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """A grammar from documents whose keys have labels 0 or 1; at most ``sample`` documents of each class are used.
 
@@ -167,9 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     chosen = bounded_sample(known, key, "toxic", sample)
-    texts = docs.select(key, text).join(F.broadcast(chosen), key).withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)))
+    found = docs.select(key, text).join(F.broadcast(chosen), key)
+    # of near-copies, which share the least hash of their word triples, one counts
+    least = "array_min(transform(sequence(0, greatest(0, size(words) - 3)), i -> xxhash64(slice(words, i + 1, 3))))"
+    copies = found.select(key, text, "toxic", F.split(F.coalesce(text, F.lit("")), r"\s+").alias("words")).withColumn("least", F.expr(least))
+    texts = checkpointed(copies.groupBy("toxic", "least").agg(F.min_by(F.struct(key, text), key).alias("d")).select("toxic", "d.*").withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2))))
     first = texts.where("half = 0")
-    size = {r["toxic"]: r["n"] for r in chosen.withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2))).where("half = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    size = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return BUILT_IN
@@ -178,12 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     bound = odds - 1.64 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     # a bounded number of arcs, those of most use
     rows = counted.where(F.col("a") >= max(3, n1 // 500)).withColumn("odds", odds).where(bound >= LEAST).orderBy(F.desc(F.col("a") * F.col("odds")), "arc").limit(5000).collect()
-    words, stems = {w: 3.0 for w in INSULTS}, {}
-    for r in rows:
-        name, weight = r["arc"].rstrip("*"), min(6.0, r["odds"])
-        if any(stems.get(name[:n], 0) >= weight - 1.5 for n in STEMS if n < len(name) or not r["arc"].endswith("*")):
-            continue
-        (stems if r["arc"].endswith("*") else words)[name] = weight
+    words, stems = _choose([(r["arc"], r["a"], r["odds"]) for r in rows])
     grammar = Grammar(words, stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
