@@ -26,10 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkedframe.llm.common import checkpointed
-
-#: Characters of text in a chunk (a single longer text is a chunk of its own), and those of a bucket's words, about.
-CHUNK_CHARS = 12_000_000
+#: Characters of text in a chunk; a single longer text is a chunk of its own.
+CHUNK_CHARS = 8_000_000
 #: Most values of a column in one batch that is handed to Spark.
 OUT_BYTES = 8_000_000
 
@@ -194,36 +192,38 @@ def _encode_bucket(path: str, pattern: str):
     return run
 
 
-def _join_positions(table: pa.Table) -> pa.Table:
-    """A chunk's documents and words: the ids of each document."""
+def _join_positions(chunk: pa.Table, words: pa.Table) -> pa.Table:
+    """A chunk's documents and the ids of its words: the ids of each document."""
     numbers, sizes, ids = [], [], []
-    for part in table.filter(pc.equal(table.column("kind"), 1)).column("data"):
+    for part in words.column("data"):
         raw = part.as_py()
         at = 4 + int.from_bytes(raw[:4], "little")
         cut = at + 4 + int.from_bytes(raw[at : at + 4], "little")
         numbers.append(_unpacked(raw[4:at]))
         sizes.append(_unpacked(raw[at + 4 : cut]))
         ids.append(_unpacked(raw[cut:]))
-    lengths = np.zeros(sum(map(len, numbers)), np.int64)
+    lengths = np.zeros(sum(map(len, numbers)), np.int32)
     starts = np.zeros_like(lengths)
     flat, at = (np.concatenate(ids) if ids else np.zeros(0, np.uint32)).astype(np.int32), 0
     for n, s, i in zip(numbers, sizes, ids, strict=True):
         lengths[n] = s
-        starts[n] = at + np.cumsum(s, dtype=np.int64) - s
+        starts[n] = at + np.cumsum(s) - s
         at += len(i)
     found = []
-    docs = table.filter(pc.equal(table.column("kind"), 0))
+    docs = chunk.filter(pc.equal(chunk.column("kind"), 0))
     for data in docs.column("data"):
         positions = _unpacked(data.as_py())
         n = lengths[positions]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        found.append(flat[np.repeat(starts[positions] - ends + n, n) + np.arange(total)])
+        found.append(flat[np.repeat(starts[positions] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
     values = np.concatenate(found) if found else np.zeros(0, np.int32)
     return pa.table([docs.column("row"), docs.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], ["row", "id", "ids"])
 
-    return run
+
+def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pc.equal(batch.column("kind"), 1))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, buckets: int | None = None) -> DataFrame:
@@ -238,23 +238,59 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
     source = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    cut = checkpointed(source.mapInArrow(_cut(pattern, chunk_chars, buckets), _CHUNK_ROWS))
-    words = cut.where("kind = 1").groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), _CHUNK_ROWS)
-    rows = cut.where("kind = 0").unionByName(words)
-    joined = rows.groupBy("chunk").applyInArrow(_join_positions, "row long, id string, ids array<int>")
+    # one exchange of the chunks serves both uses; the words are picked by a function, since Spark would move a filter
+    # below the exchange and then cut all documents twice
+    chunks = source.mapInArrow(_cut(pattern, chunk_chars, buckets), _CHUNK_ROWS).repartition("chunk")
+    words = chunks.mapInArrow(_words_only, _CHUNK_ROWS).groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), _CHUNK_ROWS)
+    joined = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_join_positions, "row long, id string, ids array<int>")
     return joined.select(F.col("id").cast(kind).alias(key), "ids")
 
 
+class Pieces:
+    """A table of byte strings whose rows are joined by number."""
+
+    #: Numbers that are joined at once.
+    PART = 300_000
+
+    def __init__(self, rows: list[bytes]):
+        self.flat = np.frombuffer(b"".join(rows), np.uint8)
+        self.lengths = np.array([len(x) for x in rows], np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
+
+    def join(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The joined bytes, and where each row ends."""
+        out = []
+        for i in range(0, len(numbers), self.PART):
+            part = numbers[i : i + self.PART]
+            n = self.lengths[part]
+            ends = np.cumsum(n, dtype=np.int32)
+            out.append(self.flat[np.repeat(self.starts[part] - ends + n, n) + np.arange(ends[-1], dtype=np.int32)].tobytes())
+        return b"".join(out), np.cumsum(self.lengths[numbers], dtype=np.int64)
+
+    def of_lists(self, lists: pa.ListArray) -> list[bytes]:
+        """The joined bytes of each list."""
+        offsets = lists.offsets.to_numpy()
+        joined, ends = self.join(lists.values.to_numpy()[offsets[0] : offsets[-1]])
+        cuts = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@lru_cache(maxsize=2)
+def token_pieces(path: str) -> Pieces:
+    """The token-byte table, for joining."""
+    return Pieces(token_bytes(path))
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of each row's ids from the token-byte table.  Null ids give null."""
     schema = encoded.select("*").schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                values = [None if x is None else b"".join(map(table.__getitem__, x)) for x in batch.column(ids).to_pylist()]
+                lists = batch.column(ids)
+                values = [None if null else x for x, null in zip(token_pieces(path).of_lists(lists), lists.is_null().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

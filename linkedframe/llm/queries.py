@@ -141,33 +141,24 @@ FROM o GROUP BY conv_id
 """
 
 
-def _digests(encoded: DataFrame, key: str) -> DataFrame:
-    """Digests of ids and decoded bytes."""
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        texts: list[str] = []
+        decoder = bpe.token_pieces(path)
+        printer = bpe.Pieces([b"%d " % i for i in range(len(decoder.lengths))])
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                sizes, ids = [], []
-                for x in batch.column(1).to_pylist():
-                    while x and max(x) >= len(texts):
-                        texts += map(str, range(len(texts), max(x) + 1))
-                    sizes.append(len(x))
-                    ids.append(sha256(" ".join(map(texts.__getitem__, x)).encode()).hexdigest())
-                decoded = [sha256(x.as_py()).hexdigest() for x in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(decoded)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, "ids", "decoded").mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
+                lists = batch.column(1)
+                ids = [sha256(x[:-1]).hexdigest() for x in printer.of_lists(lists)]
+                decoded = [sha256(x).hexdigest() for x in decoder.of_lists(lists)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists.value_lengths().cast(pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return _digests(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path), "doc_id")
+    return encoded.select("doc_id", "ids").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
