@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a chunk; a single longer text is a chunk of its own.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 10_000_000
 #: Most values of a column in one batch that is handed to Spark.
 OUT_BYTES = 8_000_000
 
@@ -137,7 +137,7 @@ def _cut(pattern: str, chunk_chars: int, buckets: int):
                 at[1].append(number)
             for bucket, (raw, numbers) in enumerate(parts):
                 if raw:
-                    yield (f"{task}-{made}", 1, bucket, None, None, len(p := _packed(np.array(numbers, np.uint32))).to_bytes(4, "little") + p + _words_packed(raw))
+                    yield (f"{task}-{made}", 1, bucket, None, None, len(p := _packed(np.diff(np.array(numbers, np.int64), prepend=0))).to_bytes(4, "little") + p + _words_packed(raw))
 
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
@@ -199,7 +199,7 @@ def _join_positions(chunk: pa.Table, words: pa.Table) -> pa.Table:
         raw = part.as_py()
         at = 4 + int.from_bytes(raw[:4], "little")
         cut = at + 4 + int.from_bytes(raw[at : at + 4], "little")
-        numbers.append(_unpacked(raw[4:at]))
+        numbers.append(np.cumsum(_unpacked(raw[4:at])))  # they ascend, so their steps were packed
         sizes.append(_unpacked(raw[at + 4 : cut]))
         ids.append(_unpacked(raw[cut:]))
     lengths = np.zeros(sum(map(len, numbers)), np.int32)
