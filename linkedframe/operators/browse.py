@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ from linkedframe.functions import terms as T
 from linkedframe.plans.graph import Graph
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder; a folder of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def closure(graph: Graph, starts: DataFrame, rounds: int = 100) -> DataFrame:
     """(page, seq, s, p, o): the triples of all blank nodes that are reached from (page, node) rows.
 
@@ -17,15 +27,15 @@ def closure(graph: Graph, starts: DataFrame, rounds: int = 100) -> DataFrame:
     checkpoint folder; their number is the depth of the longest chain.
     """
     blank = graph.facts.where(F.col("s").startswith("_:")).select("seq", "s", "p", "o")
-    seen = frontier = starts.where(F.col("node").startswith("_:")).select("page", "node").distinct().checkpoint()
+    seen = frontier = _kept(starts.where(F.col("node").startswith("_:")).select("page", "node").distinct())
     found = None
     for _ in range(rounds):
         if frontier.isEmpty():
             break
-        rows = frontier.join(blank, frontier["node"] == blank["s"]).select("page", "seq", "s", "p", "o").checkpoint()
+        rows = _kept(frontier.join(blank, frontier["node"] == blank["s"]).select("page", "seq", "s", "p", "o"))
         found = rows if found is None else found.union(rows)
         reached = rows.where(F.col("o").startswith("_:")).select("page", F.col("o").alias("node")).distinct()
-        frontier = reached.join(seen, ["page", "node"], "left_anti").checkpoint()
+        frontier = _kept(reached.join(seen, ["page", "node"], "left_anti"))
         seen = seen.union(frontier)
     else:
         raise RuntimeError(f"blank nodes are nested deeper than {rounds}")
@@ -153,9 +163,8 @@ def search(
     at = F.collect_list(F.when(token.isin(*row), F.struct("pos", "token"))) if len(row) > 1 else F.array()
     docs = rows.where(wanted).groupBy("doc_id", "main", "doc_len").agg(ok.alias("ok"), at.alias("at")).where("ok")
     if len(row) > 1:
-        places = [F.transform(F.filter("at", lambda x, w=w: x["token"] == w), lambda x, i=i: x["pos"] - F.lit(i)) for i, w in enumerate(row)] if False else _places(row)
-        common = places[0]
-        for p in places[1:]:
+        common, *others = _places(row)
+        for p in others:
             common = F.array_intersect(common, p)
         docs = docs.where(F.size(common) > 0)
     hits = docs.groupBy("main").agg(F.min("doc_len").alias("doc_len"))

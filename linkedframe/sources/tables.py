@@ -15,7 +15,8 @@ from linkedframe.functions.terms import escape_literal
 class Mapped:
     """How one column becomes triples: property URI, and the object as a URI pattern or a literal with a tag.
 
-    ``uri`` has ``{}`` where the value goes; ``lang`` and ``datatype`` are for literals.
+    ``uri`` has ``{}`` where the value goes; ``lang`` (a tag, or a column's name in ``lang_column``) and ``datatype`` are for
+    literals; ``term`` says that the column holds terms already.
     """
 
     column: str
@@ -23,22 +24,33 @@ class Mapped:
     uri: str | None = None
     lang: str | None = None
     datatype: str | None = None
+    lang_column: str | None = None
+    term: bool = False
 
-    def term(self) -> Column:
+    def object(self) -> Column:
         value = F.col(self.column).cast("string")
+        if self.term:
+            return value
         if self.uri is not None:
             before, _, behind = self.uri.partition("{}")
             return F.concat(F.lit(f"<{before}"), value, F.lit(f"{behind}>"))
         tag = f"@{self.lang.lower()}" if self.lang else f"^^<{self.datatype}>" if self.datatype else ""
+        if self.lang_column:
+            return F.concat(F.lit('"'), escape_literal(value), F.lit('"@'), F.lower(self.lang_column))
         return F.concat(F.lit('"'), escape_literal(value), F.lit(f'"{tag}'))
 
 
-def triplify(df: DataFrame, subject: str, columns: Sequence[Mapped]) -> DataFrame:
-    """(s, p, o) for each non-null mapped column, from one pass over ``df``.  ``subject`` is a URI pattern ``…{column}…``."""
-    before, _, rest = subject.partition("{")
-    key, _, behind = rest.partition("}")
-    s = F.concat(F.lit(f"<{before}"), F.col(key).cast("string"), F.lit(f"{behind}>"))
-    pairs = F.array(*[F.struct(F.lit(f"<{m.prop}>").alias("p"), m.term().alias("o")) for m in columns])
+def triplify(df: DataFrame, subject: str | Column, columns: Sequence[Mapped]) -> DataFrame:
+    """(s, p, o) for each non-null mapped column, from one pass over ``df``.
+
+    ``subject`` is a URI pattern ``…{column}…``, or a column of terms.
+    """
+    s = subject
+    if isinstance(subject, str):
+        before, _, rest = subject.partition("{")
+        key, _, behind = rest.partition("}")
+        s = F.concat(F.lit(f"<{before}"), F.col(key).cast("string"), F.lit(f"{behind}>"))
+    pairs = F.array(*[F.struct(F.lit(f"<{m.prop}>").alias("p"), m.object().alias("o")) for m in columns])
     return df.select(s.alias("s"), F.explode(F.filter(pairs, lambda x: x["o"].isNotNull())).alias("r")).select("s", "r.*").where("s IS NOT NULL")
 
 
