@@ -5,6 +5,8 @@ All of them stay inside Spark's own expressions.  A null term gives null everywh
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ from linkedframe.config import RDFS_NAMESPACES, Config
 
 BLANK_PAGE = "<BLANK>"
 
-# The bytes whose percent-encoding is never undone in a URI, and the characters that are always encoded.
+# The bytes whose percent-encoding is never undone in a URI, and the characters that, like white space,
+# are always encoded.
 KEPT_ENCODED = (
     "%23|%25|%2F|%3B|%3F|%2B|%22|%3C|%3E|%7B|%7D|%5C|%5E|%5B|%5D|"
     "%C2%A0|%E1%9A%80|%E1%A0%8E|%E2%80%8[0-9AB]|%E2%80%AF|%E2%81%9F|%E3%80%80|%EF%BB%BF"
 )
 DANGEROUS = '"<>{}[]|\\'
-WHITE_SPACE = "\t\n\x0b\f\r\x85\xa0                　"
 
 
 def _col(c: str | Column) -> Column:
@@ -47,6 +49,12 @@ def term_value(n3: str | Column) -> Column:
     )
 
 
+def uri_value(n3: str | Column) -> Column:
+    """The URI of a URI term, else null."""
+    c = _col(n3)
+    return F.when(c.startswith("<"), F.substring(c, F.lit(2), F.length(c) - 2))
+
+
 def term_lang(n3: str | Column) -> Column:
     """Language tag in lower case, or null."""
     c = _col(n3)
@@ -121,11 +129,9 @@ def literal_display(text: str | Column) -> Column:
 
 def safe_path(text: str | Column) -> Column:
     """Percent-encodes the dangerous characters and white space (a space as ``+``)."""
-    c = F.replace(_col(text), F.lit(" "), F.lit("+"))
-    for char in DANGEROUS + WHITE_SPACE:
-        code = "".join(f"%{b:02X}" for b in char.encode())
-        c = F.replace(c, F.lit(char), F.lit(code))
-    return c
+    unsafe = "[" + re.escape(DANGEROUS) + r"\s\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    parts = F.regexp_extract_all(_col(text), F.lit(f"({unsafe}|[^{unsafe[1:]}+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{unsafe}$"), F.url_encode(p)).otherwise(p)), "")
 
 
 def safe_uri(uri: str | Column) -> Column:
@@ -226,7 +232,7 @@ def display_node(n3: str | Column, cfg: Config, label: Column | None = None) ->
     """Name of a term: URIs by the configured display, literals as text, blank nodes empty."""
     c = _col(n3)
     show = cfg.display or (lambda uri, label: display_pretty(uri, cfg, label))
-    return F.when(c.startswith("<"), show(term_value(c), label)).when(c.startswith('"'), term_value(c)).otherwise("")
+    return F.when(c.startswith("<"), show(uri_value(c), label)).when(c.startswith('"'), term_value(c)).otherwise("")
 
 
 def expand(curie: str, prefixes: dict[str, str]) -> str:

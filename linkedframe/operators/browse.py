@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkedframe.config import RDF_TYPE, RDFS_LABEL
 from linkedframe.functions import terms as T
-from linkedframe.plans.graph import Graph
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+from linkedframe.plans.graph import Graph, kept
 
 
 def closure(graph: Graph, starts: DataFrame, rounds: int = 100) -> DataFrame:
@@ -27,15 +17,15 @@ def closure(graph: Graph, starts: DataFrame, rounds: int = 100) -> DataFrame:
     checkpoint folder; their number is the depth of the longest chain.
     """
     blank = graph.facts.where(F.col("s").startswith("_:")).select("seq", "s", "p", "o")
-    seen = frontier = _kept(starts.where(F.col("node").startswith("_:")).select("page", "node").distinct())
+    seen = frontier = kept(starts.where(F.col("node").startswith("_:")).select("page", "node").distinct())
     found = None
     for _ in range(rounds):
         if frontier.isEmpty():
             break
-        rows = _kept(frontier.join(blank, frontier["node"] == blank["s"]).select("page", "seq", "s", "p", "o"))
+        rows = kept(frontier.join(blank, frontier["node"] == blank["s"]).select("page", "seq", "s", "p", "o"))
         found = rows if found is None else found.union(rows)
         reached = rows.where(F.col("o").startswith("_:")).select("page", F.col("o").alias("node")).distinct()
-        frontier = _kept(reached.join(seen, ["page", "node"], "left_anti"))
+        frontier = kept(reached.join(seen, ["page", "node"], "left_anti"))
         seen = seen.union(frontier)
     else:
         raise RuntimeError(f"blank nodes are nested deeper than {rounds}")

@@ -5,6 +5,7 @@ Triples come as (seq, s, p, o) with ``seq`` of any orderable type; the other tab
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,6 +19,14 @@ from linkedframe.functions import terms as T
 PROPERTY_BUCKETS = 64
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder; a folder of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def _is_uri(c: Column) -> Column:
     return c.startswith("<")
 
@@ -30,7 +39,7 @@ def clean(triples: DataFrame, cfg: Config) -> DataFrame:
     """Triples with repaired URIs, as the load does before anything else; language tags in lower case."""
 
     def repaired(c: str) -> Column:
-        uri = F.concat(F.lit("<"), T.safe_uri(T.term_value(c)), F.lit(">"))
+        uri = F.concat(F.lit("<"), T.safe_uri(T.uri_value(c)), F.lit(">"))
         return F.when(_is_uri(F.col(c)), uri).otherwise(F.col(c))
 
     o = F.when(F.col("o").rlike('"@[A-Za-z]+(-[A-Za-z0-9]+)*$'), F.concat(F.expr("left(o, length(o) - length(substring_index(o, '\"', -1)))"), F.lower(F.substring_index("o", '"', -1)))).otherwise(repaired("o"))
@@ -45,14 +54,14 @@ def page_rows(triples: DataFrame, cfg: Config) -> DataFrame:
     subject nor object is under the base, and that have no blank subject, go.
     """
     s, o = F.col("s"), F.col("o")
-    object_uri = T.term_value(o)
+    object_uri = T.uri_value(o)
     row_type = "struct<page: string, head: boolean, direction: string>"
 
     def row(page: Column, head: Column, direction: str) -> Column:
         return F.struct(page.alias("page"), head.alias("head"), F.lit(direction).alias("direction"))
 
     none = F.lit(None).cast(row_type)
-    forward = F.when(_under_base(s, cfg), row(T.page_of(T.term_value(s), cfg), ~s.contains("#"), "forward")).otherwise(none)
+    forward = F.when(_under_base(s, cfg), row(T.page_of(T.uri_value(s), cfg), ~s.contains("#"), "forward")).otherwise(none)
     hidden = T.remove_fragment(object_uri).isin(*cfg.no_inverse) if cfg.no_inverse else F.lit(False)
     inverse = F.when(_is_uri(s) & _under_base(o, cfg) & ~hidden, row(T.page_of(object_uri, cfg), F.lit(False), "inverse")).otherwise(none)
     blank = F.when(s.startswith("_:"), row(F.lit(T.BLANK_PAGE), F.lit(False), "blank")).otherwise(none)
@@ -71,15 +80,18 @@ class Graph:
 
     @classmethod
     def load(cls, triples: DataFrame, cfg: Config | None = None, dedupe: bool = False, repair: bool = True) -> Graph:
-        """A graph from raw triples.  ``dedupe`` makes repeated source lines one."""
+        """A graph from raw triples.  ``dedupe`` makes repeated source lines one.
+
+        Repaired triples are written to the checkpoint folder once, since all other tables are made from them.
+        """
         cfg = cfg or Config()
-        source = clean(triples, cfg) if repair else triples.select("seq", "s", "p", "o")
+        source = kept(clean(triples, cfg)) if repair else triples.select("seq", "s", "p", "o")
         if dedupe:
             source = source.groupBy("s", "p", "o").agg(F.min("seq").alias("seq")).select("seq", "s", "p", "o")
         s, o = F.col("s"), F.col("o")
-        hidden = T.remove_fragment(T.term_value(o)).isin(*cfg.no_inverse) if cfg.no_inverse else F.lit(False)
-        kept = source.where(_under_base(s, cfg) | s.startswith("_:") | (_is_uri(s) & _under_base(o, cfg) & ~hidden))
-        return cls(kept, page_rows(source, cfg), cfg, source)
+        hidden = T.remove_fragment(T.uri_value(o)).isin(*cfg.no_inverse) if cfg.no_inverse else F.lit(False)
+        shown = source.where(_under_base(s, cfg) | s.startswith("_:") | (_is_uri(s) & _under_base(o, cfg) & ~hidden))
+        return cls(shown, page_rows(source, cfg), cfg, source)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -104,7 +116,7 @@ class Graph:
     @cached_property
     def linksets(self) -> DataFrame:
         """(target, cnt): links from subjects under the base to each outside dataset, those with enough of them."""
-        links = self.page_rows.where((F.col("direction") == "forward") & _is_uri(F.col("o"))).select(T.link_target(T.term_value("o"), self.cfg).alias("target"))
+        links = self.page_rows.where((F.col("direction") == "forward") & _is_uri(F.col("o"))).select(T.link_target(T.uri_value("o"), self.cfg).alias("target"))
         return links.where("target IS NOT NULL").groupBy("target").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= self.cfg.min_links)
 
     @cached_property
