@@ -306,7 +306,11 @@ def native_date(n3: str | Column) -> Column:
     return F.when(term_datatype(n3) == XSD + "date", term_value(n3).try_cast("date"))
 
 
+def lower_ascii(text: str | Column) -> Column:
+    """The text with A-Z in lower case and all else as it is."""
+    return F.translate(_col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokenize(text: str | Column) -> Column:
     """Runs of ASCII letters and digits and of any other non-ASCII characters; only A-Z become lower case."""
-    c = F.translate(_col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(c, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda t: t != "")
+    return F.filter(F.split(lower_ascii(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda t: t != "")

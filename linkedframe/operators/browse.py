@@ -134,11 +134,11 @@ def search(
     """
     spark = graph.facts.sparkSession
 
-    def words(text: str) -> list[str]:
-        return spark.range(1).select(T.tokenize(F.lit(text)).alias("t")).first()["t"]
-
-    every, some, no, row, starts = (words(x) for x in (query, any_of, none_of, phrase, prefix))
-    rows = graph.postings if prop is None else graph.postings.where(F.col("p") == prop)
+    given = (query, any_of, none_of, phrase, prefix)
+    every, some, no, row, starts = spark.range(1).select(*[T.tokenize(F.lit(x)).alias(str(i)) for i, x in enumerate(given)]).first()
+    rows = graph.postings_with([*every, *row, *starts], some)
+    if prop is not None:
+        rows = rows.where(F.col("p") == prop)
     token = F.col("token")
     wanted = token.isin(*every, *some, *no, *row)
     for p in starts:

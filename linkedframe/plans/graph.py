@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,15 +123,39 @@ class Graph:
     @cached_property
     def texts(self) -> DataFrame:
         """(s, p, text): what is searched: the objects of subjects under the base, and the labels of these objects."""
+        return self._texts([])
+
+    def _texts(self, any_of: list[str]) -> DataFrame:
+        """Texts; of those without any of the given words, some are left out before they are unescaped."""
+
+        def may_hold(c: str, escaped: bool) -> Column:
+            lower = T.lower_ascii(c)
+            held = reduce(or_, (lower.contains(w) for w in any_of), F.lit(not any_of))
+            return held | F.col(c).contains("\\u") | F.col(c).contains("\\U") if any_of and escaped else held
+
         rows = self.page_rows.where("direction = 'forward'").select("s", "p", "o")
-        own = rows.select("s", "p", T.term_value("o").alias("text"))
-        named = self.labels.where("label <> ''").withColumnRenamed("n3", "o")
+        own = rows.where(may_hold("o", True)).select("s", "p", T.term_value("o").alias("text"))
+        named = self.labels.where("label <> ''").where(may_hold("label", False)).withColumnRenamed("n3", "o")
         return own.union(rows.where(_is_uri(F.col("o"))).join(named, "o").select("s", "p", F.col("label").alias("text")))
 
     @cached_property
     def postings(self) -> DataFrame:
         """(token, pos, doc_id, s, p, main, doc_len): the positional index of all texts."""
-        docs = self.texts.select("s", "p", T.main_of("s").alias("main"), F.length("text").alias("doc_len"), F.xxhash64("s", "p", "text").alias("doc_id"), T.tokenize("text").alias("tokens"))
+        return self._postings(self.texts)
+
+    def postings_with(self, every: list[str], some: list[str]) -> DataFrame:
+        """Postings of at least all texts that hold each of ``every`` and one of ``some`` as words or parts of words.
+
+        Saved postings are given whole, since they are sorted by token; else most texts without the longest of the words
+        are left out before they are split.
+        """
+        if "postings" in self.__dict__:
+            return self.postings
+        return self._postings(self._texts([max(every, key=len)] if every else some))
+
+    @staticmethod
+    def _postings(texts: DataFrame) -> DataFrame:
+        docs = texts.select("s", "p", T.main_of("s").alias("main"), F.length("text").alias("doc_len"), F.xxhash64("s", "p", "text").alias("doc_id"), T.tokenize("text").alias("tokens"))
         return docs.select("s", "p", "main", "doc_len", "doc_id", F.posexplode("tokens").alias("pos", "token")).select("token", "pos", "doc_id", "s", "p", "main", "doc_len")
 
     @cached_property

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,18 @@ class Mapped:
 
 
 def triplify(df: DataFrame, subject: str | Column, columns: Sequence[Mapped]) -> DataFrame:
-    """(s, p, o) for each non-null mapped column, from one pass over ``df``.
+    """(s, p, o) for each non-null mapped column.
 
-    ``subject`` is a URI pattern ``…{column}…``, or a column of terms.
+    ``subject`` is a URI pattern ``…{column}…``, or a column of terms.  Each property is a projection of its own, so a
+    filter on ``p`` leaves out the others, with their columns and tables, when the query is planned.
     """
     s = subject
     if isinstance(subject, str):
         before, _, rest = subject.partition("{")
         key, _, behind = rest.partition("}")
         s = F.concat(F.lit(f"<{before}"), F.col(key).cast("string"), F.lit(f"{behind}>"))
-    pairs = F.array(*[F.struct(F.lit(f"<{m.prop}>").alias("p"), m.object().alias("o")) for m in columns])
-    return df.select(s.alias("s"), F.explode(F.filter(pairs, lambda x: x["o"].isNotNull())).alias("r")).select("s", "r.*").where("s IS NOT NULL")
+    parts = [df.select(s.alias("s"), F.lit(f"<{m.prop}>").alias("p"), m.object().alias("o")) for m in columns]
+    return reduce(DataFrame.union, parts).where("s IS NOT NULL AND o IS NOT NULL")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, schema: str, key: str | None = None, bounds: tuple | None = None, parts: int = 8, **options: str) -> DataFrame:
