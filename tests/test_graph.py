@@ -458,3 +458,12 @@ def test_oracles(spark, name):
     found = queries.QUERIES[name](spark, SF)
     names = sorted(found.columns)
     assert rows(found, *names) == sorted((tuple(r) for r in con.sql(f"select {', '.join(names)} from ({queries.ORACLES[name]}) z").fetchall()), key=repr)
+
+
+def test_property_filter_prunes_other_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, None, "c")], "id long, x string, y string")
+    both = tables.triplify(df, "http://x/{id}", [tables.Mapped("x", "http://p/x"), tables.Mapped("y", "http://p/y")])
+    one = both.where("p = '<http://p/x>'")
+    assert "Union" in both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(one) == [("<http://x/1>", "<http://p/x>", '"a"')]
