@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkedframe.config import RDF_TYPE, RDFS_LABEL
 from linkedframe.functions import terms as T
-from linkedframe.plans.graph import Graph, kept
+from linkedframe.plans.graph import Graph, kept, of_properties
 
 
 def closure(graph: Graph, starts: DataFrame, rounds: int = 100) -> DataFrame:
@@ -50,7 +50,7 @@ def lookup(graph: Graph, pages: DataFrame | None = None) -> DataFrame:
 
 def summarize(graph: Graph, pages: DataFrame | None = None, n: int = 20) -> DataFrame:
     """(page, seq, s, p, o): the first ``n`` facet triples of each page's root subject."""
-    rows = graph.page_rows.where(F.col("head") & F.col("p").isin(*graph.cfg.facets))
+    rows = of_properties(graph.page_rows, *graph.cfg.facets).where("head")
     if pages is not None:
         rows = rows.join(pages.select("page").distinct(), "page", "left_semi")
     rank = F.row_number().over(Window.partitionBy("page").orderBy("seq", "p", "o"))
@@ -63,7 +63,7 @@ def list_resources(graph: Graph, prop: str | None = None, value: str | None = No
         raise ValueError("a value needs a property")
     rows = graph.page_rows.where("head")
     if prop is not None:
-        rows = rows.where(F.col("p") == prop)
+        rows = of_properties(rows, prop)
     if value is not None:
         rows = rows.where(F.col("o") == value)
     named = rows.select("page", "s").distinct().join(graph.labels.withColumnRenamed("n3", "s"), "s", "left")
@@ -76,7 +76,7 @@ def list_resources(graph: Graph, prop: str | None = None, value: str | None = No
 
 def resources_with(graph: Graph, prop: str, value: str, limit: int = 100) -> DataFrame:
     """Subjects that have a value of a property."""
-    return graph.facts.where((F.col("p") == prop) & (F.col("o") == value)).select("s").distinct().orderBy("s").limit(limit)
+    return of_properties(graph.facts, prop).where(F.col("o") == value).select("s").distinct().orderBy("s").limit(limit)
 
 
 def list_values(graph: Graph, prop: str, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -104,7 +104,7 @@ def label_of(graph: Graph, pages: DataFrame) -> DataFrame:
 
 def class_of(graph: Graph) -> DataFrame:
     """(page, class): the first rdf:type of each root subject."""
-    rows = graph.page_rows.where(F.col("head") & (F.col("p") == RDF_TYPE))
+    rows = of_properties(graph.page_rows, RDF_TYPE).where("head")
     return rows.groupBy("page").agg(F.min_by("o", F.struct("seq", "o")).alias("class"))
 
 

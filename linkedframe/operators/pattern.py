@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkedframe.functions.terms import expand
+from linkedframe.plans.graph import of_properties
 
 
 @dataclass(frozen=True)
@@ -120,13 +121,13 @@ _SUBJECT = "__s"
 
 class _Matcher:
     def __init__(self, facts: DataFrame, counts: dict[str, int] | None):
-        self.facts = facts.select("s", "p", "o")
+        self.facts = facts.select(*[c for c in ("s", "p", "o", "p_bucket") if c in facts.columns])
         self.counts = counts or {}
         self.fresh = count()
 
     def single(self, prop: str, o) -> DataFrame:
         """The triples of one property and object: the subject and the object's variables."""
-        rows = self.facts.where(F.col("p") == prop)
+        rows = of_properties(self.facts, prop)
         if isinstance(o, Var):
             return rows.select(F.col("s").alias(_SUBJECT), F.col("o").alias(o.name))
         if isinstance(o, Nested):
@@ -146,7 +147,7 @@ class _Matcher:
                 conditions.append(c if isinstance(b.objects[0], Var) else c & (F.col("o") == b.objects[0]))
             # a triple that fits several branches stands for each of them
             fits = sum((c.cast("int") for c in conditions[1:]), conditions[0].cast("int"))
-            rows = self.facts.where(reduce(Column.__or__, conditions))
+            rows = of_properties(self.facts, *{b.prop: None for b in step.branches}).where(reduce(Column.__or__, conditions))
             if len({b.prop for b in step.branches}) < len(step.branches):
                 rows = rows.select("s", "o", F.explode(F.sequence(F.lit(1), fits)).alias("__n"))
             return rows.select(F.col("s").alias(_SUBJECT), *[F.col("o").alias(n) for n in names])
@@ -194,7 +195,7 @@ class _Matcher:
 def match(facts: DataFrame, subject: Var | str | None, steps: Sequence, counts: dict[str, int] | None = None) -> DataFrame:
     """Rows of the pattern: one column a variable, in order of first appearance.
 
-    ``facts`` has columns s, p, o.  ``subject`` is a variable, a term, or None for a node without a name.  A variable used
+    ``facts`` has columns s, p, o, and p_bucket where it is a saved table.  ``subject`` is a variable, a term, or None for a node without a name.  A variable used
     again joins on equality.  ``counts`` (property to number of triples) lets the smallest steps be joined first; without
     it they are joined as given and Spark's own statistics decide on the join's kind.
     """

@@ -28,6 +28,19 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def property_bucket(c: Column) -> Column:
+    """Where the rows of a property are in saved tables."""
+    return F.pmod(F.xxhash64(c), F.lit(PROPERTY_BUCKETS)).cast("int")
+
+
+def of_properties(rows: DataFrame, *props: str) -> DataFrame:
+    """The rows of some properties; of saved tables only their buckets are read."""
+    found = rows.where(F.col("p").isin(*props))
+    if "p_bucket" in rows.columns and props:
+        found = found.where(reduce(or_, (F.col("p_bucket") == property_bucket(F.lit(p)) for p in props)))
+    return found
+
+
 def _is_uri(c: Column) -> Column:
     return c.startswith("<")
 
@@ -173,27 +186,21 @@ class Graph:
         return out.select("seq", "s", "p", "o", "page", "head", "direction", "s_label", "p_label", "o_label")
 
     def save(self, path: str) -> None:
-        """All tables as Parquet: rows by buckets of their property, sorted for skipping; postings by token."""
-        bucket = F.pmod(F.xxhash64("p"), F.lit(PROPERTY_BUCKETS)).cast("int")
+        """All tables as Parquet: rows by buckets of their property, sorted for skipping; postings by token.
+
+        Ranges go on behind the property or token, so one with a large share of the rows is cut into many tasks.
+        """
         for name in ("facts", "page_rows"):
-            table = getattr(self, name).withColumn("p_bucket", bucket)
-            # a large bucket spreads over several files: a property alone never names one task
-            spread = table.repartition("p_bucket", F.pmod(F.xxhash64("s"), F.lit(16)))
-            spread.sortWithinPartitions("p_bucket", "p", "s").write.mode("overwrite").partitionBy("p_bucket").parquet(f"{path}/{name}")
-        for name, order in (("labels", "n3"), ("terms", "n3"), ("value_counts", "p"), ("linksets", "target"), ("postings", "token")):
-            getattr(self, name).repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").parquet(f"{path}/{name}")
+            order = ("p_bucket", "p", "s", "o")
+            table = getattr(self, name).withColumn("p_bucket", property_bucket(F.col("p")))
+            table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p_bucket").parquet(f"{path}/{name}")
+        for name, order in (("labels", ["n3"]), ("terms", ["n3"]), ("value_counts", ["p", "o"]), ("linksets", ["target"]), ("postings", ["token", "doc_id", "pos"])):
+            getattr(self, name).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, cfg: Config | None = None) -> Graph:
         """A saved graph."""
-        graph = cls(*(spark.read.parquet(f"{path}/{name}").drop("p_bucket") for name in ("facts", "page_rows")), cfg or Config())
+        graph = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), cfg or Config())
         for name in ("labels", "terms", "value_counts", "linksets", "postings"):
             graph.__dict__[name] = spark.read.parquet(f"{path}/{name}")
         return graph
-
-    def of_property(self, prop: str) -> DataFrame:
-        """Triples of one property; on saved tables only its bucket is read."""
-        rows = self.facts.where(F.col("p") == prop)
-        if "p_bucket" in rows.columns:
-            rows = rows.where(F.col("p_bucket") == F.pmod(F.xxhash64(F.lit(prop)), F.lit(PROPERTY_BUCKETS)).cast("int"))
-        return rows

@@ -210,6 +210,13 @@ def test_save_and_open(spark, graph, tmp_path):
     for name in ("labels", "terms", "value_counts", "linksets"):
         assert rows(getattr(again, name)) == rows(getattr(graph, name))
     assert again.facts.count() == graph.facts.count() and rows(browse.search(again, "english")) == rows(browse.search(graph, "english"))
+    pattern = [po(RDFS_LABEL, var("l")), optional(po(f"<{DC}language>", var("n")))]
+    found = match(again.facts, var("s"), pattern)
+    assert rows(found) == rows(match(graph.facts, var("s"), pattern)) != []
+    for df in (found, browse.summarize(again), browse.list_resources(again, RDFS_LABEL), browse.class_of(again)):
+        scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "p_bucket" in x and "FileScan" in x]
+        assert scans and not any("PartitionFilters: []" in x for x in scans)
+    assert rows(browse.summarize(again)) == rows(browse.summarize(graph)) and rows(browse.class_of(again)) == rows(browse.class_of(graph))
 
 
 # patterns
@@ -390,6 +397,34 @@ def test_jsonld(spark):
     assert tree(spark, [(ME, f"<{EX}a#n>", '"1"'), (ME, f"<{EX}b#n>", '"2"')])["n2"] == "2"
 
 
+def test_large_pages_are_dealt_to_parts(spark):
+    back = [(f"<{EX}s{i}>", f"<{EX}to>", ME) for i in range(30)]
+    own = [(ME, f"<{EX}value>", f'"{i}"') for i in range(20)]
+    blank = [(ME, f"<{EX}item>", "_:b"), ("_:b", f"<{EX}name>", '"n"')]
+    g = Graph.load(frame(spark, back + own + blank), Config())
+    found = documents.export_jsonld(g, size=10).collect()
+    trees = [json.loads(r["document"]) for r in found]
+    assert len(found) == len({r["part"] for r in found}) == 5 and len({json.dumps(x["@context"]) for x in trees}) == 1
+
+    def listed(x):
+        return x if isinstance(x, list) else [x]
+
+    assert sorted(y["@id"] for x in trees for y in listed(x.get("@reverse", {}).get("to", []))) == sorted(f"{EX}s{i}" for i in range(30))
+    assert sorted(int(y) for x in trees for y in listed(x.get("value", []))) == list(range(20))
+    assert [x["item"] for x in trees if "item" in x] == [{"name": "n"}]
+    table = documents.page_documents(g, size=10).collect()
+    assert len(table) > 1 and len(table) == len({r["part"] for r in table})
+    assert sorted(s for r in table for x in r["inverses"] or [] for s in x["subjects"]) == sorted(s for s, _, _ in back)
+    assert sorted(v["term"] for r in table for x in r["properties"] or [] for v in x["values"]) == sorted(["_:b", *(o for _, _, o in own)])
+    assert [r["part"] for r in documents.page_documents(g).collect()] == [0]
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "x long").repartition(5)
+    assert rows(stats.numbered(df, F.desc("x")), "n", "x") == sorted(((i + 1, 100 - i) for i in range(101)), key=repr)
+    assert rows(stats.numbered(df.limit(0), F.desc("x"))) == []
+
+
 def test_page_documents(graph):
     found = {r["s"]: r for r in documents.page_documents(graph).collect()}
     first = found[f"<{B}data/example>"]
