@@ -1,0 +1,62 @@
+"""Stages of the pipeline against the general rules, not those of the queries."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from linkedframe.llm import nearcopies
+from linkedframe.llm.common import read_table
+
+SF = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts):
+    """The number of the first text of each text's group."""
+    sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def copies(seed=4):
+    """Texts of invented words, and copies of them with more and more words replaced."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    out = []
+    for _ in range(12):
+        words = [word() for _ in range(r.randint(3, 300))]
+        out.append(" ".join(words))
+        for _ in range(8):
+            words[r.randrange(len(words))] = word()
+            out.append(" ".join(words))
+    return [*out, "", " ", None, out[0].upper(), out[5]]
+
+
+@pytest.mark.parametrize("group", [nearcopies.GROUP, 700])
+def test_near_copies(spark, group):
+    texts = copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs, group=group).collect()}
+    assert found == dict(enumerate(brute_groups(texts)))
+    assert len(set(found.values())) > 12
+    assert nearcopies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_stage_drops_similar_documents(spark):
+    docs = read_table(spark, SF, "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = STAGES["near_duplicates"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(rows[g][0] for g in set(brute_groups([t for _, t in rows])))
