@@ -78,13 +78,13 @@ def windows_of(benchmark: DataFrame, length: int, item: str = "item_id", text: s
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", block: int = BLOCK
 ) -> DataFrame:
-    """One row a document: (key, n_words, n_hit, items, contaminated).
+    """One row a document: (key, text_hash, n_words, n_hit, items, contaminated).
 
     A word inside any occurrence of a window of ``window`` item words is hit; ``items`` are the items, as sorted strings,
     with such windows; a document is contaminated if at least one word in twenty is hit.  Null and empty texts have no
     words and no hits; null items count as texts without windows, and an item given more than once is one item.  A row
     repeated n times gives n rows.  Documents that share a key but not a text are told apart.  Empty tables give an empty result or one
-    without hits.  Other columns are left out.
+    without hits.  Other columns are left out.  ``text_hash`` is the text's xxhash64.
     """
     spark = docs.sparkSession
     windows = windows_of(benchmark, window, item, text).where("item IS NOT NULL")
@@ -133,7 +133,7 @@ def find_contamination(
     return (
         everything.groupBy("key", "hash")
         .agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("times"), F.flatten(F.collect_list("matches")).alias("m"))
-        .select("key", "times", F.col("n_words").cast("long"), F.expr(f"cast({hits} as bigint)").alias("n_hit"), F.expr("array_sort(array_distinct(m.item))").alias("items"))
-        .select(F.col("key").alias(key), "n_words", "n_hit", "items", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+        .select("key", "hash", "times", F.col("n_words").cast("long"), F.expr(f"cast({hits} as bigint)").alias("n_hit"), F.expr("array_sort(array_distinct(m.item))").alias("items"))
+        .select(F.col("key").alias(key), F.col("hash").alias("text_hash"), "n_words", "n_hit", "items", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
         .drop("copy")
     )

@@ -60,3 +60,42 @@ def test_stage_drops_similar_documents(spark):
     kept = STAGES["near_duplicates"](spark, docs, SF)
     assert kept.columns == docs.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(rows[g][0] for g in set(brute_groups([t for _, t in rows])))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words_of(name, n=40):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_stages_keep_whole_decisions(spark):
+    a, b, c, d, e = (words_of(x) for x in "abcde")
+    rows = [
+        (None, a, "en", "s", 1),  # no id, and like no other
+        (None, b, "en", "s", 1), (None, b + " end", "en", "s", 1),  # copies without an id
+        (1, c, "en", "s", 1), (1, c, "en", "s", 1), (1, c, "de", "t", 2),  # rows of one id and text
+        (2, d, "en", "s", 1), (2, e, "en", "s", 1), (3, d, "en", "s", 1), (None, d, "en", "s", 1),  # an id of two texts
+        (5, None, "en", "s", 1), (4, "", "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [tuple(r) for r in STAGES["near_duplicates"](spark, docs, SF).collect()]
+    assert Counter((k, t) for k, t, *_ in kept if t not in (b, b + " end")) == Counter([(None, a), (1, c), (2, d), (2, e), (4, "")])
+    assert sum(k is None and t in (b, b + " end") for k, t, *_ in kept) == 1
+    assert all(r in rows for r in kept)
+
+
+def test_decontamination_tells_rows_apart(spark):
+    item = next(r["text"] for r in read_table(spark, SF, "benchmark").collect() if len((r["text"] or "").split()) > 20)
+    rows = [(None, item, "en", "s", 1), (None, words_of("a"), "en", "s", 1), (1, item, "en", "s", 1), (1, words_of("b"), "en", "s", 1), (2, words_of("c"), "en", "s", 1), (2, words_of("c"), "en", "s", 1), (3, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(tuple(r) for r in STAGES["decontamination"](spark, docs, SF).collect()) == Counter(r for r in rows if r[1] != item)
+
+
+def test_toxicity_and_secrets_keep_odd_rows(spark):
+    rows = [(None, words_of("a"), "en", "s", 1), (1, words_of("b"), "en", "s", 1), (1, words_of("c"), "en", "s", 1), (1, words_of("c"), "en", "s", 1), (2, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = Counter((r[0], r[1]) for r in rows)
+    for name in ("toxicity", "secrets"):
+        assert Counter((r["doc_id"], r["text"]) for r in STAGES[name](spark, docs, SF).collect()) == want
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in STAGES["byte_bpe"](spark, docs, SF).collect()) == Counter((r[0], len(r[1] or "")) for r in rows)
