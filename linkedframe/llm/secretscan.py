@@ -21,13 +21,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Documents from which the models are trained.
 SAMPLE = 20_000
 #: Least log-likelihood ratio of a secret, a character, in nats.
 THRESHOLD = 1.0
+#: Least length of a scored string, and least log-likelihood ratio of the whole string, which decides on short ones.
+SHORTEST, WHOLE = 12, 20.0
+#: The threshold of letters alone, as a multiple: words in capitals are rare and look more random than others.
+LETTERS = 1.75
 
 #: Classes of the models: each digit, letter and joining character, and one for all others and both ends.
 CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-."
@@ -108,16 +112,27 @@ def ratio(value: str, model: np.ndarray) -> float:
     return float(model[transitions(value)].sum()) / len(value)
 
 
+def pieces(start: int, end: int, base: Sequence[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of a run, in pieces long enough to score."""
+    for a, b, _ in base:
+        if a < end and start < b:
+            if a - start >= SHORTEST:
+                yield start, a
+            start = max(start, b)
+    if end - start >= SHORTEST:
+        yield start, end
+
+
 def markov_spans(text: str, base: Sequence[tuple[int, int, str]], model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Runs with a digit and a letter that look random and touch no span of ``base``."""
+    """Runs, without the spans of ``base`` in them, that have a letter and look random."""
     found = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y, _ in base):
-            continue
-        value = m[0]
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and ratio(value, model) >= threshold:
-            found.append((a, b, "markov"))
+        for a, b in pieces(*m.span(), base):
+            value = text[a:b]
+            if any(c.isalpha() for c in value):
+                least = max(threshold * (1 if any(c.isdigit() for c in value) else LETTERS), threshold * WHOLE / len(value))
+                if ratio(value, model) >= least:
+                    found.append((a, b, "markov"))
     return found
 
 
