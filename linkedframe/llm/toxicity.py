@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ NEGATION_REACH = 3
 
 #: Labelled documents of each class that are used for training, at most.
 SAMPLE = 10_000
-#: Least log-odds of a trained arc, at its lower confidence bound, and lengths of stems.
+#: Least log-odds of a trained arc, at its lower confidence bound, and lengths of stems.  The bound alone decides on arcs.
 LEAST, STEMS = 2.0, range(4, 9)
 
 _WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
@@ -106,21 +107,23 @@ class Machine:
         return out, sum(out)
 
     def features(self, text: str) -> list[float]:
-        """Clause weights of a text by kind (as logarithms, so that long texts do not win by length) and the largest."""
+        """Clause weights of a text by kind (as logarithms, so that long texts do not win by length) and the largest.
+
+        Each clause with a match is read once and whole, however long it is.
+        """
         text = text.lower()
         clauses, out, most = set(), [0.0] * (KINDS - 1), 0.0
+        ends: list[int] | None = None
         for end, word in self.arcs.iter(text):
             start = end + 1 - len(word)
             if start and text[start - 1].isalnum():
                 continue
             if word not in self.grammar.stems and end + 1 < len(text) and text[end + 1].isalnum():
                 continue
-            behind = _CLAUSE_END.search(text, end)
-            stop = behind.start() if behind else len(text)
-            begin = start
-            while begin and text[begin - 1] not in ".!?;:,\n" and start - begin < 400:
-                begin -= 1
-            clauses.add((begin, min(stop, end + 400)))
+            if ends is None:
+                ends = [-1, *(m.start() for m in _CLAUSE_END.finditer(text)), len(text)]
+            i = bisect_left(ends, start)
+            clauses.add((ends[i - 1] + 1, ends[i]))
         for begin, stop in clauses:
             weights, total = self.clause(text[begin:stop])
             out = [a + b for a, b in zip(out, weights, strict=True)]
@@ -212,8 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     counted = first.select(text, "toxic").mapInArrow(_arc_counts, "arc string, toxic long, other long").groupBy("arc").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     bound = odds - 1.64 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    # a bounded number of arcs, those of most use
-    rows = counted.where(F.col("a") >= max(3, n1 // 500)).withColumn("odds", odds).where(bound >= LEAST).orderBy(F.desc(F.col("a") * F.col("odds")), "arc").limit(5000).collect()
+    rows = counted.where(F.col("a") >= 3).withColumn("odds", odds).where(bound >= LEAST).collect()
     words, stems = _choose([(r["arc"], r["a"], r["odds"]) for r in rows])
     grammar = Grammar(words, stems)
 

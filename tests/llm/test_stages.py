@@ -1,5 +1,6 @@
 """Stages of the pipeline against the general rules, not those of the queries."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from linkedframe.llm import nearcopies, secretscan
+from linkedframe.llm import nearcopies, secretscan, toxicity
 from linkedframe.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +115,21 @@ def test_secrets_short_glued_and_of_letters(spark):
     assert key not in masked and secret not in masked
     for plain in ("internationalization of GESCHWINDIGKEITSBEGRENZUNG", "1234567890123456", "snake_case_name_of_2024", "https://example.org/some/path/to/page"):
         assert secretscan.find_spans(plain, model) == []
+
+
+def test_toxicity_reads_whole_clauses_once(spark):
+    m = toxicity.Machine(toxicity.BUILT_IN)
+    far = "you " + "word " * 200 + "idiot"
+    assert m.features(far) == [0.0, math.log1p(3.0), 0.0, 0.0, 3.0]
+    assert m.features("idiot " + "word " * 200 + "you") == [0.0, math.log1p(3.0), 0.0, 0.0, 3.0]
+    assert m.features("they said " + "word " * 200 + "idiot")[3] > 0
+    assert m.features("idiot " + "word " * 60 + "moron") == [math.log1p(6.0), 0.0, 0.0, 0.0, 6.0]  # both in one clause, each once
+    assert m.features("you. " + "word " * 200 + "idiot, you")[1] == 0
+
+
+def test_toxicity_arcs_are_not_limited(spark):
+    words = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(6000)]
+    r = random.Random(1)
+    rows = [(i, " ".join(r.sample(words, len(words))) if i % 2 else f"plain text {i}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert set(words) <= set(toxicity.train(docs, docs.select("doc_id", "toxic")).words)
