@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +32,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names.
+
+    Where it names none, a local session gets a temporary folder; on a cluster executors could not share one, so that is
+    an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the checkpoint folder and read again.
+
+    Lineage ends there, lost executors cost nothing, later reads take only the columns they need, and joins see its size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_text_columns(
@@ -77,10 +94,16 @@ def bucket_of(key: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, key: str, strata: str, bound: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, strata: str, bound: int, parts: int = 64) -> DataFrame:
     """At most ``bound`` rows for each value of ``strata``, the ones whose key has the smallest hash.
 
-    Spark limits each group before the shuffle, so a hot value costs no more than a rare one.
+    Rows of a value are first dealt to ``parts`` by that hash, and each part keeps its ``bound`` smallest; only these
+    are ranked together.  No task sorts more than a part of a hot value or ``parts * bound`` rows.  Rows of one key are
+    taken in the order of all their columns, so the choice is defined.
     """
-    ranked = df.selectExpr("*", f"row_number() over (partition by `{strata}` order by xxhash64(`{key}`), `{key}`) AS __rank")
-    return ranked.where(F.col("__rank") <= bound).drop("__rank")
+    mark = F.xxhash64(key)
+    order = [mark, F.col(key), *[F.col(c) for c in df.columns if c not in (key, strata)]]
+    least = F.row_number().over(Window.partitionBy(strata, "__part").orderBy(*order))
+    first = df.withColumn("__part", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts))).withColumn("__rank", least).where(F.col("__rank") <= bound)
+    ranked = first.withColumn("__rank", F.row_number().over(Window.partitionBy(strata).orderBy(*order)))
+    return ranked.where(F.col("__rank") <= bound).drop("__rank", "__part")

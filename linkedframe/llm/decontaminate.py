@@ -1,22 +1,32 @@
 r"""Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-A posting is (term, document, position).  Test windows are looked up from their rarest term: its postings give the
-places where a window may start, and the words at the offsets of its other terms are compared there.  Postings are made
-and probed in one pass while a document's words are at hand; only those that hold a window leave the pass.
+1. The words of all benchmark items are the vocabulary.  One pass over the documents writes the index: a posting (key,
+   hash of the text, term, position) for each of these words, and one at the end of each document that has its number of
+   words.  Each file of the index is sorted by term, so the postings of a term are found without reading the others.
+2. Each window of test words is looked up from its two rarest terms.  Their posting lists are intersected where the
+   positions are at most ``distance`` apart; neighbouring windows mostly share these terms and are looked up together.
+3. Around each place found the postings of the windows' other terms are intersected, adjusted by their offsets: a window
+   whose terms all stand at their offsets is an exact phrase match, one whose terms all stand within ``distance`` words
+   is a proximity match.
+
+The number of passes over documents and index does not depend on the number of windows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkedframe.llm.common import stored
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Test windows whose table is broadcast at once (about 400 bytes each); more are taken in several passes.
-BLOCK = 50_000
-END = "\0"
+#: Terms, or places to look up, whose table is broadcast (about 100 bytes each); larger tables are joined by shuffles.
+BROADCAST = 500_000
+#: Words that the terms of a proximity match may be away from the rarest one.
+DISTANCE = 24
+#: What ends a document in the index; no word can be this.
+END, END_TERM = "\0", -1
 
 
 def words_of(text: str | Column) -> Column:
@@ -29,111 +39,146 @@ def plain_words(text: str) -> Column:
     return F.filter(words_of(F.translate(text, UPPER, LOWER)), lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The positional index: (term, key, pos) for each word of each document, the first word at 0."""
-    return docs.select(F.col(key), F.posexplode(plain_words(text)).alias("pos", "term")).select("term", key, "pos")
+def _sized(table: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
 
+def phrases_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, words) of each item with an id and words, each once."""
+    words = benchmark.select(F.col(item).cast("string").alias("item"), plain_words(text).alias("words"))
+    return words.where("item IS NOT NULL AND size(words) > 0").distinct()
 
-def _terms(phrases: DataFrame, index: DataFrame, phrase_id: str, text: str) -> DataFrame:
-    """The words of phrases with their offsets and numbers of postings, rarest first by ``rank``."""
-    words = phrases.select(F.col(phrase_id), plain_words(text).alias("words")).where(F.size("words") > 0)
-    terms = words.select(phrase_id, F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    counts = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("postings"))
-    ranked = terms.join(counts, "term", "left").na.fill(0, ["postings"])
-    return ranked.selectExpr("*", f"row_number() over (partition by `{phrase_id}` order by postings, offset) AS rank")
 
+def vocabulary_of(phrases: DataFrame) -> DataFrame:
+    """(term, word) of each word of the phrases; ``term`` is its number."""
+    words = phrases.select(F.explode("words").alias("word")).distinct()
+    return stored(words.select(F.monotonically_increasing_id().alias("term"), "word"))
 
-def phrase_matches(index: DataFrame, phrases: DataFrame, key: str = "doc_id", phrase_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(phrase_id, key, start): each place where all words of a phrase stand one behind the other.
 
-    Postings of the rarest term, moved back by its offset, are the candidates; the other terms' lists are intersected
-    with them by (phrase, document, start), so no list is read for a phrase without candidates.
+def postings(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index (key, hash, term, pos) of the vocabulary's words; term -1 has a document's number of words as ``pos``.
+
+    Positions ascend by one a word; whether they start at 0 or 1 depends on how the text starts.
     """
-    terms = _terms(phrases, index, phrase_id, text)
-    start = (F.col("pos") - F.col("offset")).alias("start")
-    first = index.join(terms.where("rank = 1"), "term").select(phrase_id, "n", key, start).where("start >= 0")
-    wanted = first.join(terms.select(phrase_id, "offset", "term"), phrase_id).withColumn("pos", F.col("start") + F.col("offset"))
-    found = wanted.join(index, ["term", key, "pos"]).groupBy(phrase_id, key, "start", "n").agg(F.count_distinct("offset").alias("hits"))
-    return found.where("hits = n").select(phrase_id, key, "start")
+    spark = docs.sparkSession
+    known = vocabulary.select("term", F.col("word").alias("exact"), F.lower("word").alias("folded")).withColumn("plain", F.expr("exact = folded"))
+    end = spark.range(1).select(F.lit(END_TERM).cast("long").alias("term"), F.lit(END).alias("exact"), F.lit(END).alias("folded"), F.lit(True).alias("plain"))
+    known = F.broadcast(known.union(end)) if vocabulary.count() <= BROADCAST else known.union(end)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), words_of(text).alias("words"))
+    n_words = "greatest(0, size(words) - int(words[0] = '') - int(words[size(words) - 1] = ''))"
+    ended = rows.select("key", "hash", F.expr(n_words).alias("n_words"), F.concat("words", F.array(F.lit(END))).alias("words"))
+    placed = ended.select("key", "hash", "n_words", F.posexplode_outer("words").alias("pos", "word"))
+    # lower() is fast and never parts words that differ in A-Z only; where it may do more, the word is compared exactly
+    exact = F.expr(f"if(octet_length(word) = length(word), plain, translate(word, '{UPPER}', '{LOWER}') = exact)")
+    found = placed.join(known, (F.lower("word") == F.col("folded")) & exact)
+    return stored(found.select("key", "hash", "term", F.when(F.col("term") == END_TERM, F.col("n_words")).otherwise(F.col("pos")).alias("pos")).sortWithinPartitions("term"))
+
+
+def lookups(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, window: int | None, distance: int) -> DataFrame:
+    """The stored places to look up: (pair, item, n, q1, q2, low, terms, reach), each for some windows of one phrase.
+
+    ``q1`` and ``q2`` are where the two rarest terms of these windows stand in the phrase, ``terms`` what stands there
+    from ``low`` on as far as the windows go, ``n`` the length of a window, ``reach`` how far from ``q1`` to search.
+    Windows with a term that has no posting are left out.
+    """
+    counts = index.where(F.col("term") >= 0).groupBy("term").agg(F.count("*").alias("postings"))
+    numbered = stored(vocabulary.join(counts, "term", "left").na.fill(0, ["postings"]))
+    named = phrases.select("item", "words", F.xxhash64("item", "words").alias("phrase"))
+    at = named.select("phrase", "item", "words", F.posexplode("words").alias("q", "word")).join(_sized(numbered), "word")
+    whole = at.groupBy("phrase", "item", "words").agg(F.array_sort(F.collect_list(F.struct("q", "postings", "term"))).alias("at"))
+    n = F.size("words") if window is None else F.least(F.lit(window), F.size("words"))
+    starts = whole.select("item", "phrase", "words", "at", n.alias("n")).select("*", F.explode(F.expr("sequence(0, size(at) - n)")).alias("i"))
+    rarest = F.expr("array_sort(transform(slice(at, i + 1, n), x -> named_struct('postings', x.postings, 'q', x.q)))")
+    windows = starts.withColumn("rare", rarest).where("rare[0].postings > 0")
+    pairs = windows.groupBy("phrase", "item", "words", "n", F.expr("rare[0].q").alias("q1"), F.expr("rare[least(1, n - 1)].q").alias("q2")).agg(
+        F.min("i").alias("low"), F.max("i").alias("high"), F.first("at").alias("at")
+    )
+    terms = F.expr("transform(slice(at, low + 1, high - low + n), x -> x.term)")
+    reach = F.greatest(F.lit(distance), F.col("n") - 1)
+    return stored(pairs.select(F.monotonically_increasing_id().alias("pair"), "item", "n", "q1", "q2", "low", terms.alias("terms"), reach.alias("reach")))
 
 
-def proximity_matches(index: DataFrame, phrases: DataFrame, distance: int, key: str = "doc_id", phrase_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(phrase_id, key, pos): each posting of a phrase's rarest term with all its other terms within ``distance`` words."""
-    terms = _terms(phrases, index, phrase_id, text)
-    sizes = terms.groupBy(phrase_id).agg(F.count_distinct("term").alias("terms"))
-    near = index.join(terms.where("rank = 1"), "term").select(phrase_id, key, F.col("pos").alias("at")).join(sizes, phrase_id)
-    wanted = near.join(terms.select(phrase_id, "term").distinct(), phrase_id)
-    places = wanted.select("*", F.explode(F.sequence(F.col("at") - distance, F.col("at") + distance)).alias("pos"))
-    found = places.join(index, ["term", key, "pos"]).groupBy(phrase_id, key, "at", "terms").agg(F.count_distinct("term").alias("hits"))
-    return found.where("hits = terms").select(phrase_id, key, F.col("at").alias("pos"))
+def matches(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, window: int | None = None, distance: int = DISTANCE) -> DataFrame:
+    """(item, key, hash, n, starts, near): where windows of the phrases (of (item, words)) are in the index.
+
+    ``starts`` are the positions where a window of ``n`` words stands word for word, ``near`` those of a rarest term
+    with all other terms of its window within ``distance`` words (or the window's length, if that is more), in any
+    order.  Without ``window`` each phrase is one window.  A row has at least one of both.
+    """
+    pairs = lookups(index, vocabulary, phrases, window, distance)
+    # lists of the two rarest terms, met in stretches as long as the reach: in each, the places of the rarest one have
+    # those of the other at hand, and no stretch holds more than a few times its length
+    roles = F.array(F.struct(F.expr("terms[q1 - low]").alias("term"), F.lit(1).alias("role")), F.struct(F.expr("terms[q2 - low]").alias("term"), F.lit(2).alias("role")))
+    anchors = pairs.select("pair", "reach", F.explode(roles).alias("r")).groupBy("r.term").agg(F.collect_list(F.struct("pair", "reach", "r.role")).alias("anchors"))
+    lists = index.join(_sized(stored(anchors)), "term").select("key", "hash", "pos", F.explode("anchors").alias("a")).select("key", "hash", "pos", "a.*")
+    stretch = F.floor(F.col("pos") / F.col("reach"))
+    stretches = F.when(F.col("role") == 1, F.array(stretch - 1, stretch, stretch + 1)).otherwise(F.array(stretch))
+    met = (
+        lists.select("pair", "reach", "key", "hash", F.explode(stretches).alias("stretch"), F.when(F.col("role") == 1, F.col("pos")).alias("p1"), F.when(F.col("role") == 2, F.col("pos")).alias("p2"))
+        .groupBy("pair", "reach", "key", "hash", "stretch")
+        .agg(F.collect_set("p1").alias("p1"), F.collect_set("p2").alias("p2"))
+        .where("size(p1) > 0 AND size(p2) > 0")
+    )
+    near = F.expr("filter(p1, a -> exists(p2, b -> abs(b - a) <= reach))")
+    places = stored(met.select("pair", "key", "hash", F.explode(near).alias("at")).distinct())
+
+    # lists of all terms of the windows, in the documents of these places only
+    documents = stored(places.select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct())
+    rest = index.join(documents, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi")
+    wanted = places.join(pairs, "pair").select(
+        "pair", F.col("key").alias("k"), F.col("hash").alias("h"), "at", "reach", F.explode(F.array_distinct("terms")).alias("t")
+    )
+    here = F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")) & (F.col("term") == F.col("t")) & (F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
+    around = rest.join(wanted, here).groupBy("pair", "key", "hash", "at").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("off"), "term")).alias("found"))
+    exact = """transform(filter(sequence(0, size(terms) - n),
+        i -> forall(sequence(i, i + n - 1), j -> array_contains(found, named_struct('off', j + low - q1, 'term', terms[j])))), i -> at - q1 + low + i)"""
+    close = "exists(sequence(0, size(terms) - n), i -> forall(slice(terms, i + 1, n), t -> exists(found, f -> f.term = t)))"
+    return (
+        around.join(pairs, "pair")
+        .select("item", "key", "hash", "n", F.expr(exact).alias("starts"), F.expr(f"if({close}, at, null)").alias("near"))
+        .where("size(starts) > 0 OR near IS NOT NULL")
+    )
 
 
-def windows_of(benchmark: DataFrame, length: int, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, words): each window of an item's consecutive words, shorter items whole, each once."""
-    words = benchmark.select(F.col(item).cast("string").alias("item"), plain_words(text).alias("words")).where(F.size("words") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - length + 1))
-    return words.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, length))).alias("words")).distinct()
+def phrase_matches(found: DataFrame) -> DataFrame:
+    """(item, key, hash, start, end): each exact occurrence of a window, of the result of :func:`matches`."""
+    starts = found.select("item", "key", "hash", F.explode("starts").alias("start"), "n").distinct()
+    return starts.select("item", "key", "hash", "start", (F.col("start") + F.col("n") - 1).alias("end"))
+
+
+def proximity_matches(found: DataFrame) -> DataFrame:
+    """(item, key, hash, pos): each posting of a rarest term with all other terms of its window near it."""
+    return found.where("near IS NOT NULL").select("item", "key", "hash", F.col("near").alias("pos")).distinct()
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", block: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", distance: int = DISTANCE
 ) -> DataFrame:
-    """One row a document: (key, text_hash, n_words, n_hit, items, contaminated).
+    """One row a document: (key, text_hash, n_words, n_hit, items, n_near, contaminated).
 
     A word inside any occurrence of a window of ``window`` item words is hit; ``items`` are the items, as sorted strings,
-    with such windows; a document is contaminated if at least one word in twenty is hit.  Null and empty texts have no
-    words and no hits; null items count as texts without windows, and an item given more than once is one item.  A row
-    repeated n times gives n rows.  Documents that share a key but not a text are told apart.  Empty tables give an empty result or one
-    without hits.  Other columns are left out.  ``text_hash`` is the text's xxhash64.
+    with such windows; ``n_near`` is the number of items with a proximity match; a document is contaminated if at least
+    one word in twenty is hit.  Null and empty texts have no words and no hits; null items count as texts without
+    windows, and an item given more than once is one item.  A row repeated n times gives n rows.  Documents that share a
+    key but not a text are told apart.  Empty tables give an empty result or one without hits.  Other columns are left
+    out.  ``text_hash`` is the text's xxhash64.
     """
-    spark = docs.sparkSession
-    windows = windows_of(benchmark, window, item, text).where("item IS NOT NULL")
-    blocks = -(-windows.count() // block) or 1
-    arrays = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), words_of(text).alias("words"))
-
-    # how often each test term occurs in the documents: any choice of a term finds all windows, the rarest does it soonest
-    vocabulary = windows.select(F.explode("words").alias("term")).select(F.lower("term").alias("term")).distinct()
-    found = arrays.select(F.explode_outer("words").alias("word"))
-    small = F.broadcast(vocabulary) if blocks == 1 else vocabulary
-    counts = found.join(small, F.lower("word") == F.col("term")).groupBy("term").agg(F.count("*").alias("postings"))
-    numbered = windows.withColumn("id", F.xxhash64("item", F.array_join("words", " "))).withColumn("block", F.pmod("id", F.lit(blocks)))
-    terms = numbered.select("id", "item", "words", "block", F.posexplode("words").alias("offset", "word")).withColumn("term", F.lower("word"))
-    rarest = (
-        terms.join(counts, "term", "left")
-        .groupBy("item", "words", "block")
-        .agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "offset", "term")).alias("r"))
-        .where("r.postings > 0")
-        .select("block", F.col("r.term").alias("term"), F.struct(F.col("r.offset").alias("offset"), "words", "item").alias("w"))
-        .groupBy("block", "term")
-        .agg(F.collect_list("w").alias("windows"))
-    )
-    if blocks > 1:
-        rarest = rarest.persist()
-
-    # postings of the rarest terms, and one at the end of each document that has its number of words
-    ended = arrays.select("key", "hash", F.concat("words", F.array(F.lit(END))).alias("words"))
-    placed = ended.select("key", "hash", "words", F.posexplode_outer("words").alias("pos", "word"))
-    end = spark.range(1).select(F.lit(END).alias("term"), F.expr("cast(null as array<struct<offset: int, words: array<string>, item: string>>)").alias("windows"))
-    lower = "transform(slice(words, pos - w.offset + 1, size(w.words)), x -> translate(x, '{}', '{}'))".format(UPPER, LOWER)
-    matches = f"""transform(
-        filter(windows, w -> pos >= w.offset and lower(words[pos - w.offset]) = lower(w.words[0]) and {lower} = w.words),
-        w -> named_struct('start', pos - w.offset, 'end', pos - w.offset + size(w.words) - 1, 'item', w.item))"""
-    n_words = "greatest(0, pos - int(words[0] = '') - int(words[pos - 1] = ''))"
-    parts = []
-    for i in range(blocks):
-        probe = rarest.where(F.col("block") == i).select("term", "windows")
-        if i == 0:
-            probe = probe.union(end)
-        hit = placed.join(F.broadcast(probe), F.lower("word") == F.col("term"))
-        hit = hit.select("key", "hash", F.expr(f"if(word = '{END}', {n_words}, null)").alias("n_words"), F.expr(matches).alias("matches"))
-        # no filter here: Spark would make it a condition of the join, and then copy the words of a document for each of them
-        parts.append(hit.select("key", "hash", "n_words", F.expr("if(size(matches) > 0, matches, null)").alias("matches")))
-    everything = reduce(DataFrame.union, parts)
-    hits = "size(array_distinct(flatten(transform(array_distinct(transform(m, x -> named_struct('start', x.start, 'end', x.end))), x -> sequence(x.start, x.end)))))"
+    phrases = stored(phrases_of(benchmark, item, text))
+    vocabulary = vocabulary_of(phrases)
+    index = postings(docs, vocabulary, key, text)
+    found = stored(matches(index, vocabulary, phrases, window, distance))
+    covered = F.expr("array_distinct(flatten(transform(starts, s -> sequence(s, s + n - 1))))")
+    words = found.select("item", "key", "hash", F.explode(covered).alias("pos")).groupBy("key", "hash", "pos").agg(F.collect_set("item").alias("items"))
+    hit = words.groupBy("key", "hash").agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    near = found.where("near IS NOT NULL").select("key", "hash", "item").distinct().groupBy("key", "hash").agg(F.count("*").alias("n_near"))
+    both = hit.unionByName(near, allowMissingColumns=True).groupBy("key", "hash").agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near"))
+    hits = stored(both.select(F.col("key").alias("k"), F.col("hash").alias("h"), "n_hit", "items", "n_near"))
+    ends = index.where(F.col("term") == END_TERM).select("key", "hash", F.col("pos").cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
     return (
-        everything.groupBy("key", "hash")
-        .agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("times"), F.flatten(F.collect_list("matches")).alias("m"))
-        .select("key", "hash", "times", F.col("n_words").cast("long"), F.expr(f"cast({hits} as bigint)").alias("n_hit"), F.expr("array_sort(array_distinct(m.item))").alias("items"))
-        .select(F.col("key").alias(key), F.col("hash").alias("text_hash"), "n_words", "n_hit", "items", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-        .drop("copy")
+        ends.join(hits, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
+        .na.fill(0, ["n_hit", "n_near"])
+        .select(F.col("key").alias(key), F.col("hash").alias("text_hash"), "n_words", "n_hit", F.coalesce("items", none).alias("items"), "n_near")
+        .withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
     )

@@ -169,7 +169,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("n_near").alias("n_near_items"))
 
 
 def _sql_words(column: str) -> str:
@@ -191,10 +191,20 @@ places AS (
 ),
 hits AS (SELECT doc_id, i, p.n, item FROM places p JOIN win USING (s)),
 counted AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+counts AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+lists AS (SELECT DISTINCT item, w[i : i + 12] AS t FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+rare AS (
+  SELECT item, t, first(l.word ORDER BY coalesce(c, 0), q) AS word FROM (SELECT item, t, unnest(t) AS word, generate_subscripts(t, 1) AS q FROM lists) l
+  LEFT JOIN counts USING (word) GROUP BY item, t HAVING min(coalesce(c, 0)) > 0
+),
+near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d) x JOIN rare USING (word) JOIN d USING (doc_id)
+  WHERE list_has_all(w[greatest(1, place - {decontaminate.DISTANCE}) : place + {decontaminate.DISTANCE}], t) GROUP BY doc_id
+)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 QUERIES = {

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkedframe.llm.common import checkpointed, with_text_columns
+from linkedframe.llm.common import stored, with_text_columns
 
 BITS = 64
 #: Distinct fingerprints in a group that one task joins; larger groups are dealt out in parts.
@@ -190,7 +190,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round hangs all neighbours of a node on the smallest one, first the larger neighbours, then the smaller ones,
     until nothing changes; links of all nodes stay on the executors, and each round is written to the checkpoint folder.
     """
-    current = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    current = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
         both = current.union(current.select("v", "u")).toDF("u", "v")
@@ -198,7 +198,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        current = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        current = stored(small.select("e.u", "e.v").where("u <> v").distinct())
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     are never paired.  Null keys are kept but never name a component unless it has no other.  An empty table gives an
     empty one; other columns are left out.
     """
-    marked = checkpointed(fingerprints(docs, text, words, keep=[key]))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min(key).alias("least")))
+    marked = stored(fingerprints(docs, text, words, keep=[key]))
+    nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("least")))
     labels = components(links(nodes.select("fp"), budget, group))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

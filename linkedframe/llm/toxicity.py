@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkedframe.llm.common import bounded_sample, checkpointed, with_text_columns
+from linkedframe.llm.common import bounded_sample, stored, with_text_columns
 
 #: Built-in arcs; training adds to them.
 INSULTS = ("idiot", "moron", "scum", "loser", "trash", "pathetic", "worthless", "stupid", "clown", "disgusting", "imbecile", "bastard")
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     # of near-copies, which share the least hash of their word triples, one counts
     least = "array_min(transform(sequence(0, greatest(0, size(words) - 3)), i -> xxhash64(slice(words, i + 1, 3))))"
     copies = found.select(key, text, "toxic", F.split(F.coalesce(text, F.lit("")), r"\s+").alias("words")).withColumn("least", F.expr(least))
-    texts = checkpointed(copies.groupBy("toxic", "least").agg(F.min_by(F.struct(key, text), key).alias("d")).select("toxic", "d.*").withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2))))
+    texts = stored(copies.groupBy("toxic", "least").agg(F.min_by(F.struct(key, text), key).alias("d")).select("toxic", "d.*").withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2))))
     first = texts.where("half = 0")
     size = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)

@@ -432,27 +432,52 @@ def brute_contamination(docs, items, window=13):
         yield key, len(w), len(hit), tuple(sorted(found)), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 3])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST, 3])
+def test_contamination(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST", broadcast)
     long = "The Quick brown fox jumps over the lazy dog and then runs away from Ärger und Éclair twice"
-    items = [(1, long), (2, "two Words"), (3, None), (4, "..."), (None, "one"), (10, long), (10, long), (5, "a a a"), (6, "Ä"), (7, "one two three")]
-    docs = [(i, t) for i, t in enumerate([long, f"x {long.upper()} y", f"--{long}", long.replace("Ä", "ä"), "two words two words", "a a a a a", "", None, "...", " ".join(f"w{i}" for i in range(200)) + " two words", "One, two; three!", "Ä", "K two"])]
-    docs += [(3, "other text of the same key"), (4, "two words two words"), (None, "two words")]
+    items = [(1, long), (2, "two Words"), (3, None), (4, "..."), (None, "one"), (10, long), (10, long), (5, "a a a"), (6, "Ä"), (7, "one two three"), (8, "never seen"), (9, long + " never"), (9, "two Words")]
+    docs = [(i, t) for i, t in enumerate([long, f"x {long.upper()} y", f"--{long}", long.replace("Ä", "ä"), "two words two words", "a a a a a", "", None, "...", " ".join(f"w{i}" for i in range(200)) + " two words", "One, two; three!", "Ä", "\u212a two", "words two " * 30])]
+    docs += [(3, "other text of the same key"), (4, "two words two words"), (4, "two words two words"), (None, "two words"), (None, long + " " + long), (12, f"{long} the {long}")]
     table = spark.createDataFrame([(k, t, 1, "z") for k, t in docs], "doc_id long, text string, n_words int, items string")
-    out = decontaminate.find_contamination(table, spark.createDataFrame(items, "item_id long, text string"), block=block)
+    out = decontaminate.find_contamination(table, spark.createDataFrame(items, "item_id long, text string"))
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in out.collect()) == Counter(brute_contamination(docs, items))
     assert decontaminate.find_contamination(table.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     none = decontaminate.find_contamination(table, spark.createDataFrame([], "item_id long, text string")).collect()
-    assert len(none) == len(docs) and not any(r["contaminated"] for r in none)
+    assert len(none) == len(docs) and not any(r["contaminated"] or r["n_near"] for r in none)
+
+
+def brute_near(words, phrase, counts, distance):
+    """Where a rarest term of a phrase stands with all its other terms near."""
+    rarest = min((counts[w], q) for q, w in enumerate(phrase))[1]
+    return {i for i, w in enumerate(words) if w == phrase[rarest] and set(phrase) <= set(words[max(0, i - distance) : i + distance + 1])}
 
 
 def test_phrases_and_proximity(spark):
-    docs = spark.createDataFrame([(1, "a b c a b"), (2, "b a x x c"), (3, "C, b. a")], "doc_id long, text string")
-    index = decontaminate.postings(docs)
-    phrases = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "c a b"), (4, "zz"), (5, None)], "item_id long, text string")
-    assert {tuple(r) for r in decontaminate.phrase_matches(index, phrases).collect()} == {(1, 1, 0), (1, 1, 3), (2, 2, 0), (2, 3, 1), (3, 1, 2)}
-    near = {(r["item_id"], r["doc_id"]) for r in decontaminate.proximity_matches(index, phrases.where("item_id = 3"), 2).collect()}
-    assert near == {(3, 1), (3, 3)}
+    texts = ["a b c a b", "b a x x c", "C, b. a", "c x x x a x x b", ""]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    items = [(1, "a b"), (2, "b a"), (3, "c a b"), (4, "zz"), (5, None), (6, "a zz")]
+    phrases = decontaminate.phrases_of(spark.createDataFrame(items, "item_id long, text string"))
+    vocabulary = decontaminate.vocabulary_of(phrases)
+    index = decontaminate.postings(docs, vocabulary)
+    assert {r["pos"] for r in index.where("term = -1").collect()} == {5, 3, 8, 0}
+    found = decontaminate.matches(index, vocabulary, phrases, None, 3)
+    assert {(r["item"], r["key"], r["start"], r["end"]) for r in decontaminate.phrase_matches(found).collect()} == {("1", 1, 0, 1), ("1", 1, 3, 4), ("2", 2, 0, 1), ("2", 3, 1, 2), ("3", 1, 2, 4)}
+    split = [re.findall(r"[a-z]+", t.lower()) for t in texts]
+    counts = Counter(w for t in split for w in t)
+    want = {(str(k), i, at) for k, t in items if t for i, words in enumerate(split, 1) for at in brute_near(words, t.split(), counts, 3)}
+    assert {(r["item"], r["key"], r["pos"]) for r in decontaminate.proximity_matches(found).collect()} == want != set()
+
+
+def test_index_is_stored_and_sorted_by_term(spark):
+    docs, items = read_table(spark, SF, "documents", "doc_id", "text"), read_table(spark, SF, "benchmark", "item_id", "text")
+    vocabulary = decontaminate.vocabulary_of(decontaminate.phrases_of(items))
+    index = decontaminate.postings(docs, vocabulary)
+    plan = index.where("term = 5")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "EqualTo(term,5)" in plan
+    for file in index.select("_metadata.file_path").distinct().collect():
+        terms = [r["term"] for r in spark.read.parquet(file[0]).collect()]
+        assert terms == sorted(terms)
 
 
 # helpers and contracts
