@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkedframe.storage import stored  # noqa: F401  (operators take it from here)
+
 ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -32,29 +32,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names.
-
-    Where it names none, a local session gets a temporary folder; on a cluster executors could not share one, so that is
-    an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+#: A key is hot if more than one in so many of all rows have it, so there are never more hot keys than this.
+HOT = 10_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the checkpoint folder and read again.
+def join_counted(rows: DataFrame, table: DataFrame, keys: str | Sequence[str], n: str = "n") -> DataFrame:
+    """``rows`` joined to a stored ``table`` that has one row a key and ``n``, how many of the rows have it.
 
-    Lineage ends there, lost executors cost nothing, later reads take only the columns they need, and joins see its size.
+    Rows of hot keys stay where they are, since those keys, ``HOT`` at most, are broadcast; the others are shuffled by key.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(n) * HOT > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) * HOT <= total), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def with_text_columns(
