@@ -6,25 +6,30 @@ The last piece of each prefix is therefore known once that prefix is read: it is
 follow the last piece of the prefix before it.  A state of the transducer holds what this needs and no more: the
 longest suffix that starts some piece, and the last pieces (with relative counts) at the positions inside it.
 States and transitions are made when a text first needs them; each transition carries the change in the number of
-tokens.
+tokens.  Where no piece spans two neighbouring characters, what stood before has no say, and the state forgets it.
 
-No piece holds a space after another character, so a space that follows something else always starts afresh.  A
-chunk's map from the state before it to the state behind it is therefore given by three things: the text before its
-first such boundary, the tokens between the first and the last, and the text behind the last.  These maps compose
-associatively, and long texts are counted by a parallel prefix scan over the maps of their chunks.
+Long texts are cut into chunks, which many tasks read.  A chunk's map leads from entry states to (exit state, tokens).
+The states it may be entered in follow from the few characters before it; mostly there is one.  Maps compose
+associatively, so a parallel prefix scan of log2(n) rounds gives the state and the count behind each chunk.  Should a text
+enter a chunk in a state its map does not have, the map is widened by that state and the scan is run again.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from linkedframe.llm.common import with_text_columns
+from linkedframe.llm.common import stored, with_text_columns
 
 SPACE = "▁"
+#: Characters of a chunk, and of what is known of the text before it.
+CHUNK, LOOK = 32_768, 64
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -40,7 +45,10 @@ class Transducer:
         if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that leave the text as it is can be compiled")
         self.prefix = model.normalizer_spec.add_dummy_prefix
+        if any(p.type in (4, 5) for p in model.pieces):
+            raise ValueError("only models without user-defined or unused pieces can be compiled")
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
+        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece holds a space after another character")
         chars = {c for p in self.score for c in p}
@@ -113,27 +121,49 @@ class Transducer:
             cut = 0
             while text[cut:] not in self.starts and cut < len(text):
                 cut += 1
-            found = (self.state((text[cut:], (*last[cut:], piece), (*(c - change for c in counts[cut:]), 0))), change)
+            before = last[cut:]
+            if cut and text[cut - 1 : cut + 1] not in self.inside:
+                before = (None, *before[1:])
+            found = (self.state((text[cut:], (*before, piece), (*(c - change for c in counts[cut:]), 0))), change)
         self.arcs[number][char] = found
         return found
 
+    def run(self, text: str, state: int) -> tuple[int, int]:
+        """The state behind a text that is entered in ``state``, and the change of the count."""
+        total, arcs = 0, self.arcs
+        for char in text:
+            state, change = arcs[state].get(char) or self.arc(state, char)
+            total += change
+        return state, total
+
     def count(self, unit: str) -> int:
         """Tokens of a text that starts and ends at boundaries."""
         if len(self.contexts) > self.limit:
             self.reset()
-        state, total, arcs = self.root, 0, self.arcs
-        for char in unit:
-            state, change = arcs[state].get(char) or self.arc(state, char)
-            total += change
-        return total
+        return self.run(unit, self.root)[1]
+
+    def named(self, number: int) -> str:
+        """A state as text, the same in all workers."""
+        return json.dumps(self.contexts[number], ensure_ascii=False)
+
+    def numbered(self, name: str) -> int:
+        suffix, last, counts = json.loads(name)
+        return self.state((suffix, tuple(last), tuple(counts)))
+
+    def entries(self, look: str) -> set[int]:
+        """States that a text may be in behind ``look``: one, if no piece spans some two neighbours there."""
+        for i in range(len(look) - 1, 0, -1):
+            if look[i - 1 : i + 1] not in self.inside:
+                return {self.run(look[i:], self.root)[0]}
+        return {self.run(look[i:], self.root)[0] for i in range(len(look))}
 
 
 class Counter(dict):
     """Tokens of texts.  As a dict it keeps the paths of words from boundary to boundary, ``bound`` of them at most."""
 
-    def __init__(self, transducer: Transducer, chunk_chars: int = 65_536, bound: int = 400_000):
+    def __init__(self, transducer: Transducer, bound: int = 400_000):
         super().__init__()
-        self.transducer, self.chunk_chars, self.bound = transducer, chunk_chars, bound
+        self.transducer, self.bound = transducer, bound
 
     def __missing__(self, word: str) -> int:
         n = self.transducer.count(SPACE + word)
@@ -149,51 +179,32 @@ class Counter(dict):
             return sum(map(self.__getitem__, text[1:].split(SPACE)))
         return sum(self[u[1:]] if u[0] == SPACE and u[1:2] != SPACE else self.transducer.count(u) for u in UNITS.findall(text))
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(text before the first boundary, tokens between, text behind the last); no boundary: (text, None, "")."""
+    def marked(self, text: str) -> str:
+        """The text as the model reads it."""
+        return (SPACE if self.transducer.prefix else "") + text.replace(" ", SPACE) if text else ""
+
+    def chunk_map(self, chunk: str, entries: Iterable[str]) -> list[tuple[str, dict]]:
+        """For each entry state the exit state and the tokens of a chunk.
+
+        Behind its first space that follows something else, a chunk has one course whatever state it is entered in.
+        """
+        t = self.transducer
+        if len(t.contexts) > t.limit:
+            t.reset()
         first = re.search(f"(?<=[^{SPACE}]){SPACE}", chunk)
-        if first is None:
-            return chunk, None, ""
-        last = first.start()
-        at = chunk.rfind(SPACE)
-        while at > last:
-            if chunk[at - 1] != SPACE:
-                last = at
-                break
-            at = chunk.rfind(SPACE, 0, at)
-        return chunk[: first.start()], self.units(chunk[first.start() : last]) if last > first.start() else 0, chunk[last:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of a chunk and the one behind it."""
-        if a[1] is None:
-            return (a[0] + b[0], None, "") if b[1] is None else (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.units(a[2] + b[0]) + b[1], b[2]
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix compositions; in each of the log2(n) rounds all compositions are independent."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
-
-    def total(self, chunk: tuple) -> int:
-        """Tokens of a text from its map."""
-        head, inner, tail = chunk
-        return (self.units(head) if head else 0) + (inner or 0) + (self.units(tail) if tail else 0)
+        head = chunk if first is None else chunk[: first.start()]
+        if first is not None:
+            last = max(m.start() for m in re.finditer(f"(?<=[^{SPACE}]){SPACE}", chunk))
+            inner = self.units(chunk[first.start() : last]) if last > first.start() else 0
+            end, tail = t.run(chunk[last:], t.root)
+        out = []
+        for entry in entries:
+            state, n = t.run(head, t.numbered(entry))
+            out.append((entry, {"exit": t.named(state if first is None else end), "n": n if first is None else n + inner + tail}))
+        return out
 
     def __call__(self, text: str) -> int:
-        if not text:
-            return 0
-        text = (SPACE if self.transducer.prefix else "") + text.replace(" ", SPACE)
-        if len(text) <= self.chunk_chars:
-            return self.units(text)
-        maps = [self.chunk_map(text[i : i + self.chunk_chars]) for i in range(0, len(text), self.chunk_chars)]
-        while len(maps) > 1:  # the last element of scan(), without the other prefixes
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.total(maps[0])
+        return self.units(self.marked(text)) if text else 0
 
 
 @lru_cache(maxsize=2)
@@ -202,15 +213,94 @@ def counter(model_path: str) -> Counter:
     return Counter(Transducer(model_path))
 
 
-def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``, in one pass without a shuffle.
+_MAP = "map<string, struct<exit: string, n: bigint>>"
+_ARROW_MAP = pa.map_(pa.string(), pa.struct([("exit", pa.string()), ("n", pa.int64())]))
+
+
+def chunks_of(texts: DataFrame, model_path: str, chunk_chars: int = CHUNK) -> DataFrame:
+    """(digest, chunk, look, part) of texts (digest, text): parts of the text as the model reads it, each a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = counter(model_path).marked
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = marked(text)
+                for at in range(0, len(text), 64 * chunk_chars):
+                    starts = range(at, min(len(text), at + 64 * chunk_chars), chunk_chars)
+                    columns = [digest] * len(starts), [i // chunk_chars for i in starts], [text[max(0, i - LOOK) : i] for i in starts], [text[i : i + chunk_chars] for i in starts]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["digest", "chunk", "look", "part"])
 
-    Null and empty texts have 0 of both.  Rows are independent: repeated rows give repeated results, an empty table an
-    empty one.  Columns of these two names are replaced.  A text of any length is counted whole.
+    return texts.select("digest", "text").mapInArrow(run, "digest string, chunk int, look string, part string").repartition("digest", "chunk")
+
+
+def maps_of(chunks: DataFrame, model_path: str) -> DataFrame:
+    """(digest, chunk, map) of chunks: their maps from the entry states that ``look`` leaves open, or from ``entry`` where chunks have it."""
+    asked = "entry" in chunks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(model_path)
+        t = count.transducer
+        for batch in batches:
+            maps = []
+            for number, look, part, entry in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                names = [entry] if asked else [t.named(i) for i in ({t.root} if number == 0 else t.entries(look))]
+                maps.append(count.chunk_map(part, dict.fromkeys(names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, _ARROW_MAP)], ["digest", "chunk", "map"])
+
+    entry = F.col("entry") if asked else F.lit(None).cast("string")
+    return chunks.select("digest", "chunk", "look", "part", entry.alias("entry")).mapInArrow(run, f"digest string, chunk int, map {_MAP}")
+
+
+def scan_round(maps: DataFrame, step: int) -> DataFrame:
+    """Each map behind that of the chunk ``step`` before it, where there is one."""
+    before = maps.select("digest", (F.col("chunk") + step).alias("chunk"), F.col("map").alias("before"))
+    both = maps.join(before, ["digest", "chunk"], "left")
+    composed = """map_filter(transform_values(before, (k, v) -> named_struct('exit', map[v.exit].exit, 'n', v.n + map[v.exit].n)), (k, v) -> v.exit IS NOT NULL)"""
+    return both.select("digest", "chunk", F.expr(f"if(before IS NULL, map, {composed})").alias("map"))
+
+
+def scanned(maps: DataFrame) -> DataFrame:
+    """The compositions of all maps up to each chunk, by a parallel prefix scan."""
+    n = (maps.agg(F.max("chunk")).first()[0] or 0) + 1
+    step = 1
+    while step < n:
+        maps = stored(scan_round(maps, step))
+        step *= 2
+    return maps
+
+
+def count_long(texts: DataFrame, model_path: str, chunk_chars: int = CHUNK) -> DataFrame:
+    """(digest, n_tokens) of texts (digest, text), each counted by many tasks."""
+    chunks = chunks_of(texts, model_path, chunk_chars)
+    maps = stored(maps_of(chunks, model_path))
+    root = F.lit(counter(model_path).transducer.named(0))
+    while True:
+        prefixes = scanned(maps).select("digest", "chunk", F.try_element_at("map", root).alias("at"))
+        ends = stored(prefixes.groupBy("digest").agg(F.max_by("at", "chunk").alias("end"), F.max(F.when(F.col("at").isNotNull(), F.struct("chunk", "at.exit"))).alias("known")))
+        lost = stored(ends.where("end IS NULL").select("digest", (F.col("known.chunk") + 1).alias("chunk"), F.col("known.exit").alias("entry")))
+        if lost.isEmpty():
+            return ends.select("digest", F.col("end.n").alias("n_tokens"))
+        more = maps_of(chunks.join(lost, ["digest", "chunk"]), model_path).withColumnRenamed("map", "more")
+        maps = stored(maps.join(more, ["digest", "chunk"], "left").select("digest", "chunk", F.expr("if(more IS NULL, map, map_concat(map, more))").alias("map")))
+
+
+def count_tokens(docs: DataFrame, model_path: str, text: str = "text", keep: Sequence[str] | None = None, chunk_chars: int = CHUNK) -> DataFrame:
+    """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``.
+
+    Texts of one chunk are counted where they are; longer ones, each distinct one once, by chunks.  Null and empty texts
+    have 0 of both.  Rows are independent: repeated rows give repeated results, an empty table an empty one.  Columns of
+    these two names are replaced.  A text of any length is counted whole.
     """
 
     def make():
         count = counter(model_path)
         return lambda texts: ([len(x.encode()) for x in texts], [count(x) for x in texts])
 
-    return with_text_columns(docs, [("n_bytes", "long"), ("n_tokens", "long")], make, text, keep)
+    names = ("n_bytes", "n_tokens")
+    long = F.coalesce(F.length(text), F.lit(0)) > chunk_chars
+    short = with_text_columns(docs.where(~long), [(n, "long") for n in names], make, text, keep)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    rows = docs.where(long).select(*kept, F.sha2(text, 256).alias("__digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    texts = docs.where(long).select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).dropDuplicates(["digest"])
+    counted = count_long(texts, model_path, chunk_chars).withColumnRenamed("digest", "__digest")
+    return short.unionByName(rows.join(counted, "__digest").select(*kept, *names))

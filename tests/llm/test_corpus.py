@@ -199,17 +199,57 @@ def test_tokens_are_the_library(spark, odd, texts):
 
 
 def test_chunk_maps_compose(texts):
+    """A text's tokens from the maps of its chunks, whatever the cuts."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    transducer = tokencount.Transducer(path)
-    whole = tokencount.Counter(transducer)
+    counter = tokencount.Counter(tokencount.Transducer(path))
+    t = counter.transducer
     random = np.random.default_rng(3)
-    for text in [*list(texts.values())[:30], "  a  b▁▁c " * 30, "x" * 200, " " * 90]:
-        for size in (7, 64):
-            assert tokencount.Counter(transducer, chunk_chars=size)(text) == whole(text)
-        marked = "▁" + text.replace(" ", "▁")
+    for text in [*list(texts.values())[:30], "  a  b▁▁c " * 30, "x" * 200, " " * 90, "日本語" * 40]:
+        marked = counter.marked(text)
         cuts = [0, *sorted(random.integers(0, len(marked), 9).tolist()), len(marked)]
-        prefixes = whole.scan([whole.chunk_map(marked[a:b]) for a, b in pairwise(cuts)])
-        assert [whole.total(p) for p in prefixes] == [whole.units(marked[:b]) if b else 0 for b in cuts[1:]]
+        state, n, entries = t.named(t.root), 0, 0
+        for a, b in pairwise(cuts):
+            may = {t.named(i) for i in t.entries(marked[max(0, a - tokencount.LOOK) : a])} if a else {state}
+            assert state in may
+            entries += len(may)
+            step = dict(counter.chunk_map(marked[a:b], may))[state]
+            state, n = step["exit"], n + step["n"]
+        assert n == counter(text) and entries <= 10 * tokencount.LOOK
+
+
+def test_long_texts_are_scanned(spark, texts, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = SentencePieceProcessor(model_file=path)
+    rounds = []
+    original = tokencount.scan_round
+    monkeypatch.setattr(tokencount, "scan_round", lambda maps, step: rounds.append(step) or original(maps, step))
+    given = [*list(texts.values())[:40], "x" * 700, "a b " * 200, " " * 300, "日本語" * 150, None, "", "x" * 700]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(given)], "doc_id long, text string, n_bytes string")
+    out = tokencount.count_tokens(docs, path, chunk_chars=100).collect()
+    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in out} == {(i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in enumerate(given)}
+    longest = max(len(t or "") for t in given) // 100 + 1
+    assert rounds[: len(rounds)] and max(rounds) >= longest / 2 and len(out) == len(given)
+
+
+def test_maps_are_widened_where_a_state_is_missing(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(tokencount, "LOOK", 1)  # too little to tell
+    library = SentencePieceProcessor(model_file=path)
+    given = ["hello" * 60, "x" * 333, "international" * 20]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    out = tokencount.count_tokens(docs, path, chunk_chars=50).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {i: len(library.encode(t)) for i, t in enumerate(given)}
+
+
+def test_token_query_is_the_library(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in read_table(spark, sf, "documents", "doc_id", "text").collect()}
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = queries.op4_token_count(spark, sf).collect()
+    assert len(rows) == len(texts) and max(map(len, texts.values())) > tokencount.CHUNK
+    for r in rows:
+        n = len(library.encode(texts[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > queries.TOKEN_LIMIT)
 
 
 def test_transducer_limit(texts):
@@ -394,10 +434,10 @@ def test_links_lose_nothing(spark, group):
 
 
 def test_trie_descends(monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 2)
     monkeypatch.setattr(simhash, "FRONTIER", 50)
     values = np.sort(np.array(clustered(400, 9), np.uint64))
-    low, high = simhash.trie_links(values, 4)
+    low, high, steps = simhash.trie_links(values, np.array([0, len(values)]), 4)
+    assert 400 < steps < 400 * 400 / 2
     label = dict(zip(low.tolist(), high.tolist(), strict=True))
     groups = defaultdict(set)
     for v in values.tolist():
@@ -406,6 +446,23 @@ def test_trie_descends(monkeypatch):
     for (_, fp, least), _ in brute_components(list(enumerate(values.tolist()))).items():
         want[least].add(fp)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    # groups are apart even if they hold the same values
+    both = simhash.trie_links(np.concatenate([values, values]), np.array([0, 400, 800]), 4)
+    assert both[2] == 2 * steps and len(both[0]) == 2 * len(low)
+
+
+def test_trie_prunes():
+    far = np.sort(np.random.default_rng(2).integers(0, 2**64, 2000, np.uint64))
+    near = simhash.trie_links(far, np.array([0, 2000]), 1)[2]
+    wide = simhash.trie_links(far, np.array([0, 2000]), 8)[2]
+    assert near < wide / 5
+
+
+def test_query_descends_the_trie(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text")
+    fps = simhash.fingerprints(docs, keep=["doc_id"]).select("fp").distinct()
+    rows = simhash.trie_join(fps).agg({"steps": "sum", "u": "count"}).first()
+    assert rows["sum(steps)"] > 1000 and rows["count(u)"] > 0
 
 
 # decontamination
