@@ -20,6 +20,9 @@ ARROW = {
     "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()),
     "array<long>": pa.list_(pa.int64()),
+    "array<struct<pid:int,type:int,payload:binary,pts:array<long>,access:array<long>>>": pa.list_(
+        pa.struct([("pid", pa.int32()), ("type", pa.int32()), ("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("access", pa.list_(pa.int64()))])
+    ),
     "array<struct<start:int,end:int,kind:string>>": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])),
 }
 
@@ -85,16 +88,25 @@ def bucket_of(key: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key) % F.lit(modulus)
 
 
-def bounded_sample(df: DataFrame, key: str, strata: str, bound: int, parts: int = 64) -> DataFrame:
+#: Stretches of the range of hashes that a sample is looked for in.
+STRETCHES = 4096
+
+
+def bounded_sample(df: DataFrame, key: str, strata: str, bound: int) -> DataFrame:
     """At most ``bound`` rows for each value of ``strata``, the ones whose key has the smallest hash.
 
-    Rows of a value are first dealt to ``parts`` by that hash, and each part keeps its ``bound`` smallest; only these
-    are ranked together.  No task sorts more than a part of a hot value or ``parts * bound`` rows.  Rows of one key are
-    taken in the order of all their columns, so the choice is defined.
+    Rows are counted by stretches of the range of hashes.  Those in a value's first stretches are taken as they are, and
+    only those of the stretch where the bound is reached are ranked, so no task sorts a hot value.  Rows of one key are
+    taken in the order of all their columns, so the choice is defined.  A row a value of ``strata`` is broadcast.
     """
-    mark = F.xxhash64(key)
-    order = [mark, F.col(key), *[F.col(c) for c in df.columns if c not in (key, strata)]]
-    least = F.row_number().over(Window.partitionBy(strata, "__part").orderBy(*order))
-    first = df.withColumn("__part", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts))).withColumn("__rank", least).where(F.col("__rank") <= bound)
-    ranked = first.withColumn("__rank", F.row_number().over(Window.partitionBy(strata).orderBy(*order)))
-    return ranked.where(F.col("__rank") <= bound).drop("__rank", "__part")
+    hashed = stored(df.withColumn("__mark", F.shiftrightunsigned(F.xxhash64(key), 1)).withColumn("__at", F.expr(f"cast(__mark div {(1 << 63) // STRETCHES} as int)")))
+    counts = hashed.groupBy(strata, "__at").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(strata).orderBy("__at"))
+    full = counts.withColumn("__upto", upto).where(F.col("__upto") >= bound)
+    ends = full.groupBy(F.col(strata).alias("__value")).agg(F.min(F.struct("__at", (F.lit(bound) - F.col("__upto") + F.col("__n")).alias("room"))).alias("__end"))
+    rows = hashed.join(F.broadcast(ends), F.col(strata).eqNullSafe(F.col("__value")), "left")
+    whole = rows.where(F.col("__end").isNull() | (F.col("__at") < F.col("__end.__at")))
+    order = ["__mark", *[F.col(c) for c in (key, *(c for c in df.columns if c not in (key, strata)))]]
+    rank = F.row_number().over(Window.partitionBy(strata).orderBy(*order))
+    last = rows.where(F.col("__at") == F.col("__end.__at")).withColumn("__rank", rank).where("__rank <= __end.room")
+    return whole.select(*df.columns).unionByName(last.select(*df.columns))

@@ -1,25 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Transducers read a clause word by word and are run composed, as one machine:
-
-* the insult and threat transducers put out the weight of the arc that matches a word (a whole word or a stem);
-* the target transducer notes whether somebody is addressed or spoken of;
-* the negation transducer is on for a few words behind a negation;
-* the reported-speech transducer is on from a verb of saying, or inside quotation marks, to the end of the clause.
-
-A matched clause puts out its insult or threat weight under the state it was read in (plain, negated or reported, with
-or without a target); words outside matched clauses count for nothing.  The arcs' weights and the weight of each kind of
-clause are trained from labelled documents; built-in arcs serve where the labels know nothing.
+A text is read as symbols, one for each word or mark.  The lexicon, a weighted transducer from words to symbols, knows
+insults and threats (whole words or stems, each arc with a weight), those spoken to or of, negations and verbs of saying.
+Four small transducers rewrite the symbols and are composed into one machine:
+
+* quotation: what stands inside quotation marks is reported; a line's end closes them;
+* reported speech: what follows a verb of saying is reported, over commas and colons, up to the sentence's end;
+* negation: insults and threats within a few words behind a negation are negated;
+* target: the end of a clause tells whether somebody was addressed or spoken of in it.
+
+A clause adds its insults' and threats' weights under the kind it ends as (plain, targeted, threat, negated, reported);
+words outside matched clauses count for nothing.  The arcs' weights and the weight of each kind are trained from labelled
+documents; built-in arcs serve where the labels know nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Hashable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,106 +29,177 @@ from pyspark.sql import functions as F
 
 from linkedframe.llm.common import bounded_sample, stored, with_text_columns
 
-#: Built-in arcs; training adds to them.
+#: Built-in arcs; training adds to them and weighs the threats.
 INSULTS = ("idiot", "moron", "scum", "loser", "trash", "pathetic", "worthless", "stupid", "clown", "disgusting", "imbecile", "bastard")
 THREATS = ("kill", "hurt", "destroy", "strangle", "stab", "shoot", "töten", "umbringen", "tuer", "matar")
 TARGETS = frozenset("you your yours they them their he him his she her those people du dich dir ihr euch sie tu te toi vous il elle ils elles usted ustedes él ella ellos".split())
 NEGATIONS = frozenset("not never no nobody isn't aren't wasn't don't nicht kein keine nie ne pas jamais nunca jamás".split())
 REPORTS = frozenset("said says say called calls wrote writes quoted quotes claimed sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split())
+INSULT_WEIGHT, THREAT_WEIGHT = 3.0, 2.0
 NEGATION_REACH = 3
 
 #: Labelled documents of each class that are used for training, at most.
 SAMPLE = 10_000
 #: Least log-odds of a trained arc, at its lower confidence bound, and lengths of stems.  The bound alone decides on arcs.
 LEAST, STEMS = 2.0, range(4, 9)
+#: Distinct words and stems that a training task holds before it hands their counts on.
+HELD = 1_000_000
+
+_TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]|[.!?]+|[;:,]|\n")
+_MARKS = {'"': "quote", "“": "open", "„": "open", "«": "open", "”": "close", "»": "close", "\n": "line", ";": "break", ":": "break", ",": "break"}
+#: Kinds of clause weights, then the strongest clause of those neither negated nor reported.
+KINDS = ("plain", "targeted", "threat", "negated", "reported", "most")
 
-_WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
-_CLAUSE_END = re.compile(r"[.!?;:,\n]")
-#: Kinds of clause weights: plain, with a target, negated, reported; then the strongest clause.
-KINDS = 5
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs from (state, symbol read) to (next state, symbol written); without an arc a symbol passes and the state stays."""
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], tuple[Hashable, str]]
+
+    def step(self, state: Hashable, symbol: str) -> tuple[Hashable, str]:
+        return self.arcs.get((state, symbol), (state, symbol))
+
+    def run(self, symbols: Sequence[str]) -> list[str]:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, written = self.step(state, symbol)
+            out.append(written)
+        return out
+
+
+def compose(first: Transducer, second: Transducer, alphabet: Sequence[str]) -> Transducer:
+    """The transducer that writes what ``second`` writes on reading what ``first`` writes; states are the reachable pairs."""
+    start = (first.start, second.start)
+    arcs, seen, waiting = {}, {start}, [start]
+    while waiting:
+        a, b = waiting.pop()
+        for symbol in alphabet:
+            to_a, between = first.step(a, symbol)
+            to_b, written = second.step(b, between)
+            arcs[(a, b), symbol] = (to_a, to_b), written
+            if (to_a, to_b) not in seen:
+                seen.add((to_a, to_b))
+                waiting.append((to_a, to_b))
+    return Transducer(start, arcs)
+
+
+#: What the lexicon writes.
+ALPHABET = ("other", "insult", "threat", "target", "negation", "report", "quote", "open", "close", "break", "stop", "line")
+_HITS = ("insult", "threat")
+
+_REPORTED = {("in", hit): ("in", "reported") for hit in _HITS}
+QUOTATION = Transducer(
+    "out",
+    {("out", "quote"): ("in", "mark"), ("out", "open"): ("in", "mark"), ("in", "quote"): ("out", "mark"), ("in", "close"): ("out", "mark"), ("in", "line"): ("out", "line"), **_REPORTED},
+)
+REPORTED = Transducer("out", {("out", "report"): ("in", "other"), ("in", "stop"): ("out", "stop"), ("in", "line"): ("out", "line"), **_REPORTED})
+NEGATION = Transducer(
+    0,
+    {
+        **{(n, "negation"): (NEGATION_REACH, "other") for n in range(NEGATION_REACH + 1)},
+        **{(n, end): (0, end) for n in range(1, NEGATION_REACH + 1) for end in ("break", "stop", "line")},
+        **{(n, hit): (n - 1, "negated") for n in range(1, NEGATION_REACH + 1) for hit in _HITS},
+        **{(n, x): (n - 1, x) for n in range(1, NEGATION_REACH + 1) for x in ("other", "target", "report", "reported")},
+    },
+)
+TARGET = Transducer(
+    "none",
+    {
+        ("none", "target"): ("some", "other"),
+        **{("none", end): ("none", "end") for end in ("break", "stop", "line")},
+        **{("some", end): ("none", "targeted end") for end in ("break", "stop", "line")},
+    },
+)
+
+
+def grammar_machine() -> Transducer:
+    """All four transducers as one."""
+    machine = QUOTATION
+    for other in (REPORTED, NEGATION, TARGET):
+        machine = compose(machine, other, ALPHABET)
+    return machine
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """Arcs (word or stem to weight), weight of each kind of clause, and the bias."""
+    """Arcs of the lexicon (insults by word or stem, threats by word), the weight of each kind of clause, and the bias."""
 
     words: dict[str, float]
     stems: dict[str, float]
-    kinds: tuple[float, ...] = (1.0, 0.4, 0.2, 0.4, 1.0)
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, THREAT_WEIGHT))
+    kinds: tuple[float, ...] = (1.0, 1.2, 1.0, 0.2, 0.4, 1.0)
     bias: float = -3.0
 
 
-BUILT_IN = Grammar({w: 3.0 for w in INSULTS}, {})
+BUILT_IN = Grammar(dict.fromkeys(INSULTS, INSULT_WEIGHT), {})
 
 
 class Machine:
-    """The composed transducers of a grammar."""
+    """A grammar's lexicon before the composed transducers."""
 
     def __init__(self, grammar: Grammar):
         import ahocorasick
 
         self.grammar = grammar
-        self.arcs = ahocorasick.Automaton()
-        for word in {*grammar.words, *grammar.stems, *THREATS}:
-            self.arcs.add_word(word, word)
-        self.arcs.make_automaton()
+        self.hits = ahocorasick.Automaton()
+        for word in {*grammar.words, *grammar.stems, *grammar.threats}:
+            self.hits.add_word(word, word)
+        self.hits.make_automaton()
         self.lengths = sorted({len(s) for s in grammar.stems}, reverse=True)
-
-    def weight(self, word: str) -> float:
-        """What the insult transducer puts out for a word: its own arc, else that of its longest stem."""
-        found = self.grammar.words.get(word)
-        if found is None:
-            found = next((w for n in self.lengths if (w := self.grammar.stems.get(word[:n])) is not None), 0.0)
-        return found
-
-    def clause(self, text: str) -> tuple[list[float], float]:
-        """The weights that one clause puts out by kind, and their sum."""
-        out = [0.0] * (KINDS - 1)
-        target, negated, reported, quoted, matched, threat = False, 0, False, False, [], False
-        for word in _WORDS.findall(text):
-            if word in "\"“”«»":
-                quoted = not quoted
-                continue
-            if word in TARGETS:
-                target = True
-            if word in NEGATIONS:
-                negated = NEGATION_REACH
-            elif word in REPORTS:
-                reported = True
-            else:
-                w = self.weight(word)
-                if w:
-                    matched.append((w, negated > 0, reported or quoted))
-                threat = threat or word in THREATS
-                negated -= 1
-        if threat and target and not reported:
-            matched.append((2.0, False, False))
-        for w, is_negated, is_reported in matched:
-            out[2 if is_negated else 3 if is_reported else 1 if target else 0] += w
-        return out, sum(out)
+        composed = grammar_machine()
+        self.start, self.arcs = composed.start, composed.arcs
+
+    def read(self, word: str) -> tuple[str, float]:
+        """The lexicon: the symbol and the weight that a word writes; an insult by its own arc, else by its longest stem."""
+        g = self.grammar
+        if word in _MARKS:
+            return _MARKS[word], 0.0
+        if word[0] in ".!?":
+            return "stop", 0.0
+        word = word.replace("’", "'")
+        if word in g.threats:
+            return "threat", g.threats[word]
+        for name, words in (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
+            if word in words:
+                return name, 0.0
+        weight = g.words.get(word)
+        if weight is None:
+            weight = next((w for n in self.lengths if (w := g.stems.get(word[:n])) is not None), None)
+        return ("other", 0.0) if weight is None else ("insult", weight)
+
+    def clauses(self, text: str) -> Iterator[list[float]]:
+        """The weights of each matched clause of some lines by kind."""
+        state, held, arcs = self.start, dict.fromkeys(("insult", "threat", "negated", "reported"), 0.0), self.arcs
+        for word in [*_TOKENS.findall(text), "\n"]:
+            symbol, weight = self.read(word)
+            state, written = arcs[state, symbol]
+            if written in held:
+                held[written] += weight
+            elif written.endswith("end") and any(held.values()):
+                targeted = written != "end"
+                yield [0.0 if targeted else held["insult"], held["insult"] if targeted else 0.0, held["threat"] if targeted else 0.0, held["negated"], held["reported"]]
+                held = dict.fromkeys(held, 0.0)
 
     def features(self, text: str) -> list[float]:
         """Clause weights of a text by kind (as logarithms, so that long texts do not win by length) and the largest.
 
-        Each clause with a match is read once and whole, however long it is.
+        Lines without a match of any arc are not read further; others are read whole.
         """
         text = text.lower()
-        clauses, out, most = set(), [0.0] * (KINDS - 1), 0.0
-        ends: list[int] | None = None
-        for end, word in self.arcs.iter(text):
+        out, most, done = [0.0] * (len(KINDS) - 1), 0.0, 0
+        for end, word in self.hits.iter(text):
             start = end + 1 - len(word)
-            if start and text[start - 1].isalnum():
+            if start < done or start and text[start - 1].isalnum():
                 continue
             if word not in self.grammar.stems and end + 1 < len(text) and text[end + 1].isalnum():
                 continue
-            if ends is None:
-                ends = [-1, *(m.start() for m in _CLAUSE_END.finditer(text)), len(text)]
-            i = bisect_left(ends, start)
-            clauses.add((ends[i - 1] + 1, ends[i]))
-        for begin, stop in clauses:
-            weights, total = self.clause(text[begin:stop])
-            out = [a + b for a, b in zip(out, weights, strict=True)]
-            most = max(most, total)
+            begin, stop = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+            done = len(text) if stop < 0 else stop
+            for weights in self.clauses(text[begin:done]):
+                out = [a + b for a, b in zip(out, weights, strict=True)]
+                most = max(most, sum(weights[:3]))
         return [*(math.log1p(x) for x in out), most]
 
     def score(self, text: str) -> float:
@@ -136,16 +208,24 @@ class Machine:
 
 
 def _arc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other documents each word and stem occurs."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """In how many toxic and other documents of each half each word and stem occurs."""
+    counts: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        names = list(set().union(*counts))
+        for i in range(0, len(names), 50_000):
+            part = names[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[n] for n in part], pa.int64()) for c in counts)], ["arc", "b0", "a0", "b1", "a1"])
+        for c in counts:
+            c.clear()
+
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if 2 < len(w) <= 40}
-            counts[toxic].update({*words, *(f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n)})
-    names = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[n] for n in part], pa.int64()) for c in (counts[1], counts[0]))], ["arc", "toxic", "other"])
+        for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if len(w) > 2}
+            counts[2 * half + toxic].update({*words, *(f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n)})
+            if sum(map(len, counts)) > HELD:
+                yield from handed()
+    yield from handed()
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -178,7 +258,7 @@ def _choose(rows) -> tuple[dict[str, float], dict[str, float]]:
     A stem is left out if a chosen word or longer stem covers nearly all its documents, and what a chosen stem covers is
     left out if it says little more.
     """
-    words, stems = {w: 3.0 for w in INSULTS}, {}
+    words, stems = dict.fromkeys(INSULTS, INSULT_WEIGHT), {}
     covered: dict[str, int] = {}
     for arc, n, odds in sorted(rows, key=lambda r: (-r[1] * min(6.0, r[2]), r[0].endswith("*"), -len(r[0]), r[0])):
         name, is_stem, weight = arc.rstrip("*"), arc.endswith("*"), min(6.0, odds)
@@ -192,46 +272,64 @@ def _choose(rows) -> tuple[dict[str, float], dict[str, float]]:
     return words, stems
 
 
+def _grammar(rows: list, halves: Sequence[int], sizes: dict) -> Grammar:
+    """The lexicon from counts (arc, others and toxic of half 0, others and toxic of half 1) of some halves."""
+    n0, n1 = (sum(sizes.get((toxic, h), 0) for h in halves) for toxic in (0, 1))
+    chosen, threats = [], dict.fromkeys(THREATS, THREAT_WEIGHT)
+    for arc, *counts in rows:
+        b, a = (sum(counts[2 * h + toxic] for h in halves) for toxic in (0, 1))
+        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        if arc in threats:
+            if a + b >= 3:
+                threats[arc] = min(6.0, max(0.0, odds))
+        elif a >= 3 and odds - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= LEAST:
+            chosen.append((arc, a, odds))
+    return Grammar(*_choose(chosen), threats)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """A grammar from documents whose keys have labels 0 or 1; at most ``sample`` documents of each class are used.
 
-    The documents taken are those whose keys have the smallest hashes.  Half of them give the arcs: words and stems whose
-    log-odds are high even at their lower confidence bound, counted on the executors and filtered before they reach the
-    driver.  The other half gives the weights of the kinds of clauses.  Null labels are left out, a key with both labels
-    is toxic, and without labels the built-in grammar is returned.
+    The documents taken are those whose keys have the smallest hashes; of texts of one key, and of near-copies, the one
+    that sorts first.  Arcs are words and stems whose log-odds are high even at their lower confidence bound, counted on
+    the executors and filtered before they reach the driver; a threat seen in three documents gets its log-odds as
+    weight.  The weights of the kinds of clauses are fitted with each half of the documents read by the arcs of the other.
+    Null labels are left out, a key with both labels is toxic, and without labels the built-in grammar is returned.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     chosen = bounded_sample(known, key, "toxic", sample)
-    found = docs.select(key, text).join(F.broadcast(chosen), key)
+    found = docs.select(key, text).join(F.broadcast(chosen), key)  # two samples of keys at most
     # of near-copies, which share the least hash of their word triples, one counts
     least = "array_min(transform(sequence(0, greatest(0, size(words) - 3)), i -> xxhash64(slice(words, i + 1, 3))))"
     copies = found.select(key, text, "toxic", F.split(F.coalesce(text, F.lit("")), r"\s+").alias("words")).withColumn("least", F.expr(least))
-    texts = stored(copies.groupBy("toxic", "least").agg(F.min_by(F.struct(key, text), key).alias("d")).select("toxic", "d.*").withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2))))
-    first = texts.where("half = 0")
-    size = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    if not n1 or not n0:
+    one = copies.groupBy("toxic", "least").agg(F.min(F.struct(key, text)).alias("d"))
+    texts = stored(one.select("toxic", "d.*").withColumn("half", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).cast("int")))
+    sizes = {(r["toxic"], r["half"]): r["n"] for r in texts.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    if not all(any(sizes.get((toxic, h)) for h in (0, 1)) for toxic in (0, 1)):
         return BUILT_IN
-    counted = first.select(text, "toxic").mapInArrow(_arc_counts, "arc string, toxic long, other long").groupBy("arc").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    bound = odds - 1.64 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    rows = counted.where(F.col("a") >= 3).withColumn("odds", odds).where(bound >= LEAST).collect()
-    words, stems = _choose([(r["arc"], r["a"], r["odds"]) for r in rows])
-    grammar = Grammar(words, stems)
+    names = ("b0", "a0", "b1", "a1")
+    counted = texts.select(text, "toxic", "half").mapInArrow(_arc_counts, "arc string, b0 long, a0 long, b1 long, a1 long").groupBy("arc").agg(*[F.sum(c).alias(c) for c in names])
+    # what could be chosen from either half or both, by the mean of its log-odds
+    a, b = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1")
+    n0, n1 = (sum(sizes.get((toxic, h), 0) for h in (0, 1)) for toxic in (0, 1))
+    odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    rows = [tuple(r) for r in counted.where(F.col("arc").isin(*THREATS) | (a >= 3) & (odds >= LEAST - 1)).select("arc", *names).collect()]
+    whole, halves = _grammar(rows, (0, 1), sizes), [_grammar(rows, (h,), sizes) for h in (1, 0)]
+    size = len(KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(grammar)
+        machines = [Machine(g) for g in halves]
         for batch in batches:
-            found = [machine.features(x or "") for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(KINDS)] + [batch.column(1)], [*(f"f{i}" for i in range(KINDS)), "toxic"])
-
-    schema = ", ".join(f"f{i} double" for i in range(KINDS)) + ", toxic int"
-    data = np.array(texts.where("half = 1").select(text, "toxic").mapInArrow(run, schema).collect(), float).reshape(-1, KINDS + 1)
-    if len(data) < 20 or len(set(data[:, -1])) < 2:
-        return grammar
-    prior = np.array([*Grammar.kinds, Grammar.bias])
-    fitted = _fit(np.column_stack([data[:, :KINDS], np.ones(len(data))]), data[:, -1], prior)
-    return Grammar(words, stems, tuple(float(max(0.0, w)) for w in fitted[:KINDS]), float(fitted[KINDS]))
+            found = [machines[half].features(x or "") for x, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in range(size)] + [batch.column(1)], [*KINDS, "toxic"])
+
+    schema = ", ".join(f"{k} double" for k in KINDS) + ", toxic int"
+    data = np.array(texts.select(text, "toxic", "half").mapInArrow(run, schema).collect(), float).reshape(-1, size + 1)
+    if len(data) < 20:
+        return whole
+    prior = np.array([*BUILT_IN.kinds, BUILT_IN.bias])
+    fitted = _fit(np.column_stack([data[:, :size], np.ones(len(data))]), data[:, -1], prior)
+    return Grammar(whole.words, whole.stems, whole.threats, tuple(float(max(0.0, w)) for w in fitted[:size]), float(fitted[size]))
 
 
 def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep: Sequence[str] | None = None, column: str = "score") -> DataFrame:
