@@ -66,13 +66,13 @@ def transitions(value: str) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", smoothing: float = 0.5) -> np.ndarray:
     """Log-likelihood ratio of each transition, random strings against ordinary identifiers.
 
-    The labelled samples come from about ``sample`` documents, those whose key has the smallest hashes: values that the
+    The labelled samples come from about ``sample`` documents, those whose key and text have the smallest hashes: values that the
     patterns mark are random strings, all other runs of letters and digits there are identifiers.  Counts are summed on
     the executors; the driver gets two square tables of fixed size.  Random strings of a uniform source are added, so
     that the models exist for a corpus without any secret.
     """
     n = docs.count()
-    chosen = docs if n <= sample else docs.where(F.pmod(F.xxhash64(key), F.lit(n)) < sample)
+    chosen = docs if n <= sample else docs.where(F.pmod(F.xxhash64(key, text), F.lit(n)) < sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, STATES * STATES), np.int64)
@@ -112,27 +112,37 @@ def ratio(value: str, model: np.ndarray) -> float:
     return float(model[transitions(value)].sum()) / len(value)
 
 
-def pieces(start: int, end: int, base: Sequence[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What sorted spans leave of a run, in pieces long enough to score."""
+def pieces(runs: Iterator[tuple[int, int]], base: Sequence[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of runs in ascending order, in pieces long enough to score; both are walked once."""
+    joined: list[list[int]] = []
     for a, b, _ in base:
-        if a < end and start < b:
-            if a - start >= SHORTEST:
-                yield start, a
-            start = max(start, b)
-    if end - start >= SHORTEST:
-        yield start, end
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    i = 0
+    for start, end in runs:
+        while i < len(joined) and joined[i][1] <= start:
+            i += 1
+        j = i
+        while j < len(joined) and joined[j][0] < end:
+            if joined[j][0] - start >= SHORTEST:
+                yield start, joined[j][0]
+            start = max(start, joined[j][1])
+            j += 1
+        if end - start >= SHORTEST:
+            yield start, end
 
 
 def markov_spans(text: str, base: Sequence[tuple[int, int, str]], model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Runs, without the spans of ``base`` in them, that have a letter and look random."""
     found = []
-    for m in RUN.finditer(text):
-        for a, b in pieces(*m.span(), base):
-            value = text[a:b]
-            if any(c.isalpha() for c in value):
-                least = max(threshold * (1 if any(c.isdigit() for c in value) else LETTERS), threshold * WHOLE / len(value))
-                if ratio(value, model) >= least:
-                    found.append((a, b, "markov"))
+    for a, b in pieces((m.span() for m in RUN.finditer(text)), base):
+        value = text[a:b]
+        if any(c.isalpha() for c in value):
+            least = max(threshold * (1 if any(c.isdigit() for c in value) else LETTERS), threshold * WHOLE / len(value))
+            if ratio(value, model) >= least:
+                found.append((a, b, "markov"))
     return found
 
 
