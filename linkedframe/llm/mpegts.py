@@ -18,6 +18,8 @@ PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0, 0x100, 0x101
 PRIVATE_STREAM, STREAM_TYPE = 0xBD, 0x06
 UNIT, GROUP, CLOCK = 4096, 8, 3600
+#: Stream ids of elementary packets that have no header fields, and of padding.
+BARE, PADDING = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
 
 
 def mpeg_crc(data: bytes) -> int:
@@ -78,80 +80,155 @@ def _pts(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
 
 
+class _Sections:
+    """Table sections of one PID, put together over packets."""
+
+    def __init__(self):
+        self.held, self.errors = b"", 0
+
+    def add(self, body: bytes, first: bool) -> list[bytes]:
+        """The whole sections that a packet ends; their checksums hold."""
+        if not first:
+            self.held += body
+            return self._whole() if self.held else []
+        at = 1 + body[0] if body else 0
+        self.held = self.held + body[1:at] if self.held else b""
+        found = self._whole()
+        self.errors += bool(self.held)
+        self.held = body[at:]
+        return found + self._whole()
+
+    def _whole(self) -> list[bytes]:
+        found = []
+        while len(self.held) >= 3 and self.held[0] != 0xFF:
+            size = 3 + (int.from_bytes(self.held[1:3]) & 0xFFF)
+            if len(self.held) < size:
+                return found
+            section, self.held = self.held[:size], self.held[size:]
+            if size < 12 or mpeg_crc(section):
+                self.errors += 1
+            else:
+                found.append(section)
+        if self.held[:1] == b"\xff":
+            self.held = b""  # stuffing
+        return found
+
+
+class _Stream:
+    """One elementary stream: its packets are put together, and closed by their length or by the next one's start."""
+
+    def __init__(self, kind: int):
+        self.kind, self.parts, self.size, self.want = kind, [], 0, 0
+        self.payload: list[bytes] = []
+        self.pts: list[int] = []
+        self.access: list[int] = []
+
+    def add(self, body: bytes, first: bool) -> None:
+        if first:
+            self.close()
+            if body[:3] != b"\0\0\1" or len(body) < 6:
+                return
+            length = int.from_bytes(body[4:6])
+            self.want = 6 + length if length else 1 << 62
+        elif not self.want:
+            return  # behind the end of its packet, or its start is lost
+        self.parts.append(body)
+        self.size += len(body)
+        if self.size >= self.want:
+            self.close()
+
+    def close(self) -> None:
+        packet = b"".join(self.parts)[: self.want] if self.want < 1 << 62 else b"".join(self.parts)
+        self.parts, self.size, self.want = [], 0, 0
+        if len(packet) >= 9 and packet[3] not in BARE:
+            if packet[7] & 0x80 and len(packet) >= 14:
+                self.pts.append(_pts(packet[9:14]))
+            self.payload.append(packet[9 + packet[8] :])
+        elif len(packet) > 6 and packet[3] != PADDING:
+            self.payload.append(packet[6:])
+
+
 def demux(media: bytes) -> dict:
-    """What a stream holds: payload, programs, time stamps, random-access points and faults.
+    """What a stream holds: its programs, elementary streams with payload, time stamps and access points, and faults.
 
-    ``pts`` has one value for each elementary packet, ``access`` the byte offset of each transport packet flagged for
-    random access, ``continuity_errors`` the packets whose counter does not follow, ``table_errors`` the sections with a
-    wrong checksum, and ``sync_errors`` the bytes skipped to find a packet.  A lost packet leaves a gap in the payload.
+    ``streams`` are in the order of the program tables, each with PID, type, payload, ``pts`` (of each elementary packet
+    that has one) and ``access``, the byte offset of each transport packet flagged for random access.
+    ``continuity_errors`` are packets whose counter does not follow, unless they are the one before, sent twice;
+    ``table_errors`` sections that are cut or have a wrong checksum; ``sync_errors`` the bytes skipped to find a packet,
+    which starts with the sync byte and has another one behind it.  A lost packet leaves a gap in the payload.
     """
     programs: dict[int, int] = {}
-    streams: dict[int, int] = {}
+    streams: dict[int, _Stream] = {}
+    tables: dict[int, _Sections] = {PAT_PID: _Sections()}
     counters: dict[int, int] = {}
-    parts: list[bytes] = []
-    pts: list[int] = []
-    access: list[int] = []
-    continuity = tables = sync = packets = 0
+    before: dict[int, bytes] = {}
+    continuity = sync = packets = 0
     at, end = 0, len(media)
     while at + PACKET <= end:
-        if media[at] != SYNC:
+        if media[at] != SYNC or at + PACKET < end and media[at + PACKET] != SYNC and sync_lost(media, at):
             found = media.find(b"\x47", at + 1)
+            while 0 <= found and found + PACKET <= end and found + PACKET < end and media[found + PACKET] != SYNC:
+                found = media.find(b"\x47", found + 1)
             found = end if found < 0 else found
             sync, at = sync + found - at, found
             continue
-        pid, control = (media[at + 1] & 0x1F) << 8 | media[at + 2], media[at + 3]
-        first, start, packets = media[at + 1] & 0x40, at + 4, packets + 1
-        flags = 0
+        packet = media[at : at + PACKET]
+        pid, control, first = (packet[1] & 0x1F) << 8 | packet[2], packet[3], bool(packet[1] & 0x40)
+        start, packets, flags = 4, packets + 1, 0
         if control & 0x20:
-            size = media[start]
-            flags = media[start + 1] if size else 0
-            start += 1 + size
-        if control & 0x10:
-            counter, before = control & 15, counters.get(pid)
-            counters[pid] = counter
-            if before is not None and counter != before + 1 & 15 and not flags & 0x80:
-                if counter == before:  # a packet sent twice
+            flags = packet[5] if packet[4] else 0
+            start += 1 + packet[4]
+        if control & 0x10 and start <= PACKET:
+            last = counters.get(pid)
+            counters[pid] = control & 15
+            if last is not None and control & 15 != last + 1 & 15 and not flags & 0x80:
+                if control & 15 == last and packet == before.get(pid):
                     at += PACKET
                     continue
                 continuity += 1
+            before[pid] = packet
             if pid in streams:
                 if flags & 0x40:
-                    access.append(at)
-                body = media[start : at + PACKET]
-                if first and body[:3] == b"\0\0\1" and len(body) >= 9:
-                    if body[7] & 0x80:
-                        pts.append(_pts(body[9:14]))
-                    body = body[9 + body[8] :]
-                parts.append(body)
-            elif pid == PAT_PID or pid in programs.values():
-                section = media[start + 1 + media[start] : at + PACKET] if first else b""
-                size = 3 + (int.from_bytes(section[1:3]) & 0xFFF) if len(section) > 8 else 0
-                if size < 12 or size > len(section) or mpeg_crc(section[:size]):
-                    tables += 1
-                elif pid == PAT_PID:
-                    for i in range(8, size - 4, 4):
-                        number, target = struct.unpack_from(">HH", section, i)
-                        if number:
-                            programs[number] = target & 0x1FFF
-                else:
-                    i = 12 + (int.from_bytes(section[10:12]) & 0xFFF)
-                    while i + 5 <= size - 4:
-                        streams[int.from_bytes(section[i + 1 : i + 3]) & 0x1FFF] = section[i]
-                        i += 5 + (int.from_bytes(section[i + 3 : i + 5]) & 0xFFF)
+                    streams[pid].access.append(at)
+                streams[pid].add(packet[start:], first)
+            elif pid in tables:
+                for section in tables[pid].add(packet[start:], first):
+                    _read_table(pid, section, programs, tables, streams)
         at += PACKET
+    for stream in streams.values():
+        stream.close()
     return {
-        "payload": b"".join(parts),
+        "streams": [{"pid": pid, "type": x.kind, "payload": b"".join(x.payload), "pts": x.pts, "access": x.access} for pid, x in streams.items()],
         "n_packets": packets,
         "n_programs": len(programs),
         "n_streams": len(streams),
-        "pts": pts,
-        "access": access,
         "continuity_errors": continuity,
-        "table_errors": tables,
+        "table_errors": sum(t.errors + bool(t.held) for t in tables.values()),
         "sync_errors": sync + end - at,
     }
 
 
+def sync_lost(media: bytes, at: int) -> bool:
+    """Whether what follows a packet is not in step either way: one damaged sync byte does not part a stream."""
+    return at + 2 * PACKET >= len(media) or media[at + 2 * PACKET] != SYNC
+
+
+def _read_table(pid: int, section: bytes, programs: dict[int, int], tables: dict[int, _Sections], streams: dict[int, _Stream]) -> None:
+    """Programs from an association table, streams from a program's map."""
+    end = len(section) - 4
+    if pid == PAT_PID:
+        for i in range(8, end - 3, 4):
+            number, target = struct.unpack_from(">HH", section, i)
+            if number:
+                programs[number] = target & 0x1FFF
+                tables.setdefault(target & 0x1FFF, _Sections())
+        return
+    i = 12 + (int.from_bytes(section[10:12]) & 0xFFF)
+    while section[0] == 2 and i + 5 <= end:
+        streams.setdefault(int.from_bytes(section[i + 1 : i + 3]) & 0x1FFF, _Stream(section[i]))
+        i += 5 + (int.from_bytes(section[i + 3 : i + 5]) & 0xFFF)
+
+
 def pad(data: bytes, block: int = 64) -> bytes:
     """``data`` with bytes 0 up to a positive multiple of ``block``."""
     return data.ljust(max(1, -(-len(data) // block)) * block, b"\0")
@@ -175,12 +252,10 @@ def store_texts(docs: DataFrame, text: str = "text", keep: Sequence[str] | None
 
 
 READ = [
-    ("payload", "binary"),
+    ("streams", "array<struct<pid:int,type:int,payload:binary,pts:array<long>,access:array<long>>>"),
     ("n_packets", "long"),
     ("n_programs", "long"),
     ("n_streams", "long"),
-    ("pts", "array<long>"),
-    ("access", "array<long>"),
     ("continuity_errors", "long"),
     ("table_errors", "long"),
     ("sync_errors", "long"),

@@ -48,10 +48,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpegts.store_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     read = mpegts.read_media(stored, keep=["doc_id", "n_bytes", "media"])
+    read = read.withColumn("stream", F.expr("streams[0]")).withColumn("payload", F.col("stream.payload"))
     tail = F.expr("substring(payload, -64, 64)")
     feature = F.format_string(
         "packets=%d;programs=%d;streams=%d;units=%d;last_pts=%d;access=%d;continuity=%d;tables=%d;sync=%d",
-        "n_packets", "n_programs", "n_streams", F.size("pts"), F.element_at("pts", -1), F.size("access"), "continuity_errors", "table_errors", "sync_errors",
+        "n_packets", "n_programs", "n_streams", F.size("stream.pts"), F.element_at("stream.pts", -1), F.size("stream.access"), "continuity_errors", "table_errors", "sync_errors",
     )
     return read.select(
         "doc_id",
