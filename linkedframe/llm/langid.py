@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,30 +73,31 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from rows with a language, at most ``sample`` of them.
+    """A model from rows with a language, at most ``sample`` of them, or one of each language where there are more of these.
 
-    Each language has an equal share of the sample, the rows whose keys have the smallest hashes.  Their n-grams are
-    counted on the executors; the driver gets ``sample`` vectors of fixed width.  Null texts count as empty, null
+    Each language has an equal share of the sample, the rows whose keys have the smallest hashes, and of several texts of
+    one key the one that sorts first.  Their n-grams are counted on the executors; the driver gets vectors of fixed width.  Null texts count as empty, null
     languages are left out, and no row at all gives a model that answers ``und``.
     """
     rows = labelled.where(F.col(lang).isNotNull())
-    languages = [r[0] for r in rows.groupBy(lang).count().orderBy(lang).select(lang).limit(sample).collect()]
+    languages = [r[0] for r in rows.groupBy(lang).count().orderBy(lang).select(lang).collect()]
     if not languages:
         return Model(np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), [], np.zeros(0))
     chosen = bounded_sample(rows.select(key, lang).distinct(), key, lang, max(1, sample // len(languages)))
-    texts = rows.select(F.col(key), F.col(lang), text).join(F.broadcast(chosen), [key, lang]).dropDuplicates([key, lang])
+    texts = rows.select(F.col(key), F.col(lang), text).join(F.broadcast(chosen), [key, lang]).groupBy(key, lang).agg(F.min(text).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                data = [np.minimum(counts(x or ""), 65_535).astype("<u2").tobytes() for x in part.column(1).to_pylist()]
+                data = [zstandard.compress(counts(x or "").tobytes(), 1) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["lang", "tf"])
 
     found = texts.select(F.col(lang).alias("lang"), text).mapInArrow(run, "lang string, tf binary").collect()
-    found = sorted((r for r in found if any(r["tf"])), key=lambda r: (r["lang"], bytes(r["tf"])))
-    tf = np.array([np.frombuffer(r["tf"], "<u2") for r in found], np.float32).reshape(-1, WIDTH)
-    names = np.array([r["lang"] for r in found])
+    found = sorted((r["lang"], zstandard.decompress(r["tf"])) for r in found)
+    rows = [(lang, np.frombuffer(x, np.float32)) for lang, x in found if any(x)]
+    tf = np.array([x for _, x in rows], np.float32).reshape(-1, WIDTH)
+    names = np.array([lang for lang, _ in rows])
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x = vectors(tf, idf)
     all_c, all_l, radius = [], [], []
