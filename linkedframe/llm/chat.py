@@ -27,18 +27,28 @@ def unescape(column: Column) -> Column:
     return column
 
 
-# Turns of a segment, in order, become its body (all but the opening of its first block) and its spans.  Each step of
-# the aggregation adds one text: behind [SEP] if its role is that of the block before it, else in a new block.
-_SEGMENT = f"""
-aggregate(turns,
-  named_struct('body', '', 'role', cast(null as string), 'at', 0L, 'spans', cast(array() as array<struct<start: bigint, end: bigint>>)),
-  (a, t) -> named_struct(
-    'body', concat(a.body, if(a.role is null, '', if(a.role = t.role, '{PART}', concat('{CLOSE}{OPEN}', t.role, '{MIDDLE}'))), t.text),
-    'role', t.role,
-    'at', a.at + if(a.role is null, 0, if(a.role = t.role, {len(PART)}, {len(CLOSE + OPEN + MIDDLE)} + length(t.role))) + length(t.text),
-    'spans', if(t.role = 'assistant', concat(a.spans, array(named_struct(
-        'start', a.at + if(a.role is null, 0, if(a.role = t.role, {len(PART)}, {len(CLOSE + OPEN + MIDDLE)} + length(t.role))),
-        'end', a.at + if(a.role is null, 0, if(a.role = t.role, {len(PART)}, {len(CLOSE + OPEN + MIDDLE)} + length(t.role))) + length(t.text)))), a.spans)))
+def starts_of(lengths: str, block: int = 64) -> str:
+    """SQL for where each of a row of texts starts, given a column with their lengths.
+
+    Sums go by blocks of blocks, since appending to one array copies it each time.
+    """
+    blocks = f"sequence(0, cast((size({lengths}) - 1) div {block} as int))"
+    part = f"slice({lengths}, b * {block} + 1, {block})"
+    none = "cast(array() as array<bigint>)"
+
+    def running(values: str, start: str, name: str) -> str:
+        return f"""aggregate({values}, named_struct('at', {start}, 'out', {none}),
+            ({name}, x) -> named_struct('at', {name}.at + x, 'out', concat({name}.out, array({name}.at))), {name} -> {name}.out)"""
+
+    sums = f"transform({blocks}, b -> aggregate({part}, 0L, (s, x) -> s + x))"
+    return f"flatten(zip_with({blocks}, {running(sums, '0L', 'u')}, (b, o) -> {running(part, 'o', 'v')}))"
+
+
+# Turns of a segment, in order: what stands before each text (nothing before the first, whose block or part is opened by
+# the conversation) and the text.
+_PIECES = f"""
+transform(turns, (t, i) -> named_struct(
+  'lead', if(i = 0, '', if(turns[i - 1].role = t.role, '{PART}', concat('{CLOSE}{OPEN}', t.role, '{MIDDLE}'))), 'text', t.text, 'loss', t.role = 'assistant'))
 """
 
 # What opens each segment of a conversation: a block, or a text of the block that the segment before left open.
@@ -46,13 +56,6 @@ _LEADS = f"""
 transform(segments, (s, i) -> if(i > 0 and segments[i - 1].last = s.first, '{PART}', concat(if(i > 0, '{CLOSE}', ''), '{OPEN}', s.first, '{MIDDLE}')))
 """
 
-# Where the body of each segment starts.
-_STARTS = """
-aggregate(sequence(0, size(segments) - 1), named_struct('at', 0L, 'starts', cast(array() as array<bigint>)),
-  (a, i) -> named_struct('at', a.at + length(leads[i]) + segments[i].size, 'starts', concat(a.starts, array(a.at + length(leads[i])))),
-  a -> a.starts)
-"""
-
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) to one row a conversation: conv_id, formatted, loss_spans.
@@ -62,27 +65,38 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns are first collected in segments of ``SEGMENT`` turn numbers, so that long conversations are sorted and merged
     in pieces by many tasks.
     """
-    row = F.struct(F.col("turn").cast("long").alias("turn"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sorted_turns = F.transform(F.array_sort(F.collect_list("row")), lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    spans = """transform(filter(arrays_zip(pieces, starts), x -> x.pieces.loss),
+        x -> named_struct('start', x.starts + length(x.pieces.lead), 'end', x.starts + length(x.pieces.lead) + length(x.pieces.text)))"""
     segments = (
         turns.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), row.alias("row"))
         .groupBy("conv_id", "segment")
-        .agg(F.array_sort(F.collect_list("row")).alias("turns"))
-        .select("conv_id", "segment", F.expr("turns[0].role").alias("first"), F.expr(_SEGMENT).alias("s"))
-        .select("conv_id", F.struct("segment", "first", F.col("s.role").alias("last"), F.col("s.body").alias("body"), F.col("s.at").alias("size"), F.col("s.spans").alias("spans")).alias("row"))
+        .agg(sorted_turns.alias("turns"))
+        .select("conv_id", "segment", F.expr("turns[0].role").alias("first"), F.element_at("turns", -1)["role"].alias("last"), F.expr(_PIECES).alias("pieces"))
+        .withColumn("lengths", F.expr("transform(pieces, x -> cast(length(x.lead) + length(x.text) as bigint))"))
+        .withColumn("starts", F.expr(starts_of("lengths")))
+        .withColumn("body", F.expr("array_join(transform(pieces, x -> concat(x.lead, x.text)), '')"))
+        .select("conv_id", F.struct("segment", "first", "last", "body", F.length("body").cast("long").alias("size"), F.expr(spans).alias("spans")).alias("row"))
     )
     return (
         segments.groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("row")).alias("segments"))
         .withColumn("leads", F.expr(_LEADS))
-        .withColumn("starts", F.expr(_STARTS))
+        .withColumn("lengths", F.expr("zip_with(segments, leads, (s, l) -> s.size + length(l))"))
+        .withColumn("starts", F.expr(starts_of("lengths")))
         .select(
             "conv_id",
             F.concat(F.array_join(F.expr("transform(segments, (s, i) -> concat(leads[i], s.body))"), ""), F.lit(CLOSE)).alias("formatted"),
-            F.expr("flatten(transform(segments, (s, i) -> transform(s.spans, x -> named_struct('start', x.start + starts[i], 'end', x.end + starts[i]))))").alias("loss_spans"),
+            F.expr("flatten(transform(segments, (s, i) -> transform(s.spans, x -> named_struct('start', x.start + starts[i] + length(leads[i]), 'end', x.end + starts[i] + length(leads[i])))))").alias("loss_spans"),
         )
     )
 
 
+#: Code points of the stretches that formatted texts are cut into before spans are taken from them.
+STRETCH = 4096
+
+
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Formatted rows with ``turns`` (role and text of each, in order) and ``loss_text`` (all text under the mask, unescaped)."""
     blocks = F.split(F.expr(f"substring(formatted, {len(OPEN) + 1}, length(formatted) - {len(OPEN + CLOSE)})"), CLOSE + OPEN, -1)
@@ -93,5 +107,9 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             lambda t: F.struct(unescape(F.substring_index(b, MIDDLE, 1)).alias("role"), unescape(t).alias("text")),
         ),
     )
-    loss = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return formatted.select("*", F.flatten(texts).alias("turns"), unescape(F.array_join(loss, "")).alias("loss_text"))
+    # a span is taken from the stretches it lies in, since a substring is found by counting from the start of its text
+    cut = formatted.withColumn("__stretches", F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))
+    first, last = f"(s.start div {STRETCH})", f"(greatest(s.start, s.end - 1) div {STRETCH})"
+    loss = f"""transform(loss_spans, s -> substring(array_join(slice(__stretches, cast({first} + 1 as int), cast({last} - {first} + 1 as int)), ''),
+        cast(s.start - {first} * {STRETCH} + 1 as int), cast(s.end - s.start as int)))"""
+    return cut.select(*formatted.columns, F.flatten(texts).alias("turns"), unescape(F.array_join(F.expr(loss), "")).alias("loss_text"))
