@@ -7,7 +7,7 @@
 3. Documents and ids meet by chunk, and ids are joined to positions.
 
 Only the words of each chunk travel, once each, so a frequent word costs one entry a chunk.  Decoding joins the
-token-byte table, which has a fixed size.
+token-byte table, which has a fixed size, in the tasks that hold the ids.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 10_000_000
 #: Most values of a column in one batch that is handed to Spark.
 OUT_BYTES = 8_000_000
+#: Distinct words that a task keeps the ids of.
+KNOWN = 2_000_000
+#: Bytes of text for each bucket of words, where that gives more buckets than there are shuffle partitions.
+BUCKET_BYTES = 200_000_000
 
 
 @lru_cache(maxsize=2)
@@ -55,12 +59,26 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+#: One character of each kind that patterns tell apart; "'s" for contractions.
+_PROBES = ("a", "Z", "é", "日", "ǅ", "ʰ", "1", "Ⅷ", "½", "_", "-", ".", "'", "'s", "(", "$", "+", "^", "😀", "\u0301", "\u0903", "\u200d", "\x01")
+
+
+@lru_cache(maxsize=4)
+def space_begins(pattern: str) -> bool:
+    """Whether a single space between two characters that are not white space always begins a match of a pattern.
+
+    Tried for each two kinds of characters, which is all that patterns of this sort look at.
+    """
+    find = regex.compile(pattern).findall
+    return all(find(f"{a} {b}") == [*find(a), *find(f" {b}")] for a in _PROBES for b in _PROBES)
+
+
 class _Words(dict):
     """Numbers of a chunk's pre-tokens.  As a dict: from what stands between two spaces to the numbers of its pre-tokens."""
 
-    def __init__(self, find):
+    def __init__(self, find, by_space: bool):
         super().__init__()
-        self.find, self.numbers = find, {}
+        self.find, self.by_space, self.numbers = find, by_space, {}
 
     def number(self, words: list[str]) -> list[int]:
         numbers = self.numbers
@@ -77,9 +95,11 @@ class _Words(dict):
     def positions(self, text: str) -> np.ndarray:
         """Numbers of the pre-tokens of a text by position.
 
-        A space between two characters that are not white space always begins a pre-token, so parts between such
-        spaces can be looked up; a text with any other white space beside a space is cut as a whole.
+        Where a space between two characters that are not white space always begins a pre-token, parts between such
+        spaces are looked up; a text with any other white space beside a space is cut as a whole.
         """
+        if not self.by_space:
+            return np.array(self.number(self.find(text)), np.uint32)
         first, *rest = text.split(" ")
         try:
             if first and first[-1].isspace():
@@ -121,23 +141,36 @@ def _cut(pattern: str, chunk_chars: int, buckets: int):
         from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
+        by_space = space_begins(pattern)
         task, made, seen = TaskContext.get().partitionId(), 0, 0
-        words, size, rows, held = _Words(find), 0, [], 0
+        words, size, rows = _Words(find, by_space), 0, []
 
         def batch(rows):
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
         def closed():
+            """Batches of a chunk's rows.  Its name has a digest of its words in their order, so that what is recomputed in
+            another order cannot be taken for it."""
             parts: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
+            digest = xxhash.xxh3_128()
             for word, number in words.numbers.items():
                 raw = word.encode()
+                digest.update(len(raw).to_bytes(4, "little") + raw)
                 at = parts[xxhash.xxh32_intdigest(raw) % buckets]
                 at[0].append(raw)
                 at[1].append(number)
-            for bucket, (raw, numbers) in enumerate(parts):
-                if raw:
-                    yield (f"{task}-{made}", 1, bucket, None, None, len(p := _packed(np.diff(np.array(numbers, np.int64), prepend=0))).to_bytes(4, "little") + p + _words_packed(raw))
+            name = f"{task}-{made}-{digest.hexdigest()}"
+            packed = ((None, bucket, len(p := _packed(np.diff(np.array(numbers, np.int64), prepend=0))).to_bytes(4, "little") + p + _words_packed(raw)) for bucket, (raw, numbers) in enumerate(parts) if raw)
+            out, held = [], 0
+            for row in chain(((name, 0, None, *x) for x in rows), ((name, 1, bucket, None, None, data) for _, bucket, data in packed)):
+                out.append(row)
+                held += len(row[-1])
+                if held > OUT_BYTES:
+                    yield batch(out)
+                    out, held = [], 0
+            if out:
+                yield batch(out)
 
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
@@ -145,18 +178,12 @@ def _cut(pattern: str, chunk_chars: int, buckets: int):
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     text = text or ""
                     if size and size + len(text) > chunk_chars:
-                        rows += closed()
-                        yield batch(rows)
-                        words, size, rows, held, made = _Words(find), 0, [], 0, made + 1
-                    data = _packed(words.positions(text))
-                    rows.append((f"{task}-{made}", 0, None, seen, key, data))
-                    size, seen, held = size + len(text), seen + 1, held + len(data)
-                    if held > OUT_BYTES:
-                        yield batch(rows)
-                        rows, held = [], 0
-        rows += closed()
+                        yield from closed()
+                        words, size, rows, made = _Words(find, by_space), 0, [], made + 1
+                    rows.append((seen, key, _packed(words.positions(text))))
+                    size, seen = size + len(text), seen + 1
         if rows:
-            yield batch(rows)
+            yield from closed()
 
     return run
 
@@ -165,29 +192,33 @@ _NAMES = ["chunk", "kind", "bucket", "row", "id", "data"]
 _TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
 
 
-def _encode_bucket(path: str, pattern: str):
-    """The words of one bucket in all chunks: each distinct word is encoded once; ids go back to each chunk."""
+def _encode_words(path: str, pattern: str):
+    """Chunks' words to their ids, row by row.  All rows of a bucket come to one task, which encodes a distinct word once;
+    it forgets the words when it knows ``KNOWN`` of them, so its memory does not grow with the corpus."""
 
-    def run(table: pa.Table) -> pa.Table:
-        encode, known, out = encoding(path, pattern).encode_single_token, {}, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known = encoding(path, pattern).encode_single_token, {}
         whole = encoding(path, pattern).encode_ordinary
-        for data in table.column("data"):
-            raw = data.as_py()
-            cut = 4 + int.from_bytes(raw[:4], "little")
-            ids = []
-            for word in _words_unpacked(raw[cut:]):
-                found = known.get(word)
-                if found is None:
-                    try:
-                        found = [encode(word)]
-                    except KeyError:
-                        found = whole(word.decode())
-                    known[word] = found
-                ids.append(found)
-            packed = (_packed(np.array([len(x) for x in ids], np.uint32)), _packed(np.fromiter(chain.from_iterable(ids), np.uint32)))
-            out.append(raw[:cut] + len(packed[0]).to_bytes(4, "little") + b"".join(packed))
-        n = table.num_rows
-        return pa.table([table.column("chunk"), pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(out, pa.binary())], _NAMES)
+        for batch in batches:
+            out = []
+            for raw in batch.column(batch.schema.get_field_index("data")).to_pylist():
+                cut = 4 + int.from_bytes(raw[:4], "little")
+                ids = []
+                for word in _words_unpacked(raw[cut:]):
+                    found = known.get(word)
+                    if found is None:
+                        try:
+                            found = [encode(word)]
+                        except KeyError:
+                            found = whole(word.decode())
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[word] = found
+                    ids.append(found)
+                packed = (_packed(np.array([len(x) for x in ids], np.uint32)), _packed(np.fromiter(chain.from_iterable(ids), np.uint32)))
+                out.append(raw[:cut] + len(packed[0]).to_bytes(4, "little") + b"".join(packed))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(out, pa.binary())], _NAMES)
 
     return run
 
@@ -202,7 +233,8 @@ def _join_positions(chunk: pa.Table, words: pa.Table) -> pa.Table:
         numbers.append(np.cumsum(_unpacked(raw[4:at])))  # they ascend, so their steps were packed
         sizes.append(_unpacked(raw[at + 4 : cut]))
         ids.append(_unpacked(raw[cut:]))
-    lengths = np.zeros(sum(map(len, numbers)), np.int32)
+    n_words = sum(map(len, numbers))
+    lengths = np.zeros(n_words, np.int32)
     starts = np.zeros_like(lengths)
     flat, at = (np.concatenate(ids) if ids else np.zeros(0, np.uint32)).astype(np.int32), 0
     for n, s, i in zip(numbers, sizes, ids, strict=True):
@@ -213,6 +245,8 @@ def _join_positions(chunk: pa.Table, words: pa.Table) -> pa.Table:
     docs = chunk.filter(pc.equal(chunk.column("kind"), 0))
     for data in docs.column("data"):
         positions = _unpacked(data.as_py())
+        if len(positions) and positions.max() >= n_words:
+            raise RuntimeError("a chunk was computed again in another order; store the input as a table first")
         n = lengths[positions]
         ends = np.cumsum(n)
         found.append(flat[np.repeat(starts[positions] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
@@ -231,17 +265,20 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     A null or empty text has no ids.  Keys are only carried: null, repeated and tied ones are kept, one row out for each
     row in, and an empty table gives an empty one.  Other columns are left out.  A text of any length is encoded whole;
-    one longer than a chunk makes a chunk of its own.  ``buckets`` (default: the shuffle partitions) should grow with
-    the input, since a bucket's distinct words are held in memory.
+    one longer than a chunk makes a chunk of its own.  ``buckets`` grow with the input (default: at least the shuffle
+    partitions).  Should an executor be lost and its part of ``docs`` come again in another order, the job fails rather
+    than mix chunks; tables and files come in the same order.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     kind = docs.schema[key].dataType
     source = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
     # one exchange of the chunks serves both uses; the words are picked by a function, since Spark would move a filter
     # below the exchange and then cut all documents twice
     chunks = source.mapInArrow(_cut(pattern, chunk_chars, buckets), _CHUNK_ROWS).repartition("chunk")
-    words = chunks.mapInArrow(_words_only, _CHUNK_ROWS).groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), _CHUNK_ROWS)
+    words = chunks.mapInArrow(_words_only, _CHUNK_ROWS).repartition(buckets, "bucket").mapInArrow(_encode_words(path, pattern), _CHUNK_ROWS)
     joined = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_join_positions, "row long, id string, ids array<int>")
     return joined.select(F.col("id").cast(kind).alias(key), "ids")
 
