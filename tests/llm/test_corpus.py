@@ -16,8 +16,9 @@ import xxhash
 from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
-from linkedframe.llm import bpe, chat, decontaminate, langid, mpegts, queries, secretscan, sharding, simhash, tokencount, toxicity
+from linkedframe.llm import bpe, chat, common, decontaminate, langid, mpegts, queries, secretscan, sharding, simhash, tokencount, toxicity
 from linkedframe.llm.common import bounded_sample, read_table
+from tests.llm.test_stages import brute_groups
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", " ", None, "  two  spaces ", "a　b \n c", "é \x00\x1c x", "日本語 text 😀😀", "<s> </s> <|endoftext|> <0x41> ▁▁ x▁y", "n't I'll  \n\n he's\tit", "1234567 ½ ² x_y", "x" * 300, "Ab " * 70_000, "▁ ▁", "a", "\r\n"]
@@ -43,30 +44,132 @@ def empty(spark, schema=SCHEMA):
 # toxicity
 
 
-def test_toxicity_clauses():
+def kinds(machine, text):
+    return dict(zip(toxicity.KINDS, machine.features(text), strict=True))
+
+
+def only(machine, text):
+    """The kinds of clauses in a text."""
+    return {k for k, v in kinds(machine, text).items() if v and k != "most"}
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("The stupid plan", {"plain"}),
+        ("you are an idiot", {"targeted"}),
+        ("idiot, and you know. what an idiot you are", {"plain", "targeted"}),
+        ("he is not an idiot", {"negated"}),
+        ("not here. you idiot", {"targeted"}),  # the negation ends with its clause
+        ("not one two three idiot", {"plain"}),  # and after a few words
+        ("they said idiot", {"reported"}),
+        ('the word "idiot" is old', {"reported"}),
+        ('he said "fine, you idiot"', {"reported"}),
+        ('she wrote, "look, you idiot, go"', {"reported"}),
+        ("they said " + "word " * 100 + "you idiot", {"reported"}),
+        ("they said so. you idiot", {"targeted"}),
+        ('an open " quote ends\nyou idiot', {"targeted"}),
+        ("I will kill you", {"threat"}),
+        ("I will not kill you", {"negated"}),
+        ("he said: I will kill you", {"reported"}),
+        ("kill the lights", set()),
+        ("idiotic idiots and xidiot", set()),  # whole words only
+        ("the lowestupid idiots\x00", set()),
+    ],
+)
+def test_toxicity_clauses(text, expected):
+    assert only(toxicity.Machine(toxicity.BUILT_IN), text) == expected
+
+
+def test_toxicity_order():
     m = toxicity.Machine(toxicity.BUILT_IN)
-    plain, target, negated, reported, most = m.features("The stupid plan")
-    assert plain and not target and not negated and not reported and most == 3.0
-    assert m.features("you are an idiot")[1] > 0
-    assert m.features("he is not an idiot")[2] > 0
-    assert m.features("they said idiot")[3] > 0
-    assert m.features('the word "idiot" is old')[3] > 0
-    assert m.features("not here. you idiot")[2] == 0  # the negation ends with its clause
-    assert m.features("idiotic idiots and xidiot") == [0.0] * 5  # whole words only
-    assert m.features("I will kill you")[1] > 0
-    assert m.features("kill the lights") == [0.0] * 5
-    assert m.score("you idiot") > m.score("not an idiot") > m.score("")
-    assert m.features("the lowestupid idiots\x00")[4] == 0
-
-
-def test_toxicity_held_out(spark):
-    found = queries.op1_toxicity(spark, "/root/testdata/sf0.1")
-    known = read_table(spark, "/root/testdata/sf0.1", "labels", "doc_id", "toxic").where("toxic is not null")
+    assert m.score("you idiot") > m.score("an idiot") > m.score("not an idiot") > m.score("")
+    assert m.score('he said "you idiot"') < 0.5 < m.score("you idiot")
+
+
+def brute_features(grammar, text):
+    """Clauses by their definition: of each, every insult and threat is looked at with all that stands around it."""
+    totals, most = dict.fromkeys(toxicity.KINDS[:-1], 0.0), 0.0
+    for line in text.lower().split("\n"):
+        tokens = re.findall(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]|[.!?]+|[;:,]", line)
+        ends = [i for i, t in enumerate(tokens) if t[0] in ".!?;:,"] + [len(tokens)]
+        begin = 0
+        for end in ends:
+            clause, sums = tokens[begin:end], Counter()
+            target = any(t in toxicity.TARGETS for t in clause)
+            for i, t in enumerate(clause, begin):
+                stem = [grammar.stems[t[:n]] for n in range(len(t), 0, -1) if t[:n] in grammar.stems]
+                weight = grammar.threats.get(t) or grammar.words.get(t) or (stem[0] if stem else 0.0)
+                if not weight:
+                    continue
+                quoted = False
+                for x in tokens[:i]:
+                    quoted = not quoted if x == '"' else True if x in "“„«" else False if x in "”»" else quoted
+                stops = [j for j in range(i) if tokens[j][0] in ".!?"]
+                said = any(x in toxicity.REPORTS for x in tokens[(stops[-1] + 1 if stops else 0) : i])
+                denied = any(x in toxicity.NEGATIONS for x in [y for y in tokens[begin:i] if y[0] not in '"“”„«»'][-toxicity.NEGATION_REACH :])
+                kind = "reported" if quoted or said else "negated" if denied else "threat" if t in grammar.threats else "targeted" if target else "plain"
+                sums[kind] += 0.0 if kind == "threat" and not target else weight
+            for k, v in sums.items():
+                totals[k] += v
+            most = max(most, sums["plain"] + sums["targeted"] + sums["threat"])
+            begin = end + 1
+    return {k: np.log1p(v) for k, v in totals.items()} | {"most": most}
+
+
+def test_toxicity_features_by_brute_force(texts):
+    random = np.random.default_rng(8)
+    grammar = toxicity.Grammar({**toxicity.BUILT_IN.words, "grim": 1.5}, {"mock": 2.0, "mocker": 2.5})
+    m = toxicity.Machine(grammar)
+    words = ["you", "idiot", "not", "said", "kill", "grim", "mocking", "mockery", "house", "the", "people", ",", ".", ":", "!", "\n", "“", "”", "stupid"]
+    made = [" ".join(random.choice(words, int(random.integers(1, 60)))) for _ in range(300)]
+    for text in [*made, *list(texts.values())[:100]]:
+        assert kinds(m, text) == pytest.approx(brute_features(grammar, text)), text
+
+
+def test_transducers_compose():
+    first = toxicity.Transducer(0, {(0, "a"): (1, "b"), (1, "a"): (0, "a")})
+    second = toxicity.Transducer("x", {("x", "b"): ("y", "c"), ("y", "a"): ("x", "d")})
+    both = toxicity.compose(first, second, ("a", "b"))
+    random = np.random.default_rng(4)
+    for _ in range(50):
+        symbols = random.choice(["a", "b"], 12).tolist()
+        assert both.run(symbols) == second.run(first.run(symbols))
+    machine, parts = toxicity.grammar_machine(), (toxicity.QUOTATION, toxicity.REPORTED, toxicity.NEGATION, toxicity.TARGET)
+    assert 8 < len({s for s, _ in machine.arcs}) <= 2 * 2 * (toxicity.NEGATION_REACH + 1) * 2
+    for _ in range(50):
+        symbols = random.choice(toxicity.ALPHABET, 40).tolist()
+        want = symbols
+        for part in parts:
+            want = part.run(want)
+        assert machine.run(symbols) == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.1", "sf0.01"])
+def test_toxicity_held_out(spark, sf):
+    found = queries.op1_toxicity(spark, f"/root/testdata/{sf}")
+    known = read_table(spark, f"/root/testdata/{sf}", "labels", "doc_id", "toxic").where("toxic is not null")
     rows = found.where("held_out").join(known, "doc_id").select("predicted", "toxic").collect()
     hit = Counter((r["predicted"], r["toxic"]) for r in rows)
-    assert hit[1, 1] / (hit[1, 1] + hit[0, 1]) > 0.75
+    assert hit[1, 1] / (hit[1, 1] + hit[0, 1]) > (0.9 if sf == "sf0.1" else 0.75)
     assert hit[1, 1] / (hit[1, 1] + hit[1, 0]) > 0.95
-    assert found.count() == 10_000
+    assert found.count() == (10_000 if sf == "sf0.1" else 1000)
+
+
+def test_toxicity_learns_threats_and_contexts(spark):
+    r = np.random.default_rng(1)
+    filler = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        words = " ".join(r.choice(filler, 20))
+        kind = i % 6
+        extra = ["you gronk", "he said you gronk", "you are not gronk", "", "I will kill you", "they said they destroy you"][kind]
+        rows.append((i, f"{words}. {extra}. {words}", int(kind in (0, 4))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    g = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert g.threats["kill"] > toxicity.THREAT_WEIGHT and g.threats["destroy"] == 0
+    weight = dict(zip(toxicity.KINDS, g.kinds, strict=True))
+    assert weight["reported"] < weight["targeted"] and weight["negated"] < weight["targeted"]
 
 
 def test_toxicity_odd(spark, odd):
@@ -125,6 +228,50 @@ def test_markov_finds_random_strings_only(spark):
     assert sum(bool(secretscan.markov_spans(x, [], model)) for x in names) < 10
 
 
+def test_markov_ratio_by_brute_force(spark):
+    """The models are first-order frequencies, smoothed; a run's ratio is the sum of its steps' by its length."""
+    docs = [(i, f"name_{i} some_words password=Xk{i}9qLz7Rt2 text{i} x") for i in range(40)]
+    model = secretscan.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    alphabet = secretscan.CHARACTERS
+    code = lambda c: alphabet.index(c) if c in alphabet else len(alphabet)
+    counts = [Counter(), Counter()]
+
+    def add(kind, value):
+        path = [len(alphabet), *map(code, value), len(alphabet)]
+        counts[kind].update(pairwise(path))
+
+    for _, text in docs:
+        (a, b, _), = brute_base(text)
+        add(0, text[a:b].split("=")[1])
+        add(1, "\n".join(set(re.findall(r"[A-Za-z0-9+/_=.-]{4,}", f"{text[:a]} {text[b:]}"))))
+    random = np.random.default_rng(7)
+    for letters in (alphabet[:62], alphabet[:64], alphabet[:36], alphabet[:10] + "abcdef"):
+        for _ in range(200):
+            add(0, "".join(random.choice(list(letters), 40)))
+    n = len(alphabet) + 1
+
+    def log(kind, x, y):
+        return np.log((counts[kind][x, y] + 0.5) / sum(counts[kind][x, z] + 0.5 for z in range(n)))
+
+    for value in ("Xk19qLz7Rt2abc", "some_words_name", "Q"):
+        path = [len(alphabet), *map(code, value), len(alphabet)]
+        want = sum(log(0, x, y) - log(1, x, y) for x, y in pairwise(path)) / len(value)
+        assert secretscan.ratio(value, model) == pytest.approx(want)
+
+
+def test_pieces_by_brute_force():
+    random = np.random.default_rng(5)
+    for _ in range(200):
+        cuts = np.sort(random.integers(0, 400, 8)).tolist()
+        runs = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
+        base = sorted((a := int(random.integers(0, 390)), a + int(random.integers(1, 60)), "x") for _ in range(int(random.integers(0, 9))))
+        want = []
+        for start, end in runs:
+            free = "".join("." if any(a <= i < b for a, b, _ in base) else "x" for i in range(start, end))
+            want += [(start + m.start(), start + m.end()) for m in re.finditer("x+", free) if len(m[0]) >= secretscan.SHORTEST]
+        assert list(secretscan.pieces(iter(runs), base)) == want
+
+
 def test_secret_odd(spark, odd):
     model = secretscan.train(odd)
     out = secretscan.scan(odd, model)
@@ -146,9 +293,10 @@ def test_stream_round_trip(size):
     found = mpegts.demux(media)
     units = -(-size // mpegts.UNIT)
     assert len(media) % 188 == 0 and set(media[::188]) == {0x47}
-    assert found["payload"] == data and found["n_packets"] == len(media) // 188
-    assert found["pts"] == [i * mpegts.CLOCK for i in range(units)]
-    assert len(found["access"]) == -(-units // mpegts.GROUP)
+    (stream,) = found["streams"]
+    assert stream["payload"] == data and found["n_packets"] == len(media) // 188
+    assert stream["pts"] == [i * mpegts.CLOCK for i in range(units)]
+    assert len(stream["access"]) == -(-units // mpegts.GROUP) and (stream["pid"], stream["type"]) == (0x101, 6)
     assert (found["n_programs"], found["continuity_errors"], found["table_errors"], found["sync_errors"]) == (1, 0, 0, 0)
     assert found["n_streams"] == 1
 
@@ -156,7 +304,15 @@ def test_stream_round_trip(size):
 def test_stream_faults():
     media = mpegts.mux(b"x" * 5000)
     assert mpegts.demux(media[: 188 * 4] + media[188 * 5 :])["continuity_errors"] == 1
-    assert mpegts.demux(media[: 188 * 5] + media[188 * 4 :])["payload"] == b"x" * 5000  # a packet sent twice
+    twice = mpegts.demux(media[: 188 * 5] + media[188 * 4 :])
+    assert twice["streams"][0]["payload"] == b"x" * 5000 and not twice["continuity_errors"]
+    other = bytearray(media[188 * 4 : 188 * 5])
+    other[-1] ^= 1  # the same counter, but another packet
+    assert mpegts.demux(media[: 188 * 5] + bytes(other) + media[188 * 5 :])["continuity_errors"] == 1
+    assert mpegts.demux(b"\x47 is no packet" + media)["sync_errors"] == 14
+    hurt = bytearray(media)
+    hurt[188 * 6] = 0
+    assert mpegts.demux(bytes(hurt))["sync_errors"] == 188 and mpegts.demux(bytes(hurt))["continuity_errors"] == 1
     assert mpegts.demux(b"abc" + media)["sync_errors"] == 3
     broken = bytearray(media)
     broken[20] ^= 1
@@ -165,6 +321,46 @@ def test_stream_faults():
     assert mpegts.mpeg_crc(b"123456789") == 0x0376E6E7
 
 
+def packets(pid, data, counter, size=184):
+    """Transport packets of a table section or an elementary packet, ``size`` bytes in each."""
+    out = []
+    for i in range(0, len(data), size):
+        part = data[i : i + size]
+        head = bytes([0x47, (0x40 if i == 0 else 0) | pid >> 8, pid & 255, (0x10 if len(part) == 184 else 0x30) | (counter + i // size) & 15])
+        gap = 184 - len(part)
+        out.append(head + (bytes([gap - 1]) + (b"\0" + b"\xff" * (gap - 2) if gap > 1 else b"") if gap else b"") + part)
+    return out
+
+
+def section(table, body):
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2) + b"\0\1\xc1\0\0" + body
+    return b"\0" + head + mpegts.mpeg_crc(head).to_bytes(4)
+
+
+def test_streams_of_sound_and_picture():
+    """Two streams whose packets alternate, a map over several packets, and elementary packets without a length."""
+    entries = b"\x1b\xe2\x00\xf0\x00" + b"\x0f\xe2\x01\xf0\x00" + b"".join(b"\x06" + (0xE300 + i).to_bytes(2) + b"\xf0\x00" for i in range(60))
+    table = packets(0, section(0, b"\0\1\xe1\0"), 0) + packets(0x100, section(2, b"\xe2\0\xf0\0" + entries), 0)
+    assert len(table) == 3
+    picture = [b"\0\0\1\xe0\0\0\x80\x80\5" + mpegts._time(1000 * i) + bytes([i]) * 700 for i in range(3)]  # length 0: up to the next
+    sound = [b"\0\0\1\xc0" + (3 + 300).to_bytes(2) + b"\x80\0\0" + bytes([100 + i]) * 300 + b"junk" for i in range(3)]  # bytes behind the end
+    queues, counters, mixed = {0x200: [], 0x201: []}, {0x200: 0, 0x201: 0}, []
+    for pid, units in ((0x200, picture), (0x201, sound)):
+        for unit in units:
+            made = packets(pid, unit, counters[pid], 150)
+            counters[pid] += len(made)
+            queues[pid] += made
+    while any(queues.values()):
+        mixed += [q.pop(0) for q in queues.values() if q]
+    found = mpegts.demux(b"".join(table + mixed))
+    assert (found["n_programs"], found["n_streams"], found["continuity_errors"], found["table_errors"], found["sync_errors"]) == (1, 62, 0, 0, 0)
+    streams = {x["pid"]: x for x in found["streams"]}
+    assert streams[0x200]["payload"] == b"".join(bytes([i]) * 700 for i in range(3)) and streams[0x200]["pts"] == [0, 1000, 2000] and streams[0x200]["type"] == 0x1B
+    assert streams[0x201]["payload"] == b"".join(bytes([100 + i]) * 300 for i in range(3)) and streams[0x201]["pts"] == []
+    cut = mpegts.demux(b"".join(table[:2] + mixed))
+    assert cut["table_errors"] == 1 and cut["n_streams"] == 0
+
+
 def test_stream_query(spark, texts):
     for r in queries.op3_transport_stream(spark, SF).collect():
         payload = texts[r["doc_id"]].encode()
@@ -175,12 +371,15 @@ def test_stream_query(spark, texts):
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
         media = mpegts.mux(payload)
         assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+        units = -(-len(payload) // 4096)
+        count = 2 + sum(1 + -(-max(0, min(4096, len(payload) - i * 4096) + 14 - 176) // 184) for i in range(units))
+        assert r["feature"] == f"packets={count};programs=1;streams=1;units={units};last_pts={(units - 1) * 3600};access={-(-units // 8)};continuity=0;tables=0;sync=0"
 
 
 def test_stream_odd(spark, odd):
     rows = mpegts.read_media(mpegts.store_texts(odd)).collect()
     assert len(rows) == odd.count()
-    assert all(bytes(r["payload"]) == mpegts.pad((r["text"] or "").encode()) for r in rows)
+    assert all(bytes(r["streams"][0]["payload"]) == mpegts.pad((r["text"] or "").encode()) for r in rows)
     assert mpegts.read_media(mpegts.store_texts(empty(spark))).count() == 0
 
 
@@ -269,6 +468,27 @@ def test_language_held_out(spark, texts):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_by_brute_force(spark, texts):
+    """Nearest centroid by cosine, computed without arrays from the model's own numbers."""
+    docs = read_table(spark, SF, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs)
+    rows = {r["doc_id"]: r for r in langid.identify(docs.drop("lang"), model, keep=["doc_id"]).collect()}
+    for key, text in list(texts.items())[:60]:
+        padded, grams = " " + re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " ", Counter()
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for c, factor in zip(padded[i : i + n], (2654435761, 2246822519, 3266489917), strict=False):
+                    h = ((h ^ ord(c)) * factor) % 2**32
+                grams[h >> 20] += 1
+        vector = {g: np.log1p(c) * float(model.idf[g]) for g, c in grams.items()}
+        norm = np.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[g]) for g, v in vector.items()) / norm for c in model.centroids]
+        assert rows[key]["score"] == pytest.approx(min(1.0, max(cosines)), abs=1e-4)
+        near = [lang for lang, c in zip(model.languages, cosines, strict=True) if c > max(cosines) - 1e-5]
+        assert rows[key]["lang_pred"] in near
+
+
 def test_language_odd(spark, odd):
     train = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("the house of the king", "en"), ("das Haus des Königs", "de"), (None, "de"), ("x", None)])], "doc_id long, text string, lang string")
     model = langid.train(train)
@@ -319,7 +539,7 @@ def test_chat_round_trip(spark):
     found = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(turns.withColumn("formatted", turns["text"]))).collect()}
     assert found.keys() == want.keys()
     for conv, expected in want.items():
-        expected = [x[1:] for x in sorted(expected)] if conv != 3 else [x[1:] for x in sorted(expected, key=lambda x: (chat_escape(x[1]), chat_escape(x[2])))]
+        expected = [x[1:] for x in sorted(expected)]
         assert [(t["role"], t["text"]) for t in found[conv]["turns"]] == expected
         assert found[conv]["loss_text"] == "".join(t for r, t in expected if r == "assistant")
         runs = 1 + sum(a[0] != b[0] for a, b in pairwise(expected))
@@ -327,8 +547,22 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
-def chat_escape(x):
-    return x.replace("\\", "\\b").replace("<", "\\l").replace("[", "\\q")
+def test_chat_ties_go_by_the_text_itself(spark):
+    rows = [(1, 0, "user", "Zb"), (1, 0, "user", "<a"), (1, 0, "user", "[c"), (1, 0, "user", "\\d")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = chat.read_chats(chat.format_chats(turns)).first()
+    assert [t["text"] for t in read["turns"]] == ["<a", "Zb", "[c", "\\d"]
+
+
+def test_long_chats(spark):
+    """Many rows of one turn, and spans over many stretches."""
+    many = [(1, None if i % 2 else 7, "assistant" if i % 3 else "user", f"{i:05d} é😀" * (1 + i % 5)) for i in range(5000)]
+    long = [(2, i, "assistant", f"{i}[é" * 3000) for i in range(6)]
+    turns = spark.createDataFrame(many + long, "conv_id long, turn long, role string, text string")
+    for r in chat.read_chats(chat.format_chats(turns)).collect():
+        rows = sorted((-1 if t is None else t, role, text) for c, t, role, text in many + long if c == r["conv_id"])
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [x[1:] for x in rows]
+        assert r["loss_text"] == "".join(text for _, role, text in rows if role == "assistant")
 
 
 # byte-level BPE
@@ -341,6 +575,23 @@ def reference_encoding():
     return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.mark.parametrize(("pattern", "begins"), [(r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+|\s+", True), (r"\p{L}+ ?|\p{N}+|[^\s\p{L}\p{N}]+|\s+", False)])
+def test_bpe_of_another_pattern(spark, odd, pattern, begins):
+    """A pattern whose words take the space behind them cannot be cut at spaces."""
+    path, _ = reference_encoding()
+    assert bpe.space_begins(public_tokenizers.PATTERN) and bpe.space_begins(pattern) == begins
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    out = bpe.encode(odd, path, pattern, buckets=2).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == Counter((r["doc_id"], tuple(library.encode_ordinary(r["text"] or ""))) for r in odd.collect())
+
+
+def test_bpe_forgets_words(spark, odd, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN", 2)
+    path, library = reference_encoding()
+    out = bpe.encode(odd, path, public_tokenizers.PATTERN, buckets=2).collect()
+    assert Counter(tuple(r["ids"]) for r in out) == Counter(tuple(library.encode_ordinary(r["text"] or "")) for r in odd.collect())
+
+
 @pytest.mark.parametrize("chunk", [50, 12_000_000])
 def test_bpe_is_the_library(spark, odd, chunk):
     path, library = reference_encoding()
@@ -540,9 +791,17 @@ def test_index_is_stored_and_sorted_by_term(spark):
 # helpers and contracts
 
 
-def test_bounded_sample(spark):
+def test_bounded_sample(spark, monkeypatch):
     df = spark.range(100).selectExpr("id", "if(id < 90, 'x', 'y') as s")
     assert Counter(r["s"] for r in bounded_sample(df, "id", "s", 7).collect()) == {"x": 7, "y": 7}
+    for bound, stretches in ((7, common.STRETCHES), (7, 2), (95, 3), (1, 1)):
+        monkeypatch.setattr(common, "STRETCHES", stretches)
+        least = {s: [r["id"] for r in df.where(df.s == s).selectExpr("id", "shiftrightunsigned(xxhash64(id), 1) as h").orderBy("h").limit(bound).collect()] for s in "xy"}
+        found = bounded_sample(df, "id", "s", bound).collect()
+        assert {s: sorted(r["id"] for r in found if r["s"] == s) for s in "xy"} == {s: sorted(x) for s, x in least.items()}
+    odd = spark.createDataFrame([(None, "x", 1), (None, "x", 2), (1, None, 3), (1, None, 3), (2, "y", 4)], "id long, s string, n int")
+    assert len(bounded_sample(odd, "id", "s", 1).collect()) == 3 and len(bounded_sample(odd, "id", "s", 9).collect()) == 5
+    assert bounded_sample(odd.limit(0), "id", "s", 1).count() == 0
 
 
 def same(rows, sql):
@@ -569,8 +828,9 @@ def test_pipeline(spark, texts):
     left = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert kept.columns == docs.columns and {k for k, _ in left} == {k for k, p in scores.items() if not p}
     kept = stages["near_duplicates"](spark, kept, SF)
-    classes = brute_components([(k, brute_fingerprint(t or "")) for k, t in left])
-    assert {r["doc_id"] for r in kept.collect()} == {least for _, _, least in classes} and kept.columns == docs.columns
+    left.sort()
+    groups = brute_groups([t for _, t in left])
+    assert {r["doc_id"] for r in kept.collect()} == {left[g][0] for g in groups} and kept.columns == docs.columns
     left = [(r["doc_id"], r["text"]) for r in kept.collect()]
     kept = stages["decontamination"](spark, kept, SF)
     items = [(r["item_id"], r["text"]) for r in read_table(spark, SF, "benchmark").collect()]

@@ -120,10 +120,10 @@ def test_secrets_short_glued_and_of_letters(spark):
 def test_toxicity_reads_whole_clauses_once(spark):
     m = toxicity.Machine(toxicity.BUILT_IN)
     far = "you " + "word " * 200 + "idiot"
-    assert m.features(far) == [0.0, math.log1p(3.0), 0.0, 0.0, 3.0]
-    assert m.features("idiot " + "word " * 200 + "you") == [0.0, math.log1p(3.0), 0.0, 0.0, 3.0]
-    assert m.features("they said " + "word " * 200 + "idiot")[3] > 0
-    assert m.features("idiot " + "word " * 60 + "moron") == [math.log1p(6.0), 0.0, 0.0, 0.0, 6.0]  # both in one clause, each once
+    assert m.features(far) == [0.0, math.log1p(3.0), 0.0, 0.0, 0.0, 3.0]
+    assert m.features("idiot " + "word " * 200 + "you") == [0.0, math.log1p(3.0), 0.0, 0.0, 0.0, 3.0]
+    assert m.features("they said " + "word " * 200 + "idiot")[4] > 0
+    assert m.features("idiot " + "word " * 60 + "moron") == [math.log1p(6.0), 0.0, 0.0, 0.0, 0.0, 6.0]  # both in one clause, each once
     assert m.features("you. " + "word " * 200 + "idiot, you")[1] == 0
 
 
