@@ -100,7 +100,7 @@ _LONG = rf"\\U00(?:0{_HEX}|10){_HEX}{{4}}"
 def _decoded(c: Column, short: dict[str, str]) -> Column:
     """Escapes to characters; what is no escape stays as it is."""
     short_pattern = r"\\[" + "".join("\\\\" if k == "\\" else k for k in short) + "]|" if short else ""
-    parts = F.regexp_extract_all(c, F.lit(rf"((?:{_ONE}|{_PAIR})+|{_LONG}|{short_pattern}\\|[^\\]+)"), F.lit(1))
+    parts = F.regexp_extract_all(c, F.lit(rf"((?:{_ONE}|{_PAIR})++|{_LONG}|{short_pattern}\\|[^\\]+)"), F.lit(1))
 
     def character(p: Column) -> Column:
         out = F.when(p.startswith("\\u") & (F.length(p) >= 6), F.decode(F.unhex(F.replace(p, F.lit("\\u"), F.lit(""))), "UTF-16BE"))

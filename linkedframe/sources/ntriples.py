@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from linkedframe.functions import terms as T
 
+# Possessive: a repeated group that may give back is matched by recursion, a call for each character of a long literal.
 _SUBJECT = r"(<[^<>\s]*>|_:[^\s<>\"]+)"
 _PROPERTY = r"(<[^<>\s]*>)"
-_OBJECT = r"(<[^<>\s]*>|_:[^\s<>\"]+|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?)"
+_OBJECT = r"(<[^<>\s]*>|_:[^\s<>\"]+|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*+|\^\^<[^<>\s]*>)?)"
 LINE = rf"^\s*{_SUBJECT}\s+{_PROPERTY}\s+{_OBJECT}\s*\.\s*$"
 
 MODES = ("failfast", "dropmalformed", "permissive")
