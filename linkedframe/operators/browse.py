@@ -7,32 +7,32 @@ from pyspark.sql import functions as F
 
 from linkedframe.config import RDF_TYPE, RDFS_LABEL
 from linkedframe.functions import terms as T
-from linkedframe.plans.graph import Graph, kept, of_properties
+from linkedframe.plans.graph import Graph, of_properties
+from linkedframe.storage import stored
 
 
-def closure(graph: Graph, starts: DataFrame, rounds: int = 100) -> DataFrame:
-    """(page, seq, s, p, o): the triples of all blank nodes that are reached from (page, node) rows.
+def closure(graph: Graph, starts: DataFrame) -> DataFrame:
+    """(page, seq, s, p, o): the triples of all blank nodes that are reached from (page, node) rows, at any depth.
 
-    Each round follows one step and leaves out nodes the page already has, so cycles end it.  Rounds are written to the
-    checkpoint folder; their number is the depth of the longest chain.
+    Round k has all nodes less than 2 ** k steps away and the pairs of nodes exactly 2 ** k steps apart, so a chain of n
+    nodes takes log2(n) rounds; a round that reaches nothing new, as in cycles, is the last.  Where nodes are so linked
+    that doubling the steps would make far more pairs than there are links, steps stay as long as they are.
     """
     blank = graph.facts.where(F.col("s").startswith("_:")).select("seq", "s", "p", "o")
-    seen = frontier = kept(starts.where(F.col("node").startswith("_:")).select("page", "node").distinct())
-    found = None
-    for _ in range(rounds):
-        if frontier.isEmpty():
+    steps = stored(blank.where(F.col("o").startswith("_:")).select(F.col("s").alias("a"), F.col("o").alias("b")).where("a <> b").distinct())
+    reached = stored(starts.where(F.col("node").startswith("_:")).select("page", "node").distinct())
+    links, found = steps.count(), reached.count()
+    while links:
+        more = reached.join(steps, F.col("node") == F.col("a")).select("page", F.col("b").alias("node"))
+        wider = stored(reached.union(more).distinct())
+        before, found = found, wider.count()
+        if found == before:
             break
-        rows = kept(frontier.join(blank, frontier["node"] == blank["s"]).select("page", "seq", "s", "p", "o"))
-        found = rows if found is None else found.union(rows)
-        reached = rows.where(F.col("o").startswith("_:")).select("page", F.col("o").alias("node")).distinct()
-        frontier = kept(reached.join(seen, ["page", "node"], "left_anti"))
-        seen = seen.union(frontier)
-    else:
-        raise RuntimeError(f"blank nodes are nested deeper than {rounds}")
-    if found is None:
-        none = frontier.select("page", F.col("node").alias("s")).limit(0)
-        return none.join(blank, "s").select("page", "seq", "s", "p", "o")
-    return found
+        reached = wider
+        ways = steps.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("i")).join(steps.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("j")), "n")
+        if (ways.agg(F.sum(F.col("i") * F.col("j"))).first()[0] or 0) <= 4 * links:
+            steps = stored(steps.alias("x").join(steps.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct())
+    return reached.join(blank, F.col("node") == F.col("s")).select("page", "seq", "s", "p", "o")
 
 
 def lookup(graph: Graph, pages: DataFrame | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def lookup(graph: Graph, pages: DataFrame | None = None) -> DataFrame:
 
 def summarize(graph: Graph, pages: DataFrame | None = None, n: int = 20) -> DataFrame:
     """(page, seq, s, p, o): the first ``n`` facet triples of each page's root subject."""
-    rows = of_properties(graph.page_rows, *graph.cfg.facets).where("head")
+    rows = of_properties(graph.page_rows, *(f.prop for f in graph.cfg.all_facets)).where("head")
     if pages is not None:
         rows = rows.join(pages.select("page").distinct(), "page", "left_semi")
     rank = F.row_number().over(Window.partitionBy("page").orderBy("seq", "p", "o"))
@@ -74,9 +74,18 @@ def list_resources(graph: Graph, prop: str | None = None, value: str | None = No
     return out if limit is None else out.limit(limit)
 
 
-def resources_with(graph: Graph, prop: str, value: str, limit: int = 100) -> DataFrame:
-    """Subjects that have a value of a property."""
-    return of_properties(graph.facts, prop).where(F.col("o") == value).select("s").distinct().orderBy("s").limit(limit)
+def resources_with(graph: Graph, prop: str, value: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(s, more): subjects that have a value of a property, all of them or, in order, ``limit`` behind ``offset``.
+
+    ``more`` says whether others follow these.
+    """
+    found = of_properties(graph.facts, prop).where(F.col("o") == value).select("s").distinct()
+    if limit is None:
+        found = found.orderBy("s").offset(offset) if offset else found
+        return found.withColumn("more", F.lit(False))
+    shown = found.orderBy("s").offset(offset).limit(limit + 1)
+    rank = F.row_number().over(Window.orderBy("s"))  # of one row more than the limit
+    return shown.withColumn("rank", rank).withColumn("more", F.max("rank").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit).select("s", "more")
 
 
 def list_values(graph: Graph, prop: str, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -87,13 +96,19 @@ def list_values(graph: Graph, prop: str, limit: int | None = None, offset: int =
 
 
 def facet_panel(graph: Graph, n: int = 20) -> DataFrame:
-    """(p, o, label, cnt, rank, more): the ``n`` most frequent values of each facet, and whether it has more."""
-    counts = graph.value_counts.where(F.col("p").isin(*graph.cfg.facets))
+    """(p, name, o, label, cnt, rank, more): the ``n`` most frequent values of each listed facet, and whether it has more.
+
+    ``name`` is the facet's own label, or else its property's.
+    """
+    listed = {f.prop: f.label for f in graph.cfg.all_facets if f.listed}
+    counts = graph.value_counts.where(F.col("p").isin(*listed))
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("cnt"), "o"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= n + 1)
     sizes = top.groupBy("p").agg((F.count("*") > n).alias("more"))
     label = T.clip(F.coalesce("obj_label", T.display_node("o", graph.cfg)))
-    return top.where(F.col("rank") <= n).join(sizes, "p").select("p", "o", label.alias("label"), "cnt", "rank", "more")
+    own = [F.when(F.col("p") == p, F.lit(name)) for p, name in listed.items() if name is not None]
+    name = F.coalesce(*own, T.display_node("p", graph.cfg))
+    return top.where(F.col("rank") <= n).join(F.broadcast(sizes), "p").select("p", name.alias("name"), "o", label.alias("label"), "cnt", "rank", "more")
 
 
 def label_of(graph: Graph, pages: DataFrame) -> DataFrame:

@@ -116,6 +116,21 @@ def variables(steps: Sequence) -> list[str]:
     return list(out)
 
 
+def properties(steps: Sequence) -> set[str]:
+    """The properties of steps and of all steps inside them."""
+    out: set[str] = set()
+    for step in steps:
+        if isinstance(step, Optional):
+            out |= properties([step.step])
+        elif isinstance(step, Either):
+            out |= properties(step.branches)
+        else:
+            out.add(step.prop)
+            for o in step.objects:
+                out |= properties(o.steps) if isinstance(o, Nested) else set()
+    return out
+
+
 _SUBJECT = "__s"
 
 

@@ -5,7 +5,7 @@ Triples come as (seq, s, p, o) with ``seq`` of any orderable type; the other tab
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from operator import or_
@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 
 from linkedframe.config import Config
 from linkedframe.functions import terms as T
+from linkedframe.storage import stored
 
 #: Partitions by property of the saved tables; raw properties are no safe directory names.
 PROPERTY_BUCKETS = 64
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+#: Rows (about 200 bytes each) of a table that is broadcast; larger ones are joined by shuffles.
+BROADCAST = 200_000
+#: Tables that are saved beside facts and page rows, and what they are sorted by.
+SORTED = {
+    "labels": ("n3",),
+    "terms": ("n3",),
+    "property_counts": ("p",),
+    "value_counts": ("p", "o"),
+    "linksets": ("target",),
+    "postings": ("token", "doc_id", "pos"),
+}
 
 
 def property_bucket(c: Column) -> Column:
@@ -56,7 +60,7 @@ def clean(triples: DataFrame, cfg: Config) -> DataFrame:
         uri = F.concat(F.lit("<"), T.safe_uri(T.uri_value(c)), F.lit(">"))
         return F.when(_is_uri(F.col(c)), uri).otherwise(F.col(c))
 
-    o = F.when(F.col("o").rlike('"@[A-Za-z]+(-[A-Za-z0-9]+)*$'), F.concat(F.expr("left(o, length(o) - length(substring_index(o, '\"', -1)))"), F.lower(F.substring_index("o", '"', -1)))).otherwise(repaired("o"))
+    o = F.when(F.col("o").rlike('"@[A-Za-z]+(-[A-Za-z0-9]+)*+$'), F.concat(F.expr("left(o, length(o) - length(substring_index(o, '\"', -1)))"), F.lower(F.substring_index("o", '"', -1)))).otherwise(repaired("o"))
     return triples.select("seq", repaired("s").alias("s"), repaired("p").alias("p"), o.alias("o"))
 
 
@@ -99,7 +103,7 @@ class Graph:
         Repaired triples are written to the checkpoint folder once, since all other tables are made from them.
         """
         cfg = cfg or Config()
-        source = kept(clean(triples, cfg)) if repair else triples.select("seq", "s", "p", "o")
+        source = stored(clean(triples, cfg)) if repair else triples.select("seq", "s", "p", "o")
         if dedupe:
             source = source.groupBy("s", "p", "o").agg(F.min("seq").alias("seq")).select("seq", "s", "p", "o")
         s, o = F.col("s"), F.col("o")
@@ -172,35 +176,50 @@ class Graph:
         return docs.select("s", "p", "main", "doc_len", "doc_id", F.posexplode("tokens").alias("pos", "token")).select("token", "pos", "doc_id", "s", "p", "main", "doc_len")
 
     @cached_property
-    def property_counts(self) -> dict[str, int]:
-        """Triples of each property: for ordering the steps of patterns.  Properties are few beside triples."""
-        rows = self.facts.groupBy("p").count().orderBy(F.desc("count")).limit(10_000).collect()
-        return {r["p"]: r["count"] for r in rows}
+    def property_counts(self) -> DataFrame:
+        """(p, cnt): triples of each property."""
+        return self.facts.groupBy("p").agg(F.count("*").alias("cnt"))
+
+    def counts_of(self, props: Iterable[str]) -> dict[str, int]:
+        """Triples of some properties: for ordering the steps of a pattern."""
+        return {r["p"]: r["cnt"] for r in self.property_counts.where(F.col("p").isin(*props)).collect()}
 
     def decoded(self) -> DataFrame:
-        """Page rows with the labels of subject, property and object."""
-        out = self.page_rows
-        for c in ("s", "p", "o"):
-            named = self.labels.select(F.col("n3").alias(c), F.col("label").alias(f"{c}_label"))
-            out = out.join(named, c, "left")
+        """Page rows with the labels of subject, property and object.
+
+        Rows are not shuffled by property, which is the most skewed of the three: the labels of properties are joined to
+        the properties first, and these are broadcast if there are not too many.
+        """
+        named = {c: self.labels.select(F.col("n3").alias(c), F.col("label").alias(f"{c}_label")) for c in ("s", "p", "o")}
+        properties = stored(self.property_counts.select("p").join(named["p"], "p"))
+        if properties.count() <= BROADCAST:
+            properties = F.broadcast(properties)
+        out = self.page_rows.join(named["s"], "s", "left").join(named["o"], "o", "left").join(properties, "p", "left")
         return out.select("seq", "s", "p", "o", "page", "head", "direction", "s_label", "p_label", "o_label")
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> Graph:
         """All tables as Parquet: rows by buckets of their property, sorted for skipping; postings by token.
 
-        Ranges go on behind the property or token, so one with a large share of the rows is cut into many tasks.
+        Ranges go on behind the property or token, so one with a large share of the rows is cut into many tasks.  Tables
+        that follow from saved ones are made from these.  Gives the saved graph.
         """
+        spark = self.facts.sparkSession
         for name in ("facts", "page_rows"):
             order = ("p_bucket", "p", "s", "o")
             table = getattr(self, name).withColumn("p_bucket", property_bucket(F.col("p")))
             table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p_bucket").parquet(f"{path}/{name}")
-        for name, order in (("labels", ["n3"]), ("terms", ["n3"]), ("value_counts", ["p", "o"]), ("linksets", ["target"]), ("postings", ["token", "doc_id", "pos"])):
-            getattr(self, name).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+        saved = Graph(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), self.cfg)
+        for name, order in SORTED.items():
+            # labels may come from triples that are on no page
+            table = self.labels if name == "labels" else getattr(saved, name)
+            table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+            saved.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        return saved
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, cfg: Config | None = None) -> Graph:
         """A saved graph."""
         graph = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), cfg or Config())
-        for name in ("labels", "terms", "value_counts", "linksets", "postings"):
+        for name in SORTED:
             graph.__dict__[name] = spark.read.parquet(f"{path}/{name}")
         return graph
