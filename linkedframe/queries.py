@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkedframe import testmap
-from linkedframe.config import RDF_TYPE, RDFS_LABEL
+from linkedframe.config import RDF_TYPE, RDFS_LABEL, RDFS_NAMESPACES
 from linkedframe.functions import terms as T
 from linkedframe.operators import browse, documents, rewrite, stats
-from linkedframe.operators.pattern import count_by, either, match, nested, optional, po, var
+from linkedframe.operators.pattern import count_by, either, match, nested, optional, po, properties, var
 from linkedframe.plans.graph import Graph
 from linkedframe.sources import results, tables
+from linkedframe.sources.jsonld import read_jsonld
 from linkedframe.testmap import BASE, CONFIG, DC, ONTOLOGY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,9 @@ _WITH = {
     "labels": f"""
       SELECT s AS n3, regexp_extract(max(o), '^"(.*)"[^"]*$', 1) AS label FROM facts
       WHERE p = '{RDFS_LABEL}' AND position('#' in s) = 0 AND starts_with(s, '<') GROUP BY s""",
+    "reach": """
+      SELECT DISTINCT page, o AS node FROM page_rows WHERE starts_with(o, '_:') AND page <> '<BLANK>'
+      UNION SELECT page, o FROM reach JOIN facts ON s = node WHERE starts_with(o, '_:')""",
     "value_counts": "SELECT p, o, label AS obj_label, count(*) AS cnt FROM page_rows LEFT JOIN labels ON n3 = o WHERE head GROUP BY ALL",
 }
 
@@ -38,36 +42,41 @@ def _p(name: str) -> str:
     return f"<{ONTOLOGY}{name}>"
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query on the graph; ``sql`` may use the names of ``_WITH``."""
+def found(g: Graph, subject, steps: list) -> DataFrame:
+    """A pattern in the graph, its steps in order of their number of triples."""
+    return match(g.facts, subject, steps, g.counts_of(properties(steps)))
+
+
+def query(name: str, sql: str | None = None, raw: bool = False):
+    """Registers a query on the saved graph, or on the ``raw`` triples; ``sql`` may use the names of ``_WITH``."""
 
     def add(function: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: function(testmap.graph(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: function((testmap.triples if raw else testmap.graph)(spark, sf_dir))
         if sql:
-            ORACLES[name] = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _WITH.items()) + " " + sql
+            ORACLES[name] = "WITH RECURSIVE " + ", ".join(f"{k} AS {'MATERIALIZED ' if k == 'facts' else ''}({v})" for k, v in _WITH.items()) + " " + sql
         return function
 
     return add
 
 
-@query("a5_triplify", "SELECT s, p, o FROM facts")
-def _(g):
-    return g.facts.select("s", "p", "o")
+@query("a5_triplify", "SELECT s, p, o FROM facts", raw=True)
+def _(triples):
+    return triples
 
 
 @query("b2_subject", f"SELECT o AS x FROM facts WHERE s = '<{BASE}nation/3>' AND p = '{_p('region')}'")
 def _(g):
-    return match(g.facts, f"<{BASE}nation/3>", [po(_p("region"), var("x"))])
+    return found(g, f"<{BASE}nation/3>", [po(_p("region"), var("x"))])
 
 
 @query("b3_object", f"""SELECT s AS x FROM facts WHERE p = '{_p("segment")}' AND o = '"MACHINERY"@en'""")
 def _(g):
-    return match(g.facts, var("x"), [po(_p("segment"), '"MACHINERY"@en')])
+    return found(g, var("x"), [po(_p("segment"), '"MACHINERY"@en')])
 
 
-@query("b5_same", f"SELECT s AS x FROM facts WHERE p = '{_p('nation')}' AND s = o")
+@query("b5_same", f"SELECT s AS x FROM facts WHERE p = '{_p('within')}' AND s = o")
 def _(g):
-    return match(g.facts, var("x"), [po(_p("nation"), var("x"))])
+    return found(g, var("x"), [po(_p("within"), var("x"))])
 
 
 @query("b10_page_filter", "SELECT page, count(*) AS cnt FROM page_rows WHERE page <> '<BLANK>' AND head GROUP BY page")
@@ -77,18 +86,18 @@ def _(g):
 
 @query("j1_star", f"SELECT a.s AS c, a.o AS l, b.o AS n FROM facts a JOIN facts b ON a.s = b.s WHERE a.p = '{RDFS_LABEL}' AND b.p = '{_p('nation')}'")
 def star(g):
-    return match(g.facts, var("c"), [po(RDFS_LABEL, var("l")), po(_p("nation"), var("n"))])
+    return found(g, var("c"), [po(RDFS_LABEL, var("l")), po(_p("nation"), var("n"))])
 
 
 @query("j2_object_list", f"""SELECT a.s AS i FROM facts a JOIN facts b ON a.s = b.s WHERE a.p = '{_p("flag")}' AND b.p = a.p AND a.o = '"A"' AND b.o = '"R"'""")
 def _(g):
-    return match(g.facts, var("i"), [po(_p("flag"), '"A"', '"R"')])
+    return found(g, var("i"), [po(_p("flag"), '"A"', '"R"')])
 
 
 @query("j3_path", f"""SELECT a.s AS c, l.o AS l FROM facts a JOIN facts b ON a.o = b.s JOIN facts l ON l.s = a.s
   WHERE a.p = '{_p("account")}' AND b.p = '{_p("segment")}' AND b.o = '"BUILDING"@en' AND l.p = '{RDFS_LABEL}'""")
 def _(g):
-    return match(g.facts, var("c"), [po(_p("account"), nested([po(_p("segment"), '"BUILDING"@en')])), po(RDFS_LABEL, var("l"))])
+    return found(g, var("c"), [po(_p("account"), nested([po(_p("segment"), '"BUILDING"@en')])), po(RDFS_LABEL, var("l"))])
 
 
 @query("j3_nested_deep", f"""SELECT a.s AS ord, f.o AS customer, d.o AS name, e.o AS size FROM facts a JOIN facts b ON b.s = a.o JOIN facts c ON c.s = a.o
@@ -96,40 +105,40 @@ def _(g):
   WHERE a.p = '{_p("item")}' AND b.p = '{_p("flag")}' AND b.o = '"R"' AND c.p = '{_p("part")}' AND d.p = '{RDFS_LABEL}' AND e.p = '{_p("size")}' AND f.p = '{_p("customer")}'""")
 def deep(g):
     part = nested([po(RDFS_LABEL, var("name")), po(_p("size"), var("size"))])
-    return match(g.facts, var("ord"), [po(_p("customer"), var("customer")), po(_p("item"), nested([po(_p("flag"), '"R"'), po(_p("part"), part)]))]).select("ord", "customer", "name", "size")
+    return found(g, var("ord"), [po(_p("customer"), var("customer")), po(_p("item"), nested([po(_p("flag"), '"R"'), po(_p("part"), part)]))]).select("ord", "customer", "name", "size")
 
 
 @query("j4_repeated", f"""SELECT a.s AS x, a.o AS n FROM facts a JOIN facts b ON a.o = b.o JOIN facts c ON c.o = b.o
   WHERE a.p = '{_p("nation")}' AND b.p = a.p AND b.s = '<{BASE}supplier/1>' AND c.p = a.p AND c.s = a.s""")
 def _(g):
-    mine = match(g.facts, f"<{BASE}supplier/1>", [po(_p("nation"), var("n"))])
-    return match(g.facts, var("x"), [po(_p("nation"), var("n")), po(_p("nation"), var("n"))]).join(mine, "n").select("x", "n")
+    mine = found(g, f"<{BASE}supplier/1>", [po(_p("nation"), var("n"))])
+    return found(g, var("x"), [po(_p("nation"), var("n")), po(_p("nation"), var("n"))]).join(mine, "n").select("x", "n")
 
 
 @query("j5_optional", f"SELECT a.s AS part, a.o AS l, b.o AS size FROM facts a LEFT JOIN (SELECT * FROM facts WHERE p = '{_p('size')}') b ON a.s = b.s WHERE a.p = '{RDFS_LABEL}' AND starts_with(a.s, '<{BASE}part/')")
 def _(g):
-    return match(g.facts, var("part"), [po(RDFS_LABEL, var("l")), optional(po(_p("size"), var("size")))]).where(F.col("part").startswith(f"<{BASE}part/"))
+    return found(g, var("part"), [po(RDFS_LABEL, var("l")), optional(po(_p("size"), var("size")))]).where(F.col("part").startswith(f"<{BASE}part/"))
 
 
 @query("j5_strict", f"SELECT a.s AS part, a.o AS l, b.o AS size FROM facts a JOIN facts b ON a.s = b.s WHERE a.p = '{RDFS_LABEL}' AND b.p = '{_p('size')}'")
 def _(g):
-    return match(g.facts, var("part"), [po(RDFS_LABEL, var("l")), optional(po(_p("size"), var("size")), strict=True)])
+    return found(g, var("part"), [po(RDFS_LABEL, var("l")), optional(po(_p("size"), var("size")), strict=True)])
 
 
 @query("j6_alternatives", f"SELECT s AS x, o AS t FROM facts WHERE p IN ('{RDFS_LABEL}', '<{DC}description>')")
 def _(g):
-    return match(g.facts, var("x"), [either(po(RDFS_LABEL, var("t")), po(f"<{DC}description>", var("t")))])
+    return found(g, var("x"), [either(po(RDFS_LABEL, var("t")), po(f"<{DC}description>", var("t")))])
 
 
 @query("j6_alternatives_nested", f"""SELECT a.s AS x, b.o AS t FROM facts a JOIN facts b ON a.o = b.s WHERE a.p = '{_p("nation")}' AND b.p = '{RDFS_LABEL}'
   UNION ALL SELECT s, o FROM facts WHERE p = '{RDFS_LABEL}'""")
 def _(g):
-    return match(g.facts, var("x"), [either(po(_p("nation"), nested([po(RDFS_LABEL, var("t"))])), po(RDFS_LABEL, var("t")))])
+    return found(g, var("x"), [either(po(_p("nation"), nested([po(RDFS_LABEL, var("t"))])), po(RDFS_LABEL, var("t")))])
 
 
 @query("j7_optional_alternatives", f"""SELECT a.s AS part, b.o AS v FROM facts a LEFT JOIN (SELECT * FROM facts WHERE p IN ('{_p("size")}', '{RDFS_LABEL}')) b ON a.s = b.s WHERE a.p = '{RDF_TYPE}'""")
 def _(g):
-    return match(g.facts, var("part"), [po(RDF_TYPE, var("type")), optional(either(po(_p("size"), var("v")), po(RDFS_LABEL, var("v"))))]).select("part", "v")
+    return found(g, var("part"), [po(RDF_TYPE, var("type")), optional(either(po(_p("size"), var("v")), po(RDFS_LABEL, var("v"))))]).select("part", "v")
 
 
 @query("j8_decode", """SELECT s, p, o, page, head, direction, a.label AS s_label, b.label AS p_label, c.label AS o_label FROM page_rows
@@ -138,33 +147,34 @@ def _(g):
     return g.decoded().drop("seq")
 
 
-@query("j10_closure", f"""SELECT DISTINCT page, b.s, b.p, b.o FROM (SELECT DISTINCT page, o FROM page_rows WHERE starts_with(o, '_:') AND direction = 'forward') x JOIN facts b ON b.s = x.o""")
+@query("j10_closure", """, x AS (SELECT DISTINCT page, o AS node FROM page_rows WHERE starts_with(o, '_:') AND direction = 'forward' UNION SELECT page, o FROM x JOIN facts ON s = node WHERE starts_with(o, '_:'))
+  SELECT DISTINCT page, s, p, o FROM x JOIN facts ON s = node""")
 def _(g):
     starts = g.page_rows.where("direction = 'forward'").select("page", F.col("o").alias("node"))
-    return browse.closure(g, starts).select("page", "s", "p", "o").distinct()
+    return browse.closure(g, starts).select("page", "s", "p", "o")
 
 
-@query("j11_texts", """SELECT s, p, length(t) AS n FROM (
+@query("j11_texts", """SELECT s, p, t AS text FROM (
     SELECT s, p, CASE WHEN starts_with(o, '"') THEN replace(replace(replace(regexp_extract(o, '^"((?s:.*))"[^"]*$', 1), '\\n', chr(10)), '\\"', '"'), '\\\\', '\\')
       WHEN starts_with(o, '<') THEN substr(o, 2, length(o) - 2) ELSE substr(o, 3) END AS t FROM page_rows WHERE direction = 'forward'
     UNION ALL SELECT s, p, label FROM page_rows JOIN labels ON n3 = o WHERE direction = 'forward')""")
 def _(g):
-    return g.texts.select("s", "p", F.length("text").cast("long").alias("n"))
+    return g.texts.select("s", "p", "text")
 
 
 @query("g1_count", f"SELECT count(*) AS c FROM facts WHERE p = '{_p('item')}'")
 def _(g):
-    return count_by(match(g.facts, var("x"), [po(_p("item"), var("i"))]), alias="c")
+    return count_by(found(g, var("x"), [po(_p("item"), var("i"))]), alias="c")
 
 
 @query("g2_count_by", f"SELECT o AS c, count(*) AS n FROM facts WHERE p = '{_p('customer')}' GROUP BY o")
 def _(g):
-    return count_by(match(g.facts, var("x"), [po(_p("customer"), var("c"))]), "c", alias="n")
+    return count_by(found(g, var("x"), [po(_p("customer"), var("c"))]), "c", alias="n")
 
 
 @query("g3_distinct", f"SELECT DISTINCT o AS t FROM facts WHERE p = '{RDF_TYPE}'")
 def _(g):
-    return match(g.facts, var("x"), [po(RDF_TYPE, var("t"))]).select("t").distinct()
+    return found(g, var("x"), [po(RDF_TYPE, var("t"))]).select("t").distinct()
 
 
 @query("g4_value_counts", "SELECT p, o, obj_label, cnt FROM value_counts")
@@ -216,12 +226,12 @@ def _(g):
 
 @query("o1_sorted", f"SELECT s AS x, o AS l FROM facts WHERE p = '{RDFS_LABEL}' ORDER BY o DESC, s LIMIT 25 OFFSET 10")
 def _(g):
-    return match(g.facts, var("x"), [po(RDFS_LABEL, var("l"))]).orderBy(F.desc("l"), "x").offset(10).limit(25)
+    return found(g, var("x"), [po(RDFS_LABEL, var("l"))]).orderBy(F.desc("l"), "x").offset(10).limit(25)
 
 
 @query("s2_page_rows", "SELECT s, p, o, page, head, direction FROM page_rows")
 def _(g):
-    return g.page_rows.drop("seq")
+    return g.page_rows.drop("seq", "p_bucket")
 
 
 @query("f1_term_parts", """SELECT DISTINCT o AS n3, CASE WHEN starts_with(o, '<') THEN 'uri' WHEN starts_with(o, '_:') THEN 'bnode' ELSE 'literal' END AS type,
@@ -256,6 +266,17 @@ def _(g):
 _MAGIC = "upper(substr({0}, 1, 1)) || substr({0}, 2)".format("replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')")
 
 
+def _named(uri: str, label: str = "NULL") -> str:
+    """The display of a URI term, whose label may be known."""
+    inner = f"substr({uri}, 2, length({uri}) - 2)"
+    cases = [f"WHEN starts_with({uri}, '<{BASE}') THEN coalesce({label}, {_MAGIC.format(f'substr({inner}, {len(BASE) + 1})')})"]
+    cases += [f"WHEN starts_with({uri}, '<{ns}') THEN {_MAGIC.format(f'substr({inner}, {len(ns) + 1})')}" for ns, _ in RDFS_NAMESPACES.values()]
+    return f"CASE {' '.join(cases)} ELSE {inner} END"
+
+
+_UNESCAPED = """replace(replace(replace(regexp_extract({0}, '^"((?s:.*))"[^"]*$', 1), '\\n', chr(10)), '\\"', '"'), '\\\\', '\\')"""
+
+
 @query("f15_display", f"""SELECT DISTINCT s, coalesce(label, page) AS plain, coalesce(label, {_MAGIC.format("page")}) AS pretty
   FROM (SELECT s, substr(s, 24, length(s) - 24) AS page FROM facts WHERE starts_with(s, '<{BASE}')) x LEFT JOIN labels ON n3 = s""")
 def _(g):
@@ -280,7 +301,7 @@ def _(g):
 
 
 _LOOKUP = """SELECT DISTINCT page, s, p, o FROM page_rows WHERE page <> '<BLANK>'
-  UNION SELECT page, b.s, b.p, b.o FROM page_rows x JOIN facts b ON b.s = x.o WHERE starts_with(x.o, '_:') AND x.page <> '<BLANK>'"""
+  UNION SELECT page, s, p, o FROM reach JOIN facts ON s = node"""
 
 
 @query("h1_lookup", _LOOKUP)
@@ -289,7 +310,7 @@ def lookup_all(g):
 
 
 @query("h2_summary", f"""SELECT page, s, p, o FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY s, p, o) AS k FROM page_rows
-  WHERE head AND p IN ({", ".join(f"'{f}'" for f in CONFIG.facets)})) WHERE k <= 20""")
+  WHERE head AND p IN ({", ".join(f"'{f.prop}'" for f in CONFIG.all_facets)})) WHERE k <= 20""")
 def _(g):
     return browse.summarize(g).drop("seq")
 
@@ -347,11 +368,39 @@ def _(g):
     return browse.label_of(g, g.page_rows.where(F.col("page") != T.BLANK_PAGE))
 
 
-@query("h8_documents", """SELECT page, s, count(DISTINCT p) FILTER (NOT (head AND p = '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' AND o = class)) AS n_properties
-  FROM page_rows LEFT JOIN (SELECT page, min(o) AS class FROM page_rows WHERE head AND p = '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' GROUP BY page) USING (page)
-  WHERE direction = 'forward' GROUP BY page, s""")
+def _pairs_sql(depth: int) -> str:
+    """The property-value pairs of blank nodes as text, by (node, pairs)."""
+    nested = "NULL::VARCHAR" if depth == 1 else "x.pairs"
+    join = "" if depth == 1 else f" LEFT JOIN ({_pairs_sql(depth - 1)}) x ON x.node = f.o"
+    return f"""SELECT s AS node, string_agg(DISTINCT p || ' ' || f.o || coalesce('(' || {nested} || ')', ''), ' ' ORDER BY p || ' ' || f.o || coalesce('(' || {nested} || ')', '')) AS pairs
+      FROM facts f{join} WHERE starts_with(s, '_:') GROUP BY s"""
+
+
+def _pairs(column: str, depth: int) -> str:
+    """The same from nested columns."""
+    inner = "" if depth == 1 else f", coalesce(concat('(', {_pairs(f'x{depth}.nested', depth - 1)}, ')'), '')"
+    return f"array_join(array_sort(array_distinct(transform({column}, x{depth} -> concat(x{depth}.p, ' ', x{depth}.value{inner})))), ' ')"
+
+
+_CLASSES = f"(SELECT page, min(o) AS class FROM page_rows WHERE head AND p = '{RDF_TYPE}' GROUP BY page)"
+
+
+@query("h8_documents", f"""
+  , own AS (SELECT r.*, class, l.label AS s_label, v.label AS o_label, pairs FROM page_rows r LEFT JOIN {_CLASSES} c USING (page) LEFT JOIN labels l ON l.n3 = s LEFT JOIN labels v ON v.n3 = o
+    LEFT JOIN ({_pairs_sql(3)}) n ON n.node = o WHERE direction = 'forward'),
+  subjects AS (SELECT DISTINCT page, s, {_named('s', 's_label')} AS label, CASE WHEN head THEN class END AS class FROM own)
+  SELECT u.*, {_named('p')} AS p_display, x.p, x.term, x.display, x.nested, x.inverse FROM subjects u JOIN (
+    SELECT DISTINCT page, s, p, o AS term, CASE WHEN starts_with(o, '<') THEN {_named('o', 'o_label')} WHEN starts_with(o, '"') THEN {_UNESCAPED.format('o')} ELSE '' END AS display, pairs AS nested, false AS inverse
+    FROM own WHERE NOT (head AND p = '{RDF_TYPE}' AND o = class)
+    UNION ALL SELECT DISTINCT page, o, p, s, NULL, NULL, true FROM page_rows WHERE direction = 'inverse' AND split_part(substr(s, {len(BASE) + 2}, length(s) - {len(BASE) + 2}), '#', 1) <> page
+  ) x ON x.page = u.page AND x.s = u.s""")
 def _(g):
-    return documents.page_documents(g).select("page", "s", F.coalesce(F.size("properties"), F.lit(0)).cast("long").alias("n_properties"))
+    rows = documents.page_documents(g)
+    value = F.transform("x.values", lambda v: F.struct(v["term"].alias("term"), v["display"].alias("display"), v["nested"].alias("nested")))
+    own = rows.select("page", "s", "label", "class", F.explode("properties").alias("x")).select("page", "s", "label", "class", "x.p", F.col("x.display").alias("p_display"), F.explode(value).alias("v"))
+    own = own.select("page", "s", "label", "class", "p", "p_display", "v.term", "v.display", F.expr(_pairs("v.nested", 3)).alias("nested"), F.lit(False).alias("inverse"))
+    back = rows.select("page", "s", "label", "class", F.explode("inverses").alias("x")).select("page", "s", "label", "class", "x.p", F.col("x.display").alias("p_display"), F.explode("x.subjects").alias("term"))
+    return own.unionByName(back.withColumn("inverse", F.lit(True)), allowMissingColumns=True)
 
 
 @query("h9_class", f"SELECT page, min(o) AS class FROM page_rows WHERE head AND p = '{RDF_TYPE}' GROUP BY page")
@@ -364,39 +413,90 @@ def _(g):
     return browse.titles(g)
 
 
-@query("h11_facet_panel", f"""SELECT p, o, substr(label, 1, 100) AS label, cnt, rank, n > 20 AS more FROM (
+@query("h11_facet_panel", f"""SELECT p, CASE WHEN p = '{RDF_TYPE}' THEN 'Kind' ELSE {_named('p')} END AS name, o, substr(label, 1, 100) AS label, cnt, rank, n > 20 AS more FROM (
     SELECT p, o, cnt, row_number() OVER (PARTITION BY p ORDER BY cnt DESC, o)::INT AS rank, count(*) OVER (PARTITION BY p) AS n,
       CASE WHEN starts_with(o, '"') THEN regexp_extract(o, '^"(.*)"[^"]*$', 1) ELSE coalesce(obj_label, {_MAGIC.format("substr(o, 24, length(o) - 24)")}) END AS label
-    FROM value_counts WHERE p IN ({", ".join(f"'{f}'" for f in CONFIG.facets)})) WHERE rank <= 20""")
+    FROM value_counts WHERE p IN ('{RDFS_LABEL}', '{RDF_TYPE}', '{_p("segment")}')) WHERE rank <= 20""")
 def _(g):
     return browse.facet_panel(g)
 
 
-@query("h12_description", f"""SELECT p, o FROM (
-    SELECT '<http://rdfs.org/ns/void#triples>' AS p, '"' || count(*) || '"^^<{T.XSD}integer>' AS o FROM facts
-    UNION ALL SELECT '<http://rdfs.org/ns/void#triples>', '"' || count(*) || '"^^<{T.XSD}integer>' FROM facts
-    UNION ALL SELECT '<http://rdfs.org/ns/void#triples>', '"' || count(*) || '"^^<{T.XSD}integer>' FROM {_LINKS} GROUP BY target
-    UNION ALL SELECT DISTINCT '<http://rdfs.org/ns/void#target>', '<' || target || '>' FROM {_LINKS})""")
+_VOID, _DCAT = "http://rdfs.org/ns/void#", "http://www.w3.org/ns/dcat#"
+
+
+@query("h12_description", f"""
+  , sets AS (SELECT target, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, target) AS n FROM {_LINKS} GROUP BY target),
+  named AS (SELECT *, '<{BASE}description#LinkSet-' || n || '>' AS link FROM sets)
+  SELECT '<{BASE}description' || s AS s, '<' || p || '>' AS p, o FROM (VALUES
+    ('>', '{testmap.RDF}type', '<{_DCAT}Dataset>'), ('>', '{testmap.RDF}type', '<{_VOID}Dataset>'), ('>', '{_DCAT}title', '"Dataset"@en'), ('>', '{testmap.LABEL}', '"Dataset"@en'),
+    ('>', '{_DCAT}landingPage', '<{BASE}>'), ('>', '{DC}language', '"en"'), ('>', '{_VOID}rootResource', '<{BASE}resources>'), ('>', 'http://www.w3.org/ns/odrl/2/license', '<{BASE}license>'),
+    ('>', '{_VOID}sparqlEndpoint', '<{BASE}query>'), ('>', '{_DCAT}distribution', '<{BASE}description#Dump>'), ('#Dump>', '{testmap.RDF}type', '<{_DCAT}Distribution>'),
+    ('#Dump>', '{_DCAT}downloadURL', '<{BASE}dump.nt.gz>'), ('#Dump>', '{DC}format', '"application/x-gzip"')) v(s, p, o)
+  UNION ALL SELECT unnest(['<{BASE}description>', '<{BASE}description#Dump>']), '<{_VOID}triples>', '"' || count(*) || '"^^<{T.XSD}integer>' FROM facts
+  UNION ALL SELECT '<{BASE}description>', '<{_VOID}exampleResource>', '<{BASE}' || min(page) || '>' FROM page_rows WHERE head
+  UNION ALL SELECT '<{BASE}description>', '<{_VOID}subset>', link FROM named
+  UNION ALL SELECT link, '{RDF_TYPE}', '<{_VOID}LinkSet>' FROM named
+  UNION ALL SELECT link, '<{_VOID}subjectsTarget>', '<{BASE}description>' FROM named
+  UNION ALL SELECT link, '<{_VOID}target>', '<' || target || '>' FROM named
+  UNION ALL SELECT link, '<{_VOID}triples>', '"' || cnt || '"^^<{T.XSD}integer>' FROM named""")
 def _(g):
-    return stats.describe_dataset(g).where(F.col("p").isin("<http://rdfs.org/ns/void#triples>", "<http://rdfs.org/ns/void#target>")).select("p", "o")
+    return stats.describe_dataset(g)
 
 
-@query("h13_decorated", f"""SELECT substr(s, 2, length(s) - 2) AS uri, regexp_extract(o, '^"(.*)"[^"]*$', 1) AS value, nullif(regexp_extract(o, '"@([a-z-]+)$', 1), '') AS lang FROM facts WHERE p = '{RDFS_LABEL}'""")
+_DECORATED = ("uri", "display", "value", "lang", "datatype", "bnode")
+
+
+def _cell_sql(column: str, kind: str) -> str:
+    """The six fields of a cell, of which its kind of term has some."""
+    have = {
+        "uri": {"uri": f"substr({column}, 2, length({column}) - 2)", "display": _named(column)},
+        "literal": {
+            "value": _UNESCAPED.format(column),
+            "lang": f"""nullif(regexp_extract({column}, '"@([a-z-]+)$', 1), '')""",
+            "datatype": f"""nullif(regexp_extract({column}, '"\\^\\^<([^<>"]*)>$', 1), '')""",
+        },
+        "bnode": {"bnode": f"substr({column}, 3)"},
+    }[kind]
+    return ", ".join(f"{have.get(f, 'NULL::VARCHAR')} AS {column}_{f}" for f in _DECORATED)
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return results.decorate(df, CONFIG).select(*[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in df.columns for f in _DECORATED])
+
+
+@query("h13_decorated", f"SELECT {_cell_sql('x', 'uri')}, {_cell_sql('l', 'literal')} FROM (SELECT s AS x, o AS l FROM facts WHERE p = '{RDFS_LABEL}')")
 def _(g):
-    rows = results.decorate(match(g.facts, var("x"), [po(RDFS_LABEL, var("l"))]), CONFIG)
-    return rows.select(F.col("x.uri").alias("uri"), F.col("l.value").alias("value"), F.col("l.lang").alias("lang"))
+    return _cells(found(g, var("x"), [po(RDFS_LABEL, var("l"))]))
 
 
-@query("h14_resources_with", f"SELECT DISTINCT s FROM facts WHERE p = '{_p('nation')}' AND o = '<{BASE}nation/5>' ORDER BY s LIMIT 100")
+@query("h13_decorated_items", f"""SELECT {_cell_sql('x', 'uri')}, {_cell_sql('i', 'bnode')}, {_cell_sql('d', 'literal')}
+  FROM (SELECT a.s AS x, a.o AS i, b.o AS d FROM facts a JOIN facts b USING (s) WHERE a.p = '{_p("item")}' AND b.p = '<{testmap.DCT}issued>')""")
+def _(g):
+    return _cells(found(g, var("x"), [po(_p("item"), var("i")), po(f"<{testmap.DCT}issued>", var("d"))]))
+
+
+@query("h14_resources_with", f"SELECT DISTINCT s, false AS more FROM facts WHERE p = '{_p('nation')}' AND o = '<{BASE}nation/5>'")
 def _(g):
     return browse.resources_with(g, _p("nation"), f"<{BASE}nation/5>")
 
 
+@query("h14_resources_page", f"SELECT s, total > 13 AS more FROM (SELECT s, count(*) OVER () AS total FROM (SELECT DISTINCT s FROM facts WHERE p = '{_p('nation')}' AND o = '<{BASE}nation/5>')) ORDER BY s LIMIT 10 OFFSET 3")
+def _(g):
+    return browse.resources_with(g, _p("nation"), f"<{BASE}nation/5>", limit=10, offset=3)
+
+
 @query("h7_jsonld")
 def jsonld(g):
     return documents.export_jsonld(g)
 
 
+@query("h7_jsonld_triples", f"""SELECT page, CASE WHEN starts_with(s, '_:') THEN '_:' ELSE s END AS s, p, CASE WHEN starts_with(o, '_:') THEN '_:' ELSE o END AS o FROM ({_LOOKUP})""")
+def _(g):
+    # names of blank nodes hold within a document and are not those of the graph
+    blank = {c: F.when(F.col(c).startswith("_:"), "_:").otherwise(F.col(c)).alias(c) for c in ("s", "o")}
+    return read_jsonld(documents.export_jsonld(g)).select("page", blank["s"], "p", blank["o"])
+
+
 @query("r1_tag_labels", f"""SELECT s, p, CASE WHEN p = '{RDFS_LABEL}' THEN replace(o, '\\u', 'u') || '@' || substr(s, 24, 2) ELSE o END AS o FROM facts
   UNION ALL SELECT s, '{rewrite.LANGUAGE}', '"' || substr(s, 24, 2) || '"' FROM facts WHERE p = '{RDFS_LABEL}'""")
 def _(g):
@@ -419,4 +519,4 @@ def _(g):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their label and nation, in order."""
     g = testmap.graph(spark, sf_dir)
-    return match(g.facts, var("c"), [po(RDFS_LABEL, var("l")), po(_p("nation"), var("n")), po(_p("account"), var("a"))]).select("c", "l", "n").orderBy("c")
+    return found(g, var("c"), [po(RDFS_LABEL, var("l")), po(_p("nation"), var("n")), po(_p("account"), var("a"))]).select("c", "l", "n").orderBy("c")

@@ -7,29 +7,43 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkedframe.config import RDF, RDFS, Config
+from linkedframe.config import RDF, RDFS, Config, Facet
+from linkedframe.operators.stats import numbered
 from linkedframe.plans.graph import Graph
 from linkedframe.sources.tables import Mapped, triplify
+from linkedframe.storage import shared_folder
 
 BASE = "http://localhost:8080/"
 ONTOLOGY = f"{BASE}ontology#"
 DC, DCT, XSD = "http://purl.org/dc/elements/1.1/", "http://purl.org/dc/terms/", "http://www.w3.org/2001/XMLSchema#"
 LABEL = RDFS + "label"
 
-CONFIG = Config(facets=(f"<{LABEL}>", f"<{RDF}type>", f"<{ONTOLOGY}segment>", f"<{ONTOLOGY}flag>"))
+# How the fixture's links are counted.
+LINKED_SETS = ("http://dbpedia.org/",)
+NOT_LINKED = ("http://www.w3.org/", "http://purl.org/dc/", "http://xmlns.org/", "http://rdfs.org/", "http://schema.org/")
+
+CONFIG = Config(
+    facets=(Facet(f"<{LABEL}>"), Facet(f"<{RDF}type>", "Kind"), Facet(f"<{ONTOLOGY}segment>"), Facet(f"<{ONTOLOGY}flag>", listed=False)),
+    linked_sets=LINKED_SETS,
+    not_linked=NOT_LINKED,
+    no_inverse=(BASE + "ontology",),
+)
+
+_saved: dict[tuple[str, str], str] = {}
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, s, p, o), each triple once; ``seq`` is the triple itself, since tables have no source order."""
+    """(s, p, o), each triple once."""
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     orders = table("orders").withColumn("day", F.col("o_orderdate").cast("date").cast("string"))
-    items = table("lineitem").select("l_orderkey", "l_partkey", "l_returnflag", F.concat(F.lit("_:i"), "l_orderkey", F.lit("x"), "l_linenumber").alias("item"))
+    items = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.concat(F.lit("_:i"), "l_orderkey", F.lit("x"), "l_linenumber").alias("item"))
     part = table("part").withColumn("size", F.when(F.col("p_size") > 25, F.col("p_size")))
     parts = [
-        triplify(table("region"), BASE + "region/{r_regionkey}", [Mapped("r_name", LABEL)]),
+        triplify(table("region"), BASE + "region/{r_regionkey}", [Mapped("r_name", LABEL), Mapped("r_regionkey", ONTOLOGY + "within", uri=BASE + "region/{}")]),
+        triplify(table("nation"), BASE + "nation/{n_nationkey}", [Mapped("n_regionkey", ONTOLOGY + "within", uri=BASE + "region/{}")]),
         triplify(
             table("nation"),
             BASE + "nation/{n_nationkey}",
@@ -45,17 +59,27 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         triplify(part, BASE + "part/{p_partkey}", [Mapped("p_name", LABEL, lang="en"), Mapped("p_type", RDF + "type", uri=ONTOLOGY + "{}"), Mapped("size", ONTOLOGY + "size", datatype=XSD + "integer")]),
         triplify(orders, BASE + "orders/{o_orderkey}", [Mapped("o_custkey", ONTOLOGY + "customer", uri=BASE + "customer/{}"), Mapped("day", DCT + "issued", datatype=XSD + "date")]),
         triplify(items, BASE + "orders/{l_orderkey}", [Mapped("item", ONTOLOGY + "item", term=True)]),
+        triplify(items.where("l_returnflag = 'R'"), BASE + "orders/{l_orderkey}", [Mapped("item", ONTOLOGY + "returned", term=True)]),
+        triplify(items.where("l_linenumber = 1"), BASE + "part/{l_partkey}", [Mapped("item", ONTOLOGY + "example", term=True)]),
+        triplify(items.where("l_linenumber > 1"), F.concat(F.lit("_:i"), "l_orderkey", F.lit("x"), F.col("l_linenumber") - 1), [Mapped("item", ONTOLOGY + "next", term=True)]),
         triplify(items, F.col("item"), [Mapped("l_partkey", ONTOLOGY + "part", uri=BASE + "part/{}"), Mapped("l_returnflag", ONTOLOGY + "flag")]),
         triplify(table("pages"), BASE + "page/{page_id}", [Mapped("url", DC + "source", uri="{}")]),
         triplify(table("documents"), BASE + "doc/{doc_id}", [Mapped("text", DC + "description", lang_column="lang")]),
     ]
-    rows = reduce(DataFrame.union, parts).distinct()
-    return rows.select(F.struct("s", "p", "o").alias("seq"), "s", "p", "o")
+    return reduce(DataFrame.union, parts).distinct()
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The tables as a graph.  Their URIs are right as they are."""
-    return Graph.load(triples(spark, sf_dir), CONFIG, repair=False)
+    """The tables as a saved graph, made when a session first asks for it.
+
+    Tables have no source order, so triples are numbered in their own.  Their URIs are right as they are.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        path = f"{shared_folder(spark)}/graph-{len(_saved)}"
+        Graph.load(numbered(triples(spark, sf_dir), F.col("s"), F.col("p"), F.col("o")).withColumnRenamed("n", "seq"), CONFIG, repair=False).save(path)
+        _saved[key] = path
+    return Graph.open(spark, _saved[key], CONFIG)
 
 
 def _sql() -> str:
@@ -71,6 +95,8 @@ def _sql() -> str:
     item = "concat('_:i', l_orderkey, 'x', l_linenumber)"
     rows = [
         ("region", uri(BASE + "region/", "r_regionkey"), LABEL, literal("r_name")),
+        ("region", uri(BASE + "region/", "r_regionkey"), ONTOLOGY + "within", uri(BASE + "region/", "r_regionkey")),
+        ("nation", uri(BASE + "nation/", "n_nationkey"), ONTOLOGY + "within", uri(BASE + "region/", "n_regionkey")),
         ("nation", uri(BASE + "nation/", "n_nationkey"), LABEL, literal("n_name", "@en")),
         ("nation", uri(BASE + "nation/", "n_nationkey"), ONTOLOGY + "region", uri(BASE + "region/", "n_regionkey")),
         ("nation", uri(BASE + "nation/", "n_nationkey"), RDFS + "seeAlso", uri("http://dbpedia.org/resource/", "n_name")),
@@ -86,6 +112,9 @@ def _sql() -> str:
         ("orders", uri(BASE + "orders/", "o_orderkey"), ONTOLOGY + "customer", uri(BASE + "customer/", "o_custkey")),
         ("orders", uri(BASE + "orders/", "o_orderkey"), DCT + "issued", literal("CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10))", f"^^<{XSD}date>")),
         ("lineitem", uri(BASE + "orders/", "l_orderkey"), ONTOLOGY + "item", item),
+        ("lineitem WHERE l_returnflag = 'R'", uri(BASE + "orders/", "l_orderkey"), ONTOLOGY + "returned", item),
+        ("lineitem WHERE l_linenumber = 1", uri(BASE + "part/", "l_partkey"), ONTOLOGY + "example", item),
+        ("lineitem WHERE l_linenumber > 1", "concat('_:i', l_orderkey, 'x', l_linenumber - 1)", ONTOLOGY + "next", item),
         ("lineitem", item, ONTOLOGY + "part", uri(BASE + "part/", "l_partkey")),
         ("lineitem", item, ONTOLOGY + "flag", literal("l_returnflag")),
         ("pages", uri(BASE + "page/", "page_id"), DC + "source", uri("", "url")),

@@ -2,7 +2,10 @@
 
 import gzip
 import json
+import random
+from dataclasses import replace
 from datetime import date
+from xml.etree import ElementTree
 
 import duckdb
 import pytest
@@ -11,34 +14,40 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkedframe import queries
-from linkedframe.config import RDF_TYPE, RDFS_LABEL, Config
+from linkedframe.config import RDF_TYPE, RDFS_LABEL, Config, Facet
 from linkedframe.functions import terms as T
 from linkedframe.operators import browse, documents, rewrite, stats
 from linkedframe.operators.pattern import check_limit, count_by, either, exists, match, nested, optional, page_of_results, po, var, variables
 from linkedframe.plans.graph import Graph
-from linkedframe.sources import ntriples, results, tables
+from linkedframe.sources import jsonld, ntriples, results, tables
 
 SF = "/root/testdata/sf0.001"
 B = "http://localhost:8080/"
 DC = "http://purl.org/dc/elements/1.1/"
 SEE = "<http://www.w3.org/2000/01/rdf-schema#seeAlso>"
-CFG = Config(facets=(RDFS_LABEL, f"<{DC}language>"))
+CFG = Config(
+    labels=(RDFS_LABEL, f"<{DC}title>"),
+    facets=(RDFS_LABEL, f"<{DC}language>"),
+    linked_sets=("http://dbpedia.org/",),
+    not_linked=("http://www.w3.org/",),
+    no_inverse=(f"{B}ontology",),
+)
 EXAMPLE = [
-    (f"<{B}data/example>", RDFS_LABEL, '"Beispiel"@de'),
-    (f"<{B}data/example>", RDFS_LABEL, '"Example with English text"@en'),
-    (f"<{B}data/example>", f"<{B}ontology#link>", f"<{B}data/example2>"),
-    (f"<{B}data/example>", SEE, "<http://dbpedia.org/resource/Example>"),
-    (f"<{B}data/example2>", RDFS_LABEL, '"Beispiel"@de'),
-    (f"<{B}data/example2>", f"<{DC}creator>", f"<{B}data/example2#author>"),
-    (f"<{B}data/example2#author>", f"<{DC}title>", '"John McCrae"'),
-    (f"<{B}data/example2>", f"<{DC}language>", '"English"'),
-    (f"<{B}data/saldo/bosättningsstopp..nn.1>", RDFS_LABEL, '"bosättningsstopp ☺ ✓"@sv'),
-    (f"<{B}data/example2>", f"<{B}ontology#part>", "_:b1"),
+    (f"<{B}town/lindau>", RDFS_LABEL, '"Seestadt"@de'),
+    (f"<{B}town/lindau>", RDFS_LABEL, '"Town by the lake"@en'),
+    (f"<{B}town/lindau>", f"<{B}ontology#link>", f"<{B}town/bregenz>"),
+    (f"<{B}town/lindau>", SEE, "<http://dbpedia.org/resource/Example>"),
+    (f"<{B}town/bregenz>", RDFS_LABEL, '"Seestadt"@de'),
+    (f"<{B}town/bregenz>", f"<{DC}creator>", f"<{B}town/bregenz#mayor>"),
+    (f"<{B}town/bregenz#mayor>", f"<{DC}title>", '"Ada Quill"'),
+    (f"<{B}town/bregenz>", f"<{DC}language>", '"German"'),
+    (f"<{B}town/färja..nn.1>", RDFS_LABEL, '"färja ☺ ✓"@sv'),
+    (f"<{B}town/bregenz>", f"<{B}ontology#part>", "_:b1"),
     ("_:b1", f"<{B}ontology#next>", "_:b2"),
     ("_:b2", f"<{B}ontology#next>", "_:b1"),
-    ("<http://other.org/x>", SEE, f"<{B}data/example>"),
+    ("<http://other.org/x>", SEE, f"<{B}town/lindau>"),
     ("<http://other.org/x>", SEE, "<http://other.org/y>"),
-    (f"<{B}data/example>", RDF_TYPE, f"<{B}ontology#Thing>"),
+    (f"<{B}town/lindau>", RDF_TYPE, f"<{B}ontology#Thing>"),
 ]
 
 
@@ -85,8 +94,8 @@ def test_term_parts(spark, n3, kind, value, lang, datatype):
     [
         (T.unescape_unicode, "m\\u00fcll \\n", "müll \\n"),
         (T.literal_display, "a\\nb\\\\c\\\"", 'a\nb\\c"'),
-        (T.safe_uri, "http://x/LexicalEntry-Agen%3Fie+de+aprovizionare", "http://x/LexicalEntry-Agen%3Fie+de+aprovizionare"),
-        (T.safe_uri, "http://x/bos%C3%A4ttningsstopp..nn.1", "http://x/bosättningsstopp..nn.1"),
+        (T.safe_uri, "http://x/Entry-Ag%3Fe+de+aqua", "http://x/Entry-Ag%3Fe+de+aqua"),
+        (T.safe_uri, "http://x/f%C3%A4rjel%C3%A4ge..nn.1", "http://x/färjeläge..nn.1"),
         (T.safe_uri, "http://x/a b%zz", "http://x/a+b%zz"),
         (T.safe_uri, 'http://x/"{a}"%2F%41', "http://x/%22%7Ba%7D%22%2FA"),
         (T.safe_path, 'a "b"', "a+%22b%22"),
@@ -110,8 +119,31 @@ def test_functions(spark, function, given, expected):
     assert one(spark, function("x"), x=given) == expected
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("x" * 1_000_000, "x" * 1_000_000),
+        ('\\"' * 500_000, '"' * 500_000),
+        ("\\u00e9" * 100_000, "é" * 100_000),
+        ("\\uD83D\\uDE00" * 50_000, "😀" * 50_000),
+        ("\\U0001F600 " * 50_000, "😀 " * 50_000),
+        ("\\u00e9x" * 50_000, "éx" * 50_000),
+        ('"@de ' * 100_000, None),
+    ],
+)
+def test_long_literals(spark, text, value):
+    line = f'<http://a> <http://p> "{text}"@en .'
+    lines = spark.createDataFrame([(0, line)], "seq long, value string")
+    found = ntriples.parse_lines(lines, "permissive").select("_corrupt", T.term_value("o").alias("v"), T.literal_display(F.lit(text)).alias("shown")).first()
+    if value is None:  # quotation marks inside
+        assert found["_corrupt"] == line
+    else:
+        assert found["v"] == found["shown"] == value
+    assert len(one(spark, T.safe_uri("x"), x="http://x/" + "é%41 " * 50_000)) > 100_000
+
+
 def test_configured_functions(spark):
-    cfg = Config(prefixes={"ex": "http://ex.org/"}, prop_names={"http://forced/": "Forced"})
+    cfg = replace(CFG, prefixes={"ex": "http://ex.org/"}, prop_names={"http://forced/": "Forced"})
     assert one(spark, T.page_of("x", cfg), x=f"{B}test#test") == "test"
     assert one(spark, T.name("p", "f", cfg), p="test", f="test") == f"<{B}test#test>"
     assert one(spark, T.name("p", "f", cfg), p="<BLANK>", f="z") == "_:z"
@@ -160,7 +192,7 @@ def test_ntriples_modes(spark, tmp_path):
 
 
 def test_ntriples_round_trip(spark, tmp_path):
-    odd = [("<http://a>", "<http://p>", o) for o in ('"a ^^ \\"@ b"@de', '"x\\ny\\r\\\\"', '"☺ 😀"', '""^^<http://t>', "_:b")]
+    odd = [("<http://a>", "<http://p>", o) for o in (f'"{"y" * 100_000}"', f'"{"z" * 9}{chr(92)}{chr(34)}"', '"a ^^ \\"@ b"@de', '"x\\ny\\r\\\\"', '"☺ 😀"', '""^^<http://t>', "_:b")]
     facts = frame(spark, EXAMPLE + odd)
     ntriples.write_ntriples(facts, str(tmp_path / "out"))
     assert rows(ntriples.read_ntriples(spark, str(tmp_path / "out")), "s", "p", "o") == rows(facts, "s", "p", "o")
@@ -183,24 +215,35 @@ def test_tables(spark, tmp_path):
     assert rows(tables.query(spark, "SELECT 1 AS x")) == [(1,)]
 
 
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(i, f"name {i}", i * 0.5, date(2024, 1, 1 + i % 28)) for i in range(100)], "id int, name string, x double, day date")
+    tables.write_jdbc(df, url, "things", batch=7)
+    tables.write_jdbc(df.where("id < 3"), url, "things")
+    found = tables.read_jdbc(spark, url, "things", "id long, name string, x double, day date", key="id", bounds=(0, 100), parts=4)
+    assert found.schema["id"].dataType.simpleString() == "bigint" and found.rdd.getNumPartitions() == 4
+    assert rows(found, "id", "name", "x", "day") == sorted([tuple(r) for r in df.collect()] + [tuple(r) for r in df.where("id < 3").collect()], key=repr)
+    assert tables.read_jdbc(spark, url, "things", "x double").where("id = 5").first()["x"] == 2.5
+
+
 # load rules
 
 
 def test_load_rules(graph):
     found = {(r["s"], r["p"], r["o"], r["direction"]): (r["page"], r["head"]) for r in graph.page_rows.collect()}
     e = [tuple(x) for x in EXAMPLE]
-    assert found[(*e[0], "forward")] == ("data/example", True)
-    assert found[(*e[6], "forward")] == ("data/example2", False)
-    assert found[(*e[2], "inverse")] == ("data/example2", False)
-    assert found[(*e[12], "inverse")] == ("data/example", False)
+    assert found[(*e[0], "forward")] == ("town/lindau", True)
+    assert found[(*e[6], "forward")] == ("town/bregenz", False)
+    assert found[(*e[2], "inverse")] == ("town/bregenz", False)
+    assert found[(*e[12], "inverse")] == ("town/lindau", False)
     assert (*e[12], "forward") not in found and not any(k[:3] == e[13] for k in found)
     assert found[(*e[10], "blank")] == ("<BLANK>", False)
     assert (*e[14], "inverse") not in found  # objects in the ontology get no backlinks
     assert graph.facts.count() == len(EXAMPLE) - 1
     assert Graph.load(graph.source.union(graph.source), CFG, dedupe=True).facts.count() == graph.facts.count()
-    assert dict(rows(graph.labels))[f"<{B}data/example>"] == "Example with English text"
+    assert dict(rows(graph.labels))[f"<{B}town/lindau>"] == "Town by the lake"
     assert rows(graph.linksets) == [("http://dbpedia.org/", 1)]
-    assert (RDFS_LABEL, '"Beispiel"@de', None, 2) in rows(graph.value_counts)
+    assert (RDFS_LABEL, '"Seestadt"@de', None, 2) in rows(graph.value_counts)
     assert {r["n3"] for r in graph.terms.collect()} == {x for t in graph.facts.select("s", "p", "o").collect() for x in t}
 
 
@@ -209,7 +252,7 @@ def test_save_and_open(spark, graph, tmp_path):
     again = Graph.open(spark, str(tmp_path / "g"), CFG)
     for name in ("labels", "terms", "value_counts", "linksets"):
         assert rows(getattr(again, name)) == rows(getattr(graph, name))
-    assert again.facts.count() == graph.facts.count() and rows(browse.search(again, "english")) == rows(browse.search(graph, "english"))
+    assert again.facts.count() == graph.facts.count() and rows(browse.search(again, "lake")) == rows(browse.search(graph, "lake"))
     pattern = [po(RDFS_LABEL, var("l")), optional(po(f"<{DC}language>", var("n")))]
     found = match(again.facts, var("s"), pattern)
     assert rows(found) == rows(match(graph.facts, var("s"), pattern)) != []
@@ -219,6 +262,14 @@ def test_save_and_open(spark, graph, tmp_path):
     assert rows(browse.summarize(again)) == rows(browse.summarize(graph)) and rows(browse.class_of(again)) == rows(browse.class_of(graph))
 
 
+def test_counts_and_decoded(spark, graph, tmp_path):
+    saved = graph.save(str(tmp_path / "g"))
+    assert dict(rows(saved.property_counts))[RDFS_LABEL] == 4 == saved.counts_of([RDFS_LABEL, "<http://none>"])[RDFS_LABEL]
+    assert rows(saved.decoded().drop("seq")) == rows(graph.decoded().drop("seq"))
+    plan = saved.decoded()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p#" not in plan
+
+
 # patterns
 
 FOO, BAR, BAZ = "<http://foo>", "<http://bar>", "<http://baz>"
@@ -287,33 +338,83 @@ def test_counts_and_pages(small):
 
 
 def test_lookup_and_closure(graph, spark):
-    pages = spark.createDataFrame([("data/example2",), ("none",)], "page string")
+    pages = spark.createDataFrame([("town/bregenz",), ("none",)], "page string")
     found = {(r["s"], r["o"]) for r in browse.lookup(graph, pages).collect()}
     assert ("_:b1", "_:b2") in found and ("_:b2", "_:b1") in found
-    assert (f"<{B}data/example>", f"<{B}data/example2>") in found
+    assert (f"<{B}town/lindau>", f"<{B}town/bregenz>") in found
     assert len(found) == 8
     assert browse.closure(graph, graph.page_rows.select("page", F.col("o").alias("node")).limit(0)).count() == 0
 
 
+def chain(n, cycle=False):
+    """A page that holds the first of ``n`` blank nodes, each of which has a value and the next."""
+    links = [(f"_:c{i}", f"<{B}next>", f"_:c{i + 1}") for i in range(n - 1)] + ([(f"_:c{n - 1}", f"<{B}next>", "_:c0")] if cycle else [])
+    return [(f"<{B}list>", f"<{B}first>", "_:c0"), *links, *[(f"_:c{i}", f"<{B}value>", f'"{i}"') for i in range(n)]]
+
+
+@pytest.mark.parametrize(("n", "cycle"), [(1, False), (2, True), (100, False), (1000, False), (300, True)])
+def test_closure_of_long_chains(spark, n, cycle):
+    triples = chain(n, cycle) + [("_:other", f"<{B}next>", "_:c0")]  # not reached
+    g = Graph.load(frame(spark, triples), CFG)
+    found = browse.lookup(g).where("page = 'list'").select("s", "p", "o")
+    assert rows(found) == sorted(chain(n, cycle), key=repr)
+    documents_ = documents.export_jsonld(g, spark.createDataFrame([("list",)], "page string"))
+    again = rows(jsonld.read_jsonld(documents_), "s", "p", "o")
+    assert len(again) == len(chain(n, cycle)) and sum(o.startswith('"') for _, _, o in again) == n
+
+
+def test_closure_by_brute_force(spark):
+    r = random.Random(3)
+    edges = {(r.randrange(60), r.randrange(60)) for _ in range(90)} | {(0, i) for i in range(1, 40)} | {(i, 59) for i in range(1, 40)}
+    triples = [(f"_:n{a}", f"<{B}to>", f"_:n{b}") for a, b in edges]
+    starts = {(f"p{i}", r.randrange(60)) for i in range(12)}
+    want = set()
+    for page, node in starts:
+        seen, waiting = {node}, [node]
+        while waiting:
+            a = waiting.pop()
+            new = {y for x, y in edges if x == a} - seen
+            seen |= new
+            waiting += new
+        want |= {(page, f"_:n{a}", f"_:n{b}") for a, b in edges if a in seen}
+    g = Graph.load(frame(spark, triples), CFG)
+    found = browse.closure(g, spark.createDataFrame([(p, f"_:n{n}") for p, n in starts], "page string, node string"))
+    assert {(x["page"], x["s"], x["o"]) for x in found.collect()} == want and found.count() == len(want)
+
+
+def test_facets_have_names(spark, graph):
+    cfg = replace(CFG, facets=(Facet(RDFS_LABEL, "Name"), Facet(f"<{DC}language>", listed=False), SEE))
+    panel = browse.facet_panel(Graph(graph.facts, graph.page_rows, cfg, graph.source)).collect()
+    assert {(r["p"], r["name"]) for r in panel} == {(RDFS_LABEL, "Name"), (SEE, "See Also")}
+
+
+def test_resources_by_pages(spark):
+    g = Graph.load(frame(spark, [(f"<{B}r{i:02d}>", f"<{B}p>", '"v"') for i in range(25)]), CFG)
+    assert browse.resources_with(g, f"<{B}p>", '"v"').count() == 25
+    first = browse.resources_with(g, f"<{B}p>", '"v"', limit=10, offset=5).collect()
+    assert [r["s"] for r in first] == [f"<{B}r{i:02d}>" for i in range(5, 15)] and all(r["more"] for r in first)
+    assert not any(r["more"] for r in browse.resources_with(g, f"<{B}p>", '"v"', limit=10, offset=15).collect())
+
+
 def test_browse(graph, spark):
     assert len(rows(browse.summarize(graph))) == 5
     assert len(rows(browse.summarize(graph, n=1))) == 3
     listed = dict(rows(browse.list_resources(graph)))
-    assert listed["data/example"] == "Example with English text" and "data/example2" in listed
-    assert rows(browse.list_resources(graph, f"<{DC}language>", '"English"'), "page") == [("data/example2",)]
+    assert listed["town/lindau"] == "Town by the lake" and "town/bregenz" in listed
+    assert rows(browse.list_resources(graph, f"<{DC}language>", '"German"'), "page") == [("town/bregenz",)]
     with pytest.raises(ValueError):
         browse.list_resources(graph, value="x")
-    assert [tuple(r) for r in browse.list_values(graph, RDFS_LABEL, 1).collect()] == [('"Beispiel"@de', "Beispiel", 2)]
+    assert [tuple(r) for r in browse.list_values(graph, RDFS_LABEL, 1).collect()] == [('"Seestadt"@de', "Seestadt", 2)]
     panel = browse.facet_panel(graph, 2).collect()
     assert {(r["p"], r["more"]) for r in panel} == {(RDFS_LABEL, True), (f"<{DC}language>", False)}
-    pages = spark.createDataFrame([("data/example2",), ("none",)], "page string")
-    assert rows(browse.label_of(graph, pages)) == [("data/example2", "Beispiel"), ("none", None)]
-    assert rows(browse.class_of(graph)) == [("data/example", f"<{B}ontology#Thing>")]
-    assert dict(rows(browse.titles(graph)))["data/example"] == "Beispiel, Example with English text"
-    assert rows(browse.resources_with(graph, RDFS_LABEL, '"Beispiel"@de')) == [(f"<{B}data/example2>",), (f"<{B}data/example>",)]
+    pages = spark.createDataFrame([("town/bregenz",), ("none",)], "page string")
+    assert dict(rows(browse.label_of(graph, pages))) == {"town/bregenz": "Seestadt", "none": None}
+    assert rows(browse.class_of(graph)) == [("town/lindau", f"<{B}ontology#Thing>")]
+    assert dict(rows(browse.titles(graph)))["town/lindau"] == "Seestadt, Town by the lake"
+    assert rows(browse.resources_with(graph, RDFS_LABEL, '"Seestadt"@de'), "s") == [(f"<{B}town/bregenz>",), (f"<{B}town/lindau>",)]
 
 
-DOCS = ["English example", "An ENGLISH test-case", "bosättning Ärlig", "ärlig", "http://localhost:8080/data/example2", "exampl english longer example"]
+DOCS = ["English example", "An ENGLISH test-case", "gata Ärlig", "ärlig", "http://localhost:8080/town/bregenz", "exampl english longer example"]
 
 
 @pytest.mark.parametrize(
@@ -341,15 +442,15 @@ def test_search(spark, arguments, expected):
 
 
 def test_description(graph):
-    cfg = Config(publisher=("P", "p@x"), creators=(("C", ""),), contributors=(("D", "d@x"),), issued="2014-01-31", keywords=("k",), description='a "b"', rights="http://r", derived_from=("http://d",), ontology="o", version="1")
+    cfg = replace(CFG, publisher=("P", "p@x"), creators=(("C", ""),), contributors=(("D", "d@x"),), issued="2014-01-31", keywords=("k",), description='a "b"', rights="http://r", derived_from=("http://d",), ontology="o", version="1")
     found = rows(stats.describe_dataset(Graph(graph.facts, graph.page_rows, cfg, graph.source)))
-    about = f"<{B}about>"
+    about = f"<{B}description>"
     void = "http://rdfs.org/ns/void#"
     assert (about, f"<{void}triples>", f'"14"^^<{T.XSD}integer>') in found
-    assert (f"<{B}about#LinkSet-1>", f"<{void}target>", "<http://dbpedia.org/>") in found
-    assert (about, f"<{DC}contributor>", f"<{B}about#Contributor-1>") in found
-    assert (f"<{B}about#Publisher>", "<http://xmlns.com/foaf/0.1/mbox>", '"p@x"') in found
-    assert (about, f"<{void}exampleResource>", f"<{B}data/example>") in found
+    assert (f"<{B}description#LinkSet-1>", f"<{void}target>", "<http://dbpedia.org/>") in found
+    assert (about, f"<{DC}contributor>", f"<{B}description#Contributor-1>") in found
+    assert (f"<{B}description#Publisher>", "<http://xmlns.com/foaf/0.1/mbox>", '"p@x"') in found
+    assert (about, f"<{void}exampleResource>", f"<{B}town/bregenz>") in found
     assert not any(o == '""' for _, _, o in found)
 
 
@@ -397,6 +498,41 @@ def test_jsonld(spark):
     assert tree(spark, [(ME, f"<{EX}a#n>", '"1"'), (ME, f"<{EX}b#n>", '"2"')])["n2"] == "2"
 
 
+def blank_names(triples):
+    """Triples with blank nodes told apart by what they say, as far as three steps reach."""
+    names = {x: "_:" for t in triples for x in (t[0], t[2]) if x.startswith("_:")}
+    for _ in range(3):
+        names = {n: "_:" + repr(sorted((p, names.get(o, o)) for s, p, o in triples if s == n)) for n in names}
+    return sorted((names.get(s, s), p, names.get(o, o)) for s, p, o in triples)
+
+
+def test_jsonld_reads_back(spark):
+    """Documents of tangled pages say just what the pages do."""
+    r = random.Random(6)
+    nodes = [ME, *[f"<{B}foo#{i}>" for i in range(8)], *[f"_:b{i}" for i in range(8)], f"<{EX}far>", f"<{B}a:b>"]
+    values = ['"v"', '"v"@en', f'"7"^^<{T.XSD}integer>', f'"007"^^<{EX}t>', '"a\\n\\"b\\\\"', f'"1.5"^^<{T.XSD}double>', f'"x"^^<{T.XSD}integer>', f'"{"9" * 5000}"^^<{T.XSD}integer>']
+    for _ in range(6):
+        triples = sorted({(r.choice(nodes), f"<{EX}{r.choice('pqr')}>", r.choice(nodes)) for _ in range(25)} | {(r.choice(nodes[:17]), f"<{EX}{r.choice('pxy')}>", r.choice(values)) for _ in range(15)} | {(ME, RDF_TYPE, f"<{EX}T>")})
+        props = [{"p": p, "all_resources": all(not o.startswith('"') for _, q, o in triples if q == p), "short": p[len(EX) + 1 : -1]} for p in {p for _, p, _ in triples}]
+        parts = {v: spark.createDataFrame([(v,)], "o string").select(T.term_value("o"), T.term_lang("o"), T.term_datatype("o")).first() for v in {o for *_, o in triples if o.startswith('"')}}
+        given = [{"s": s, "p": p, "o": o, **dict(zip(("value", "lang", "datatype"), parts.get(o, (None,) * 3), strict=True))} for s, p, o in triples]
+        for depth in (2, 100):
+            before, documents.NESTED = documents.NESTED, depth
+            try:
+                document = documents.page_document("foo", given, props, ["rdf"], CFG)
+            finally:
+                documents.NESTED = before
+            again = jsonld.triples_of(json.loads(json.dumps(document)))
+            assert blank_names(again) == blank_names(triples)
+
+
+def test_many_linked_fragments(spark):
+    links = [(f"<{B}foo#{i}>", f"<{EX}next>", f"<{B}foo#{i + 1}>") for i in range(1500)] + [(ME, f"<{EX}next>", f"<{B}foo#0>")]
+    g = Graph.load(frame(spark, links), CFG)
+    out = documents.export_jsonld(g, spark.createDataFrame([("foo",)], "page string"))
+    assert rows(jsonld.read_jsonld(out), "s", "p", "o") == sorted(links, key=repr)
+
+
 def test_large_pages_are_dealt_to_parts(spark):
     back = [(f"<{EX}s{i}>", f"<{EX}to>", ME) for i in range(30)]
     own = [(ME, f"<{EX}value>", f'"{i}"') for i in range(20)]
@@ -427,13 +563,14 @@ def test_numbered(spark):
 
 def test_page_documents(graph):
     found = {r["s"]: r for r in documents.page_documents(graph).collect()}
-    first = found[f"<{B}data/example>"]
-    assert first["class"] == f"<{B}ontology#Thing>" and first["label"] == "Example with English text"
+    first = found[f"<{B}town/lindau>"]
+    assert first["class"] == f"<{B}ontology#Thing>" and first["label"] == "Town by the lake"
     assert [p["display"] for p in first["properties"]] == sorted(p["display"] for p in first["properties"])
     assert not any(p["p"] == RDF_TYPE for p in first["properties"])
     assert first["inverses"][0]["subjects"] == ["<http://other.org/x>"]
-    part = next(p for p in found[f"<{B}data/example2>"]["properties"] if p["p"].endswith("part>"))
-    assert part["values"][0]["nested"][0]["value"] == "_:b2"
+    part = next(p for p in found[f"<{B}town/bregenz>"]["properties"] if p["p"].endswith("part>"))
+    nested = part["values"][0]["nested"][0]
+    assert nested["value"] == "_:b2" and nested["nested"][0]["value"] == "_:b1"
 
 
 def test_results(spark, tmp_path):
@@ -451,7 +588,21 @@ def test_results(spark, tmp_path):
         results.bindings_json(df, limit=1)
     results.write_bindings_json(df, str(tmp_path / "j"))
     results.write_bindings_xml(df, str(tmp_path / "x"))
-    assert spark.read.text(str(tmp_path / "j")).count() == spark.read.text(str(tmp_path / "x")).count() == 2
+    def whole(name):
+        return "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")))
+
+    assert json.loads(whole("j")) == found
+    marks = {"s": "{http://www.w3.org/2005/sparql-results#}"}
+    tree = ElementTree.fromstring(whole("x"))
+    assert [v.get("name") for v in tree.iter(marks["s"] + "variable")] == ["a", "b", "c"] and len(list(tree.iter(marks["s"] + "result"))) == 2
+    odd = spark.range(2000).selectExpr("concat('\"', id, char(1), '<&\"') as `x<&\"y`").repartition(5)
+    results.write_bindings_json(odd, str(tmp_path / "oj"))
+    results.write_bindings_xml(odd, str(tmp_path / "ox"))
+    assert len(json.loads(whole("oj"))["results"]["bindings"]) == 2000
+    tree = ElementTree.fromstring(whole("ox"))
+    assert next(tree.iter(marks["s"] + "variable")).get("name") == 'x<&"y' and len(list(tree.iter(marks["s"] + "binding"))) == 2000
+    results.write_bindings_json(df.limit(0), str(tmp_path / "e"))
+    assert json.loads(whole("e")) == {"head": {"vars": ["a", "b", "c"]}, "results": {"bindings": []}}
     cell = results.decorate(df, CFG).where("a.bnode is null").first()
     assert cell["a"]["uri"] == "http://www.example.org" and cell["c"]["lang"] == "en" and cell["b"]["value"] == "foo"
 
@@ -472,6 +623,10 @@ def test_rewrites(spark):
         found = rows(rewrite.cut_reference(df, consecutive=consecutive))
         assert found.count(label) == times and ("<http://d/C>", RDFS_LABEL, '"C"@en') in found
         assert ("<http://2>", p, "<http://d/A_b>") in found and ("<http://4>", SEE, "<http://q#r>") in found
+    many = [(f"<http://{i}>", p, f"<http://d/D{i // 7 % 5}#c>") for i in range(200)]
+    found = rows(rewrite.cut_reference(frame(spark, many).repartition(7), consecutive=True))
+    changes = [i for i in range(200) if i == 0 or i // 7 % 5 != (i - 1) // 7 % 5]
+    assert sum(r[1] == RDFS_LABEL for r in found) == len(changes)
     lines = spark.createDataFrame([("a %5Cu00e4%5CuD83D%5CuDE00 %5Cuzz %41",)], "value string")
     assert rows(rewrite.repair_escapes(lines)) == [("a %C3%A4%F0%9F%98%80 %5Cuzz %41",)]
 
@@ -485,14 +640,27 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["a5_triplify", "j3_nested_deep", "j5_optional", "h1_lookup", "h5_search_phrase", "r2_cut_reference", "g4_value_counts"])
-def test_oracles(spark, name):
+@pytest.fixture(scope="module")
+def con():
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem pages documents".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+# the rows of h3_list_by_value begin behind the few that this size has
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, con, name):
     found = queries.QUERIES[name](spark, SF)
     names = sorted(found.columns)
-    assert rows(found, *names) == sorted((tuple(r) for r in con.sql(f"select {', '.join(names)} from ({queries.ORACLES[name]}) z").fetchall()), key=repr)
+    want = con.sql(f"select {', '.join(names)} from ({queries.ORACLES[name]}) z").fetchall()
+    assert (want or name == "h3_list_by_value") and rows(found, *names) == sorted((tuple(r) for r in want), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"a5_triplify"}))
+def test_queries_read_the_saved_graph(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderdate" not in plan and "l_returnflag" not in plan
 
 
 def test_property_filter_prunes_other_columns(spark):
