@@ -93,6 +93,20 @@ def test_decontamination_tells_rows_apart(spark):
     assert Counter(tuple(r) for r in STAGES["decontamination"](spark, docs, SF).collect()) == Counter(r for r in rows if r[1] != item)
 
 
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (out.columns == docs.columns or name == "byte_bpe")
+
+
+def test_toxic_rows_go_whatever_their_ids(spark):
+    toxic = "You are a worthless idiot, you pathetic moron. " * 3
+    rows = [(None, toxic, "en", "s", 1), (None, words_of("a"), "en", "s", 1), (1, toxic, "en", "s", 1), (1, words_of("b"), "en", "s", 1), (1, toxic, "en", "s", 1)]
+    kept = STAGES["toxicity"](spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(r for r in rows if r[1] != toxic)
+
+
 def test_toxicity_and_secrets_keep_odd_rows(spark):
     rows = [(None, words_of("a"), "en", "s", 1), (1, words_of("b"), "en", "s", 1), (1, words_of("c"), "en", "s", 1), (1, words_of("c"), "en", "s", 1), (2, None, "en", "s", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
