@@ -5,7 +5,7 @@ Triples come as (seq, s, p, o) with ``seq`` of any orderable type; the other tab
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from operator import or_
@@ -87,14 +87,23 @@ def page_rows(triples: DataFrame, cfg: Config) -> DataFrame:
     return triples.select("seq", "s", "p", "o", F.explode(rows).alias("r")).select("seq", "s", "p", "o", "r.*")
 
 
+class table(cached_property):
+    """A table of a graph.  Of a graph with a folder, it is written there when it is first asked for."""
+
+    def __init__(self, function: Callable[[Graph], DataFrame]):
+        super().__init__(lambda graph: graph._written(function.__name__, function(graph)))
+        self.__doc__ = function.__doc__
+
+
 @dataclass
 class Graph:
-    """A dataset: its kept triples (``facts``), page rows, and derived tables."""
+    """A dataset: its kept triples (``facts``), page rows, and derived tables; ``path`` is its folder if it is saved."""
 
     facts: DataFrame
     page_rows: DataFrame
     cfg: Config
     source: DataFrame | None = None
+    path: str | None = None
 
     @classmethod
     def load(cls, triples: DataFrame, cfg: Config | None = None, dedupe: bool = False, repair: bool = True) -> Graph:
@@ -111,27 +120,27 @@ class Graph:
         shown = source.where(_under_base(s, cfg) | s.startswith("_:") | (_is_uri(s) & _under_base(o, cfg) & ~hidden))
         return cls(shown, page_rows(source, cfg), cfg, source)
 
-    @cached_property
+    @table
     def labels(self) -> DataFrame:
         """(n3, label): the last label of each root subject, by source order; also of subjects outside the base."""
         triples = self.facts if self.source is None else self.source
         rows = triples.where(F.col("p").isin(*self.cfg.labels) & ~F.col("s").contains("#") & _is_uri(F.col("s")) & F.col("o").startswith('"'))
         return rows.groupBy(F.col("s").alias("n3")).agg(F.max_by(T.term_value("o"), F.struct("seq", "o")).alias("label"))
 
-    @cached_property
+    @table
     def terms(self) -> DataFrame:
         """(n3, main, label): the dictionary of all terms on pages."""
         rows = self.facts.select(F.explode(F.array("s", "p", "o")).alias("n3")).distinct()
         return rows.join(self.labels, "n3", "left").select("n3", T.main_of("n3").alias("main"), F.nullif("label", F.lit("")).alias("label"))
 
-    @cached_property
+    @table
     def value_counts(self) -> DataFrame:
         """(p, o, obj_label, cnt): how often each property has each value on root subjects."""
         counted = self.page_rows.where("head").groupBy("p", "o").agg(F.count("*").alias("cnt"))
         named = counted.join(self.labels.withColumnRenamed("n3", "o"), "o", "left")
         return named.select("p", "o", F.nullif("label", F.lit("")).alias("obj_label"), "cnt")
 
-    @cached_property
+    @table
     def linksets(self) -> DataFrame:
         """(target, cnt): links from subjects under the base to each outside dataset, those with enough of them."""
         links = self.page_rows.where((F.col("direction") == "forward") & _is_uri(F.col("o"))).select(T.link_target(T.uri_value("o"), self.cfg).alias("target"))
@@ -155,7 +164,7 @@ class Graph:
         named = self.labels.where("label <> ''").where(may_hold("label", False)).withColumnRenamed("n3", "o")
         return own.union(rows.where(_is_uri(F.col("o"))).join(named, "o").select("s", "p", F.col("label").alias("text")))
 
-    @cached_property
+    @table
     def postings(self) -> DataFrame:
         """(token, pos, doc_id, s, p, main, doc_len): the positional index of all texts."""
         return self._postings(self.texts)
@@ -166,7 +175,7 @@ class Graph:
         Saved postings are given whole, since they are sorted by token; else most texts without the longest of the words
         are left out before they are split.
         """
-        if "postings" in self.__dict__:
+        if self.path is not None:
             return self.postings
         return self._postings(self._texts([max(every, key=len)] if every else some))
 
@@ -175,7 +184,7 @@ class Graph:
         docs = texts.select("s", "p", T.main_of("s").alias("main"), F.length("text").alias("doc_len"), F.xxhash64("s", "p", "text").alias("doc_id"), T.tokenize("text").alias("tokens"))
         return docs.select("s", "p", "main", "doc_len", "doc_id", F.posexplode("tokens").alias("pos", "token")).select("token", "pos", "doc_id", "s", "p", "main", "doc_len")
 
-    @cached_property
+    @table
     def property_counts(self) -> DataFrame:
         """(p, cnt): triples of each property."""
         return self.facts.groupBy("p").agg(F.count("*").alias("cnt"))
@@ -197,29 +206,36 @@ class Graph:
         out = self.page_rows.join(named["s"], "s", "left").join(named["o"], "o", "left").join(properties, "p", "left")
         return out.select("seq", "s", "p", "o", "page", "head", "direction", "s_label", "p_label", "o_label")
 
-    def save(self, path: str) -> Graph:
+    def _written(self, name: str, made: DataFrame) -> DataFrame:
+        if self.path is None:
+            return made
+        order = SORTED[name]
+        made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return made.sparkSession.read.parquet(f"{self.path}/{name}")
+
+    def save(self, path: str, whole: bool = True) -> Graph:
         """All tables as Parquet: rows by buckets of their property, sorted for skipping; postings by token.
 
         Ranges go on behind the property or token, so one with a large share of the rows is cut into many tasks.  Tables
-        that follow from saved ones are made from these.  Gives the saved graph.
+        that follow from saved ones are made from these; if not ``whole``, only when they are first asked for.  Gives the
+        saved graph.
         """
         spark = self.facts.sparkSession
         for name in ("facts", "page_rows"):
             order = ("p_bucket", "p", "s", "o")
-            table = getattr(self, name).withColumn("p_bucket", property_bucket(F.col("p")))
-            table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p_bucket").parquet(f"{path}/{name}")
-        saved = Graph(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), self.cfg)
-        for name, order in SORTED.items():
-            # labels may come from triples that are on no page
-            table = self.labels if name == "labels" else getattr(saved, name)
-            table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
-            saved.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+            rows = getattr(self, name).withColumn("p_bucket", property_bucket(F.col("p")))
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p_bucket").parquet(f"{path}/{name}")
+        saved = Graph(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), self.cfg, path=path)
+        # labels may come from triples that are on no page
+        saved.__dict__["labels"] = saved._written("labels", self.labels)
+        for name in SORTED if whole else ():
+            getattr(saved, name)
         return saved
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, cfg: Config | None = None) -> Graph:
-        """A saved graph."""
-        graph = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), cfg or Config())
+        """A graph that was saved whole."""
+        graph = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), cfg or Config(), path=path)
         for name in SORTED:
             graph.__dict__[name] = spark.read.parquet(f"{path}/{name}")
         return graph

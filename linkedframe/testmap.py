@@ -29,7 +29,7 @@ CONFIG = Config(
     no_inverse=(BASE + "ontology",),
 )
 
-_saved: dict[tuple[str, str], str] = {}
+_saved: dict[tuple[str, str], Graph] = {}
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,9 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _saved:
-        path = f"{shared_folder(spark)}/graph-{len(_saved)}"
-        Graph.load(numbered(triples(spark, sf_dir), F.col("s"), F.col("p"), F.col("o")).withColumnRenamed("n", "seq"), CONFIG, repair=False).save(path)
-        _saved[key] = path
-    return Graph.open(spark, _saved[key], CONFIG)
+        rows = numbered(triples(spark, sf_dir), F.col("s"), F.col("p"), F.col("o")).withColumnRenamed("n", "seq")
+        _saved[key] = Graph.load(rows, CONFIG, repair=False).save(f"{shared_folder(spark)}/graph-{len(_saved)}", whole=False)
+    return _saved[key]
 
 
 def _sql() -> str:
