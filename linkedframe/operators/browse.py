@@ -29,12 +29,23 @@ def closure(graph: Graph, starts: DataFrame) -> DataFrame:
         if found == before:
             break
         reached = wider
-        ways = steps.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("i")).join(steps.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("j")), "n")
-        if (ways.agg(F.sum(F.col("i") * F.col("j"))).first()[0] or 0) <= 4 * links:
+        if _ways(steps) <= 4 * links:
             steps = stored(steps.alias("x").join(steps.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct())
+            if steps.isEmpty():
+                break
     return reached.join(blank, F.col("node") == F.col("s")).select("page", "seq", "s", "p", "o")
 
 
+def _ways(steps: DataFrame) -> int:
+    """How many pairs two steps in a row make at most; exact where some node has more than a few steps."""
+    out = steps.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("j"))
+    most, total = out.agg(F.max("j"), F.sum("j")).first()
+    if most <= 4:
+        return most * total
+    both = steps.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("i")).join(out, "n")
+    return both.agg(F.sum(F.col("i") * F.col("j"))).first()[0] or 0
+
+
 def lookup(graph: Graph, pages: DataFrame | None = None) -> DataFrame:
     """(page, seq, s, p, o): all rows of pages, backlinks and blank nodes included, each triple once a page.
 

@@ -652,17 +652,13 @@ def con():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, con, name):
     found = queries.QUERIES[name](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert name == "a5_triplify" or "o_orderdate" not in plan and "l_returnflag" not in plan  # reads the saved graph
     names = sorted(found.columns)
     want = con.sql(f"select {', '.join(names)} from ({queries.ORACLES[name]}) z").fetchall()
     assert (want or name == "h3_list_by_value") and rows(found, *names) == sorted((tuple(r) for r in want), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"a5_triplify"}))
-def test_queries_read_the_saved_graph(spark, name):
-    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "o_orderdate" not in plan and "l_returnflag" not in plan
-
-
 def test_property_filter_prunes_other_columns(spark):
     df = spark.createDataFrame([(1, "a", "b"), (2, None, "c")], "id long, x string, y string")
     both = tables.triplify(df, "http://x/{id}", [tables.Mapped("x", "http://p/x"), tables.Mapped("y", "http://p/y")])
