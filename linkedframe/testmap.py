@@ -11,7 +11,7 @@ from linkedframe.config import RDF, RDFS, Config, Facet
 from linkedframe.operators.stats import numbered
 from linkedframe.plans.graph import Graph
 from linkedframe.sources.tables import Mapped, triplify
-from linkedframe.storage import shared_folder
+from linkedframe.storage import shared_folder, stored
 
 BASE = "http://localhost:8080/"
 ONTOLOGY = f"{BASE}ontology#"
@@ -76,7 +76,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _saved:
-        rows = numbered(triples(spark, sf_dir), F.col("s"), F.col("p"), F.col("o")).withColumnRenamed("n", "seq")
+        rows = stored(numbered(triples(spark, sf_dir), F.col("s"), F.col("p"), F.col("o")).withColumnRenamed("n", "seq"))
         _saved[key] = Graph.load(rows, CONFIG, repair=False).save(f"{shared_folder(spark)}/graph-{len(_saved)}", whole=False)
     return _saved[key]
 
