@@ -123,13 +123,17 @@ def matches(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, window:
     near = F.expr("filter(p1, a -> exists(p2, b -> abs(b - a) <= reach))")
     places = stored(met.select("pair", "key", "hash", F.explode(near).alias("at")).distinct())
 
-    # lists of all terms of the windows, in the documents of these places only
+    # lists of all terms of the windows, in the documents of these places only, met in stretches like those above
     documents = stored(places.select(F.col("key").alias("k"), F.col("hash").alias("h")).distinct())
-    rest = index.join(documents, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi")
-    wanted = places.join(pairs, "pair").select(
-        "pair", F.col("key").alias("k"), F.col("hash").alias("h"), "at", "reach", F.explode(F.array_distinct("terms")).alias("t")
+    width = pairs.agg(F.max("reach")).first()[0] or 1
+    rest = index.join(documents, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi").withColumn("stretch", F.expr(f"pos div {width}"))
+    wanted = (
+        places.join(pairs, "pair")
+        .select("pair", F.col("key").alias("k"), F.col("hash").alias("h"), "at", "reach", F.explode(F.array_distinct("terms")).alias("t"))
+        .select("*", F.explode(F.expr(f"sequence(greatest(0, at - reach) div {width}, (at + reach) div {width})")).alias("near_stretch"))
     )
-    here = F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")) & (F.col("term") == F.col("t")) & (F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
+    there = F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")) & (F.col("term") == F.col("t")) & (F.col("stretch") == F.col("near_stretch"))
+    here = there & (F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
     around = rest.join(wanted, here).groupBy("pair", "key", "hash", "at").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("off"), "term")).alias("found"))
     exact = """transform(filter(sequence(0, size(terms) - n),
         i -> forall(sequence(i, i + n - 1), j -> array_contains(found, named_struct('off', j + low - q1, 'term', terms[j])))), i -> at - q1 + low + i)"""

@@ -755,6 +755,14 @@ def test_contamination(spark, broadcast, monkeypatch):
     assert len(none) == len(docs) and not any(r["contaminated"] or r["n_near"] for r in none)
 
 
+def test_a_passage_repeated_many_times(spark):
+    """One document whose places and postings of each term are in the thousands; a stretch of the text meets itself only."""
+    item = "a passage of thirteen quite plain words that one text repeats very often"
+    docs = [(1, f"{item} " * 10_000), (2, f"before {item} behind"), (3, " ".join(item.split()[:12]))]
+    out = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert {(r["doc_id"], r["n_words"], r["n_hit"], *r["items"], r["contaminated"]) for r in out.collect()} == {(1, 130_000, 130_000, "5", True), (2, 15, 13, "5", True), (3, 12, 0, False)}
+
+
 def brute_near(words, phrase, counts, distance):
     """Where a rarest term of a phrase stands with all its other terms near."""
     rarest = min((counts[w], q) for q, w in enumerate(phrase))[1]
