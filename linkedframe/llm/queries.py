@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkedframe.llm import bpe, chat, decontaminate, langid, mpegts, secretscan, sharding, simhash, tokencount, toxicity
+from linkedframe.llm import bpe, chat, decontaminate, fillmiddle, langid, mpegts, neighbours, secretscan, sharding, simhash, tokencount, toxicity, trie
 from linkedframe.llm.common import bucket_of, read_table
 
 TOXIC = 0.7
+GOOD = 0.5
 TOKEN_LIMIT = 4096
 
 
@@ -208,6 +209,64 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fillmiddle.fill_in_middle(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fillmiddle.restored(), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, len(t) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS k FROM d),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '{fillmiddle.PREFIX}') OR contains(x, '{fillmiddle.SUFFIX}') OR contains(x, '{fillmiddle.MIDDLE}') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(t[1 : a], '') AS pre, array_to_string(t[a + 1 : b], '') AS mid, array_to_string(t[b + 1 :], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).drop("u", "v")
+
+
+#: Nodes as paths of digests; a node's subtree is found from all paths that begin with its own.
+OP12_SQL = f"""
+WITH o AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(struct_pack(id, bytes) ORDER BY pos) AS own, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, i: xor(r >> 1, 3988292384 * (r & 1))))) % {trie.HEADS} AS h FROM o GROUP BY conv_id
+), w AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own, [])[1 : c.h], c.own[c.h + 1 :]) AS turns FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % {trie.GROUP}
+), m AS (
+  SELECT conv_id, len(turns) AS size, d AS depth, array_to_string([x.id FOR x IN turns[1 : d]], '') AS path, turns[d].bytes AS bytes FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM w)
+), n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(bytes), 0) * (count(*) - 1) AS saves, max(size) = depth AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM m GROUP BY path, depth
+), s AS (
+  SELECT left(path, 32 * d) AS path, count_if(depth = d + 1) AS n_children, count_if(leaf) AS n_leaves, sum(saves) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN n p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1)) AND p.depth = n.depth - 1
+"""
+
+
+def quality_voters(spark: SparkSession, sf_dir: str) -> neighbours.Voters:
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").where(bucket_of("doc_id", 3) != 1)
+    return neighbours.train(read_table(spark, sf_dir, "documents", "doc_id", "text"), labels)
+
+
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = neighbours.vote(docs, quality_voters(spark, sf_dir), keep=["doc_id"])
+    held_out = F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -219,5 +278,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_votes": op13_quality_votes,
 }
-ORACLES = {"op6_sharding": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op6_sharding": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_prefix_trie": OP12_SQL}
