@@ -7,43 +7,14 @@ from pyspark.sql import functions as F
 
 from linkedframe.config import RDF_TYPE, RDFS_LABEL
 from linkedframe.functions import terms as T
+from linkedframe.operators.reach import reached
 from linkedframe.plans.graph import Graph, of_properties
-from linkedframe.storage import stored
 
 
 def closure(graph: Graph, starts: DataFrame) -> DataFrame:
-    """(page, seq, s, p, o): the triples of all blank nodes that are reached from (page, node) rows, at any depth.
-
-    Round k has all nodes less than 2 ** k steps away and the pairs of nodes exactly 2 ** k steps apart, so a chain of n
-    nodes takes log2(n) rounds; a round that reaches nothing new, as in cycles, is the last.  Where nodes are so linked
-    that doubling the steps would make far more pairs than there are links, steps stay as long as they are.
-    """
-    blank = graph.facts.where(F.col("s").startswith("_:")).select("seq", "s", "p", "o")
-    steps = stored(blank.where(F.col("o").startswith("_:")).select(F.col("s").alias("a"), F.col("o").alias("b")).where("a <> b").distinct())
-    reached = stored(starts.where(F.col("node").startswith("_:")).select("page", "node").distinct())
-    links, found = steps.count(), reached.count()
-    while links:
-        more = reached.join(steps, F.col("node") == F.col("a")).select("page", F.col("b").alias("node"))
-        wider = stored(reached.union(more).distinct())
-        before, found = found, wider.count()
-        if found == before:
-            break
-        reached = wider
-        if _ways(steps) <= 4 * links:
-            steps = stored(steps.alias("x").join(steps.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct())
-            if steps.isEmpty():
-                break
-    return reached.join(blank, F.col("node") == F.col("s")).select("page", "seq", "s", "p", "o")
-
-
-def _ways(steps: DataFrame) -> int:
-    """How many pairs two steps in a row make at most; exact where some node has more than a few steps."""
-    out = steps.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("j"))
-    most, total = out.agg(F.max("j"), F.sum("j")).first()
-    if most <= 4:
-        return most * total
-    both = steps.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("i")).join(out, "n")
-    return both.agg(F.sum(F.col("i") * F.col("j"))).first()[0] or 0
+    """(page, seq, s, p, o): the triples of all blank nodes that are reached from (page, node) rows, at any depth."""
+    found = reached(graph, starts).select("page", F.col("node").alias("s"))
+    return found.join(graph.blanks, "s").select("page", "seq", "s", "p", "o")
 
 
 def lookup(graph: Graph, pages: DataFrame | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ SORTED = {
     "property_counts": ("p",),
     "value_counts": ("p", "o"),
     "linksets": ("target",),
+    "blanks": ("s", "p", "o"),
     "postings": ("token", "doc_id", "pos"),
 }
 
@@ -184,6 +185,11 @@ class Graph:
         docs = texts.select("s", "p", T.main_of("s").alias("main"), F.length("text").alias("doc_len"), F.xxhash64("s", "p", "text").alias("doc_id"), T.tokenize("text").alias("tokens"))
         return docs.select("s", "p", "main", "doc_len", "doc_id", F.posexplode("tokens").alias("pos", "token")).select("token", "pos", "doc_id", "s", "p", "main", "doc_len")
 
+    @table
+    def blanks(self) -> DataFrame:
+        """(seq, s, p, o): the triples of blank nodes, by node."""
+        return self.facts.where(F.col("s").startswith("_:")).select("seq", "s", "p", "o")
+
     @table
     def property_counts(self) -> DataFrame:
         """(p, cnt): triples of each property."""

@@ -101,9 +101,15 @@ def _(g):
     return found(g, var("c"), [po(_p("account"), nested([po(_p("segment"), '"BUILDING"@en')])), po(RDFS_LABEL, var("l"))])
 
 
-@query("j3_nested_deep", f"""SELECT a.s AS ord, f.o AS customer, d.o AS name, e.o AS size FROM facts a JOIN facts b ON b.s = a.o JOIN facts c ON c.s = a.o
-  JOIN facts d ON d.s = c.o JOIN facts e ON e.s = c.o JOIN facts f ON f.s = a.s
-  WHERE a.p = '{_p("item")}' AND b.p = '{_p("flag")}' AND b.o = '"R"' AND c.p = '{_p("part")}' AND d.p = '{RDFS_LABEL}' AND e.p = '{_p("size")}' AND f.p = '{_p("customer")}'""")
+def _each(**props: str) -> str:
+    """SQL for the triples of each property as a table (s, o) of its own."""
+    return ", ".join(f"{name} AS MATERIALIZED (SELECT s, o FROM facts WHERE p = '{p}')" for name, p in props.items())
+
+
+@query("j3_nested_deep", f""", {_each(item=_p("item"), flag=_p("flag"), part=_p("part"), label=RDFS_LABEL, size=_p("size"), customer=_p("customer"))},
+  parts AS MATERIALIZED (SELECT label.s, label.o AS name, size.o AS size FROM label JOIN size ON size.s = label.s),
+  items AS MATERIALIZED (SELECT part.s, name, size FROM part JOIN flag ON flag.s = part.s JOIN parts ON parts.s = part.o WHERE flag.o = '"R"')
+  SELECT item.s AS ord, customer.o AS customer, name, size FROM item JOIN items ON items.s = item.o JOIN customer ON customer.s = item.s""")
 def deep(g):
     part = nested([po(RDFS_LABEL, var("name")), po(_p("size"), var("size"))])
     return found(g, var("ord"), [po(_p("customer"), var("customer")), po(_p("item"), nested([po(_p("flag"), '"R"'), po(_p("part"), part)]))]).select("ord", "customer", "name", "size")
@@ -404,6 +410,20 @@ def _(g):
     return own.unionByName(back.withColumn("inverse", F.lit(True)), allowMissingColumns=True)
 
 
+@query("h8_property_tree", f"""
+  , own AS (SELECT DISTINCT page, s AS node, p, o FROM page_rows LEFT JOIN {_CLASSES} c USING (page) WHERE direction = 'forward' AND NOT (head AND p = '{RDF_TYPE}' AND o = coalesce(class, ''))),
+  far AS (SELECT page, o AS node, 0 AS level FROM own WHERE starts_with(o, '_:') UNION SELECT page, o, level + 1 FROM far JOIN facts ON s = node WHERE starts_with(o, '_:')),
+  places AS (SELECT page, node, min(level) AS level FROM far GROUP BY ALL),
+  whole AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY page, node, p, o) AS n FROM (SELECT *, -1 AS level FROM own UNION ALL SELECT DISTINCT page, node, p, o, level FROM places JOIN facts ON s = node)),
+  put AS MATERIALIZED (SELECT page, o AS node, min(n) AS n, arg_min(w.node, n) AS parent FROM whole w JOIN places x USING (page) WHERE x.node = w.o AND x.level = w.level + 1 GROUP BY page, o),
+  tree AS (SELECT page, node, parent AS top, n::VARCHAR AS path FROM put WHERE NOT starts_with(parent, '_:') UNION ALL SELECT put.page, put.node, top, path || '/' || n FROM tree JOIN put ON put.page = tree.page AND put.parent = tree.node)
+  SELECT w.page, coalesce(top, w.node) AS s, coalesce(path || '/', '') || w.n AS path, w.node, w.p, w.o, put.n IS NOT NULL AS inside,
+    CASE WHEN starts_with(w.o, '<') THEN {_named('w.o', 'label')} WHEN starts_with(w.o, '"') THEN {_UNESCAPED.format('w.o')} ELSE '' END AS display
+  FROM whole w LEFT JOIN tree t ON t.page = w.page AND t.node = w.node LEFT JOIN put ON put.n = w.n LEFT JOIN labels l ON l.n3 = w.o""")
+def _(g):
+    return documents.property_tree(g).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
 @query("h9_class", f"SELECT page, min(o) AS class FROM page_rows WHERE head AND p = '{RDF_TYPE}' GROUP BY page")
 def _(g):
     return browse.class_of(g)

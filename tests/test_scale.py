@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from linkedframe import storage
 from linkedframe.config import Config
-from linkedframe.operators import browse, documents
+from linkedframe.operators import browse, documents, reach
 from linkedframe.operators.components import connected
+from linkedframe.operators.reach import reached
 from linkedframe.plans.graph import Graph
 from linkedframe.sources import jsonld, results
 from tests.test_graph import CFG, EX, ME, B, blank_names, frame
@@ -104,3 +105,96 @@ def test_numbers_keep_their_text(spark):
     tree = json.loads(documents.export_jsonld(g).first()["document"])
     assert sorted(jsonld.triples_of(tree)) == sorted(triples)
     assert tree["p0"] == 7 and tree["p1"] == -7 and tree["q0"] == 1.5 and tree["p3"]["@value"] == "007" and tree["q1"]["@value"] == "1.10"
+
+
+def levels(links, starts):
+    """Breadth-first search from each page."""
+    after = defaultdict(set)
+    for a, b in links:
+        after[a].add(b)
+    out = {}
+    for page in {p for p, _ in starts}:
+        now, level, seen = {n for p, n in starts if p == page}, 0, set()
+        while now:
+            out |= {(page, n): level for n in now}
+            seen |= now
+            now, level = {b for n in now for b in after[n]} - seen, level + 1
+    return out
+
+
+def reach_of(spark, links, starts):
+    g = Graph.load(frame(spark, [(f"_:n{a}", f"<{B}to>", f"_:n{b}") for a, b in links] + [("_:z", f"<{B}to>", '"v"')]), CFG)
+    found = reached(g, spark.createDataFrame([(p, f"_:n{n}") for p, n in starts], "page string, node string")).collect()
+    assert len({(r["page"], r["node"]) for r in found}) == len(found)
+    return {(r["page"], int(r["node"][3:])): r["level"] for r in found}
+
+
+@pytest.mark.parametrize("widen", [0, 4])
+def test_levels_by_brute_force(spark, monkeypatch, widen):
+    """With and without doubled steps: chains, circles, hubs, shortcuts and starts within chains."""
+    monkeypatch.setattr(reach, "WIDEN", widen)
+    r = random.Random(8)
+    links = {(r.randrange(40), r.randrange(40)) for _ in range(55)} | {(0, i) for i in range(1, 15)} | {(i, 39) for i in range(1, 15)}
+    links |= {(100 + i, 101 + i) for i in range(30)} | {(39, 100), (130, 5)}  # a chain within the tangle
+    links |= {(200 + i, 200 + (i + 1) % 7) for i in range(7)} | {(300 + i, 300 + (i + 1) % 5) for i in range(5)}  # circles, one never reached
+    starts = {(f"p{i}", r.randrange(40)) for i in range(6)} | {("p0", 110), ("p7", 203), ("p8", 999)}
+    assert reach_of(spark, links, starts) == levels(links, starts)
+
+
+def test_a_chain_behind_a_hub(spark, monkeypatch):
+    """Rows written in all rounds stay near the size of the answer, and rounds are few."""
+    n, wide = 10_000, 300
+    links = {(1, 10 + i) for i in range(wide)} | {(10 + i, 2) for i in range(wide)} | {(2, 1000)} | {(1000 + i, 1001 + i) for i in range(n)}
+    written = []
+
+    def counted(df):
+        out = storage.stored(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(reach, "stored", counted)
+    starts = {("p", 1)}
+    assert reach_of(spark, links, starts) == levels(links, starts)
+    assert len(written) < 40 and sum(written) < 25 * n  # 15 rounds that draw the chain together, of n rows each
+
+
+def brute_tree(triples, page="foo"):
+    """Rows of a page by breadth-first search; positions by (node, p, o)."""
+    root = {s for s, _, _ in triples if s.startswith(f"<{B}{page}")}
+    level, now, found = {s: -1 for s in root}, sorted(root), []
+    while now:
+        found += [(s, p, o) for s, p, o in triples if s in now]
+        now = sorted({o for s, _, o in triples if s in now and o.startswith("_:") and o not in level})
+        level |= dict.fromkeys(now, max(level.values()) + 1)
+    order = sorted(set(found))
+    n = {t: i for i, t in enumerate(order)}
+    place = {}
+    for t in order:
+        if t[2].startswith("_:") and level[t[2]] == level[t[0]] + 1:
+            place.setdefault(t[2], t)
+
+    def path(t):
+        return (*path(place[t[0]]), n[t]) if t[0] in place else (n[t],)
+
+    def top(x):
+        return top(place[x][0]) if x in place else x
+
+    return sorted((top(t[0]), path(t), *t, place.get(t[2]) == t) for t in order)
+
+
+@pytest.mark.parametrize("kind", ["chain", "tangle", "circle"])
+def test_property_trees_at_any_depth(spark, kind):
+    r = random.Random(2)
+    me, part = f"<{B}foo>", f"<{B}foo#x>"
+    if kind == "chain":
+        triples = [(me, f"<{EX}p>", "_:n0"), *[(f"_:n{i}", f"<{EX}p>", f"_:n{i + 1}") for i in range(90)], *[(f"_:n{i}", f"<{EX}v>", f'"{i}"') for i in range(91)]]
+    elif kind == "circle":
+        triples = [(me, f"<{EX}p>", f"_:n{i % 3}") for i in range(4)] + [(f"_:n{i}", f"<{EX}q>", f"_:n{(i + 1) % 9}") for i in range(9)] + [(part, f"<{EX}p>", "_:n5"), (part, f"<{EX}p>", "_:n5")]
+    else:
+        nodes = [me, part, *[f"_:n{i}" for i in range(14)]]
+        triples = sorted({(r.choice(nodes), f"<{EX}{r.choice('pq')}>", r.choice(nodes)) for _ in range(40)} | {(r.choice(nodes), f"<{EX}v>", f'"{i}"') for i in range(20)})
+    g = Graph.load(frame(spark, triples), CFG)
+    found = documents.property_tree(g, spark.createDataFrame([("foo",)], "page string")).collect()
+    first = min(x for r in found for x in r["path"])
+    assert sorted((r["s"], tuple(x - first for x in r["path"]), r["node"], r["p"], r["o"], r["inside"]) for r in found) == brute_tree(triples)
+    assert documents.property_tree(g, spark.createDataFrame([], "page string")).count() == 0
