@@ -21,7 +21,8 @@ from linkedframe.llm.common import stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms, or places to look up, whose table is broadcast (about 100 bytes each); larger tables are joined by shuffles.
+#: Terms, or terms of places to look up, whose table is broadcast (a row of about 100 bytes each); larger tables are joined
+#: by shuffles, where Spark splits the postings of a frequent term.
 BROADCAST = 500_000
 #: Words that the terms of a proximity match may be away from the rarest one.
 DISTANCE = 24
@@ -80,21 +81,25 @@ def lookups(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, window:
 
     ``q1`` and ``q2`` are where the two rarest terms of these windows stand in the phrase, ``terms`` what stands there
     from ``low`` on as far as the windows go, ``n`` the length of a window, ``reach`` how far from ``q1`` to search.
-    Windows with a term that has no posting are left out.
+    Windows with a term that has no posting are left out.  A window's row has its own terms only, so a phrase costs its
+    length times that of a window, however long it is.
     """
     counts = index.where(F.col("term") >= 0).groupBy("term").agg(F.count("*").alias("postings"))
     numbered = stored(vocabulary.join(counts, "term", "left").na.fill(0, ["postings"]))
-    named = phrases.select("item", "words", F.xxhash64("item", "words").alias("phrase"))
-    at = named.select("phrase", "item", "words", F.posexplode("words").alias("q", "word")).join(_sized(numbered), "word")
-    whole = at.groupBy("phrase", "item", "words").agg(F.array_sort(F.collect_list(F.struct("q", "postings", "term"))).alias("at"))
-    n = F.size("words") if window is None else F.least(F.lit(window), F.size("words"))
-    starts = whole.select("item", "phrase", "words", "at", n.alias("n")).select("*", F.explode(F.expr("sequence(0, size(at) - n)")).alias("i"))
-    rarest = F.expr("array_sort(transform(slice(at, i + 1, n), x -> named_struct('postings', x.postings, 'q', x.q)))")
-    windows = starts.withColumn("rare", rarest).where("rare[0].postings > 0")
-    pairs = windows.groupBy("phrase", "item", "words", "n", F.expr("rare[0].q").alias("q1"), F.expr("rare[least(1, n - 1)].q").alias("q2")).agg(
-        F.min("i").alias("low"), F.max("i").alias("high"), F.first("at").alias("at")
+    # the hash before the words part, or it would be made for each of them
+    named = phrases.select("item", "words", F.xxhash64("item", "words").alias("phrase")).select("item", "phrase", F.posexplode("words").alias("q", "word"))
+    at = named.join(_sized(numbered), "word")
+    whole = stored(at.groupBy("phrase", "item").agg(F.array_sort(F.collect_list(F.struct("q", "postings", "term"))).alias("at")))
+    n = F.size("at") if window is None else F.least(F.lit(window), F.size("at"))
+    # by place, since slice() goes through the whole of an array
+    own = """transform(sequence(0, size(at) - n), i -> named_struct('i', i, 'terms', transform(sequence(i, i + n - 1), j -> at[j].term),
+        'rare', slice(array_sort(transform(sequence(i, i + n - 1), j -> named_struct('postings', at[j].postings, 'q', j))), 1, 2)))"""
+    windows = whole.withColumn("n", n).select("phrase", "item", "n", F.explode(F.filter(F.expr(own), lambda w: w["rare"][0]["postings"] > 0)).alias("w")).select("phrase", "item", "n", "w.*")
+    # the windows of a pair follow each other, and the last one begins before the first one ends
+    pairs = windows.groupBy("phrase", "item", "n", F.expr("rare[0].q").alias("q1"), F.expr("rare[size(rare) - 1].q").alias("q2")).agg(
+        F.min("i").alias("low"), F.max("i").alias("high"), F.min_by("terms", "i").alias("first"), F.max_by("terms", "i").alias("last")
     )
-    terms = F.expr("transform(slice(at, low + 1, high - low + n), x -> x.term)")
+    terms = F.expr("concat(first, slice(last, n - (high - low) + 1, high - low))")
     reach = F.greatest(F.lit(distance), F.col("n") - 1)
     return stored(pairs.select(F.monotonically_increasing_id().alias("pair"), "item", "n", "q1", "q2", "low", terms.alias("terms"), reach.alias("reach")))
 
@@ -110,8 +115,8 @@ def matches(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, window:
     # lists of the two rarest terms, met in stretches as long as the reach: in each, the places of the rarest one have
     # those of the other at hand, and no stretch holds more than a few times its length
     roles = F.array(F.struct(F.expr("terms[q1 - low]").alias("term"), F.lit(1).alias("role")), F.struct(F.expr("terms[q2 - low]").alias("term"), F.lit(2).alias("role")))
-    anchors = pairs.select("pair", "reach", F.explode(roles).alias("r")).groupBy("r.term").agg(F.collect_list(F.struct("pair", "reach", "r.role")).alias("anchors"))
-    lists = index.join(_sized(stored(anchors)), "term").select("key", "hash", "pos", F.explode("anchors").alias("a")).select("key", "hash", "pos", "a.*")
+    anchors = stored(pairs.select("pair", "reach", F.explode(roles).alias("r")).select("pair", "reach", "r.*"))
+    lists = index.join(_sized(anchors), "term").select("pair", "reach", "role", "key", "hash", "pos")
     stretch = F.floor(F.col("pos") / F.col("reach"))
     stretches = F.when(F.col("role") == 1, F.array(stretch - 1, stretch, stretch + 1)).otherwise(F.array(stretch))
     met = (

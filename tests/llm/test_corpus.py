@@ -763,6 +763,16 @@ def test_a_passage_repeated_many_times(spark):
     assert {(r["doc_id"], r["n_words"], r["n_hit"], *r["items"], r["contaminated"]) for r in out.collect()} == {(1, 130_000, 130_000, "5", True), (2, 15, 13, "5", True), (3, 12, 0, False)}
 
 
+def test_long_items(spark):
+    """An item of 100,000 words costs its length: windows do not carry it along."""
+    r = np.random.default_rng(1)
+    words = [f"f{i}" if common else f"w{j}" for i, j, common in zip(r.integers(40, size=100_000).tolist(), r.integers(50_000, size=100_000).tolist(), r.random(100_000) < 0.5, strict=True)]
+    docs = [(1, "x " + " ".join(words[40_000:40_100]) + " y"), (2, " ".join(words[:12]) + " z " + " ".join(words[12:24])), (3, " ".join(words))]
+    items = [(7, " ".join(words)), (8, " ".join(words[39_990:40_050])), (9, " ".join(reversed(words[:300])))]
+    out = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in out.collect()) == Counter(brute_contamination(docs, items))
+
+
 def brute_near(words, phrase, counts, distance):
     """Where a rarest term of a phrase stands with all its other terms near."""
     rarest = min((counts[w], q) for q, w in enumerate(phrase))[1]
