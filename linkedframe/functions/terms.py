@@ -6,6 +6,7 @@ All of them stay inside Spark's own expressions.  A null term gives null everywh
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -174,18 +175,61 @@ def remove_fragment(uri: str | Column) -> Column:
     return F.substring_index(_col(uri), "#", 1)
 
 
+#: Prefixes up to which they are tried one by one; more are looked up in a sorted list of bounds.
+FEW = 24
+
+
+def _behind(prefix: str) -> str | None:
+    """The first text, in the order of code points, that sorts behind all that start with ``prefix``."""
+    for i in range(len(prefix) - 1, -1, -1):
+        point = ord(prefix[i]) + 1
+        if point <= 0x10FFFF:
+            return prefix[:i] + chr(0xE000 if 0xD800 <= point < 0xE000 else point)
+    return None
+
+
+def first_prefix(text: str | Column, prefixes: Sequence[str]) -> Column:
+    """The number, from 0, of the first of ``prefixes`` that a text starts with; null without one.
+
+    Which of them a text starts with follows from where it sorts among their bounds, so that is found by halving: one
+    expression of log2(n) comparisons, of which the bounds are a constant.  Prefixes must not hold line ends.
+    """
+    c = _col(text)
+    if len(prefixes) <= FEW:
+        return F.coalesce(*[F.when(c.startswith(p), F.lit(i)) for i, p in enumerate(prefixes)], F.lit(None).cast("int"))
+    number = {p: i for i, p in reversed(list(enumerate(prefixes)))}
+    sizes = sorted({len(p) for p in prefixes})
+    bounds = sorted({*prefixes, *filter(None, map(_behind, prefixes))})
+    answers = [min((number[b[:n]] for n in sizes if n <= len(b) and b[:n] in number), default=-1) for b in bounds]
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    listed = _constants(bounds)
+    passed = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(listed, at + step - 1) <= c, F.lit(False)), at + step).otherwise(at))
+    return F.nullif(F.get(_constants(map(str, answers)).cast("array<int>"), passed - 1), F.lit(-1))
+
+
+def _constants(values: Iterable[str]) -> Column:
+    """An array of texts, as one constant."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _with_prefix(c: Column, prefixes: Sequence[str], form: Callable[[Column, int | Column, str | Column], Column], names: Sequence[str] | None = None) -> Column:
+    """``form`` of the text, of the length of its first prefix and of that one's name; null without a prefix."""
+    names = prefixes if names is None else names
+    if len(prefixes) <= FEW:
+        return F.coalesce(*[F.when(c.startswith(p), form(c, F.lit(len(p)), F.lit(n))) for p, n in zip(prefixes, names, strict=True)], F.when(F.lit(False), form(c, F.lit(0), F.lit(""))))
+    at = first_prefix(c, prefixes)
+    return F.when(at.isNotNull(), form(c, F.get(_constants(str(len(p)) for p in prefixes).cast("array<int>"), at), F.get(_constants(names), at)))
+
+
 def link_target(uri: str | Column, cfg: Config) -> Column:
     """The dataset that an outside URI belongs to: the first linked set that is a prefix, else ``scheme://authority/``.
 
     Null for URIs that are not HTTP, under the base or in a namespace that is not counted, or broken.
     """
     c = _col(uri)
-    skipped = ~c.startswith("http")
-    for prefix in (cfg.base, *cfg.not_linked):
-        skipped = skipped | c.startswith(prefix)
+    skipped = ~c.startswith("http") | first_prefix(c, (cfg.base, *cfg.not_linked)).isNotNull()
     host = F.concat(F.try_parse_url(c, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(c, F.lit("AUTHORITY")), F.lit("/"))
-    known = [F.when(c.startswith(p), F.lit(p)) for p in cfg.linked_sets]
-    return F.when(~skipped, F.coalesce(*known, host))
+    return F.when(~skipped, F.coalesce(_with_prefix(c, cfg.linked_sets, lambda c, n, name: name), host))
 
 
 def name(page: str | Column, fragment: str | Column | None, cfg: Config) -> Column:
@@ -204,13 +248,15 @@ def magic_string(text: str | Column) -> Column:
 
 
 def _display(uri: Column, cfg: Config, label: Column | None, pretty: bool) -> Column:
-    def local(prefix: str) -> Column:
-        rest = F.substring(uri, F.lit(len(prefix) + 1), F.length(uri))
+    def behind(uri: Column, n: Column) -> Column:
+        rest = F.substring(uri, n + 1, F.length(uri))
         return magic_string(rest) if pretty else rest
 
+    def local(prefix: str) -> Column:
+        return behind(uri, F.lit(len(prefix)))
+
     forms = [F.when(uri == k, F.lit(v)) for k, v in cfg.prop_names.items()]
-    for qn, prefix in cfg.prefixes.items():
-        forms.append(F.when(uri.startswith(prefix), local(prefix) if pretty else F.concat(F.lit(f"{qn}:"), local(prefix))))
+    forms.append(_with_prefix(uri, list(cfg.prefixes.values()), lambda c, n, qn: behind(c, n) if pretty else F.concat(qn, F.lit(":"), behind(c, n)), list(cfg.prefixes)))
     under = local(cfg.base) if label is None else F.coalesce(F.nullif(label, F.lit("")), local(cfg.base))
     forms.append(F.when(uri.startswith(cfg.base), under))
     for qn, (prefix, bare) in RDFS_NAMESPACES.items():
@@ -246,7 +292,7 @@ def expand(curie: str, prefixes: dict[str, str]) -> str:
 def expand_column(curie: str | Column, prefixes: dict[str, str]) -> Column:
     """``prefix:name`` to a URI; an unknown prefix gives null."""
     c = _col(curie)
-    return F.coalesce(*[F.when(c.startswith(f"{p}:"), F.concat(F.lit(ns), F.substring(c, F.lit(len(p) + 2), F.length(c)))) for p, ns in prefixes.items()], F.lit(None).cast("string"))
+    return _with_prefix(c, [f"{p}:" for p in prefixes], lambda c, n, space: F.concat(space, F.substring(c, n + 1, F.length(c))), list(prefixes.values()))
 
 
 def compact(uri: str | Column, cfg: Config) -> Column:
@@ -254,13 +300,12 @@ def compact(uri: str | Column, cfg: Config) -> Column:
     c = _col(uri)
     none = F.lit(None).cast("string")
 
-    def pair(prefix: Column, n: int) -> Column:
-        return F.struct(prefix.alias("prefix"), F.substring(c, F.lit(n + 1), F.length(c)).alias("rest"))
+    def pair(c: Column, n: Column, prefix: Column) -> Column:
+        return F.struct(prefix.alias("prefix"), F.substring(c, n + 1, F.length(c)).alias("rest"))
 
-    out = F.when(c.startswith(cfg.base), pair(none, len(cfg.base)))
-    for qn, prefix in cfg.prefixes.items():
-        out = out.when(c.startswith(prefix), pair(F.lit(qn), len(prefix)))
-    return out.otherwise(F.struct(none.alias("prefix"), c.alias("rest")))
+    spaces = _with_prefix(c, list(cfg.prefixes.values()), pair, list(cfg.prefixes))
+    whole = F.struct(none.alias("prefix"), c.alias("rest"))
+    return F.when(c.startswith(cfg.base), pair(c, F.lit(len(cfg.base)), none)).otherwise(F.coalesce(spaces, whole))
 
 
 def short_name(uri: str | Column, cfg: Config) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkedframe.config import RDF_TYPE, RDFS_LABEL
@@ -43,6 +45,8 @@ def list_resources(graph: Graph, prop: str | None = None, value: str | None = No
     """(page, label) of root subjects, by page; optionally only those with a property, or with a value of it."""
     if value is not None and prop is None:
         raise ValueError("a value needs a property")
+    if prop is None and graph.path is not None and (limit is not None or offset):
+        return graph.listing.page(offset, limit)  # opens the ranges of the page only
     rows = graph.page_rows.where("head")
     if prop is not None:
         rows = of_properties(rows, prop)
@@ -59,8 +63,12 @@ def list_resources(graph: Graph, prop: str | None = None, value: str | None = No
 def resources_with(graph: Graph, prop: str, value: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     """(s, more): subjects that have a value of a property, all of them or, in order, ``limit`` behind ``offset``.
 
-    ``more`` says whether others follow these.
+    ``more`` says whether others follow these.  Of a saved graph only the ranges that hold the page are read.
     """
+    if graph.path is not None and limit is not None:
+        at = graph.group_starts.where((F.col("p") == prop) & (F.col("o") == value)).select("start", "cnt").first() or {"start": 0, "cnt": 0}
+        shown = max(0, min(limit, at["cnt"] - offset))
+        return graph.groups.page(at["start"] + offset, shown).select("s", F.lit(at["cnt"] > offset + limit).alias("more"))
     found = of_properties(graph.facts, prop).where(F.col("o") == value).select("s").distinct()
     if limit is None:
         found = found.orderBy("s").offset(offset) if offset else found
@@ -133,9 +141,6 @@ def search(
 
     given = (query, any_of, none_of, phrase, prefix)
     every, some, no, row, starts = spark.range(1).select(*[T.tokenize(F.lit(x)).alias(str(i)) for i, x in enumerate(given)]).first()
-    rows = graph.postings_with([*every, *row, *starts], some)
-    if prop is not None:
-        rows = rows.where(F.col("p") == prop)
     token = F.col("token")
     wanted = token.isin(*every, *some, *no, *row)
     for p in starts:
@@ -143,19 +148,29 @@ def search(
     having = [F.count_if(token == w) > 0 for w in {*every, *row}] + [F.count_if(token == w) == 0 for w in set(no)]
     having += [F.count_if(token.isin(*some)) > 0] if some else []
     having += [F.count_if(token.startswith(p)) > 0 for p in starts]
-    positive = [*every, *some, *row, *starts]
-    ok = F.lit(bool(positive))
+    ok = F.lit(bool(every or some or row or starts))
     for h in having:
         ok = ok & h
     at = F.collect_list(F.when(token.isin(*row), F.struct("pos", "token"))) if len(row) > 1 else F.array()
-    docs = rows.where(wanted).groupBy("doc_id", "main", "doc_len").agg(ok.alias("ok"), at.alias("at")).where("ok")
-    if len(row) > 1:
-        common, *others = _places(row)
-        for p in others:
-            common = F.array_intersect(common, p)
-        docs = docs.where(F.size(common) > 0)
-    hits = docs.groupBy("main").agg(F.min("doc_len").alias("doc_len"))
-    named = hits.join(graph.labels.withColumnRenamed("n3", "main"), "main", "left")
+
+    def hits(rows: DataFrame) -> DataFrame:
+        """(main, doc_len) of the documents with a text among these postings that meets all conditions."""
+        if prop is not None:
+            rows = rows.where(F.col("p") == prop)
+        docs = rows.where(wanted).groupBy("doc_id", "main", "doc_len").agg(ok.alias("ok"), at.alias("at")).where("ok")
+        if len(row) > 1:
+            common, *others = _places(row)
+            for p in others:
+                common = F.array_intersect(common, p)
+            docs = docs.where(F.size(common) > 0)
+        return docs.groupBy("main").agg(F.min("doc_len").alias("doc_len"))
+
+    needed = [token == w for w in {*every, *row}] + ([token.isin(*some)] if some else []) + [token.startswith(p) for p in starts]
+    if limit is None or graph.path is None or not needed:
+        found = hits(graph.postings_with([*every, *row, *starts], some))
+    else:
+        found = hits(shortest(graph, wanted, needed, hits, offset + limit)[0])
+    named = found.join(graph.labels.withColumnRenamed("n3", "main"), "main", "left")
     out = named.select("main", F.coalesce(F.nullif("label", F.lit("")), T.display_node("main", graph.cfg)).alias("label"), "doc_len")
     if limit is None and not offset:
         return out
@@ -163,6 +178,32 @@ def search(
     return out if limit is None else out.limit(limit)
 
 
+#: Blocks of the rarest condition that a search reads first, and by how much it reads more each time these are too few.
+FIRST, MORE = 2, 4
+
+
+def shortest(graph: Graph, wanted: Column, needed: list[Column], hits: Callable[[DataFrame], DataFrame], k: int) -> tuple[DataFrame, int | None]:
+    """Postings of the shortest texts, as many as it takes to find ``k`` documents, and the greatest length among them.
+
+    Blocks of postings carry the least length of their texts, and all postings of a text have the same length; so where
+    enough documents are found up to some length, nothing longer can come before them, and its blocks are not read.  The
+    first length is that of a few blocks of the condition with the fewest postings.  None: all lengths were needed.
+    """
+    blocks, n = graph.blocks, FIRST
+    sizes = blocks.select(*[F.sum(F.when(c, F.col("n"))).alias(str(i)) for i, c in enumerate(needed)]).first()
+    rarest = needed[min(range(len(needed)), key=lambda i: sizes[i] or 0)]
+    while True:
+        some = blocks.where(rarest).select("least", "most", "block").orderBy("least", "block").limit(n)
+        found, most = some.agg(F.count("*"), F.max("most")).first()
+        bound = most if found == n else None
+        near = blocks.where(wanted) if bound is None else blocks.where(wanted & (F.col("least") <= bound))
+        rows = near.select("token", F.explode("docs").alias("d")).select("token", "d.*")
+        rows = rows if bound is None else rows.where(F.col("doc_len") <= bound)
+        if bound is None or hits(rows).limit(k).count() >= k:
+            return rows, bound
+        n *= MORE
+
+
 def _places(row: list[str]):
     """For each word of a phrase, where the phrase would start."""
     out = []

@@ -16,13 +16,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import count
+from itertools import count, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkedframe.functions.terms import expand
-from linkedframe.plans.graph import of_properties
+from linkedframe.plans.graph import Stars, of_properties
 
 
 @dataclass(frozen=True)
@@ -135,9 +135,10 @@ _SUBJECT = "__s"
 
 
 class _Matcher:
-    def __init__(self, facts: DataFrame, counts: dict[str, int] | None):
+    def __init__(self, facts: DataFrame, counts: dict[str, int] | None, stars: Stars | None = None):
         self.facts = facts.select(*[c for c in ("s", "p", "o", "p_bucket") if c in facts.columns])
         self.counts = counts or {}
+        self.stars = stars
         self.fresh = count()
 
     def single(self, prop: str, o) -> DataFrame:
@@ -177,6 +178,28 @@ class _Matcher:
         props = [b.prop for b in step.branches] if isinstance(step, Either) else [step.prop]
         return sum(self.counts.get(p, 1 << 62) for p in props)
 
+    def ordered(self, needed: list) -> list:
+        """Steps of one subject: the smallest first, then always the one that leaves the fewest rows.
+
+        With only counts of properties, steps go by these.  A step with a constant object is taken to leave a tenth.
+        """
+        if self.stars is None:
+            return sorted(needed, key=self.cost) if self.counts else needed
+        out, left = [], list(needed)
+        while left:
+            best = min(left, key=lambda s: (self.rows([*out, s]), self.cost(s)))
+            out.append(best)
+            left.remove(best)
+        return out
+
+    def rows(self, steps: Sequence) -> float:
+        """Rows of a star of steps; alternatives add up."""
+        found = 0.0
+        for props in product(*[[b.prop for b in s.branches] if isinstance(s, Either) else [s.prop] for s in steps]):
+            found += self.stars.matches(props)
+        constant = sum(isinstance(o, str) for s in steps if isinstance(s, Step) for o in s.objects)
+        return found / 10**constant
+
     def steps(self, steps: Sequence, subject: Var | None) -> DataFrame:
         """All steps of one subject.  Its column is ``__s``, or the variable's name if there is one."""
         steps = [s.step if isinstance(s, Optional) and s.strict else s for s in steps]
@@ -189,8 +212,7 @@ class _Matcher:
             if names & maybe:
                 raise ValueError(f"optional variables may be used once only: {sorted(names & maybe)}")
             maybe |= names - bound
-        if self.counts:
-            needed.sort(key=self.cost)
+        needed = self.ordered(needed)
 
         def own(df: DataFrame) -> DataFrame:
             """A step with the subject under its name; a variable that stands for both must agree."""
@@ -207,21 +229,21 @@ class _Matcher:
         return out
 
 
-def match(facts: DataFrame, subject: Var | str | None, steps: Sequence, counts: dict[str, int] | None = None) -> DataFrame:
+def match(facts: DataFrame, subject: Var | str | None, steps: Sequence, counts: dict[str, int] | None = None, stars: Stars | None = None) -> DataFrame:
     """Rows of the pattern: one column a variable, in order of first appearance.
 
     ``facts`` has columns s, p, o, and p_bucket where it is a saved table.  ``subject`` is a variable, a term, or None for a node without a name.  A variable used
-    again joins on equality.  ``counts`` (property to number of triples) lets the smallest steps be joined first; without
-    it they are joined as given and Spark's own statistics decide on the join's kind.
+    again joins on equality.  ``counts`` (property to number of triples) lets the smallest steps be joined first, ``stars``
+    (see :meth:`Graph.stars_of`) those that leave the fewest rows together; without them they are joined as given.
     """
     steps = list(steps)
     if not steps:
         raise ValueError("a pattern needs a step")
     names = dict.fromkeys([subject.name] if isinstance(subject, Var) else []) | dict.fromkeys(variables(steps))
-    matcher = _Matcher(facts, counts)
+    matcher = _Matcher(facts, counts, stars)
     if isinstance(subject, str):
         # only the top node's own triples can be of this subject; nested nodes are looked up in all
-        top = _Matcher(facts.where(F.col("s") == subject), counts)
+        top = _Matcher(facts.where(F.col("s") == subject), counts, stars)
         top.single = lambda prop, o: _constant(matcher, prop, o, subject)
         rows = top.steps(steps, None)
     else:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from linkedframe.config import Config
 from linkedframe.functions import terms as T
-from linkedframe.storage import stored
+from linkedframe.plans.positions import Positions
+from linkedframe.storage import exists, remove, stored
 
 #: Partitions by property of the saved tables; raw properties are no safe directory names.
 PROPERTY_BUCKETS = 64
@@ -30,7 +31,14 @@ SORTED = {
     "linksets": ("target",),
     "blanks": ("s", "p", "o"),
     "postings": ("token", "doc_id", "pos"),
+    "property_sets": ("p",),
 }
+#: Tables of a saved graph that only pages of lists and searches need, made when these are first asked for.
+PACKED = {"blocks": ("token", "least", "block"), "group_starts": ("p", "o")}
+#: Tables of which pages are read by position, and their order; made when first asked for.
+POSITIONS = {"listing": ("page",), "groups": ("p", "o", "s")}
+#: Postings in a block.
+BLOCK = 1024
 
 
 def property_bucket(c: Column) -> Column:
@@ -88,6 +96,32 @@ def page_rows(triples: DataFrame, cfg: Config) -> DataFrame:
     return triples.select("seq", "s", "p", "o", F.explode(rows).alias("r")).select("seq", "s", "p", "o", "r.*")
 
 
+class Stars:
+    """Matches of stars, steps of one subject, from (set of properties: property: (subjects, triples))."""
+
+    def __init__(self, sets: dict[frozenset[str], dict[str, tuple[int, int]]]):
+        self.sets = sets
+
+    def counts(self) -> dict[str, int]:
+        """Triples of each property."""
+        out: dict[str, int] = {}
+        for found in self.sets.values():
+            for p, (_, triples) in found.items():
+                out[p] = out.get(p, 0) + triples
+        return out
+
+    def matches(self, props: Iterable[str]) -> float:
+        """How many rows a star has whose properties are each joined once, on the mean of each set of subjects."""
+        wanted, total = list(props), 0.0
+        for has, counts in self.sets.items():
+            if has.issuperset(wanted):
+                rows = float(max((counts[p][0] for p in wanted), default=0))
+                for p in wanted:
+                    rows *= counts[p][1] / counts[p][0]
+                total += rows
+        return total
+
+
 class table(cached_property):
     """A table of a graph.  Of a graph with a folder, it is written there when it is first asked for."""
 
@@ -195,6 +229,52 @@ class Graph:
         """(p, cnt): triples of each property."""
         return self.facts.groupBy("p").agg(F.count("*").alias("cnt"))
 
+    @table
+    def property_sets(self) -> DataFrame:
+        """(props, p, subjects, triples): for each distinct set of properties, how many subjects have it, and each of its properties how often."""
+        each = self.facts.groupBy("s", "p").agg(F.count("*").alias("n"))
+        sets = each.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("has"))  # one for each of a subject's properties
+        rows = sets.select(F.col("has.p").alias("props"), F.explode("has").alias("x"))
+        return rows.groupBy("props", "x.p").agg(F.count("*").alias("subjects"), F.sum("x.n").alias("triples"))
+
+    def stars_of(self, props: Iterable[str]) -> Stars:
+        """How many matches stars of some properties have, from the sets of properties that subjects have.
+
+        Sets are cut down to these properties before they reach the driver, so it gets a row for each of their combinations.
+        """
+        wanted = sorted(props)
+        cut = F.array_intersect("props", F.array(*map(F.lit, wanted)))
+        rows = self.property_sets.where(F.col("p").isin(*wanted)).groupBy(cut.alias("props"), "p").agg(F.sum("subjects").alias("subjects"), F.sum("triples").alias("triples"))
+        found: dict[frozenset[str], dict[str, tuple[int, int]]] = {}
+        for r in rows.collect():
+            found.setdefault(frozenset(r["props"]), {})[r["p"]] = (r["subjects"], r["triples"])
+        return Stars(found)
+
+    @table
+    def blocks(self) -> DataFrame:
+        """(token, block, least, most, n, docs): postings of each word by length of their text, in blocks of ``BLOCK``."""
+        order = ("token", "doc_len", "doc_id", "pos", "s", "p")
+        dealt = stored(self.postings.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+        docs = F.array_sort(F.collect_list(F.struct("doc_len", "doc_id", "pos", "p", "main")))
+        packed = dealt.groupBy("token", F.expr(f"at div {BLOCK}").alias("block")).agg(docs.alias("docs"))
+        return packed.select("token", "block", F.expr("docs[0].doc_len").alias("least"), F.element_at("docs", -1)["doc_len"].alias("most"), F.size("docs").alias("n"), "docs")
+
+    @cached_property
+    def listing(self) -> Positions:
+        """(page, label) of root subjects, by page; of saved graphs."""
+        rows = self.page_rows.where("head").select("page", "s").distinct().join(self.labels.withColumnRenamed("n3", "s"), "s", "left")
+        return Positions.save(rows.select("page", F.coalesce(F.nullif("label", F.lit("")), T.display_node("s", self.cfg)).alias("label")), f"{self.path}/listing", *POSITIONS["listing"])
+
+    @cached_property
+    def groups(self) -> Positions:
+        """(p, o, s): the subjects of each value of each property, in order; of saved graphs."""
+        return Positions.save(self.facts.select("p", "o", "s").distinct(), f"{self.path}/groups", *POSITIONS["groups"])
+
+    @table
+    def group_starts(self) -> DataFrame:
+        """(p, o, start, cnt): where the subjects of each value stand in :attr:`groups`."""
+        return self.groups.starts("p", "o")
+
     def counts_of(self, props: Iterable[str]) -> dict[str, int]:
         """Triples of some properties: for ordering the steps of a pattern."""
         return {r["p"]: r["cnt"] for r in self.property_counts.where(F.col("p").isin(*props)).collect()}
@@ -215,7 +295,7 @@ class Graph:
     def _written(self, name: str, made: DataFrame) -> DataFrame:
         if self.path is None:
             return made
-        order = SORTED[name]
+        order = {**SORTED, **PACKED}[name]
         made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return made.sparkSession.read.parquet(f"{self.path}/{name}")
 
@@ -227,6 +307,8 @@ class Graph:
         saved graph.
         """
         spark = self.facts.sparkSession
+        for name in (*PACKED, *POSITIONS):  # of a graph that was saved there before
+            remove(spark, f"{path}/{name}")
         for name in ("facts", "page_rows"):
             order = ("p_bucket", "p", "s", "o")
             rows = getattr(self, name).withColumn("p_bucket", property_bucket(F.col("p")))
@@ -242,6 +324,9 @@ class Graph:
     def open(cls, spark: SparkSession, path: str, cfg: Config | None = None) -> Graph:
         """A graph that was saved whole."""
         graph = cls(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), cfg or Config(), path=path)
-        for name in SORTED:
+        for name in (*SORTED, *(n for n in PACKED if exists(spark, f"{path}/{n}"))):
             graph.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        for name, by in POSITIONS.items():
+            if exists(spark, f"{path}/{name}/ranges"):
+                graph.__dict__[name] = Positions.open(spark, f"{path}/{name}", *by)
         return graph

@@ -44,8 +44,9 @@ def _p(name: str) -> str:
 
 
 def found(g: Graph, subject, steps: list) -> DataFrame:
-    """A pattern in the graph, its steps in order of their number of triples."""
-    return match(g.facts, subject, steps, g.counts_of(properties(steps)))
+    """A pattern in the graph, its steps in the order that leaves the fewest rows, by the sets of properties of subjects."""
+    stars = g.stars_of(properties(steps))
+    return match(g.facts, subject, steps, stars.counts(), stars)
 
 
 def query(name: str, sql: str | None = None, raw: bool = False):
@@ -355,6 +356,16 @@ def _(g):
     return browse.search(g, "Customer 000000001")
 
 
+@query("h5_search_first", _search_sql("list_contains(t, 'the')") + " ORDER BY doc_len, main LIMIT 20 OFFSET 5")
+def _(g):
+    return browse.search(g, "the", limit=20, offset=5)
+
+
+@query("h3_list_page", f"SELECT DISTINCT page, coalesce(label, {_MAGIC.format('page')}) AS label FROM page_rows LEFT JOIN labels ON n3 = s WHERE head ORDER BY page LIMIT 20 OFFSET 1500")
+def _(g):
+    return browse.list_resources(g, limit=20, offset=1500)
+
+
 @query("h5_search_any_none", _search_sql("list_contains(t, 'that') AND list_has_any(t, ['was', 'with']) AND NOT list_contains(t, 'for')", f"p = '<{DC}description>'"))
 def search_text(g):
     return browse.search(g, "that", prop=f"<{DC}description>", any_of="was with", none_of="for")

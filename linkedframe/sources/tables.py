@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,56 @@ def read_jdbc(spark: SparkSession, url: str, table: str, schema: str, key: str |
     return reader.load()
 
 
+#: Keys that are sampled for each part of a balanced read.
+SAMPLED = 200
+
+
+def key_bounds(keys: DataFrame, parts: int) -> list[tuple]:
+    """Rows of ``keys`` that cut it, in the order of its columns, into about equal parts; from a sample of bounded size.
+
+    Rows with nulls are not counted.  A row stands once, so there are fewer parts where few keys differ.
+    """
+    rows = keys.na.drop()
+    n = rows.count()
+    sample = rows if n <= parts * SAMPLED else rows.sample(parts * SAMPLED / n, seed=7)
+    found = sorted(tuple(r) for r in sample.limit(2 * parts * SAMPLED).collect())
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)} - {found[0]}) if found else []
+
+
+def _quoted(value: object) -> str:
+    if isinstance(value, (bool, int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def _reaches(keys: Sequence[str], bound: tuple) -> str:
+    """SQL for keys, compared one after the other, at or behind a bound."""
+    (key, *others), (value, *rest) = keys, bound
+    if not others:
+        return f"{key} >= {_quoted(value)}"
+    return f"({key} > {_quoted(value)} OR {key} = {_quoted(value)} AND {_reaches(others, tuple(rest))})"
+
+
+def read_jdbc_balanced(spark: SparkSession, url: str, table: str, schema: str, keys: Sequence[str], parts: int = 8, **options: str) -> DataFrame:
+    """A table with the given column types, read by about ``parts`` tasks of about equal size.
+
+    Their bounds are quantiles of a sample of the ``keys``, columns of numbers, texts or dates, so it does not matter how
+    keys are spread.  A value that many rows share is cut by the further keys; rows with a null key are read by the first
+    task.  Texts are compared by the database, whose order may differ from the sample's; each row is still read once.
+    """
+    found = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load().select(*keys)
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    names = [quote(k) for k in keys]
+    marks = [_reaches(names, b) for b in key_bounds(found, parts)]
+    null = " OR ".join(f"{k} IS NULL" for k in names)
+    # a row belongs to the last bound that it reaches, whatever the database's order
+    having = [f"NOT ({m})" for m in marks] + [""]
+    conditions = [" AND ".join(filter(None, [marks[i - 1] if i else "", *having[i:-1]])) or "1 = 1" for i in range(len(marks) + 1)]
+    predicates = [f"({null}) OR ({conditions[0]})" if i == 0 else f"NOT ({null}) AND {c}" for i, c in enumerate(conditions)]
+    properties = {k: str(v) for k, v in options.items()} | {"customSchema": schema}
+    return spark.read.jdbc(url, table, predicates=predicates, properties=properties)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, **options: str) -> None:
     """Rows appended in batches."""
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode("append").save()

@@ -42,6 +42,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, found = _at(spark, path)
+    return files.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    files, found = _at(spark, path)
+    files.delete(found, True)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, all that :func:`stored` wrote within it; results must have been written or collected by then."""
@@ -52,8 +68,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
         paths = _written.get()
         _written.reset(token)
         for path in paths:
-            found = spark._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+            remove(spark, path)
 
 
 def in_order(df: DataFrame) -> DataFrame:

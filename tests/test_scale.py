@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from linkedframe import storage
 from linkedframe.config import Config
-from linkedframe.operators import browse, documents, reach
+from linkedframe.functions import terms as T
+from linkedframe.operators import browse, documents, pattern, reach
 from linkedframe.operators.components import connected
 from linkedframe.operators.reach import reached
+from linkedframe.operators.pattern import match, optional, po, var
+from linkedframe.plans import graph as graph_
 from linkedframe.plans.graph import Graph
-from linkedframe.sources import jsonld, results
+from linkedframe.plans.positions import Positions
+from linkedframe.sources import jsonld, results, tables
 from tests.test_graph import CFG, EX, ME, B, blank_names, frame
 
 
@@ -198,3 +202,135 @@ def test_property_trees_at_any_depth(spark, kind):
     first = min(x for r in found for x in r["path"])
     assert sorted((r["s"], tuple(x - first for x in r["path"]), r["node"], r["p"], r["o"], r["inside"]) for r in found) == brute_tree(triples)
     assert documents.property_tree(g, spark.createDataFrame([], "page string")).count() == 0
+
+
+def test_pages_by_position(spark, tmp_path):
+    """A page far behind is read from its own range."""
+    df = spark.range(12_000_000).withColumn("k", F.expr("12000000 - id"))
+    saved = Positions.save(df.select("id", "k"), str(tmp_path / "p"), "k", ranges=24)
+    page = saved.page(10_000_000, 5)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    touched = saved.ranges.where("start <= 10000000 AND start + cnt > 10000000").select("slot").collect()
+    assert len(touched) == 1 and "slot#" in plan and plan.count("PartitionFilters: [isnotnull(slot") == 1 and f"= {touched[0]['slot']})" in plan
+    assert [r["k"] for r in page.collect()] == [10_000_001 + i for i in range(5)]
+    assert saved.total() == 12_000_000 and saved.page(12_000_000, 5).count() == 0 and saved.page(11_999_999).count() == 1
+
+
+def test_pages_of_ranges(spark, tmp_path):
+    rows = [(i % 7, f"v{i:03d}") for i in range(200)] + [(None, "none")]
+    for by in (("a", "b"), ("-a", "b")):
+        saved = Positions.save(spark.createDataFrame(rows, "a int, b string"), str(tmp_path / "r"), *by, ranges=5)
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]) if by[0] == "a" else (r[0] is None, -(r[0] or 0), r[1]))
+        for offset, limit in ((0, 10), (35, 40), (190, 50), (0, None), (77, None), (300, 3), (50, 0)):
+            assert [tuple(r) for r in saved.page(offset, limit).collect()] == order[offset:][:limit]
+        again = Positions.open(spark, str(tmp_path / "r"), *by)
+        assert {r["a"]: (r["start"], r["cnt"]) for r in again.starts("a").collect()} == {a: (min(i for i, r in enumerate(order) if r[0] == a), sum(r[0] == a for r in rows)) for a in {r[0] for r in rows}}
+    none = Positions.save(spark.createDataFrame([], "a int, b string"), str(tmp_path / "e"), "a", "b")
+    assert none.total() == 0 and none.page(0, 5).count() == 0 and none.page(3).count() == 0
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    """A saved graph of 3,000 texts of all lengths, each with the word ``the``."""
+    r = random.Random(12)
+    texts = [" ".join(["the", *(r.choice(["red", "blue", "old", "new", "house"]) for _ in range(r.randrange(1, 60)))]) for _ in range(3000)]
+    triples = [(f"<{B}t{i:04d}>", f"<{EX}text>", f'"{x}"') for i, x in enumerate(texts)] + [(f"<{B}t{i:04d}>", f"<{EX}kind>", f'"{i % 2}"') for i in range(3000)]
+    before, graph_.BLOCK = graph_.BLOCK, 64
+    try:
+        saved = Graph.load(frame(spark, triples), CFG).save(str(tmp_path_factory.mktemp("library") / "g"))
+        saved.blocks, saved.listing, saved.group_starts
+    finally:
+        graph_.BLOCK = before
+    return saved
+
+
+@pytest.mark.parametrize(
+    "arguments",
+    [{"query": "the"}, {"query": "the house"}, {"phrase": "red house"}, {"any_of": "old new", "none_of": "the"}, {"any_of": "old new", "none_of": "blue"}, {"prefix": "hou"}, {"query": "absent"}, {"query": "the", "prop": f"<{EX}none>"}],
+)
+def test_first_hits_are_those_of_all(library, arguments):
+    for limit, offset in ((20, 0), (7, 30)):
+        every = [tuple(r) for r in browse.search(library, **arguments).orderBy("doc_len", "main").collect()]
+        assert [tuple(r) for r in browse.search(library, **arguments, limit=limit, offset=offset).collect()] == every[offset : offset + limit]
+
+
+def test_first_hits_read_few_blocks(library):
+    token = F.col("token") == "the"
+    whole = library.blocks.where(token).count()
+    _, bound = browse.shortest(library, token, [token], lambda rows: rows.groupBy("main").agg(F.min("doc_len").alias("doc_len")), 20)
+    read = library.blocks.where(token & (F.col("least") <= bound))
+    assert whole >= 40 and read.count() * 8 < whole
+    assert "LessThanOrEqual(least" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_lists_by_position(spark, library):
+    assert [r["page"] for r in browse.list_resources(library, limit=3, offset=2990).collect()] == ["t2990", "t2991", "t2992"]
+    found = browse.resources_with(library, f"<{EX}kind>", '"1"', limit=4, offset=1497).collect()
+    assert [r["s"] for r in found] == [f"<{B}t{i}>" for i in (2995, 2997, 2999)] and not any(r["more"] for r in found)
+    assert all(r["more"] for r in browse.resources_with(library, f"<{EX}kind>", '"1"', limit=4).collect())
+    assert browse.resources_with(library, f"<{EX}kind>", '"9"', limit=4).count() == 0
+    again = Graph.open(spark, library.path, CFG)
+    assert {"blocks", "listing", "groups", "group_starts"} <= set(again.__dict__)
+    assert [r["page"] for r in browse.list_resources(again, limit=2, offset=5).collect()] == ["t0005", "t0006"]
+
+
+def test_stars_go_by_sets_of_properties(spark):
+    """Two small properties that the same few subjects repeat make more rows together than a large one that misses them."""
+    p = {x: f"<{EX}{x}>" for x in "abc"}
+    triples = [(f"<{B}s{i}>", p[x], f'"{x}{k}"') for i in range(10) for x, n in (("a", 10), ("b", 15)) for k in range(n)]
+    triples += [(f"<{B}{i}>", p["c"], '"c"') for i in ("s0", *range(400))]
+    g = Graph.load(frame(spark, triples), CFG)
+    steps = [po(p[x], var(x)) for x in "cba"]
+    stars = g.stars_of(p.values())
+    assert stars.counts() == g.counts_of(p.values()) == {p["a"]: 100, p["b"]: 150, p["c"]: 401}
+    assert stars.matches([p["a"]]) == 100 and stars.matches([p["a"], p["b"]]) == 1500 and stars.matches([p["a"], p["c"]]) == 10 and stars.matches([p["c"]]) == 401
+    assert [s.prop for s in pattern._Matcher(g.facts, stars.counts()).ordered(steps)] == [p["a"], p["b"], p["c"]]
+    assert [s.prop for s in pattern._Matcher(g.facts, stars.counts(), stars).ordered(steps)] == [p["a"], p["c"], p["b"]]
+    found = match(g.facts, var("s"), steps, stars.counts(), stars)
+    assert found.columns == ["s", "c", "b", "a"] and found.count() == 150
+    some = match(g.facts, var("s"), [po(p["a"], var("x")), po(p["c"], '"c"'), optional(po(p["b"], var("y")))], stars.counts(), stars)
+    assert some.count() == 150
+
+
+def test_many_prefixes(spark):
+    """Thousands of linked sets are one expression; the first of those that fit is taken, as with few."""
+    r = random.Random(1)
+    sets = [f"http://{r.choice('abcdef')}{i % 700}.org/{'x' * (i % 4)}{i % 13}" for i in range(10_000)] + ["http://a", "http://a1.org/", "http://zé/\U0010ffff", "http://b2.org/퟿"]
+    sets = list(dict.fromkeys(sets))
+    r.shuffle(sets)
+    uris = [s + r.choice(["", "y", "\U0010ffff", "/z"]) for s in r.sample(sets, 400)] + ["http://", "http://q.org/1", "http://a7", "ftp://x", "", None, "http://zé/\U0010ffff\U0010ffff", "http://zé/", "http://zzz", "http://b2.org/"]
+    df = spark.createDataFrame([(u,) for u in uris], "u string")
+    got = [x[0] for x in df.select(T.first_prefix("u", sets)).collect()]
+    assert got == [None if u is None else next((i for i, s in enumerate(sets) if u.startswith(s)), None) for u in uris]
+    targets = [x[0] for x in df.select(T.link_target("u", Config(base=B, linked_sets=tuple(sets)))).collect()]
+    assert targets[:400] == [sets[i] for i in got[:400]]
+    spaces = {f"q{i}": s for i, s in enumerate(sets)}
+    few = dict(list(spaces.items())[: T.FEW])
+    for prefixes in (spaces, few):
+        cfg = Config(base=B, prefixes=prefixes)
+        for u, x, y in df.select("u", T.compact("u", cfg), T.display_default("u", cfg)).where("u IS NOT NULL").collect():
+            q = next((q for q, s in prefixes.items() if u.startswith(s)), None)
+            assert (x["prefix"], x["rest"]) == (q, u[len(prefixes[q]) :] if q else u)
+            assert y == (f"{q}:{u[len(prefixes[q]) :]}" if q else u)
+        names = spark.createDataFrame([(f"q{i}:rest",) for i in (0, 5, 9000)] + [("q5",), ("nope:x",)], "c string")
+        assert [x[0] for x in names.select(T.expand_column("c", prefixes)).collect()] == [prefixes[f"q{i}"] + "rest" if f"q{i}" in prefixes else None for i in (0, 5, 9000)] + [None, None]
+
+
+def test_balanced_jdbc(spark, tmp_path):
+    """Skewed keys, texts, and a value that half of the rows share: parts of about equal size, each row once."""
+    url = f"jdbc:derby:{tmp_path}/skewed;create=true"
+    r = random.Random(3)
+    rows = [(int(r.expovariate(1) ** 6 * 10**9), f"it's {r.choice('abcz')}{r.randrange(10**6)}", i) for i in range(2000)] + [(None, None, -1), (7, None, -2)]
+    tables.write_jdbc(spark.createDataFrame(rows, "k long, name string, id int"), url, "skewed", createTableColumnTypes="name VARCHAR(64)")
+    schema = "k long, name string, id int"
+    for keys in (["k"], ["name"], ["k", "id"]):
+        found = tables.read_jdbc_balanced(spark, url, "skewed", schema, keys, 4)
+        sizes = [x["n"] for x in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sorted(x["id"] for x in found.collect()) == sorted(x[2] for x in rows)
+        assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    half = [(5 if i % 2 else i, i) for i in range(1000)]
+    tables.write_jdbc(spark.createDataFrame(half, "k long, id int"), url, "half")
+    found = tables.read_jdbc_balanced(spark, url, "half", "k long, id int", ["k", "id"], 5)
+    sizes = [x["n"] for x in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sorted(x["id"] for x in found.collect()) == list(range(1000)) and len(sizes) == 5 and max(sizes) < 2 * min(sizes)
+    assert tables.key_bounds(found.limit(0).select("k"), 4) == []
