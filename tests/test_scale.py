@@ -320,7 +320,7 @@ def test_balanced_jdbc(spark, tmp_path):
     """Skewed keys, texts, and a value that half of the rows share: parts of about equal size, each row once."""
     url = f"jdbc:derby:{tmp_path}/skewed;create=true"
     r = random.Random(3)
-    rows = [(int(r.expovariate(1) ** 6 * 10**9), f"it's {r.choice('abcz')}{r.randrange(10**6)}", i) for i in range(2000)] + [(None, None, -1), (7, None, -2)]
+    rows = [(int(r.expovariate(1) ** 6 * 10**9), f"it's {r.choice('abcz')}{r.randrange(10**6)}", i) for i in range(2000)] + [(None, "none", -1), (7, "none", -2)]
     tables.write_jdbc(spark.createDataFrame(rows, "k long, name string, id int"), url, "skewed", createTableColumnTypes="name VARCHAR(64)")
     schema = "k long, name string, id int"
     for keys in (["k"], ["name"], ["k", "id"]):
