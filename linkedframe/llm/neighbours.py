@@ -27,7 +27,7 @@ WIDTH = WORDS + SHAPES + 2 * LEVELS
 SAMPLE, RANK = 2500, 96
 NEIGHBOURS = 25
 #: Weights of the three sorts of terms against each other.
-SORTS = (1.0, 1.5, 3.0)
+SORTS = (1.0, 3.0, 2.0)
 
 # classes of bytes: small and capital letters, digits, space, line ends, other bytes; marks stand for themselves
 _CLASS = np.full(256, 5, np.uint32)
