@@ -73,12 +73,12 @@ def clean(triples: DataFrame, cfg: Config) -> DataFrame:
     return triples.select("seq", repaired("s").alias("s"), repaired("p").alias("p"), o.alias("o"))
 
 
-def page_rows(triples: DataFrame, cfg: Config) -> DataFrame:
+def page_rows(triples: DataFrame, cfg: Config, *kept: str) -> DataFrame:
     """(seq, s, p, o, page, head, direction): each triple under the pages it is shown on, from one pass over the triples.
 
     ``forward``: under the subject's page, ``head`` for subjects without fragment.  ``inverse``: under the object's page,
     unless its document is one of ``no_inverse``.  ``blank``: under the page of blank nodes.  Triples of which neither
-    subject nor object is under the base, and that have no blank subject, go.
+    subject nor object is under the base, and that have no blank subject, go.  ``kept`` are further columns to keep.
     """
     s, o = F.col("s"), F.col("o")
     object_uri = T.uri_value(o)
@@ -93,7 +93,7 @@ def page_rows(triples: DataFrame, cfg: Config) -> DataFrame:
     inverse = F.when(_is_uri(s) & _under_base(o, cfg) & ~hidden, row(T.page_of(object_uri, cfg), F.lit(False), "inverse")).otherwise(none)
     blank = F.when(s.startswith("_:"), row(F.lit(T.BLANK_PAGE), F.lit(False), "blank")).otherwise(none)
     rows = F.filter(F.array(forward, inverse, blank), lambda r: r.isNotNull())
-    return triples.select("seq", "s", "p", "o", F.explode(rows).alias("r")).select("seq", "s", "p", "o", "r.*")
+    return triples.select("seq", "s", "p", "o", *kept, F.explode(rows).alias("r")).select("seq", "s", "p", "o", "r.*", *kept)
 
 
 class Stars:
@@ -296,6 +296,8 @@ class Graph:
         if self.path is None:
             return made
         order = {**SORTED, **PACKED}[name]
+        if name == "postings":  # a table is dealt to ranges in two passes, one for a sample; texts are split in one
+            made = stored(made)
         made.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return made.sparkSession.read.parquet(f"{self.path}/{name}")
 
@@ -309,10 +311,11 @@ class Graph:
         spark = self.facts.sparkSession
         for name in (*PACKED, *POSITIONS):  # of a graph that was saved there before
             remove(spark, f"{path}/{name}")
+        order, rows = ("p_bucket", "p", "s", "o"), self.facts.withColumn("p_bucket", property_bucket(F.col("p")))
         for name in ("facts", "page_rows"):
-            order = ("p_bucket", "p", "s", "o")
-            rows = getattr(self, name).withColumn("p_bucket", property_bucket(F.col("p")))
             rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("p_bucket").parquet(f"{path}/{name}")
+            # each triple that is kept is on some page, so the rows of pages follow from the saved triples
+            rows = page_rows(spark.read.parquet(f"{path}/{name}"), self.cfg, "p_bucket") if name == "facts" else rows
         saved = Graph(*(spark.read.parquet(f"{path}/{name}") for name in ("facts", "page_rows")), self.cfg, path=path)
         # labels may come from triples that are on no page
         saved.__dict__["labels"] = saved._written("labels", self.labels)

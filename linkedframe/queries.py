@@ -192,7 +192,7 @@ def _(g):
 
 _LINKS = f"""(SELECT CASE WHEN starts_with(u, 'http://dbpedia.org/') THEN 'http://dbpedia.org/' ELSE regexp_extract(u, '^(https?://[^/?#]*)', 1) || '/' END AS target
   FROM (SELECT substr(o, 2, length(o) - 2) AS u FROM page_rows WHERE direction = 'forward' AND starts_with(o, '<http'))
-  WHERE NOT regexp_matches(u, '^(http://localhost:8080/|http://www.w3.org/|http://purl.org/dc/|http://xmlns.org/|http://rdfs.org/|http://schema.org/)'))"""
+  WHERE NOT ({' OR '.join(f"starts_with(u, '{x}')" for x in (BASE, *testmap.NOT_LINKED))}))"""
 
 
 @query("g5_linksets", f"SELECT target, count(*) AS cnt FROM {_LINKS} GROUP BY target")
@@ -537,8 +537,8 @@ def _(g):
     return found.select("page", *[F.when(F.col(c).startswith("_:"), F.concat(F.lit("_:"), F.coalesce(f"{c}_said", F.lit("")))).otherwise(F.col(c)).alias(c) for c in ("s", "o")], "p")
 
 
-@query("r1_tag_labels", f"""SELECT s, p, CASE WHEN p = '{RDFS_LABEL}' THEN replace(o, '\\u', 'u') || '@' || substr(s, 24, 2) ELSE o END AS o FROM facts
-  UNION ALL SELECT s, '{rewrite.LANGUAGE}', '"' || substr(s, 24, 2) || '"' FROM facts WHERE p = '{RDFS_LABEL}'""")
+@query("r1_tag_labels", f"""SELECT s, p, CASE WHEN p = '{RDFS_LABEL}' AND ends_with(o, '"') THEN replace(o, '\\u', 'u') || '@' || substr(s, 24, 2) ELSE o END AS o FROM facts
+  UNION ALL SELECT s, '{rewrite.LANGUAGE}', '"' || substr(s, 24, 2) || '"' FROM facts WHERE p = '{RDFS_LABEL}' AND ends_with(o, '"')""")
 def _(g):
     return rewrite.tag_labels(g.facts.select("s", "p", "o"), BASE)
 

@@ -42,21 +42,31 @@ class Mapped:
         return F.concat(F.lit('"'), escape_literal(value), F.lit(f'"{tag}'))
 
 
+def _subject(pattern: str | Column) -> Column:
+    if not isinstance(pattern, str):
+        return pattern
+    before, _, rest = pattern.partition("{")
+    key, _, behind = rest.partition("}")
+    return F.concat(F.lit(f"<{before}"), F.col(key).cast("string"), F.lit(f"{behind}>"))
+
+
 def triplify(df: DataFrame, subject: str | Column, columns: Sequence[Mapped]) -> DataFrame:
     """(s, p, o) for each non-null mapped column.
 
     ``subject`` is a URI pattern ``…{column}…``, or a column of terms.  Each property is a projection of its own, so a
     filter on ``p`` leaves out the others, with their columns and tables, when the query is planned.
     """
-    s = subject
-    if isinstance(subject, str):
-        before, _, rest = subject.partition("{")
-        key, _, behind = rest.partition("}")
-        s = F.concat(F.lit(f"<{before}"), F.col(key).cast("string"), F.lit(f"{behind}>"))
+    s = _subject(subject)
     parts = [df.select(s.alias("s"), F.lit(f"<{m.prop}>").alias("p"), m.object().alias("o")) for m in columns]
     return reduce(DataFrame.union, parts).where("s IS NOT NULL AND o IS NOT NULL")
 
 
+def triplify_once(df: DataFrame, subjects: Sequence[tuple[str | Column, Sequence[Mapped]]]) -> DataFrame:
+    """The triples of several subjects of one table, as by :func:`triplify`, from a single pass over its rows."""
+    triples = [F.struct(_subject(s).alias("s"), F.lit(f"<{m.prop}>").alias("p"), m.object().alias("o")) for s, columns in subjects for m in columns]
+    return df.select(F.explode(F.array(*triples)).alias("t")).select("t.*").where("s IS NOT NULL AND o IS NOT NULL")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, schema: str, key: str | None = None, bounds: tuple | None = None, parts: int = 8, **options: str) -> DataFrame:
     """A table with the given column types; with a numeric ``key`` and its bounds, read by ``parts`` tasks."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).option("customSchema", schema).options(**options)

@@ -616,6 +616,8 @@ def test_rewrites(spark):
     assert rows(rewrite.tag_labels(df, emn), "s", "p", "o") == sorted(
         [(f"<{emn}de/x>", RDFS_LABEL, '"au00e4"@de'), (f"<{emn}de/x>", rewrite.LANGUAGE, '"de"'), (f"<{emn}de/x>", SEE, "<http://y>")], key=repr
     )
+    tagged = [(f"<{emn}de/x>", RDFS_LABEL, '"a"@en'), (f"<{emn}de/x>", RDFS_LABEL, f'"a"^^<{T.XSD}string>')]  # stay valid terms
+    assert rows(rewrite.tag_labels(frame(spark, tagged), emn), "s", "p", "o") == sorted(tagged, key=repr)
     p = rewrite.REFERENCE_CONTEXT
     df = frame(spark, [("<http://1>", p, "<http://d/A_b#c=0,1>"), ("<http://2>", p, "<http://d/A_b#c=2,3>"), ("<http://3>", p, "<http://d/C>"), ("<http://4>", p, "<http://d/A_b#z>"), ("<http://4>", SEE, "<http://q#r>")])
     label = ("<http://d/A_b>", RDFS_LABEL, '"A b"@en')
