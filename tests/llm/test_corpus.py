@@ -204,7 +204,24 @@ def test_base_spans_are_the_patterns(texts):
     assert [secretscan.values_of(SECRETS, [s])[0] for s in secretscan.base_spans(SECRETS) if s[2] == "assign"][0] == "hunter2hunter2"
 
 
+def brute_spans(text, model):
+    """Base spans and what is left of each run of 12 characters and more, where it looks random character by character."""
+    base, alphabet = brute_base(text), secretscan.CHARACTERS
+    taken = {i for a, b, _ in base for i in range(a, b)}
+    found = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+        left = "".join("\0" if i in taken else text[i] for i in range(*run.span()))
+        for m in re.finditer(r"[^\0]{12,}", left):
+            path = [len(alphabet), *map(alphabet.index, m[0]), len(alphabet)]
+            total = sum(float(model[x * (len(alphabet) + 1) + y]) for x, y in pairwise(path))
+            least = max(1.0 if re.search("[0-9]", m[0]) else 1.75, 20 / len(m[0]))
+            if re.search("[A-Za-z]", m[0]) and total / len(m[0]) >= least:
+                found.append((run.start() + m.start(), run.start() + m.end(), "markov"))
+    return sorted([*base, *found], key=lambda x: (x[0], ("assign", "access", "hex", "markov").index(x[2])))
+
+
 def test_secret_query(spark, texts):
+    model = secretscan.train(read_table(spark, SF, "documents", "doc_id", "text"))
     rows = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, SF).collect()}
     assert rows.keys() == texts.keys()
     for key, text in texts.items():
@@ -213,7 +230,9 @@ def test_secret_query(spark, texts):
         r = rows[key]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[2] == k for s in base) for k in ("assign", "access", "hex"))
         assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
-        assert set(joined) <= set(r["spans"].split(",")) or not joined
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in brute_spans(text, model))
+    keys = f"key {'aB3xK9qLz7Rt' * 2} AKIAABCDEFGHIJ12/{'q7Zk' * 9} plain_words_only_here 1234567890123456"
+    assert secretscan.find_spans(keys, model) == brute_spans(keys, model) and any(k == "markov" for *_, k in brute_spans(keys, model))
 
 
 def test_markov_finds_random_strings_only(spark):
@@ -864,4 +883,6 @@ def test_pipeline(spark, texts):
     _, library = reference_encoding()
     for r in stages["byte_bpe"](spark, kept, SF).collect():
         assert list(r["ids"]) == library.encode_ordinary(after[r["doc_id"]]["text"])
-    assert corpus_pipeline.run(spark, SF).count() == len(after)
+    whole = {r["doc_id"]: (r["n_tokens"], list(r["ids"]), r["n_bytes"]) for r in corpus_pipeline.run(spark, SF).collect()}
+    want = {k: (library.encode_ordinary(r["text"]), len(r["text"].encode())) for k, r in after.items()}
+    assert whole == {k: (len(ids), ids, n) for k, (ids, n) in want.items()}
