@@ -2,16 +2,18 @@
 
 A text is read as symbols, one for each word or mark.  The lexicon, a weighted transducer from words to symbols, knows
 insults and threats (whole words or stems, each arc with a weight), those spoken to or of, negations and verbs of saying.
-Four small transducers rewrite the symbols and are composed into one machine:
+Contractions are read in parts: ``you're`` has the target ``you``, ``didn't`` and ``n'est`` a negation.  Verbs of saying are
+known in all forms that their endings make.  Four small transducers rewrite the symbols and are composed into one machine:
 
 * quotation: what stands inside quotation marks is reported; a line's end closes them;
 * reported speech: what follows a verb of saying is reported, over commas and colons, up to the sentence's end;
-* negation: insults and threats within a few words behind a negation are negated;
+* negation: insults and threats within a few words behind a negation are negated, articles and the like not counted;
 * target: the end of a clause tells whether somebody was addressed or spoken of in it.
 
 A clause adds its insults' and threats' weights under the kind it ends as (plain, targeted, threat, negated, reported);
 words outside matched clauses count for nothing.  The arcs' weights and the weight of each kind are trained from labelled
-documents; built-in arcs serve where the labels know nothing.
+documents; built-in arcs serve where the labels know nothing.  A trained word is a threat if at least half of the toxic
+documents that have it announce it to somebody (``will … you``), else an insult.
 """
 
 from __future__ import annotations
@@ -29,12 +31,27 @@ from pyspark.sql import functions as F
 
 from linkedframe.llm.common import bounded_sample, stored, with_text_columns
 
+
+def forms(verbs: str, endings: Sequence[str]) -> frozenset[str]:
+    """Verbs with each ending; an e at the end gives way to an ending that begins with a vowel."""
+    return frozenset(v[:-1] + e if v.endswith("e") and e[:1] in tuple("aeiou") else v + e for v in verbs.split() for e in endings)
+
+
 #: Built-in arcs; training adds to them and weighs the threats.
 INSULTS = ("idiot", "moron", "scum", "loser", "trash", "pathetic", "worthless", "stupid", "clown", "disgusting", "imbecile", "bastard")
-THREATS = ("kill", "hurt", "destroy", "strangle", "stab", "shoot", "töten", "umbringen", "tuer", "matar")
-TARGETS = frozenset("you your yours they them their he him his she her those people du dich dir ihr euch sie tu te toi vous il elle ils elles usted ustedes él ella ellos".split())
-NEGATIONS = frozenset("not never no nobody isn't aren't wasn't don't nicht kein keine nie ne pas jamais nunca jamás".split())
-REPORTS = frozenset("said says say called calls wrote writes quoted quotes claimed sagte sagt schrieb nannte dit écrit appelé dijo dice escribió llamó".split())
+THREATS = ("kill", "hurt", "destroy", "strangle", "stab", "shoot", "murder", "töten", "umbringen", "ermorden", "tuer", "assassiner", "matar", "asesinar")
+TARGETS = frozenset("you your yours they them their he him his she her those people du dich dir ihr euch sie tu te t' toi vous il elle ils elles usted ustedes él ella ellos".split())
+NEGATIONS = frozenset("not never no nobody cannot nicht kein keine keinen nie ne n' pas jamais nunca jamás".split())
+REPORTS = (
+    forms("say call tell claim quote shout yell scream write answer insist allege repeat", ("", "s", "d", "ed", "ing"))
+    | forms("sag nenn behaupt schreib ruf", ("e", "t", "te", "en", "ten", "end"))
+    | frozenset("said told wrote written schrieb schrieben nannte nannten rief riefen".split())
+    | frozenset("dit disent disait écrit appelle appelé crie crié dijo dice dicen diciendo escribió llama llamó gritó".split())
+)
+#: Words that do not use up a negation's reach.
+SMALL = frozenset("a an the such so very ein eine einen der die das den un une le la les el los las una".split())
+#: Words that announce what somebody will do.
+INTENTS = "will|shall|gonna|gotta|going to|werde|werden|wird|vais|va|allons|voy a|va a|vamos a"
 INSULT_WEIGHT, THREAT_WEIGHT = 3.0, 2.0
 NEGATION_REACH = 3
 
@@ -45,7 +62,10 @@ LEAST, STEMS = 2.0, range(4, 9)
 #: Distinct words and stems that a training task holds before it hands their counts on.
 HELD = 1_000_000
 
-_TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]|[.!?]+|[;:,]|\n")
+#: Words end at an apostrophe; ``n't`` stays with what it denies, and ``n'`` and ``t'`` before a word keep theirs.
+_TOKENS = re.compile(r"[^\W_]+n['’]t(?![^\W_])|(?<![^\W_])[nt]['’](?=[^\W_])|[^\W_]+|[\"“”„«»]|[.!?]+|[;:,]|\n")
+#: The words behind an announcement, as far as a threat and whom it is meant for stand apart.
+_ANNOUNCED = re.compile(rf"(?:(?<![^\W_])(?:{INTENTS})|['’]ll)(?=((?:\s+[^\W\d_]+){{2,6}}))")
 _MARKS = {'"': "quote", "“": "open", "„": "open", "«": "open", "”": "close", "»": "close", "\n": "line", ";": "break", ":": "break", ",": "break"}
 #: Kinds of clause weights, then the strongest clause of those neither negated nor reported.
 KINDS = ("plain", "targeted", "threat", "negated", "reported", "most")
@@ -86,7 +106,7 @@ def compose(first: Transducer, second: Transducer, alphabet: Sequence[str]) -> T
 
 
 #: What the lexicon writes.
-ALPHABET = ("other", "insult", "threat", "target", "negation", "report", "quote", "open", "close", "break", "stop", "line")
+ALPHABET = ("other", "small", "insult", "threat", "target", "negation", "report", "quote", "open", "close", "break", "stop", "line")
 _HITS = ("insult", "threat")
 
 _REPORTED = {("in", hit): ("in", "reported") for hit in _HITS}
@@ -161,7 +181,9 @@ class Machine:
         word = word.replace("’", "'")
         if word in g.threats:
             return "threat", g.threats[word]
-        for name, words in (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
+        if word.endswith("n't"):
+            return "negation", 0.0
+        for name, words in (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS), ("small", SMALL)):
             if word in words:
                 return name, 0.0
         weight = g.words.get(word)
@@ -207,29 +229,52 @@ class Machine:
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
 
 
+def announced(text: str) -> set[str]:
+    """Words of a text in small letters that stand up to three words behind an announcement and by one that is spoken to or of."""
+    found = set()
+    for behind in _ANNOUNCED.findall(text):
+        words = behind.split()
+        found |= {w for i, w in enumerate(words[:3]) if w not in TARGETS and not TARGETS.isdisjoint(words[max(0, i - 2) : i + 3])}
+    return found
+
+
+def _with_stems(words: set[str]) -> set[str]:
+    return {*words, *(f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n)}
+
+
+#: Counts of an arc: other and toxic documents of half 0, those of half 1, and toxic documents of each that announce it.
+_COUNTS = ("b0", "a0", "b1", "a1", "t0", "t1")
+
+
 def _arc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other documents of each half each word and stem occurs."""
-    counts: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
+    """In how many toxic and other documents of each half each word and stem occurs, and is announced."""
+    counts: tuple[Counter, ...] = tuple(Counter() for _ in _COUNTS)
 
     def handed() -> Iterator[pa.RecordBatch]:
         names = list(set().union(*counts))
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[n] for n in part], pa.int64()) for c in counts)], ["arc", "b0", "a0", "b1", "a1"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[n] for n in part], pa.int64()) for c in counts)], ["arc", *_COUNTS])
         for c in counts:
             c.clear()
 
     for batch in batches:
         for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if len(w) > 2}
-            counts[2 * half + toxic].update({*words, *(f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n)})
+            text = (text or "").lower()
+            words = {w for w in re.findall(r"[^\W\d_]+", text) if len(w) > 2}
+            counts[2 * half + toxic].update(_with_stems(words))
+            if toxic:
+                counts[4 + half].update(_with_stems(announced(text) & words))
             if sum(map(len, counts)) > HELD:
                 yield from handed()
     yield from handed()
 
 
 def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression (last column of x: 1, and no other weight below 0) pulled towards ``prior``."""
+    """Logistic regression (last column of x: 1, and no other weight below 0) pulled towards ``prior``.
+
+    A weight that stands at 0 and would fall further takes no part in a step.
+    """
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
@@ -238,7 +283,11 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0) ->
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * (w - prior))
+        slope = x.T @ (p - y) + ridge * (w - prior)
+        free = np.flatnonzero((w > 0) | (slope < 0) | (np.arange(len(w)) == len(w) - 1))
+        bend = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + ridge * np.eye(len(free))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(bend, slope[free])
         size = 1.0
         while size > 1e-6:
             new = w - size * step
@@ -273,17 +322,21 @@ def _choose(rows) -> tuple[dict[str, float], dict[str, float]]:
 
 
 def _grammar(rows: list, halves: Sequence[int], sizes: dict) -> Grammar:
-    """The lexicon from counts (arc, others and toxic of half 0, others and toxic of half 1) of some halves."""
+    """The lexicon from the counts of some halves.  A stem of announced words is left out, since its words are threats."""
     n0, n1 = (sum(sizes.get((toxic, h), 0) for h in halves) for toxic in (0, 1))
     chosen, threats = [], dict.fromkeys(THREATS, THREAT_WEIGHT)
     for arc, *counts in rows:
         b, a = (sum(counts[2 * h + toxic] for h in halves) for toxic in (0, 1))
+        told = sum(counts[4 + h] for h in halves)
         odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         if arc in threats:
             if a + b >= 3:
                 threats[arc] = min(6.0, max(0.0, odds))
         elif a >= 3 and odds - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= LEAST:
-            chosen.append((arc, a, odds))
+            if 2 * told < a:
+                chosen.append((arc, a, odds))
+            elif not arc.endswith("*"):
+                threats[arc] = min(6.0, odds)
     return Grammar(*_choose(chosen), threats)
 
 
@@ -307,13 +360,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
     sizes = {(r["toxic"], r["half"]): r["n"] for r in texts.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     if not all(any(sizes.get((toxic, h)) for h in (0, 1)) for toxic in (0, 1)):
         return BUILT_IN
-    names = ("b0", "a0", "b1", "a1")
-    counted = texts.select(text, "toxic", "half").mapInArrow(_arc_counts, "arc string, b0 long, a0 long, b1 long, a1 long").groupBy("arc").agg(*[F.sum(c).alias(c) for c in names])
+    schema = ", ".join(["arc string", *(f"{c} long" for c in _COUNTS)])
+    counted = texts.select(text, "toxic", "half").mapInArrow(_arc_counts, schema).groupBy("arc").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     # what could be chosen from either half or both, by the mean of its log-odds
     a, b = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1")
     n0, n1 = (sum(sizes.get((toxic, h), 0) for h in (0, 1)) for toxic in (0, 1))
     odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-    rows = [tuple(r) for r in counted.where(F.col("arc").isin(*THREATS) | (a >= 3) & (odds >= LEAST - 1)).select("arc", *names).collect()]
+    rows = [tuple(r) for r in counted.where(F.col("arc").isin(*THREATS) | (a >= 3) & (odds >= LEAST - 1)).select("arc", *_COUNTS).collect()]
     whole, halves = _grammar(rows, (0, 1), sizes), [_grammar(rows, (h,), sizes) for h in (1, 0)]
     size = len(KINDS)
 

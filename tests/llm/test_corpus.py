@@ -75,6 +75,18 @@ def only(machine, text):
         ("kill the lights", set()),
         ("idiotic idiots and xidiot", set()),  # whole words only
         ("the lowestupid idiots\x00", set()),
+        ("you're an idiot", {"targeted"}),
+        ("you’re an idiot", {"targeted"}),
+        ("you didn't act like an idiot", {"negated"}),
+        ("you can't be an idiot", {"negated"}),
+        ("tu n'es pas idiot", {"negated"}),
+        ("t'es idiot", {"targeted"}),
+        ("he is saying you are an idiot", {"reported"}),
+        ("he told them: you idiot", {"reported"}),
+        ("they were shouting that you are an idiot", {"reported"}),
+        ("I will murder you", {"threat"}),
+        ("I won't murder you", {"negated"}),
+        ("that idiot's plan", {"plain"}),
     ],
 )
 def test_toxicity_clauses(text, expected):
@@ -91,7 +103,16 @@ def brute_features(grammar, text):
     """Clauses by their definition: of each, every insult and threat is looked at with all that stands around it."""
     totals, most = dict.fromkeys(toxicity.KINDS[:-1], 0.0), 0.0
     for line in text.lower().split("\n"):
-        tokens = re.findall(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]|[.!?]+|[;:,]", line)
+        tokens = []
+        for t in re.findall(r"[^\W_]+(?:['’][^\W_]+)*['’]?|[\"“”„«»]|[.!?]+|[;:,]", line.replace("’", "'")):
+            while t:
+                head, mark, rest = t.partition("'")
+                if mark and (rest == "t" or rest.startswith("t'")) and head.endswith("n") and len(head) > 1:
+                    tokens.append(head + "'t")
+                    rest = rest[2:]
+                else:
+                    tokens.append(head + "'" if head in ("n", "t") and rest else head)
+                t = rest
         ends = [i for i, t in enumerate(tokens) if t[0] in ".!?;:,"] + [len(tokens)]
         begin = 0
         for end in ends:
@@ -107,7 +128,8 @@ def brute_features(grammar, text):
                     quoted = not quoted if x == '"' else True if x in "“„«" else False if x in "”»" else quoted
                 stops = [j for j in range(i) if tokens[j][0] in ".!?"]
                 said = any(x in toxicity.REPORTS for x in tokens[(stops[-1] + 1 if stops else 0) : i])
-                denied = any(x in toxicity.NEGATIONS for x in [y for y in tokens[begin:i] if y[0] not in '"“”„«»'][-toxicity.NEGATION_REACH :])
+                before = [y for y in tokens[begin:i] if y[0] not in '"“”„«»' and y not in toxicity.SMALL]
+                denied = any(x in toxicity.NEGATIONS or x.endswith("n't") for x in before[-toxicity.NEGATION_REACH :])
                 kind = "reported" if quoted or said else "negated" if denied else "threat" if t in grammar.threats else "targeted" if target else "plain"
                 sums[kind] += 0.0 if kind == "threat" and not target else weight
             for k, v in sums.items():
@@ -121,7 +143,7 @@ def test_toxicity_features_by_brute_force(texts):
     random = np.random.default_rng(8)
     grammar = toxicity.Grammar({**toxicity.BUILT_IN.words, "grim": 1.5}, {"mock": 2.0, "mocker": 2.5})
     m = toxicity.Machine(grammar)
-    words = ["you", "idiot", "not", "said", "kill", "grim", "mocking", "mockery", "house", "the", "people", ",", ".", ":", "!", "\n", "“", "”", "stupid"]
+    words = ["you", "idiot", "not", "said", "kill", "grim", "mocking", "mockery", "house", "the", "people", ",", ".", ":", "!", "\n", "“", "”", "stupid", "can't", "you're", "n'a", "t'as", "an", "telling", "he’s"]
     made = [" ".join(random.choice(words, int(random.integers(1, 60)))) for _ in range(300)]
     for text in [*made, *list(texts.values())[:100]]:
         assert kinds(m, text) == pytest.approx(brute_features(grammar, text)), text
@@ -172,6 +194,55 @@ def test_toxicity_learns_threats_and_contexts(spark):
     assert weight["reported"] < weight["targeted"] and weight["negated"] < weight["targeted"]
 
 
+def test_toxicity_learns_new_threats(spark):
+    r = np.random.default_rng(2)
+    filler = [f"w{i}" for i in range(200)]
+    extra = ["I will flarn you", "you gronk", "ich werde dich flarn", "a day", "we will see you", "they'll flarn him", "no", "you can"]
+    rows = [(i, f"{' '.join(r.choice(filler, 20))}. {extra[i % 8]}.", int(i % 8 in (0, 1, 2, 5))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    g = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert "flarn" in g.threats and not {"flarn", "see"} & {*g.words} and "flar" not in g.stems and "see" not in g.threats
+    assert "gronk" not in g.threats and ("gronk" in g.words or {"gron", "gronk"} & {*g.stems})
+    assert g.kinds[toxicity.KINDS.index("threat")] > 0
+    assert toxicity.announced("i'll flarn you. he will go. we will not flarn him") == {"flarn", "not"}
+
+
+def test_arcs_are_chosen_as_defined():
+    """An arc is left out exactly if a better one makes it idle: a stem nearly all of whose documents an arc below it has, or
+    an arc whose chosen stem weighs about as much."""
+    random = np.random.default_rng(5)
+    for _ in range(200):
+        names = {"".join(random.choice(list("ab"), int(random.integers(4, 9)))) for _ in range(12)}
+        rows = [(n + "*" * int(random.integers(2)), int(random.integers(3, 40)), float(random.uniform(2, 8))) for n in sorted(names)]
+        words, stems = toxicity._choose([rows[i] for i in random.permutation(len(rows))])
+        chosen = []
+        for arc, n, odds in sorted(rows, key=lambda x: (-x[1] * min(6, x[2]), x[0].endswith("*"), -len(x[0]), x[0])):
+            name, weight = arc.rstrip("*"), min(6, odds)
+            idle = arc.endswith("*") and any(c.rstrip("*").startswith(name) and m >= 0.9 * n for c, m, _ in chosen)
+            idle = idle or any(c.endswith("*") and name.startswith(c[:-1]) and (len(c) - 1 < len(name) or not arc.endswith("*")) and w >= weight - 1 for c, _, w in chosen)
+            if not idle:
+                chosen.append((arc, n, weight))
+        assert stems == {c[:-1]: w for c, _, w in chosen if c.endswith("*")}
+        assert words == dict.fromkeys(toxicity.INSULTS, toxicity.INSULT_WEIGHT) | {c: w for c, _, w in chosen if not c.endswith("*")}
+
+
+def test_fit_is_the_least_loss():
+    random = np.random.default_rng(6)
+    x = np.column_stack([random.uniform(0, 2, (300, 3)), np.ones(300)])
+    y = (random.random(300) < 1 / (1 + np.exp(-(x @ [2.0, 0.5, -1.0, -1.5])))).astype(float)
+    prior = np.array([1.0, 1.0, 0.2, -3.0])
+
+    def loss(w):
+        return sum(np.logaddexp(0, (1 - 2 * b) * (a @ w)) for a, b in zip(x, y, strict=True)) + ((w - prior) ** 2).sum() / 2
+
+    w = toxicity._fit(x, y, prior)
+    assert (w[:3] >= 0).all() and w[2] == 0
+    for _ in range(200):
+        other = w + random.normal(0, 0.05, 4)
+        other[:3] = np.maximum(other[:3], 0)
+        assert loss(other) > loss(w) - 1e-3
+
+
 def test_toxicity_odd(spark, odd):
     out = toxicity.score(odd, toxicity.BUILT_IN)
     assert out.count() == odd.count() and out.columns.count("score") == 1
