@@ -20,8 +20,17 @@ ARROW = {
     "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()),
     "array<long>": pa.list_(pa.int64()),
-    "array<struct<pid:int,type:int,payload:binary,pts:array<long>,access:array<long>>>": pa.list_(
-        pa.struct([("pid", pa.int32()), ("type", pa.int32()), ("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("access", pa.list_(pa.int64()))])
+    "array<struct<pid:int,type:int,payload:binary,pts:array<long>,access:array<long>,units:array<struct<at:long,pts:long,access:boolean,size:long>>>>": pa.list_(
+        pa.struct(
+            [
+                ("pid", pa.int32()),
+                ("type", pa.int32()),
+                ("payload", pa.binary()),
+                ("pts", pa.list_(pa.int64())),
+                ("access", pa.list_(pa.int64())),
+                ("units", pa.list_(pa.struct([("at", pa.int64()), ("pts", pa.int64()), ("access", pa.bool_()), ("size", pa.int64())]))),
+            ]
+        )
     ),
     "array<struct<start:int,end:int,kind:string>>": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from linkedframe.llm.common import with_text_columns
 
 PACKET, SYNC = 188, 0x47
-PAT_PID, PMT_PID, DATA_PID = 0, 0x100, 0x101
+PAT_PID, PMT_PID, DATA_PID, NO_PID = 0, 0x100, 0x101, 0x1FFF
 PRIVATE_STREAM, STREAM_TYPE = 0xBD, 0x06
 UNIT, GROUP, CLOCK = 4096, 8, 3600
 #: Stream ids of elementary packets that have no header fields, and of padding.
@@ -122,12 +122,18 @@ class _Stream:
         self.payload: list[bytes] = []
         self.pts: list[int] = []
         self.access: list[int] = []
+        self.units: list[dict] = []
+        self.begun: tuple[int, bool] = (0, False)
 
-    def add(self, body: bytes, first: bool) -> None:
+    def add(self, body: bytes, first: bool, at: int, access: bool) -> None:
+        """The bytes of the transport packet at an offset, which may be flagged for random access."""
+        if access:
+            self.access.append(at)
         if first:
             self.close()
             if body[:3] != b"\0\0\1" or len(body) < 6:
                 return
+            self.begun = at, access
             length = int.from_bytes(body[4:6])
             self.want = 6 + length if length else 1 << 62
         elif not self.want:
@@ -141,28 +147,37 @@ class _Stream:
         packet = b"".join(self.parts)[: self.want] if self.want < 1 << 62 else b"".join(self.parts)
         self.parts, self.size, self.want = [], 0, 0
         if len(packet) >= 9 and packet[3] not in BARE:
-            if packet[7] & 0x80 and len(packet) >= 14:
-                self.pts.append(_pts(packet[9:14]))
-            self.payload.append(packet[9 + packet[8] :])
+            pts = _pts(packet[9:14]) if packet[7] & 0x80 and len(packet) >= 14 else None
+            if pts is not None:
+                self.pts.append(pts)
+            self._keep(packet[9 + packet[8] :], pts)
         elif len(packet) > 6 and packet[3] != PADDING:
-            self.payload.append(packet[6:])
+            self._keep(packet[6:], None)
+
+    def _keep(self, data: bytes, pts: int | None) -> None:
+        self.payload.append(data)
+        self.units.append({"at": self.begun[0], "pts": pts, "access": self.begun[1], "size": len(data)})
 
 
 def demux(media: bytes) -> dict:
     """What a stream holds: its programs, elementary streams with payload, time stamps and access points, and faults.
 
     ``streams`` are in the order of the program tables, each with PID, type, payload, ``pts`` (of each elementary packet
-    that has one) and ``access``, the byte offset of each transport packet flagged for random access.
+    that has one), ``access``, the byte offset of each transport packet flagged for random access, and ``units``: of each
+    elementary packet the offset of the transport packet it begins in, its time stamp or null, whether that transport
+    packet is flagged, and how many bytes it adds to the payload.  So a reader seeks by time and by place in the payload.
     ``continuity_errors`` are packets whose counter does not follow, unless they are the one before, sent twice;
     ``table_errors`` sections that are cut or have a wrong checksum; ``sync_errors`` the bytes skipped to find a packet,
     which starts with the sync byte and has another one behind it.  A lost packet leaves a gap in the payload.
+    Left out of the payload and counted: ``damaged`` packets, marked so by the transport; ``scrambled`` ones; and
+    ``unmapped`` ones, of a PID that no table has named so far.  Tables that hold only from later on are passed over.
     """
     programs: dict[int, int] = {}
     streams: dict[int, _Stream] = {}
     tables: dict[int, _Sections] = {PAT_PID: _Sections()}
     counters: dict[int, int] = {}
     before: dict[int, bytes] = {}
-    continuity = sync = packets = 0
+    continuity = sync = packets = damaged = scrambled = unmapped = 0
     at, end = 0, len(media)
     while at + PACKET <= end:
         if media[at] != SYNC or at + PACKET < end and media[at + PACKET] != SYNC and sync_lost(media, at):
@@ -175,6 +190,10 @@ def demux(media: bytes) -> dict:
         packet = media[at : at + PACKET]
         pid, control, first = (packet[1] & 0x1F) << 8 | packet[2], packet[3], bool(packet[1] & 0x40)
         start, packets, flags = 4, packets + 1, 0
+        if packet[1] & 0x80:
+            damaged += 1
+            at += PACKET
+            continue
         if control & 0x20:
             flags = packet[5] if packet[4] else 0
             start += 1 + packet[4]
@@ -187,24 +206,29 @@ def demux(media: bytes) -> dict:
                     continue
                 continuity += 1
             before[pid] = packet
-            if pid in streams:
-                if flags & 0x40:
-                    streams[pid].access.append(at)
-                streams[pid].add(packet[start:], first)
+            if control & 0xC0:
+                scrambled += 1
+            elif pid in streams:
+                streams[pid].add(packet[start:], first, at, bool(flags & 0x40))
             elif pid in tables:
                 for section in tables[pid].add(packet[start:], first):
                     _read_table(pid, section, programs, tables, streams)
+            elif pid != NO_PID:
+                unmapped += 1
         at += PACKET
     for stream in streams.values():
         stream.close()
     return {
-        "streams": [{"pid": pid, "type": x.kind, "payload": b"".join(x.payload), "pts": x.pts, "access": x.access} for pid, x in streams.items()],
+        "streams": [{"pid": pid, "type": x.kind, "payload": b"".join(x.payload), "pts": x.pts, "access": x.access, "units": x.units} for pid, x in streams.items()],
         "n_packets": packets,
         "n_programs": len(programs),
         "n_streams": len(streams),
         "continuity_errors": continuity,
         "table_errors": sum(t.errors + bool(t.held) for t in tables.values()),
         "sync_errors": sync + end - at,
+        "damaged": damaged,
+        "scrambled": scrambled,
+        "unmapped": unmapped,
     }
 
 
@@ -216,6 +240,8 @@ def sync_lost(media: bytes, at: int) -> bool:
 def _read_table(pid: int, section: bytes, programs: dict[int, int], tables: dict[int, _Sections], streams: dict[int, _Stream]) -> None:
     """Programs from an association table, streams from a program's map."""
     end = len(section) - 4
+    if not section[5] & 1:
+        return
     if pid == PAT_PID:
         for i in range(8, end - 3, 4):
             number, target = struct.unpack_from(">HH", section, i)
@@ -252,13 +278,16 @@ def store_texts(docs: DataFrame, text: str = "text", keep: Sequence[str] | None
 
 
 READ = [
-    ("streams", "array<struct<pid:int,type:int,payload:binary,pts:array<long>,access:array<long>>>"),
+    ("streams", "array<struct<pid:int,type:int,payload:binary,pts:array<long>,access:array<long>,units:array<struct<at:long,pts:long,access:boolean,size:long>>>>"),
     ("n_packets", "long"),
     ("n_programs", "long"),
     ("n_streams", "long"),
     ("continuity_errors", "long"),
     ("table_errors", "long"),
     ("sync_errors", "long"),
+    ("damaged", "long"),
+    ("scrambled", "long"),
+    ("unmapped", "long"),
 ]
 
 

@@ -427,6 +427,61 @@ def section(table, body):
     return b"\0" + head + mpegts.mpeg_crc(head).to_bytes(4)
 
 
+def by_hand(head, body):
+    """A packet whose body is filled up by an adaptation field, or as a table by bytes of ones."""
+    raw = bytes.fromhex(head) + bytes.fromhex(body)
+    return raw.ljust(188, b"\xff")
+
+
+#: Tables of a program with a picture on PID 256 and sound on PID 257, with their checksums, as published streams have them.
+PAT = by_hand("47400010", "00 00b00d0001c100000001f0002ab104b2")
+PMT = by_hand("47500010", "00 02b0170001c10000e100f0001be100f0000fe101f0002f44b99b")
+
+
+def picture(counter, flags, pts, data, control=3, error=0):
+    """One packet of PID 256 that holds a whole elementary packet without a length."""
+    body = bytes.fromhex("000001e00000808005") + bytes.fromhex(pts) + data
+    gap = 188 - 5 - len(body)
+    return bytes([0x47, 0x41 | error, 0, control << 4 | counter, gap, flags]) + b"\xff" * (gap - 1) + body
+
+
+def test_a_stream_made_by_hand():
+    first, second = "210007d861", "210007ef d1"  # stamps 126000 and 129000
+    media = PAT + PMT + picture(0, 0x40, first, b"abc") + picture(1, 0, second, b"defg")
+    found = mpegts.demux(media)
+    assert [(x["pid"], x["type"], x["payload"]) for x in found["streams"]] == [(256, 27, b"abcdefg"), (257, 15, b"")]
+    assert found["streams"][0]["units"] == [
+        {"at": 376, "pts": 126000, "access": True, "size": 3},
+        {"at": 564, "pts": 129000, "access": False, "size": 4},
+    ]
+    assert found["streams"][0]["pts"] == [126000, 129000] and found["streams"][0]["access"] == [376]
+    assert {k: v for k, v in found.items() if k not in ("streams", "n_packets", "n_programs", "n_streams")} == dict.fromkeys(
+        ("continuity_errors", "table_errors", "sync_errors", "damaged", "scrambled", "unmapped"), 0
+    )
+
+
+def test_packets_that_are_not_read():
+    first, second = "210007d861", "210007efd1"
+    early = picture(0, 0x40, first, b"early")
+    media = early + PAT + PMT + picture(1, 0x40, first, b"abc", error=0x80) + picture(1, 0x40, first, b"xyz", control=0xB) + picture(2, 0x40, second, b"defg")
+    found = mpegts.demux(media + by_hand("471fff10", ""))
+    assert (found["unmapped"], found["damaged"], found["scrambled"], found["continuity_errors"]) == (1, 1, 1, 0)
+    assert found["streams"][0]["payload"] == b"defg" and [x["pts"] for x in found["streams"][0]["units"]] == [129000]
+    later = bytearray(bytes.fromhex("00b00d0001c000000001f000"))  # a table that holds only from later on
+    later += mpegts.mpeg_crc(bytes(later)).to_bytes(4)
+    assert mpegts.demux(by_hand("47400010", "00" + later.hex()) + PMT)["n_programs"] == 0
+
+
+def test_what_is_written_is_the_format():
+    payload = bytes(range(64))
+    head = "47410130 69 50 00000000 7e00" + "ff" * 98 + "000001bd 0048 808005 2100010001"
+    pat = by_hand("47400010", "00 00b00d0001c100000001e100e8f95e7d")
+    media = mpegts.mux(payload)
+    assert media[:188] == pat and media[376:] == bytes.fromhex(head) + payload
+    unit = mpegts.demux(media)["streams"][0]["units"]
+    assert unit == [{"at": 376, "pts": 0, "access": True, "size": 64}]
+
+
 def test_streams_of_sound_and_picture():
     """Two streams whose packets alternate, a map over several packets, and elementary packets without a length."""
     entries = b"\x1b\xe2\x00\xf0\x00" + b"\x0f\xe2\x01\xf0\x00" + b"".join(b"\x06" + (0xE300 + i).to_bytes(2) + b"\xf0\x00" for i in range(60))
