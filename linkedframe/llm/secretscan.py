@@ -1,8 +1,9 @@
 r"""Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Two first-order Markov models over characters are trained from labelled samples: strings that the fixed patterns mark as
-secrets, and the identifiers around them.  A run of identifier characters is a secret if the logarithm of the likelihood
-ratio of the two models, a character, is above a threshold.
+secrets, and the identifiers around them.  A run of identifier characters, with single dots inside it, is a secret if the
+logarithm of the likelihood ratio of the two models is high enough for a character and for the whole run.  Every run is
+scored, however short and whatever it is made of.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Documents from which the models are trained.
 SAMPLE = 20_000
 #: Least log-likelihood ratio of a secret, a character, in nats.
 THRESHOLD = 1.0
-#: Least length of a scored string, and least log-likelihood ratio of the whole string, which decides on short ones.
-SHORTEST, WHOLE = 12, 20.0
-#: The threshold of letters alone, as a multiple: words in capitals are rare and look more random than others.
-LETTERS = 1.75
+#: Least log-likelihood ratio of the whole string, which decides on short ones.
+WHOLE = 20.0
+#: The threshold without a letter or without a digit, as a multiple: words in capitals are rare and look more random than others.
+PLAIN = 1.75
+#: Characters scored at once; a stretch goes on up to the end of its last run.
+STRETCH = 1_000_000
 
 #: Classes of the models: each digit, letter and joining character, and one for all others and both ends.
 CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-."
 STATES = len(CHARACTERS) + 1
 _CODES = np.full(256, len(CHARACTERS), np.int64)
 _CODES[[ord(c) for c in CHARACTERS]] = range(len(CHARACTERS))
+_DOT, _BREAK = CHARACTERS.index("."), re.compile(r"[^A-Za-z0-9+/_=.-]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -112,37 +115,43 @@ def ratio(value: str, model: np.ndarray) -> float:
     return float(model[transitions(value)].sum()) / len(value)
 
 
-def pieces(runs: Iterator[tuple[int, int]], base: Sequence[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What sorted spans leave of runs in ascending order, in pieces long enough to score; both are walked once."""
-    joined: list[list[int]] = []
-    for a, b, _ in base:
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], b)
-        else:
-            joined.append([a, b])
-    i = 0
-    for start, end in runs:
-        while i < len(joined) and joined[i][1] <= start:
-            i += 1
-        j = i
-        while j < len(joined) and joined[j][0] < end:
-            if joined[j][0] - start >= SHORTEST:
-                yield start, joined[j][0]
-            start = max(start, joined[j][1])
-            j += 1
-        if end - start >= SHORTEST:
-            yield start, end
+def runs(codes: np.ndarray, base: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Where runs are, as a mask: characters of the models outside the spans of ``base``; of dots, single ones between others."""
+    inside = codes < _DOT
+    for a, b in base:
+        inside[a:b] = False
+    dots = codes == _DOT
+    for a, b in base:
+        dots[a:b] = False
+    dots[:1] = dots[-1:] = False
+    dots[1:-1] &= inside[:-2] & inside[2:]
+    return inside | dots
 
 
 def markov_spans(text: str, base: Sequence[tuple[int, int, str]], model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Runs, without the spans of ``base`` in them, that have a letter and look random."""
-    found = []
-    for a, b in pieces((m.span() for m in RUN.finditer(text)), base):
-        value = text[a:b]
-        if any(c.isalpha() for c in value):
-            least = max(threshold * (1 if any(c.isdigit() for c in value) else LETTERS), threshold * WHOLE / len(value))
-            if ratio(value, model) >= least:
-                found.append((a, b, "markov"))
+    """Runs, without the spans of ``base`` in them, that look random.  All runs of a stretch of the text are scored together."""
+    found, at = [], 0
+    while at < len(text):
+        end = at + STRETCH
+        stop = _BREAK.search(text, end) if end < len(text) else None
+        end = stop.end() if stop else len(text)
+        codes = _CODES[np.frombuffer(text[at:end].encode("latin-1", "replace"), np.uint8)]
+        inside = runs(codes, [(max(a, at) - at, min(b, end) - at) for a, b, _ in base if a < end and b > at])
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        # a run that is too short to reach the least whole ratio, at the model's best step, is none
+        enough = (ends - starts + 1) * model.max() >= threshold * WHOLE
+        starts, ends = starts[enough], ends[enough]
+        if len(starts):
+            path = np.full(len(codes) + 2, STATES - 1)
+            path[1:-1][inside] = codes[inside]
+            digits, letters = (np.append(0, np.cumsum(x)) for x in (codes < 10, (codes >= 10) & (codes < 62)))
+            mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+            steps = np.append(model[path[:-1] * STATES + path[1:]], 0.0)
+            totals = np.add.reduceat(steps, np.column_stack([starts, ends + 1]).ravel())[::2]
+            least = np.maximum(threshold * np.where(mixed, 1.0, PLAIN) * (ends - starts), threshold * WHOLE)
+            found += [(at + int(a), at + int(b), "markov") for a, b in zip(starts[totals >= least], ends[totals >= least], strict=True)]
+        at = end
     return found
 
 

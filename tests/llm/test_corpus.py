@@ -276,18 +276,17 @@ def test_base_spans_are_the_patterns(texts):
 
 
 def brute_spans(text, model):
-    """Base spans and what is left of each run of 12 characters and more, where it looks random character by character."""
+    """Base spans and each run in what is left of the text that looks random character by character."""
     base, alphabet = brute_base(text), secretscan.CHARACTERS
     taken = {i for a, b, _ in base for i in range(a, b)}
+    left = "".join("\0" if i in taken else c for i, c in enumerate(text))
     found = []
-    for run in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
-        left = "".join("\0" if i in taken else text[i] for i in range(*run.span()))
-        for m in re.finditer(r"[^\0]{12,}", left):
-            path = [len(alphabet), *map(alphabet.index, m[0]), len(alphabet)]
-            total = sum(float(model[x * (len(alphabet) + 1) + y]) for x, y in pairwise(path))
-            least = max(1.0 if re.search("[0-9]", m[0]) else 1.75, 20 / len(m[0]))
-            if re.search("[A-Za-z]", m[0]) and total / len(m[0]) >= least:
-                found.append((run.start() + m.start(), run.start() + m.end(), "markov"))
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*", left):
+        path = [len(alphabet), *map(alphabet.index, m[0]), len(alphabet)]
+        total = sum(float(model[x * (len(alphabet) + 1) + y]) for x, y in pairwise(path))
+        least = 1.0 if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) else 1.75
+        if total >= 20 and total / len(m[0]) >= least:
+            found.append((*m.span(), "markov"))
     return sorted([*base, *found], key=lambda x: (x[0], ("assign", "access", "hex", "markov").index(x[2])))
 
 
@@ -349,17 +348,19 @@ def test_markov_ratio_by_brute_force(spark):
         assert secretscan.ratio(value, model) == pytest.approx(want)
 
 
-def test_pieces_by_brute_force():
+def test_runs_by_brute_force(spark, monkeypatch):
+    """Made texts of strings of all lengths, dots and base spans, whole and in short stretches."""
+    model = secretscan.train(read_table(spark, SF, "documents", "doc_id", "text"))
     random = np.random.default_rng(5)
-    for _ in range(200):
-        cuts = np.sort(random.integers(0, 400, 8)).tolist()
-        runs = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
-        base = sorted((a := int(random.integers(0, 390)), a + int(random.integers(1, 60)), "x") for _ in range(int(random.integers(0, 9))))
-        want = []
-        for start, end in runs:
-            free = "".join("." if any(a <= i < b for a, b, _ in base) else "x" for i in range(start, end))
-            want += [(start + m.start(), start + m.end()) for m in re.finditer("x+", free) if len(m[0]) >= secretscan.SHORTEST]
-        assert list(secretscan.pieces(iter(runs), base)) == want
+    pool = [*"abcXYZ019+/_=-.. \n", "é", "...", "token=abcdefgh1", "AKIAABCDEFGHIJ12", "word", "xK9q", "Lz7Rt2Vw", "0" * 6, "e4" * 17]
+    made = ["".join(random.choice(pool, int(random.integers(0, 60)))) for _ in range(300)]
+    made += [".", "..a..", "xK9qLz7Rt2.", ".xK9qLz7Rt2Vw8Zp.Qw4Xz9", "7391820465829103746558201937"]
+    for stretch in (1_000_000, 40, 1):
+        monkeypatch.setattr(secretscan, "STRETCH", stretch)
+        for text in made:
+            assert secretscan.find_spans(text, model) == brute_spans(text, model), text
+    found = [s for x in made for s in brute_spans(x, model) if s[2] == "markov"]
+    assert found and min(b - a for a, b, _ in found) < 12
 
 
 def test_secret_odd(spark, odd):
