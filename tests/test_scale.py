@@ -4,10 +4,11 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from linkedframe import storage
+from linkedframe import queries, storage, testmap
 from linkedframe.config import Config
 from linkedframe.functions import terms as T
 from linkedframe.operators import browse, documents, pattern, reach
@@ -18,6 +19,7 @@ from linkedframe.plans import graph as graph_
 from linkedframe.plans.graph import Graph
 from linkedframe.plans.positions import Positions
 from linkedframe.sources import jsonld, results, tables
+from tests.conftest import SF
 from tests.test_graph import CFG, EX, ME, B, blank_names, frame
 
 
@@ -334,3 +336,26 @@ def test_balanced_jdbc(spark, tmp_path):
     sizes = [x["n"] for x in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sorted(x["id"] for x in found.collect()) == list(range(1000)) and len(sizes) == 5 and max(sizes) < 2 * min(sizes)
     assert tables.key_bounds(found.limit(0).select("k"), 4) == []
+
+
+def test_queries_read_only_the_tables_of_their_properties(spark, tmp_path):
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    for name in ("j1_star", "b2_subject", "g3_distinct", "h9_class"):  # without orders, lineitem and documents
+        found = queries.QUERIES[name](spark, str(tmp_path))
+        assert found.count() == queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_repeated_keys_give_each_triple_once(spark, tmp_path):
+    con = duckdb.connect()
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "pages", "documents"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    # some lines twice, some with a second part or flag under the same key
+    twice = "UNION ALL SELECT * REPLACE (l_partkey % 7 + 1 AS l_partkey) FROM t WHERE l_orderkey % 3 = 0 UNION ALL SELECT * REPLACE ('R' AS l_returnflag) FROM t WHERE l_orderkey % 2 = 0"
+    con.execute(f"COPY (WITH t AS (SELECT * FROM '{SF}/lineitem.parquet') SELECT * FROM t {twice}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "pages", "documents", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = sorted(con.execute(testmap.FACTS_SQL).fetchall())
+    assert sorted(map(tuple, testmap.triples(spark, str(tmp_path)).collect())) == want
+    some = {f"<{testmap.ONTOLOGY}{x}>" for x in ("part", "next", "returned")}
+    assert sorted(map(tuple, testmap.triples(spark, str(tmp_path), *some).collect())) == [t for t in want if t[1] in some]
