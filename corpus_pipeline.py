@@ -30,6 +30,7 @@ def joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more.
 
+    Candidates are found by the fingerprints and the trie join of ``op9_simhash``, and by minimum hashes beyond its bits.
     It is the one with the smallest id, null ids last, then with the smallest hash of its text.  Of rows that share id
     and text, the one with the smallest hash of all columns stays.
     """

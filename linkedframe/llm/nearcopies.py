@@ -1,10 +1,11 @@
 """Near copies by the Jaccard similarity of shingle sets.
 
-Texts of one set of five-word shingles are one node.  Candidates are nodes that agree in a band of minimum hashes: two
-sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS, less than 3 in 100,000 at 0.8.  Candidates
-are linked only if their whole sets are similar enough, compared on the executors.  Within a group of candidates all
-pairs of different components are compared, so its links connect it as all its similar pairs would; groups above a
-bound are dealt to pairs of parts.
+Texts of one set of five-word shingles are one node. Candidates are nodes whose SimHash fingerprints are linked by the
+trie join of ``simhash.py``, and, since similar sets may differ in more bits than it allows, nodes that agree in a band
+of minimum hashes: two sets of similarity s share no band with probability (1 - s ** ROWS) ** BANDS, less than 3 in
+100,000 at 0.8. Candidates are linked only if their whole sets are similar enough, compared on the executors. Within a
+group of candidates all pairs of different components are compared, so its links connect it as all its similar pairs
+would; groups above a bound are dealt to pairs of parts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkedframe.llm import simhash
 from linkedframe.llm.common import join_counted, stored, with_text_columns
 from linkedframe.llm.simhash import components
 
@@ -92,10 +94,22 @@ def _group_links(similarity: float):
     return run
 
 
+def candidates(marked: DataFrame) -> DataFrame:
+    """(node, hash, size, band, key): nodes of one band and key are a group of candidates; ``BANDS`` is that of linked fingerprints."""
+    nodes = stored(marked.where("size > 0").groupBy("node").agg(F.min("hash").alias("hash"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    # texts of one set may repeat its shingles differently, so a node can have several fingerprints
+    prints = stored(marked.where("size > 0").select("node", "fp").distinct())
+    counts = stored(prints.groupBy("fp").agg(F.count("*").alias("n")))
+    labels = components(simhash.links(counts.select("fp"))).withColumnRenamed("node", "fp")
+    classes = stored(counts.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("key"), "n"))
+    linked = join_counted(prints, classes, "fp").select("node", "key").distinct()
+    by_print = nodes.drop("bands").join(linked, "node").select("node", "hash", "size", F.lit(BANDS).alias("band"), "key")
+    return nodes.select("node", "hash", "size", F.posexplode("bands").alias("band", "key")).unionByName(by_print)
+
+
 def links(docs: DataFrame, marked: DataFrame, text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """Links (u, v) between nodes of ``marked`` (hash, node, size, bands), whose sets are made anew from texts of ``docs``."""
-    nodes = marked.where("size > 0").groupBy("node").agg(F.min("hash").alias("hash"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    keys = nodes.select("node", "hash", "size", F.posexplode("bands").alias("band", "key"))
+    """Links (u, v) between nodes of ``marked`` (hash, node, size, bands, fp), whose sets are made anew from texts of ``docs``."""
+    keys = stored(candidates(marked))
     found = keys.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark")
     )
@@ -125,6 +139,20 @@ def links(docs: DataFrame, marked: DataFrame, text: str = "text", similarity: fl
     return named.join(sets, "node").groupBy("call").applyInArrow(_group_links(similarity), "u long, v long").distinct()
 
 
+def marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, hash, node, size, bands, fp) of each row, in one pass without a shuffle."""
+
+    def make():
+        def function(texts):
+            sets = [shingles(x) for x in texts]
+            return [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], [len(s) for s in sets], [bands(s) for s in sets], [simhash.fingerprint(x) for x in texts]
+
+        return function
+
+    hashed = docs.select(key, text, F.xxhash64(text).alias("hash"))
+    return with_text_columns(hashed, [("node", "long"), ("size", "long"), ("bands", "array<long>"), ("fp", "long")], make, text, [key, "hash"])
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """(key, text_hash, component_id, first, times) of each row: the smallest key among all rows its text is linked to.
 
@@ -135,15 +163,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     component unless it has no other.  An empty table gives an empty one; other columns are left out.
     """
 
-    def make():
-        def function(texts):
-            sets = [shingles(x) for x in texts]
-            return [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], [len(s) for s in sets], [bands(s) for s in sets]
-
-        return function
-
-    hashed = docs.select(key, text, F.xxhash64(text).alias("hash"))
-    marked = stored(with_text_columns(hashed, [("node", "long"), ("size", "long"), ("bands", "array<long>")], make, text, [key, "hash"]))
+    marked = stored(marks(docs, key, text))
     labels = components(links(docs, marked, text, similarity, group))
     nodes = marked.groupBy("node").agg(F.count("*").alias("n")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = stored(join_counted(marked.select(key, F.col("hash").alias("text_hash"), "node"), stored(nodes), "node").select(key, "text_hash", "label"))

@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkedframe.llm import nearcopies, secretscan, toxicity
+from linkedframe.llm import nearcopies, secretscan, simhash, toxicity
 from linkedframe.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +56,22 @@ def test_near_copies(spark, group):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_bring_candidates(spark):
+    texts = copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = nearcopies.marks(docs)
+    node = {r["doc_id"]: r["node"] for r in marked.where("size > 0").collect()}
+    want = {}
+    for r in simhash.near_duplicates(docs).collect():  # the groups of op9_simhash
+        if r["doc_id"] in node:
+            want.setdefault(r["component_id"], set()).add(node[r["doc_id"]])
+    found = {}
+    for r in nearcopies.candidates(marked).where(F.col("band") == nearcopies.BANDS).collect():
+        found.setdefault(r["key"], set()).add(r["node"])
+    assert Counter(map(frozenset, found.values())) == Counter(map(frozenset, want.values()))
+    assert any(len(g) > 1 for g in found.values())
+
+
 def test_stage_drops_similar_documents(spark):
     docs = read_table(spark, SF, "documents")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
