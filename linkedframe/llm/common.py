@@ -71,25 +71,27 @@ def with_text_columns(
 
     ``make`` runs once in each task and gives the function from texts to one sequence per field; a null text
     reaches it as an empty one.  ``keep`` names the columns passed through (default: all).  A kept column that has
-    the name of a new field is replaced.
+    the name of a new field is replaced.  Texts are handed to Python once, also where they are kept.
     """
     names = [name for name, _ in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     types = [ARROW[kind] for _, kind in fields]
     added = [T.StructType.fromDDL(f"`{name}` {kind}").fields[0] for name, kind in fields]
     schema = T.StructType([*(df.schema[c] for c in kept), *added])
+    given = [*(df[c] for c in kept), *([] if text in kept else [df[text].alias("__text")])]
+    at = kept.index(text) if text in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                values = function([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
+                values = function([x or "" for x in batch.column(at).to_pylist()])
                 arrays = [batch.column(i) for i in range(len(kept))]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(values, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [*kept, *names])
 
-    return df.select(*[df[c] for c in kept], df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*given).mapInArrow(run, schema)
 
 
 def bucket_of(key: str | Column, modulus: int) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkedframe.llm.common import with_text_columns
+from linkedframe.llm.common import SLICE, with_text_columns
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -81,15 +81,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str
         counts = np.zeros((2, STATES * STATES), np.int64)
         word = re.compile(r"[A-Za-z0-9+/_=.-]{4,}")
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                spans = base_spans(x or "")
-                for value in values_of(x or "", spans):
+            texts = (x or "" for start in range(0, batch.num_rows, SLICE) for x in batch.column(0).slice(start, SLICE).to_pylist())
+            for x in texts:
+                spans = base_spans(x)
+                for value in values_of(x, spans):
                     np.add.at(counts[0], transitions(value), 1)
                 rest, at = [], 0
                 for a, b, _ in sorted(spans):
-                    rest.append((x or "")[at:a])
+                    rest.append(x[at:a])
                     at = max(at, b)
-                rest.append((x or "")[at:])
+                rest.append(x[at:])
                 values = "\n".join(set(word.findall(" ".join(rest))))
                 counts[1] += np.bincount(transitions(values), minlength=STATES * STATES)
         for kind in (0, 1):
@@ -190,5 +191,6 @@ def mask(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD, text:
     def make():
         return lambda texts: [[masked(x, find_spans(x, model, threshold)) for x in texts]]
 
-    rows = with_text_columns(docs, [("__masked", "string")], make, text)
-    return rows.select(*[F.when(rows[c].isNotNull(), rows["__masked"]).alias(c) if c == text else rows[c] for c in docs.columns])
+    others = [c for c in docs.columns if c != text]  # Python gets each text once and gives back the masked one alone
+    rows = with_text_columns(docs.withColumn("__none", docs[text].isNull()), [("__masked", "string")], make, text, [*others, "__none"])
+    return rows.select(*[F.when(~rows["__none"], rows["__masked"]).alias(c) if c == text else rows[c] for c in docs.columns])

@@ -164,3 +164,13 @@ def test_toxicity_arcs_are_not_limited(spark):
     rows = [(i, " ".join(r.sample(words, len(words))) if i % 2 else f"plain text {i}", i % 2) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert set(words) <= set(toxicity.train(docs, docs.select("doc_id", "toxic")).words)
+
+
+def test_python_gets_each_text_once(spark):
+    docs = spark.createDataFrame([(1, words_of("a"), "en", "s", 1), (2, None, "en", "s", 1)], SCHEMA)
+    model = secretscan.train(docs.select("doc_id", "text"))
+    for found in (secretscan.mask(docs, model), secretscan.scan(docs, model)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        given = plan.partition("MapInArrow run(")[2].partition(")#")[0]
+        assert given.count("text") == 1 and [r["text"] for r in found.orderBy("doc_id").collect()] == [words_of("a"), None]
+    assert plan.partition("MapInArrow run(")[2].partition("], ")[0].count("text") == 2  # of a scan it is an output too
