@@ -22,13 +22,18 @@ def closure(graph: Graph, starts: DataFrame) -> DataFrame:
 def lookup(graph: Graph, pages: DataFrame | None = None) -> DataFrame:
     """(page, seq, s, p, o): all rows of pages, backlinks and blank nodes included, each triple once a page.
 
-    ``pages`` has a column ``page``; without it all pages are looked up.  Unknown pages have no rows.
+    ``pages`` has a column ``page``; without it all pages are looked up.  Unknown pages have no rows.  Where a graph has
+    each triple once, the only rows that a page has twice are forward and inverse ones, so none are compared.
     """
     rows = graph.page_rows.where(F.col("page") != T.BLANK_PAGE)
     if pages is not None:
         rows = rows.join(pages.select("page").distinct(), "page", "left_semi")
+    if graph.once:
+        rows = rows.where(~((F.col("direction") == "inverse") & T.page_of(T.uri_value("s"), graph.cfg).eqNullSafe(F.col("page"))))
     own = rows.select("page", "seq", "s", "p", "o")
     below = closure(graph, own.select("page", F.col("o").alias("node")))
+    if graph.once:
+        return own.unionByName(below)
     return own.unionByName(below).groupBy("page", "s", "p", "o").agg(F.min("seq").alias("seq")).select("page", "seq", "s", "p", "o")
 
 
@@ -79,7 +84,7 @@ def resources_with(graph: Graph, prop: str, value: str, limit: int | None = None
 def list_values(graph: Graph, prop: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     """(o, label, cnt): the values of a property, the most frequent first."""
     shown = F.coalesce("obj_label", T.display_node("o", graph.cfg))
-    out = graph.value_counts.where(F.col("p") == prop).select("o", shown.alias("label"), "cnt").orderBy(F.desc("cnt"), "o").offset(offset)
+    out = graph.value_counts_of(prop).select("o", shown.alias("label"), "cnt").orderBy(F.desc("cnt"), "o").offset(offset)
     return out if limit is None else out.limit(limit)
 
 
@@ -89,7 +94,7 @@ def facet_panel(graph: Graph, n: int = 20) -> DataFrame:
     ``name`` is the facet's own label, or else its property's.
     """
     listed = {f.prop: f.label for f in graph.cfg.all_facets if f.listed}
-    counts = graph.value_counts.where(F.col("p").isin(*listed))
+    counts = graph.value_counts_of(*listed)
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("cnt"), "o"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= n + 1)
     sizes = top.groupBy("p").agg((F.count("*") > n).alias("more"))

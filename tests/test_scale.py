@@ -62,6 +62,19 @@ def test_scopes_delete_what_was_stored(spark):
     assert tables() == before
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (blocks.apply(i).getName() for i in range(blocks.size())) if f.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(storage.CLEANED, None)
+    table = storage.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= before and spark.conf.get(storage.CLEANED, None) == setting
+    again = storage.stored(table.where("k > 3"))
+    storage.discard(table, spark.range(3))
+    assert again.count() == 3 and not storage.exists(spark, table.__dict__["stored_at"])
+
+
 def test_components_by_brute_force(spark):
     r = random.Random(4)
     for n, m in ((40, 25), (60, 60), (30, 200)):
@@ -359,3 +372,21 @@ def test_repeated_keys_give_each_triple_once(spark, tmp_path):
     assert sorted(map(tuple, testmap.triples(spark, str(tmp_path)).collect())) == want
     some = {f"<{testmap.ONTOLOGY}{x}>" for x in ("part", "next", "returned")}
     assert sorted(map(tuple, testmap.triples(spark, str(tmp_path), *some).collect())) == [t for t in want if t[1] in some]
+
+
+def test_rows_of_a_graph_without_repeats_are_not_compared(spark):
+    facts = [(f"<{B}a>", f"<{B}ontology#x>", f"<{B}a#f>"), (f"<{B}a>", f"<{B}ontology#x>", f"<{B}b>"), (f"<{B}a#f>", f"<{B}ontology#y>", f"<{B}a>"), (f"<{B}b>", f"<{B}ontology#y>", "_:n"), ("_:n", f"<{B}ontology#y>", '"v"')]
+    triples = spark.createDataFrame([(0, *t) for t in facts], "seq int, s string, p string, o string")
+    made = graph_.MadeGraph(lambda *props: graph_.of_properties(triples, *props) if props else triples, CFG)
+    want = Counter(tuple(r) for r in browse.lookup(Graph.load(triples, CFG)).drop("seq").collect())
+    found = browse.lookup(made)
+    assert Counter(tuple(r) for r in found.drop("seq").collect()) == want and max(want.values()) == 1
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_only_rows_that_can_match_are_shuffled(spark):
+    rows = spark.createDataFrame([("<a>", 1), ("_:b", 2), ('"c"', 3), (None, 4)], "o string, n int")
+    labels = spark.createDataFrame([("<a>", "x")], "o string, label string")
+    out = graph_.join_some(rows, graph_.may_have_label("o"), labels, "o")
+    assert sorted((r["n"], r["label"]) for r in out.collect()) == [(1, "x"), (2, None), (3, None), (4, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
