@@ -390,3 +390,36 @@ def test_only_rows_that_can_match_are_shuffled(spark):
     out = graph_.join_some(rows, graph_.may_have_label("o"), labels, "o")
     assert sorted((r["n"], r["label"]) for r in out.collect()) == [(1, "x"), (2, None), (3, None), (4, None)]
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+@pytest.fixture(scope="module")
+def odd_tables(tmp_path_factory):
+    """Tables with repeated keys, a second part or flag under a key, and nulls."""
+    folder, con = tmp_path_factory.mktemp("odd"), duckdb.connect()
+    for name in ("region", "nation", "supplier", "orders", "pages"):
+        (folder / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    changed = {
+        "lineitem": "SELECT * FROM t UNION ALL SELECT * REPLACE (l_partkey % 7 + 1 AS l_partkey) FROM t WHERE l_orderkey % 3 = 0 UNION ALL SELECT * REPLACE ('R' AS l_returnflag) FROM t WHERE l_orderkey % 2 = 0",
+        "part": "SELECT * REPLACE (CASE WHEN p_partkey % 3 > 0 THEN p_name END AS p_name, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS p_type) FROM t",
+        "customer": "SELECT * REPLACE (nullif(c_custkey, 3) AS c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS c_mktsegment) FROM t UNION ALL SELECT * FROM t WHERE c_custkey < 9",
+        "documents": "SELECT * REPLACE (CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, CASE WHEN doc_id % 5 > 0 THEN text END AS text) FROM t",
+    }
+    for name, sql in changed.items():
+        con.execute(f"COPY (WITH t AS (SELECT * FROM '{SF}/{name}.parquet') {sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_triples_of_some_properties_are_those_of_all(spark, odd_tables):
+    want = [tuple(r) for r in testmap.triples(spark, odd_tables).collect()]
+    assert len(want) == len(set(want))
+    own = [f"<{testmap.ONTOLOGY}{x}>" for x in ("item", "returned", "example", "next", "part", "flag", "nation", "segment")] + [f"<{testmap.LABEL}>"]
+    for some in (*({p} for p in own), {own[0], own[5]}, {own[1], own[2]}, {own[4], own[5]}, set(own)):
+        assert sorted(map(tuple, testmap.triples(spark, odd_tables, *some).collect())) == sorted(t for t in want if t[1] in some)
+    assert sorted(r["s"] for r in testmap.uri_subjects(spark, odd_tables).collect()) == sorted({t[0] for t in want if t[0].startswith("<")})
+
+
+def test_steps_read_only_the_tables_of_their_property(spark):
+    props = [f"<{testmap.ONTOLOGY}{x}>" for x in ("item", "part", "flag")] + [f"<{testmap.LABEL}>"]
+    rows = testmap.graph(spark, SF).facts_of(*props)
+    plan = graph_.of_properties(rows, f"<{testmap.LABEL}>")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_name" in plan and "l_orderkey" not in plan
