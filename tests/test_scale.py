@@ -423,3 +423,8 @@ def test_steps_read_only_the_tables_of_their_property(spark):
     rows = testmap.graph(spark, SF).facts_of(*props)
     plan = graph_.of_properties(rows, f"<{testmap.LABEL}>")._jdf.queryExecution().optimizedPlan().toString()
     assert "p_name" in plan and "l_orderkey" not in plan
+
+
+def test_names_of_subjects_make_no_objects(spark):
+    for query in ("f15_display", "h10_titles"):
+        assert "text" not in queries.QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
