@@ -425,6 +425,16 @@ def test_steps_read_only_the_tables_of_their_property(spark):
     assert "p_name" in plan and "l_orderkey" not in plan
 
 
+def test_links_and_blank_nodes_are_made_of_their_tables_alone(spark, tmp_path):
+    for folder, names in (("links", ("nation", "pages")), ("blanks", ("lineitem",))):
+        (tmp_path / folder).mkdir()
+        for name in names:
+            (tmp_path / folder / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    for query, folder in (("g5_linksets", "links"), ("g9_shared_blanks", "blanks")):
+        found = queries.QUERIES[query]
+        assert sorted(map(tuple, found(spark, str(tmp_path / folder)).collect())) == sorted(map(tuple, found(spark, SF).collect()))
+
+
 def test_names_of_subjects_make_no_objects(spark):
     for query in ("f15_display", "h10_titles"):
         assert "text" not in queries.QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
