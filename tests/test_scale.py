@@ -416,6 +416,10 @@ def test_triples_of_some_properties_are_those_of_all(spark, odd_tables):
     for some in (*({p} for p in own), {own[0], own[5]}, {own[1], own[2]}, {own[4], own[5]}, set(own)):
         assert sorted(map(tuple, testmap.triples(spark, odd_tables, *some).collect())) == sorted(t for t in want if t[1] in some)
     assert sorted(r["s"] for r in testmap.uri_subjects(spark, odd_tables).collect()) == sorted({t[0] for t in want if t[0].startswith("<")})
+    g = testmap.graph(spark, odd_tables)
+    counted = queries.stats.triple_counts(g)
+    assert tuple(counted.first()) == (g.facts.count(), g.page_rows.count())
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 9  # each table is read once
 
 
 def test_steps_read_only_the_tables_of_their_property(spark):
