@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkedframe import queries, storage, testmap
-from linkedframe.config import Config
+from linkedframe.config import RDFS_NAMESPACES, Config
 from linkedframe.functions import terms as T
 from linkedframe.operators import browse, documents, pattern, reach
 from linkedframe.operators.components import connected
@@ -442,3 +442,12 @@ def test_links_and_blank_nodes_are_made_of_their_tables_alone(spark, tmp_path):
 def test_names_of_subjects_make_no_objects(spark):
     for query in ("f15_display", "h10_titles"):
         assert "text" not in queries.QUERIES[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_worked_out_once(spark):
+    """A URI's display is part of every cell of a large result, so its steps must not stand in the plan again and again."""
+    rows = [("<http://localhost:8080/aB_c>", "A B c"), ("<http://localhost:8080/orders/1>", "Orders/1"), ("<http://localhost:8080/camelCase%41+b>", "Camel CaseA b"), ("<http://localhost:8080/x%zz_y>", "X%zz y")]
+    rows += [("<http://localhost:8080/>", "http://localhost:8080/"), ("<http://other/aB>", "http://other/aB"), ('"a_b"@en', "a_b"), ("_:b", ""), (None, None)]
+    shown = spark.createDataFrame(rows, "t string, want string").select("t", "want", T.display_node("t", testmap.CONFIG).alias("got"))
+    assert [r["t"] for r in shown.collect() if r["got"] != r["want"] and r["t"] is not None] == []
+    assert shown.select("got")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == len(RDFS_NAMESPACES) + 1
