@@ -451,3 +451,14 @@ def test_names_are_worked_out_once(spark):
     shown = spark.createDataFrame(rows, "t string, want string").select("t", "want", T.display_node("t", testmap.CONFIG).alias("got"))
     assert [r["t"] for r in shown.collect() if r["got"] != r["want"] and r["t"] is not None] == []
     assert shown.select("got")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == len(RDFS_NAMESPACES) + 1
+
+
+def test_closures_read_only_the_tables_of_blank_nodes(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").symlink_to(f"{SF}/lineitem.parquet")
+    found = queries.QUERIES["j10_closure"]
+    assert sorted(map(tuple, found(spark, str(tmp_path)).collect())) == sorted(map(tuple, found(spark, SF).collect()))
+
+
+def test_page_rows_are_made_without_functions_over_arrays(spark):
+    rows = graph_.page_rows(frame(spark, [(ME, f"<{EX}p>", "_:b"), ("_:b", f"<{EX}p>", ME)]), CFG)
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.where("direction IS NULL").isEmpty()
