@@ -462,3 +462,10 @@ def test_closures_read_only_the_tables_of_blank_nodes(spark, tmp_path):
 def test_page_rows_are_made_without_functions_over_arrays(spark):
     rows = graph_.page_rows(frame(spark, [(ME, f"<{EX}p>", "_:b"), ("_:b", f"<{EX}p>", ME)]), CFG)
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.where("direction IS NULL").isEmpty()
+
+
+def test_only_terms_that_can_have_labels_are_joined_with_them(spark):
+    g = testmap.graph(spark, SF)
+    can = {p: of for rows, of in g._by_labelled() for p in {r["p"] for r in rows.select("p").distinct().collect()}}
+    assert can[f"<{testmap.DC}description>"] == can[f"<{testmap.ONTOLOGY}item>"] == set()  # texts and items are not shuffled
+    assert can[f"<{testmap.ONTOLOGY}part>"] == {"o"} and can[f"<{testmap.ONTOLOGY}region>"] == {"s", "o"}
