@@ -469,3 +469,12 @@ def test_only_terms_that_can_have_labels_are_joined_with_them(spark):
     can = {p: of for rows, of in g._by_labelled() for p in {r["p"] for r in rows.select("p").distinct().collect()}}
     assert can[f"<{testmap.DC}description>"] == can[f"<{testmap.ONTOLOGY}item>"] == set()  # texts and items are not shuffled
     assert can[f"<{testmap.ONTOLOGY}part>"] == {"o"} and can[f"<{testmap.ONTOLOGY}region>"] == {"s", "o"}
+
+
+def test_trees_leave_one_table(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(documents, "stored", lambda df: kept.append(storage.stored(df)) or kept[-1])
+    links = [(ME, f"<{EX}p>", "_:c0")] + [(f"_:c{i}", f"<{EX}next>", f"_:c{i + 1}") for i in range(9)]
+    found = documents.property_tree(Graph.load(frame(spark, links), CFG))
+    assert sorted(len(r["path"]) for r in found.collect()) == list(range(1, 11))
+    assert len(kept) > 3 and sum(storage.exists(spark, t.__dict__["stored_at"]) for t in kept) == 1
