@@ -478,3 +478,12 @@ def test_trees_leave_one_table(spark, monkeypatch):
     found = documents.property_tree(Graph.load(frame(spark, links), CFG))
     assert sorted(len(r["path"]) for r in found.collect()) == list(range(1, 11))
     assert len(kept) > 3 and sum(storage.exists(spark, t.__dict__["stored_at"]) for t in kept) == 1
+
+
+def test_page_documents_do_not_make_rows_of_blank_nodes(spark, monkeypatch):
+    def all_rows(graph):
+        raise AssertionError("rows of all properties")
+
+    want = queries.QUERIES["h8_documents"](spark, SF).count()
+    monkeypatch.setattr(graph_.MadeGraph, "page_rows", property(all_rows))
+    assert documents.page_documents(testmap.graph(spark, SF)).select("s").distinct().count() == testmap.uri_subjects(spark, SF).count() and want
