@@ -487,3 +487,18 @@ def test_page_documents_do_not_make_rows_of_blank_nodes(spark, monkeypatch):
     want = queries.QUERIES["h8_documents"](spark, SF).count()
     monkeypatch.setattr(graph_.MadeGraph, "page_rows", property(all_rows))
     assert documents.page_documents(testmap.graph(spark, SF)).select("s").distinct().count() == testmap.uri_subjects(spark, SF).count() and want
+
+
+def test_documents_are_made_of_sorted_rows(spark):
+    """A page's rows are not gathered in one row first, and come together however batches cut them."""
+    g = Graph.load(frame(spark, [(f"<{B}p{i % 7}>", f"<{EX}{'pq'[i % 2]}>", f'"{i}"@en' if i % 3 else f"_:b{i}") for i in range(100)]), CFG)
+    want = {r["page"]: r["document"] for r in documents.export_jsonld(g).collect()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        found = documents.export_jsonld(g)
+        assert {r["page"]: r["document"] for r in found.collect()} == want and len(want) == 7
+    finally:
+        spark.conf.set(key, before)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
